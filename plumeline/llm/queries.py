@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, langid, minhash, ngram_lm, packing, pii, quality, secrets
+from . import chat, decontamination, langid, minhash, ngram_lm, packing, pii, quality, secrets, substrings
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,12 +45,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.annotate(table(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality, op4_ngram_lm, op5_chat, op6_secrets, op7_pii, op8_minhash, op10_langid)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality, op4_ngram_lm, op5_chat, op6_secrets, op7_pii, op8_minhash, op9_substrings, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
