@@ -153,8 +153,8 @@ ORACLE: dict[str, str] = {
     "map_clusters": f"WITH {MEMBERS} SELECT icell, ipos, frac FROM hmap",
     "map_native_cells": "SELECT icell, row_number() OVER (ORDER BY icell) - 1 AS ipos, CAST(1 AS DOUBLE) AS frac FROM fx_cell WHERE land_fraction > 0",
     "map_coarsen": f"WITH {STATE} SELECT tracer, category, itime, ipos, {rd('state', 'state', 5)} FROM state",
-    "map_distribute_time": f"WITH {STATE} SELECT tracer, category, ipos, itim_mod, {rd('sum(state * frac)', 'value', 7)} FROM state JOIN tmap ON itim_opt = itime GROUP BY 1, 2, 3, 4",
-    "map_distribute_time_adj": f"WITH {STATE} SELECT tracer, category, icell, itim_opt AS itime, {rd('sum(flux * frac)', 'state', 7)} FROM cell_flux JOIN tmap ON itim_mod = itim GROUP BY 1, 2, 3, 4",
+    "map_distribute_time": f"WITH {STATE} SELECT tracer, category, ipos, itim_mod, {rd('sum(state * frac)', 'value', 9)} FROM state JOIN tmap ON itim_opt = itime GROUP BY 1, 2, 3, 4",
+    "map_distribute_time_adj": f"WITH {STATE} SELECT tracer, category, icell, itim_opt AS itime, {rd('sum(flux * frac)', 'state', 9)} FROM cell_flux JOIN tmap ON itim_mod = itim GROUP BY 1, 2, 3, 4",
     "map_distribute_space": f"WITH {STATE} SELECT tracer, category, itime, icell, {rd('sum(state * frac)', 'value', 7)} FROM state JOIN hmap USING (ipos) GROUP BY 1, 2, 3, 4",
     "map_distribute_space_adj": f"WITH {STATE} SELECT tracer, category, itim, ipos, {rd('sum(flux * frac)', 'state', 7)} FROM cell_flux JOIN hmap USING (icell) GROUP BY 1, 2, 3, 4",
     "map_state_to_flux": f"""WITH {STATE}, more AS (SELECT tracer, category, itim_mod AS itim, icell, sum(state * t.frac * h.frac) AS flux FROM state s JOIN tmap t ON t.itim_opt = s.itime JOIN hmap h ON h.ipos = s.ipos GROUP BY 1, 2, 3, 4),

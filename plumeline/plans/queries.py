@@ -389,13 +389,13 @@ def map_coarsen(v: Views) -> DataFrame:
 
 @query
 def map_distribute_time(v: Views) -> DataFrame:
-    return mapping.over_time(coarse_state(v), tmap(v), ["tracer", "category", "ipos"]).select("tracer", "category", "ipos", "itim_mod", r("value", 7))
+    return mapping.over_time(coarse_state(v), tmap(v), ["tracer", "category", "ipos"]).select("tracer", "category", "ipos", "itim_mod", r("value", 9))
 
 
 @query
 def map_distribute_time_adj(v: Views) -> DataFrame:
     rows = cell_flux(v).select("tracer", "category", "icell", F.col("itim").alias("itim_mod"), F.col("flux").alias("value"))
-    return mapping.over_time_adjoint(rows, tmap(v), ["tracer", "category", "icell"]).select("tracer", "category", "icell", "itime", r("state", 7))
+    return mapping.over_time_adjoint(rows, tmap(v), ["tracer", "category", "icell"]).select("tracer", "category", "icell", "itime", r("state", 9))
 
 
 @query
