@@ -168,6 +168,15 @@ def regrid(rows: DataFrame, source: Grid, target: Grid, keys: list[str], value:
     return to_density(out, target.cells(spark), value) if density else out
 
 
+def transform(rows: DataFrame, source: Grid, target: Grid, keys: list[str], value: str = "flux", padding: float = 0.0, density: bool = False) -> DataFrame:
+    """Rows on another grid, also where it goes beyond theirs: cells out there hold the padding; then regridded, which crops."""
+    wide = source.padded(target)
+    south, west = round((source.lat0 - wide.lat0) / source.dlat), round((source.lon0 - wide.lon0) / source.dlon)
+    if wide.shape != source.shape:
+        rows = padded(rows, south, wide.nlat - source.nlat - south, west, wide.nlon - source.nlon - west, source.nlat, source.nlon, keys, value, padding)
+    return regrid(rows, wide, target, keys, value, density)
+
+
 def to_quantity(rows: DataFrame, cells: DataFrame, value: str = "flux") -> DataFrame:
     return rows.join(F.broadcast(cells.select("ilat", "ilon", "area")), ["ilat", "ilon"]).withColumn(value, F.col(value) * F.col("area")).drop("area")
 
