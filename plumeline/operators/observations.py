@@ -77,18 +77,21 @@ def floor_errors(obs: DataFrame, settings: ErrorSettings = ErrorSettings()) -> D
 def rolling_means(obs: DataFrame, settings: ErrorSettings = ErrorSettings(), model: str = "mix_apri") -> DataFrame:
     """Means of observed and modelled values over the window that ends at each row, by code, weighted with 1 / error squared.
 
-    The window is open at its start. An error of zero has no finite weight: the row has none.
+    The window is open at its start. An error of zero has no finite weight: the row has none. Each code is cut into blocks of
+    time as long as the window, to which the block before is added, so that a code with many rows is many groups.
     """
     width = step(settings.err_freq).seconds * 1_000_000
     rows = floor_errors(obs, settings).withColumn("weight", F.try_divide(F.lit(1.0), F.col(settings.field_err_obs) * F.col(settings.field_err_obs)))
-    recent = Window.partitionBy("code").orderBy(F.unix_micros(F.col("time").cast("timestamp"))).rangeBetween(-(width - 1), 0)
+    rows = rows.withColumn("_at", F.unix_micros(F.col("time").cast("timestamp"))).withColumn("_block", F.floor(F.col("_at") / width))
+    rows = rows.withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_block", F.col("_block") + F.col("_ahead"))
+    recent = Window.partitionBy("code", "_block").orderBy("_at").rangeBetween(-(width - 1), 0)
 
     def mean(column: str) -> Column:
         value = F.col(column) * F.col("weight")
         weight = F.when(F.col(column).isNotNull(), F.col("weight"))
         return F.try_divide(F.sum(value).over(recent), F.sum(weight).over(recent))
 
-    return rows.withColumns({"obs_rolling": mean("obs"), "mod_rolling": mean(model)})
+    return rows.withColumns({"obs_rolling": mean("obs"), "mod_rolling": mean(model)}).filter("_ahead = 0").drop("_at", "_block", "_ahead")
 
 
 def residuals(obs: DataFrame, settings: ErrorSettings = ErrorSettings(), model: str = "mix_apri") -> DataFrame:
@@ -103,11 +106,10 @@ def model_errors(obs: DataFrame, settings: ErrorSettings = ErrorSettings(), mode
 
 def inflated_errors(obs: DataFrame, settings: ErrorSettings = ErrorSettings(), model: str = "mix_apri") -> DataFrame:
     """Observations with err: their own error and their code's model error, squared and added, times err_fac."""
-    rows = residuals(obs, settings, model)
-    sigma = Window.partitionBy("code")
-    spread = F.stddev_pop(F.col("resid_obs") - F.col("resid_mod")).over(sigma)
-    own = F.col(settings.field_err_obs)
-    return rows.withColumns({"obs_detrended": F.col("resid_obs"), "mod_detrended": F.col("resid_mod"), "err": F.sqrt(own * own + spread * spread) * settings.err_fac})
+    spread = model_errors(obs, settings, model).withColumnRenamed("sigma", "_spread")
+    rows = residuals(obs, settings, model).join(spread, "code", "left")
+    own, more = F.col(settings.field_err_obs), F.col("_spread")
+    return rows.withColumns({"obs_detrended": F.col("resid_obs"), "mod_detrended": F.col("resid_mod"), "err": F.sqrt(own * own + more * more) * settings.err_fac}).drop("_spread")
 
 
 def constant_columns(table: DataFrame, key: str = "site") -> list[str]:
