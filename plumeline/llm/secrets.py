@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, shared_path, texts
+from .common import fresh, shared_path, small_batches, texts
 
 #: Raise it with every change of the rules.
 RULE_VERSION = "1"
@@ -93,6 +93,7 @@ def read_ledger(docs: DataFrame, path: str) -> DataFrame | None:
 
 def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
     """Scans the blobs of `docs` that the ledger hasn't seen under this rule version, appends them, and gives the ledger's rows of this version."""
+    small_batches(docs.sparkSession)
     contents = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +107,9 @@ def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, te
                 seen.add(key)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), texts_], names=["blob", "text"]).filter(pa.array(new, pa.bool_()))
 
-    blobs = contents.mapInArrow(distinct, "blob binary, text string")
+    blobs = contents.mapInArrow(distinct, "blob binary, text string").repartition("blob")
     ledger = read_ledger(docs, ledger_path)
-    if ledger is None:
-        blobs = blobs.repartition("blob")
-    else:
+    if ledger is not None:
         blobs = blobs.join(ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
     once = seen_once(0)
 
