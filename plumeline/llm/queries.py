@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.ORACLE}
+    return {"op2_decontamination": decontamination.ORACLE, "op5_chat": chat.ORACLE, "op8_minhash": minhash.ORACLE}
