@@ -118,6 +118,18 @@ def polar_edges(nlat: int) -> list[float]:
     return [-90.0, *[-90 + size * (k + 0.5) for k in range(nlat - 1)], 90.0]
 
 
+def axis_of_edges(spark: SparkSession, edges: list[float]) -> DataFrame:
+    """i, low, high of an axis whose cells differ in size."""
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))], "i int, low double, high double")
+
+
+def cells_of_axes(lat: DataFrame, lon: DataFrame) -> DataFrame:
+    """ilat, ilon, bounds and area of the cells of two axes (i, low, high), whatever their sizes."""
+    a = lat.select(F.col("i").alias("ilat"), F.col("low").alias("lat_s"), F.col("high").alias("lat_n"))
+    b = lon.select(F.col("i").alias("ilon"), F.col("low").alias("lon_w"), F.col("high").alias("lon_e"))
+    return a.crossJoin(F.broadcast(b)).withColumn("area", cell_area(F.col("lat_s"), F.col("lat_n"), F.col("lon_w"), F.col("lon_e")))
+
+
 def grid_from(settings: dict, name: str, fallback: str = "grid") -> Grid:
     """A grid from flat keys `name.lon0` ..., each with the fallback's value where it is missing."""
     get = lambda k: settings.get(f"{name}.{k}", settings.get(f"{fallback}.{k}"))

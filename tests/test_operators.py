@@ -107,6 +107,18 @@ def test_regridding_keeps_mass(spark):
     assert all(r["flux"] == pytest.approx(2.0) for r in grid.regrid(flat, source, inner, ["k"], density=True).collect())
 
 
+def test_axes_of_edges(spark):
+    """A grid with half cells at the poles covers the sphere, and takes over what another holds."""
+    lat = grid.axis_of_edges(spark, grid.polar_edges(7))
+    lon = grid.axis_of_edges(spark, [-180.0, -20.0, 60.0, 180.0])
+    sphere = grid.cells_of_axes(lat, lon).agg(F.sum("area")).first()[0]
+    assert sphere == pytest.approx(4 * math.pi * grid.EARTH_RADIUS**2)
+    source = grid.global_steps(30, 30)
+    rows = source.cells(spark).select(F.lit("a").alias("k"), "ilat", "ilon", (F.col("icell") * 1.0).alias("flux"))
+    out = grid.regridded(rows, grid.overlaps(source.axis(spark, "lat"), lat, "sine"), grid.overlaps(source.axis(spark, "lon"), lon), ["k"])
+    assert out.agg(F.sum("flux")).first()[0] == pytest.approx(sum(range(72)))
+
+
 def test_cyclic_overlap(spark):
     a = spark.createDataFrame([(0, 0.0, 10.0)], "i int, low double, high double")
     b = spark.createDataFrame([(0, 355.0, 365.0)], "i int, low double, high double")
