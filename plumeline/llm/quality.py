@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, with_result
+from .common import Shared, small_batches, with_result
 from .textarrays import ALNUM, LOWER, NOT_SPACE, grams, hashes, lengths_in_characters, mix, per_row, row_of, slices, spans, starts_of_grams
 
 MIN_WORDS = 20
@@ -172,6 +172,7 @@ class References:
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
     """Reference histograms over all documents that pass the base rules. The driver gets a bounded number of rows a language and of languages."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang is not null and text is not null")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; only a single longer text goes beyond.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: A-Z to a-z, every other byte to itself.
 LOWER = np.arange(256, dtype=np.uint8)
