@@ -397,6 +397,35 @@ def test_edited_passages(spark):
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(2, 1)}
 
 
+def test_passages_of_few_after_a_frequent_line(spark):
+    """A line of 45 words that all documents have comes before all; each passage it is a part of only two documents share."""
+    line = [f"l{k}" for k in range(45)]
+    docs = [(i, " ".join([f"a{i}_{k}" for k in range(60)] + line + [f"t{i // 2}_{k}" for k in range(6)] + [f"b{i}_{k}" for k in range(60)])) for i in range(80)]
+    got = substrings.find(spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")).collect()
+    assert {(2 * i + 1, 2 * i, 60, 111) for i in range(40)} <= {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in got}
+
+
+def test_leaders_leave_no_pair_out():
+    """Each place that has a passage with others of its group is paired with one of them, whatever leads."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(1, 2**16, substrings.AROUND, dtype=np.uint16)
+    kinds = rng.integers(1, 2**16, (30, substrings.AROUND), dtype=np.uint16)
+    kinds[:, 25:62] = common[25:62]
+    group = np.zeros(200, substrings.PLACE)
+    group["doc"] = np.arange(200)
+    kinds[:10, 15:25] = kinds[:10, 15:16]
+    group["around"] = rng.integers(1, 2**16, (200, substrings.AROUND), dtype=np.uint16)
+    group["around"][:, 25:62] = common[25:62]
+    of = rng.integers(0, 60, 200)
+    for i in np.flatnonzero(of < 30):
+        group["around"][i, 15:70] = kinds[of[i], 15:70]
+    got = {tuple(sorted(p)) for p in zip(*[x.tolist() for x in substrings.elected(group)], strict=True)}
+    for i in range(200):
+        others = [j for j in range(200) if j != i and of[j] == of[i] < 30]
+        assert not others or any(tuple(sorted((i, j))) in got for j in others)
+    assert len(got) < 400
+
+
 # --- language identification ---
 
 
