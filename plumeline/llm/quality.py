@@ -2,7 +2,7 @@
 
 A document's histogram of character classes and its histogram of common words are
 compared with references by Jensen-Shannon distance (base 2, 0 to 1). References are
-made from the corpus itself: for every language with a share of the words, the sums
+made from the corpus itself: for every language with LANGUAGE_WORDS words, the sums
 over all its documents that pass the base rules and can stand for the language (few
 symbols for their words, few capitals among their characters). Common words of a language are all
 that make up COMMON of its words; to find them, each task reports the words that make
@@ -10,7 +10,8 @@ up a tenth of that among its own, and a second pass counts exactly those that ca
 reach COMMON over all tasks (at most 1 / (0.9 * COMMON) a language).
 
 A document is compared with the language nearest to it, so a wrong or missing lang
-rejects nothing. Texts too short for a histogram to mean anything aren't judged by it.
+rejects nothing. If its own lang has too few words for a reference, the base rules
+decide alone, however much text of other languages there is. Texts too short for a histogram to mean anything aren't judged by it.
 
 Nulls and edge cases: a null or empty text has no words and fails the base rules; a
 null lang isn't a language and gives no reference; with no reference (an empty table,
@@ -34,9 +35,9 @@ from .textarrays import ALNUM, LOWER, NOT_SPACE, grams, hashes, lengths_in_chara
 MIN_WORDS = 20
 REPEAT_WINDOW, REPEAT_PERCENT = 8, 30
 
-#: Share of a language's words that makes a word common, and share of all words that makes a lang value a language.
+#: Share of a language's words that makes a word common, and number of words that makes a lang value a language.
 COMMON = 0.003
-LANGUAGE_SHARE = 0.005
+LANGUAGE_WORDS = 1000
 #: A reference takes documents with at most so many symbols a word and such a share of capitals.
 REFERENCE_SYMBOLS, REFERENCE_CAPITALS = 0.1, 0.3
 #: A histogram counts from so many characters or words on.
@@ -142,8 +143,8 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 class References:
     """Histograms of languages: character classes, and common words with all others in the last place."""
 
-    def __init__(self, classes: list[np.ndarray], words: np.ndarray, counts: list[np.ndarray]):
-        self.classes, self.words, self.counts = classes, words, counts
+    def __init__(self, classes: list[np.ndarray], words: np.ndarray, counts: list[np.ndarray], names: list[str]):
+        self.classes, self.words, self.counts, self.names = classes, words, counts, set(names)
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Where each word stands in a histogram."""
@@ -152,7 +153,7 @@ class References:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, len(self.words))
 
-    def judge(self, data: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
+    def judge(self, data: np.ndarray, rows: np.ndarray, langs: list[str | None]) -> dict[str, np.ndarray]:
         c = base_counts(data, rows)
         failed, n = base_failed(c), len(rows) - 1
         h, bounds = counted_words(data, rows)
@@ -167,11 +168,12 @@ class References:
             char = word = np.zeros(n)
         far = (char > FAR_CHARS) | (char > ODD_CHARS) & (word > ODD_WORDS) & (np.diff(bounds) >= MIN_COUNTED)
         far &= c["classes"].sum(axis=1) >= MIN_CHARS
+        far &= np.array([k is None or k in self.names for k in langs], bool)
         return c | {"base_failed": failed, "char_distance": char, "word_distance": word, "kept": ~failed & ~far}
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """Reference histograms over all documents that pass the base rules. The driver gets a bounded number of rows a language and of languages."""
+    """Reference histograms over all documents that pass the base rules. The driver gets a bounded number of rows a language."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("lang is not null and text is not null")
 
@@ -207,10 +209,9 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
         spark = docs.sparkSession
         totals = reports.groupBy("lang").agg(F.sum("total").alias("total"), *sums)
-        everything = totals.agg(F.sum("total")).first()[0] or 0
-        languages = {r["lang"]: r for r in totals.filter(F.col("total") >= max(1, LANGUAGE_SHARE * everything)).collect()}
+        languages = {r["lang"]: r for r in totals.filter(F.col("total") >= LANGUAGE_WORDS).collect()}
         if not languages:
-            return References([], np.zeros(0, np.int64), [])
+            return References([], np.zeros(0, np.int64), [], [])
         bound = spark.createDataFrame([(k, r["total"]) for k, r in languages.items()], "lang string, all long")
         reported = reports.select("lang", "total", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"), F.sum("total").alias("seen"))
         possible = reported.join(F.broadcast(bound), "lang").filter(F.col("n") + COMMON / 10 * (F.col("all") - F.col("seen")) >= COMMON * F.col("all"))
@@ -241,7 +242,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         if at < len(common) and common[at] == r["word"]:
             counts[r["language"], at] = r["n"]
     counts[:, -1] = total - counts.sum(axis=1)
-    return References([np.array([languages[k][f"c{i}"] for i in range(CLASSES)]) for k in names], common, list(counts))
+    return References([np.array([languages[k][f"c{i}"] for i in range(CLASSES)]) for k in names], common, list(counts), names)
 
 
 def annotate(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, str]:
@@ -252,7 +253,8 @@ def annotate(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         if not held:
             held.append(known.get())
         for part, data, rows in slices(batch, column):
-            got = held[0].judge(data, rows)
+            langs = part.column([k.lower() for k in part.schema.names].index(lang_col.lower())).cast(pa.string()).to_pylist()
+            got = held[0].judge(data, rows, langs)
             yield part, pa.StructArray.from_arrays([pa.array(got[f.name]) for f in RESULT.fields], names=RESULT.names)
 
     return with_result(docs, text_col, "quality", RESULT, judge)

@@ -134,6 +134,16 @@ def test_common_words_are_exact(spark):
     assert found.counts[0][found.words.tolist().index(int(h[0]))] == 180
 
 
+def test_quality_of_a_rare_language(spark):
+    """Clean documents of a language with few words beside another's are kept, with a reference of their own and without."""
+    rng = np.random.default_rng(3)
+    words = {k: ["".join(rng.choice(list(a), rng.integers(3, 9))) for _ in range(300)] for k, a in (("xx", "abcdefghijklmnopqrstuvwxyz"), ("ru", "абвгдежзиклмнопрстуфхцчшщыэюя"), ("el", "αβγδεζηθικλμνξοπρστυφχψω"))}
+    langs = ["xx"] * 1000 + ["ru"] * 4 + ["el"]
+    docs = [(i, " ".join(rng.choice(words[k], 400)), k) for i, k in enumerate(langs)]
+    got = quality.report(spark.createDataFrame(docs, "doc_id long, text string, lang string")).filter("doc_id >= 1000").collect()
+    assert len(got) == 5 and all(r["kept"] for r in got)
+
+
 def test_quality_of_nothing(documents, nothing):
     assert quality.report(nothing).count() == 0
     kept = quality.accepted(documents)
