@@ -546,8 +546,8 @@ def chi2(v: Views) -> DataFrame:
 
 @query
 def lanczos_posterior(v: Views) -> DataFrame:
-    """Posterior errors of a state of quarters and clusters, seen by the footprints of one site's observations."""
-    obs = v.obs.filter("site = 3 and mix_background is not null")
+    """Posterior errors of a state of quarters and clusters, seen by the footprints of all observations."""
+    obs = v.obs.filter("mix_background is not null")
     weights = tmap(v).join(F.broadcast(mapping.clusters_of(members(v))).withColumnRenamed("frac", "part"))
     weights = weights.select(F.col("itim_mod").alias("itim"), F.floor(F.col("icell") / 10).cast("int").alias("ilat"), (F.col("icell") % 10).alias("ilon"), F.col("itim_opt").alias("itime"), "ipos", (F.col("frac") * F.col("part")).alias("w"))
     in_time, in_space = roots(v)

@@ -46,3 +46,12 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_posterior_sees_all_sites(spark, monkeypatch):
+    from plumeline.plans import inversion
+
+    seen, whole = [], inversion.state_sensitivity
+    monkeypatch.setattr(inversion, "state_sensitivity", lambda obs, *rest: seen.append(obs) or whole(obs, *rest))
+    QUERIES["lanczos_posterior"](spark, DATA)
+    assert seen[0].select("site").distinct().count() > 1
