@@ -63,12 +63,13 @@ class Observations:
 
 @dataclass(frozen=True)
 class Category:
-    """What is known of a category: whether it is transported and optimised, its unit, its error's shape, and if it is a combination, of what."""
+    """What is known of a category: whether it is transported (and was tagged so, whatever combination it is part of) and optimised, its unit, its error's shape, and if it is a combination, of what."""
 
     name: str
     tracer: str
     unit: str = ""
     transported: bool = True
+    tagged: bool = False
     optimised: bool = False
     combination: str | None = None
     horizontal: str = "500-e"
@@ -94,8 +95,12 @@ class Fluxes:
         return self.spark.createDataFrame(rows, "tracer string, category string, transported boolean, optimised boolean, meta boolean")
 
     def add(self, category: Category, rows: DataFrame | float = 0.0) -> Fluxes:
-        made = self.flux if category.combination else flux.with_category(self.flux, category.name, rows)
-        return replace(self, flux=made, categories=(*self.categories, category))
+        """One more category. The parts of a combination aren't transported any more, unless they are tagged so."""
+        if not category.combination:
+            return replace(self, flux=flux.with_category(self.flux, category.name, rows), categories=(*self.categories, category))
+        parts = expressions.terms(category.combination)
+        others = tuple(replace(c, transported=c.tagged) if c.name in parts and c.tracer == category.tracer else c for c in self.categories)
+        return replace(self, categories=(*others, category))
 
     def resolve(self) -> Fluxes:
         """Combinations evaluated, under their names."""
@@ -123,7 +128,7 @@ class Fluxes:
         """Totals of a tracer's fluxes in its budget's unit, by category, year and month."""
         own = units.species(tracer)
         rows = self.flux.filter(F.col("tracer") == tracer)
-        return flux.budget(flux.in_unit(rows, self.cells, self.times, own["emission"], own["budget"]))
+        return flux.budget(flux.in_unit(rows, self.cells, self.times, own["emission"], own["budget"]), self.times)
 
     def zeros(self, value: float = 0.0) -> Fluxes:
         return replace(self, flux=flux.filled_like(self.flux, value))
@@ -189,10 +194,9 @@ class Mapping:
     def adjoint(self, adjoint: DataFrame) -> DataFrame:
         return mapping.flux_to_state_adjoint(adjoint, self.tmap, self.hmap)
 
-    def weights(self, n_lon: int) -> DataFrame:
-        """The state's elements in cells and steps: itim, ilat, ilon, itime, ipos, w."""
-        both = self.tmap.crossJoin(F.broadcast(self.hmap.select("icell", "ipos", F.col("frac").alias("part"))))
-        return both.select(F.col("itim_mod").alias("itim"), F.floor(F.col("icell") / n_lon).cast("int").alias("ilat"), (F.col("icell") % n_lon).alias("ilon"), F.col("itim_opt").alias("itime"), "ipos", (F.col("frac") * F.col("part")).alias("w"))
+    def sensitivity(self, obs: DataFrame, footprints: DataFrame, n_lon: int) -> DataFrame:
+        """What observations see of the state's elements: obsid, itime, ipos, h."""
+        return inversion.state_sensitivity(obs, footprints, self.tmap, self.hmap, n_lon)
 
 
 @dataclass
@@ -207,11 +211,8 @@ class Prior:
     def roots(self, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of the correlations in time and in space; with a folder, the latter is kept there."""
         length, kind = prior.kernel_and_length(self.category.horizontal)
-        rows = prior.distances(self.positions).collect()
-        n = max(r["j"] for r in rows) + 1
-        d = np.zeros((n, n))
-        for r in rows:
-            d[r["i"], r["j"]] = d[r["j"], r["i"]] = r["distance"]
+        places = self.positions.select("ipos", "lat", "lon").orderBy("ipos").collect()
+        d = prior.distance_matrix(np.array([r["lat"] for r in places]), np.array([r["lon"] for r in places]))
         in_space = prior.cached_root(prior.ARRAY_KERNELS[kind](d, length), self.positions.sparkSession, folder)
         lag = np.abs(np.subtract.outer(np.arange(self.n_time), np.arange(self.n_time)))
         return prior.temporal_root(np.exp(-lag * self.dt / self.category.temporal)), in_space
@@ -220,7 +221,7 @@ class Prior:
         """With errors (times by positions), scaled to the category's target where it has one."""
         in_time, in_space = self.roots(folder)
         if self.category.target is not None:
-            total = np.sqrt(np.einsum("tp,ts,pq,sq->", sigma, in_time @ in_time.T, in_space @ in_space.T, sigma))
+            total = np.sqrt((((in_time @ in_time.T) @ sigma @ (in_space @ in_space.T)) * sigma).sum())
             sigma = sigma * (self.category.target * self.n_time * self.dt / 365.25 / total)
         return inversion.Control(sigma, in_time, in_space)
 

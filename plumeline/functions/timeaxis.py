@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,35 @@ def axis(spark: SparkSession, start: str, end: str, by: Step) -> DataFrame:
     return numbered.select("itim", "t0", "t1", seconds_between(F.col("t0"), F.col("t1")).alias("dt"))
 
 
+def later(time: datetime, by: Step, n: int = 1) -> datetime:
+    """A time so many steps on; beyond a month's end its last day."""
+    if not by.months:
+        return time + timedelta(seconds=n * by.seconds)
+    year, month = divmod(time.year * 12 + time.month - 1 + n * by.months, 12)
+    return time.replace(year=year, month=month + 1, day=min(time.day, monthrange(year, month + 1)[1]))
+
+
+def spun(start: str, end: str, up: Step, down: Step) -> tuple[str, str]:
+    """A period with spin-up before and spin-down after it."""
+    return str(later(datetime.fromisoformat(start), up, -1)), str(later(datetime.fromisoformat(end), down))
+
+
+def anchored(spark: SparkSession, start: str, end: str, by: Step, cover: bool = False) -> DataFrame:
+    """Whole steps within a period, counted from 1 January of its first year, so that periods of one year share their steps.
+
+    The first begins at or after the period's start, what lies before has none; with `cover`, it is the one that the start lies in.
+    """
+    begin = datetime.fromisoformat(start)
+    first = january = datetime(begin.year, 1, 1)
+    n = 0
+    while first < begin:
+        n += 1
+        first = later(january, by, n)
+    if cover and first > begin:
+        first = later(january, by, n - 1)
+    return axis(spark, str(first), end, by).filter(add(F.col("t0"), by) <= F.lit(end).cast("timestamp"))
+
+
 def seconds_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(b) - F.unix_micros(a)).cast("double") / F.lit(1e6)
 

@@ -36,6 +36,11 @@ def at_endpoints(endpoints: DataFrame, conc: DataFrame) -> DataFrame:
     return endpoints.crossJoin(F.broadcast(profile(conc))).withColumn("background", interpolated(F.col("height"), F.col("levels"))).drop("levels")
 
 
+def endpoint_times(endpoints: DataFrame, origin: str) -> DataFrame:
+    """End points with their time, so many seconds after the origin (before it, if negative)."""
+    return endpoints.withColumn("time", F.timestamp_micros(F.unix_micros(F.lit(origin).cast("timestamp")) + (F.col("seconds") * 1_000_000).cast("long"))).drop("seconds")
+
+
 def mean_background(endpoints: DataFrame) -> DataFrame:
     return endpoints.groupBy("obsid").agg(F.avg("background").alias("mix_background"))
 

@@ -9,12 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 
-def clusterize(field: np.ndarray, n: int, mask: np.ndarray | None = None) -> np.ndarray:
+def clusterize(field: np.ndarray, n: int, mask: np.ndarray | None = None, least: tuple[int, int] = (1, 1)) -> np.ndarray:
     """A cluster number for each cell (-1 where masked), of at most about n clusters.
 
     The cluster with the greatest absolute sum is halved across its longer side, again and
-    again; a square one on the side whose halves are more alike. Parts of a cluster that
-    the mask has cut apart become clusters of their own, so there can be a few more.
+    again; a square one on the side whose halves are more alike, and at an odd side the middle
+    line goes to the half that makes them more alike. A side of the least length (rows, columns)
+    isn't cut while the other is longer. Parts of a cluster that the mask has cut apart become
+    clusters of their own, so there can be a few more.
     """
     mask = np.ones(field.shape, bool) if mask is None else mask.astype(bool)
     n = min(n, int(mask.sum()))
@@ -32,7 +34,7 @@ def clusterize(field: np.ndarray, n: int, mask: np.ndarray | None = None) -> np.
         add(part)
     while len(boxes) < n and heap and heap[0][0] <= 0:
         _, k = heapq.heappop(heap)
-        halves = halved(field, boxes.pop(k))
+        halves = halved(field, boxes.pop(k), least)
         for half in halves:
             for part in connected(half):
                 add(part)
@@ -42,20 +44,25 @@ def clusterize(field: np.ndarray, n: int, mask: np.ndarray | None = None) -> np.
     return out
 
 
-def halved(field: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def halved(field: np.ndarray, cells: np.ndarray, least: tuple[int, int] = (1, 1)) -> tuple[np.ndarray, np.ndarray]:
     size = np.ptp(cells, axis=0) + 1
-    if size[0] != size[1]:
-        return split(cells, int(np.argmax(size)))
-    ways = [split(cells, axis) for axis in (0, 1)]
-    total = lambda c: abs(field[c[:, 0], c[:, 1]].sum())
-    return min(ways, key=lambda w: abs(total(w[0]) - total(w[1])))
+    cut = [k for k in (0, 1) if size[k] > 1]
+    free = [k for k in cut if size[k] != least[k]] or cut
+    if len(free) == 2 and size[0] != size[1]:
+        free = [int(np.argmax(size))]
+    return min((split(field, cells, k) for k in free), key=lambda w: unlike(field, *w))
 
 
-def split(cells: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
-    """At the middle of the side; both parts have cells."""
+def unlike(field: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    return abs(field[a[:, 0], a[:, 1]].sum() - field[b[:, 0], b[:, 1]].sum())
+
+
+def split(field: np.ndarray, cells: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """At the middle of the side; of an odd side the middle line goes where it balances better. Both parts have cells."""
     values = cells[:, axis]
-    middle = values.min() + (np.ptp(values) + 1) // 2
-    return cells[values < middle], cells[values >= middle]
+    low, side = values.min(), np.ptp(values) + 1
+    ways = [(cells[values < k], cells[values >= k]) for k in dict.fromkeys((low + side // 2, low + (side + 1) // 2))]
+    return min((w for w in ways if len(w[0]) and len(w[1])), key=lambda w: unlike(field, *w))
 
 
 def connected(cells: np.ndarray) -> list[np.ndarray]:

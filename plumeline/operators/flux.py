@@ -44,10 +44,10 @@ def converted(flux: DataFrame, cells: DataFrame, times: DataFrame, how: Conversi
     """Fluxes in another unit; areas and steps are joined only where the conversion needs them."""
     rows, value = flux, F.col("flux") * how.factor
     if how.area_power:
-        rows = rows.join(F.broadcast(cells.select("ilat", "ilon", "area")), ["ilat", "ilon"])
+        rows = rows.join(cells.select("ilat", "ilon", "area"), ["ilat", "ilon"])
         value = value * F.col("area") if how.area_power > 0 else value / F.col("area")
     if how.time_power:
-        rows = rows.join(F.broadcast(times.select("itim", "dt")), "itim")
+        rows = rows.join(times.select("itim", "dt"), "itim")
         value = value * F.col("dt") if how.time_power > 0 else value / F.col("dt")
     return rows.select(*KEY, value.alias("flux"))
 
@@ -66,10 +66,11 @@ def in_unit(flux: DataFrame, cells: DataFrame, times: DataFrame, source: str, ta
     return converted(flux, cells, times, conversion(source, target))
 
 
-def budget(flux: DataFrame) -> DataFrame:
-    """Totals of each tracer and category by month, by year and in all; year and month are null in totals over them."""
-    rows = flux.withColumns({"year": (1995 + F.floor(F.col("itim") / 12)).cast("int"), "month": (F.col("itim") % 12 + 1).cast("int")})
-    months = rows.groupBy("tracer", "category", "year", "month").agg(F.sum("flux").alias("part"))
+def budget(flux: DataFrame, times: DataFrame) -> DataFrame:
+    """Totals of each tracer and category by the month and year that each step (itim, t0) begins in, and in all; year and month are null in totals over them."""
+    steps = flux.groupBy("tracer", "category", "itim").agg(F.sum("flux").alias("part"))
+    rows = steps.join(times.select("itim", F.year("t0").alias("year"), F.month("t0").alias("month")), "itim")
+    months = rows.groupBy("tracer", "category", "year", "month").agg(F.sum("part").alias("part"))
     return months.rollup("tracer", "category", "year", "month").agg(F.sum("part").alias("total"))
 
 
@@ -103,7 +104,7 @@ def chosen(flux: DataFrame, categories: DataFrame, flag: str) -> DataFrame:
 
 def bounds(flux: DataFrame, cells: DataFrame) -> DataFrame:
     """One row for each tracer: first and last step, and the area that its fluxes lie in."""
-    rows = flux.join(F.broadcast(cells.select("ilat", "ilon", "lat_s", "lat_n", "lon_w", "lon_e")), ["ilat", "ilon"])
+    rows = flux.join(cells.select("ilat", "ilon", "lat_s", "lat_n", "lon_w", "lon_e"), ["ilat", "ilon"])
     return rows.groupBy("tracer").agg(F.min("itim").alias("first"), F.max("itim").alias("last"), F.min("lat_s").alias("lat_s"), F.max("lat_n").alias("lat_n"), F.min("lon_w").alias("lon_w"), F.max("lon_e").alias("lon_e"))
 
 

@@ -44,34 +44,34 @@ def native_cells(cells: DataFrame, minimum: float | None = 0.0) -> DataFrame:
 
 def coarsened(flux: DataFrame, tmap: DataFrame, hmap: DataFrame) -> DataFrame:
     """tracer, category, itime, ipos, state: sums over the member steps and cells, by membership and not by share; flux has icell."""
-    first = flux.join(F.broadcast(hmap.select("icell", "ipos")), "icell").groupBy("tracer", "category", "itim", "ipos").agg(F.sum("flux").alias("flux"))
-    second = first.join(F.broadcast(tmap.select(F.col("itim_mod").alias("itim"), "itim_opt")), "itim")
+    first = flux.join(hmap.select("icell", "ipos"), "icell").groupBy("tracer", "category", "itim", "ipos").agg(F.sum("flux").alias("flux"))
+    second = first.join(tmap.select(F.col("itim_mod").alias("itim"), "itim_opt"), "itim")
     return second.groupBy("tracer", "category", F.col("itim_opt").alias("itime"), "ipos").agg(F.sum("flux").alias("state"))
 
 
 def over_time(state: DataFrame, tmap: DataFrame, keys: list[str]) -> DataFrame:
     """State by optimisation step dealt to model steps."""
-    return state.join(F.broadcast(tmap), state["itime"] == tmap["itim_opt"]).groupBy(*keys, "itim_mod").agg(F.sum(F.col("state") * F.col("frac")).alias("value"))
+    return state.join(tmap, state["itime"] == tmap["itim_opt"]).groupBy(*keys, "itim_mod").agg(F.sum(F.col("state") * F.col("frac")).alias("value"))
 
 
 def over_time_adjoint(value: DataFrame, tmap: DataFrame, keys: list[str]) -> DataFrame:
-    return value.join(F.broadcast(tmap), "itim_mod").groupBy(*keys, F.col("itim_opt").alias("itime")).agg(F.sum(F.col("value") * F.col("frac")).alias("state"))
+    return value.join(tmap, "itim_mod").groupBy(*keys, F.col("itim_opt").alias("itime")).agg(F.sum(F.col("value") * F.col("frac")).alias("state"))
 
 
 def over_space(state: DataFrame, hmap: DataFrame, keys: list[str]) -> DataFrame:
     """State by cluster dealt to cells."""
-    return state.join(F.broadcast(hmap), "ipos").groupBy(*keys, "icell").agg(F.sum(F.col("state") * F.col("frac")).alias("value"))
+    return state.join(hmap, "ipos").groupBy(*keys, "icell").agg(F.sum(F.col("state") * F.col("frac")).alias("value"))
 
 
 def over_space_adjoint(value: DataFrame, hmap: DataFrame, keys: list[str]) -> DataFrame:
-    return value.join(F.broadcast(hmap), "icell").groupBy(*keys, "ipos").agg(F.sum(F.col("value") * F.col("frac")).alias("state"))
+    return value.join(hmap, "icell").groupBy(*keys, "ipos").agg(F.sum(F.col("value") * F.col("frac")).alias("state"))
 
 
 def cluster_attributes(cells: DataFrame, hmap: DataFrame) -> DataFrame:
     """Area, and area means of position and land, of each cluster."""
     mean = lambda c: (F.sum(F.col(c) * F.col("area")) / F.sum("area"))
     rows = cells.withColumns({"lat": (F.col("lat_s") + F.col("lat_n")) / 2, "lon": (F.col("lon_w") + F.col("lon_e")) / 2})
-    return rows.join(F.broadcast(hmap), "icell").groupBy("ipos").agg(mean("lat").alias("lat"), mean("lon").alias("lon"), mean("land_fraction").alias("land_fraction"), F.sum("area").alias("area"))
+    return rows.join(hmap, "icell").groupBy("ipos").agg(mean("lat").alias("lat"), mean("lon").alias("lon"), mean("land_fraction").alias("land_fraction"), F.sum("area").alias("area"))
 
 
 def control_axes(positions: DataFrame, times: DataFrame) -> DataFrame:

@@ -142,9 +142,11 @@ def observation_ids(obs: DataFrame) -> DataFrame:
     return obs.withColumn("fp_id", F.when(F.col("footprint").isNotNull(), made))
 
 
-def only_existing(obs: DataFrame, catalog: DataFrame, column: str, key: str) -> DataFrame:
-    """`column` is null where the catalog has no such key."""
+def only_existing(obs: DataFrame, catalog: DataFrame, column: str, key: str, required: bool = False) -> DataFrame:
+    """`column` is null where the catalog has no such key; with `required`, it is an error if no row has one."""
     there = catalog.select(F.col(key).alias("_there")).distinct()
+    if required and obs.join(there, F.col(column) == F.col("_there"), "left_semi").isEmpty():
+        raise ValueError("no footprint file found")
     return obs.join(there, F.col(column) == F.col("_there"), "left").withColumn(column, F.col("_there")).drop("_there")
 
 

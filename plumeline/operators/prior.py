@@ -71,30 +71,39 @@ def temporal_correlations(steps: DataFrame, dt: float, length: float) -> DataFra
     return a.crossJoin(b).withColumn("corr", F.exp(-F.abs(F.col("i") - F.col("j")) * dt / length))
 
 
-def total_uncertainty(sigma: DataFrame, temporal: DataFrame, spatial: DataFrame) -> DataFrame:
-    """One row: the error of the sum of all elements of a state (itime, ipos, sigma), whose correlation is a product of one in time and one in space.
+def total_uncertainty(sigma: DataFrame, temporal: DataFrame, spatial: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each value of `by`): the error of the sum of all elements of a state (itime, ipos, sigma), whose correlation is a product of one in time and one in space.
 
     The product matrix is never made: space first, then time, then the sum.
     """
-    over_space = sigma.join(F.broadcast(spatial), F.col("ipos") == F.col("j")).groupBy("itime", "i").agg(F.sum(F.col("corr") * F.col("sigma")).alias("s"))
-    over_time = over_space.select(F.col("itime").alias("k"), F.col("i").alias("ipos"), "s").join(F.broadcast(temporal), F.col("k") == F.col("j")).groupBy(F.col("i").alias("itime"), "ipos").agg(F.sum(F.col("corr") * F.col("s")).alias("s"))
-    return over_time.join(sigma, ["itime", "ipos"]).agg(F.sqrt(F.sum(F.col("sigma") * F.col("s"))).alias("total"))
+    over_space = sigma.join(spatial, F.col("ipos") == F.col("j")).groupBy(*by, "itime", "i").agg(F.sum(F.col("corr") * F.col("sigma")).alias("s"))
+    over_time = over_space.select(*by, F.col("itime").alias("k"), F.col("i").alias("ipos"), "s").join(temporal, F.col("k") == F.col("j")).groupBy(*by, F.col("i").alias("itime"), "ipos").agg(F.sum(F.col("corr") * F.col("s")).alias("s"))
+    return over_time.join(sigma, [*by, "itime", "ipos"]).groupBy(*by).agg(F.sqrt(F.sum(F.col("sigma") * F.col("s"))).alias("total"))
 
 
 def prior_errors(flux: DataFrame) -> DataFrame:
     return flux.withColumn("sigma", F.abs("flux"))
 
 
-def scaled_errors(sigma: DataFrame, total: DataFrame, target: float, times: DataFrame) -> DataFrame:
-    """Errors scaled so that their total is a target per year over the period of the steps (itime, dt in seconds)."""
+def scaled_errors(sigma: DataFrame, total: DataFrame, target: float, times: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Errors scaled so that their total (one row, or one for each value of `by`) is a target per year over the period of the steps (itime, dt in seconds)."""
     years = times.select("itime", "dt").distinct().agg((F.sum("dt") / F.lit(365.25 * 86400)).alias("years"))
-    factor = total.crossJoin(F.broadcast(years)).select((F.lit(target) / F.col("total") * F.col("years")).alias("scale"))
-    return sigma.crossJoin(F.broadcast(factor)).withColumn("sigma", F.col("sigma") * F.col("scale"))
+    factor = total.crossJoin(F.broadcast(years)).select(*by, (F.lit(target) / F.col("total") * F.col("years")).alias("scale"))
+    met = sigma.join(factor, list(by)) if by else sigma.crossJoin(F.broadcast(factor))
+    return met.withColumn("sigma", F.col("sigma") * F.col("scale"))
 
 
 # --- the state's own size: arrays on the driver ---
 
 
+def distance_matrix(lat: np.ndarray, lon: np.ndarray, stretch: float = 1.0) -> np.ndarray:
+    """Kilometres between all positions."""
+    lat, lon = np.radians(lat), np.radians(lon)
+    half_lat, half_lon = (np.sin(np.subtract.outer(x, x) * s / 2) for x, s in ((lat, 1.0), (lon, stretch)))
+    inner = half_lat**2 + np.multiply.outer(np.cos(lat), np.cos(lat)) * half_lon**2
+    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(inner, 1.0)))
+
+
 def digest(matrix: np.ndarray) -> str:
     """Under which a decomposition can be kept."""
     return hashlib.md5(np.ascontiguousarray(matrix, "<f8").tobytes()).hexdigest()  # noqa: S324

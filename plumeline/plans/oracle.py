@@ -32,7 +32,8 @@ rolled AS (SELECT *, sum(obs * w) OVER k / sum(w) OVER k AS obs_rolling, sum(mix
 resid AS (SELECT *, obs - obs_rolling AS ro, mix_apri - mod_rolling AS rm FROM rolled)"""
 
 
-YEARLY = "CAST(1995 + floor(itim / CAST(12 AS DOUBLE)) AS INT)"
+YEARS = "(SELECT itim, CAST(year(t0) AS INT) AS year, CAST(month(t0) AS INT) AS month FROM fx_time) y"
+CO2_CH4 = "flux * CASE tracer WHEN 'co2' THEN 1e-6 / (1e15 / CAST(12.011 AS DOUBLE)) ELSE 1e-9 / (1e12 / CAST(16.04 AS DOUBLE)) END * area * dt"
 DENSE = f"""dense AS (SELECT c.tracer, c.category, t.itim, l.ilat, l.ilon, coalesce(x.flux, 0) AS flux FROM (SELECT DISTINCT tracer, category FROM fx_flux) c CROSS JOIN fx_time t
   CROSS JOIN fx_cell l LEFT JOIN fx_flux x ON x.tracer = c.tracer AND x.category = c.category AND x.itim = t.itim AND x.ilat = l.ilat AND x.ilon = l.ilon)"""
 META = f"SELECT tracer, meta AS category, itim, ilat, ilon, sum(coeff * flux) AS flux FROM fx_flux JOIN fx_metacat_terms USING (category) GROUP BY 1, 2, 3, 4, 5"
@@ -72,12 +73,12 @@ def distances(points: str, on: str = "a.ipos <= b.ipos") -> str:
 
 
 CORRELATIONS = {"g": "exp(-(distance / 500) * (distance / 500))", "e": "exp(-distance / 500)", "h": "1 / (1 + distance / 500)"}
-SIGMA = f"""{STATE}, {POINTS.removeprefix(MEMBERS + ', ')}, sigma AS (SELECT itime, ipos, abs(state) / 1000 AS sigma FROM state WHERE tracer = 'co2' AND category = 'biosphere'),
+SIGMA = f"""{STATE}, {POINTS.removeprefix(MEMBERS + ', ')}, sigma AS (SELECT tracer, category, itime, ipos, abs(state) / 1000 AS sigma FROM state),
 dist AS ({distances('points', 'a.ipos >= 0')}), spatial AS (SELECT i, j, exp(-distance / 500) AS corr FROM dist WHERE exp(-distance / 500) >= 1e-7),
 temporal AS (SELECT a.i, b.i AS j, exp(-abs(a.i - b.i) * CAST(91 AS DOUBLE) / 60) AS corr FROM opt_axis a CROSS JOIN opt_axis b),
-over_space AS (SELECT itime, s.i AS ipos, sum(corr * sigma) AS s FROM sigma g JOIN spatial s ON s.j = g.ipos GROUP BY 1, 2),
-over_time AS (SELECT t.i AS itime, ipos, sum(corr * s) AS s FROM over_space o JOIN temporal t ON t.j = o.itime GROUP BY 1, 2),
-total_ AS (SELECT sqrt(sum(g.sigma * o.s)) AS total FROM over_time o JOIN sigma g ON g.itime = o.itime AND g.ipos = o.ipos)"""
+over_space AS (SELECT tracer, category, itime, s.i AS ipos, sum(corr * sigma) AS s FROM sigma g JOIN spatial s ON s.j = g.ipos GROUP BY 1, 2, 3, 4),
+over_time AS (SELECT tracer, category, t.i AS itime, ipos, sum(corr * s) AS s FROM over_space o JOIN temporal t ON t.j = o.itime GROUP BY 1, 2, 3, 4),
+total_ AS (SELECT tracer, category, sqrt(sum(g.sigma * o.s)) AS total FROM over_time o JOIN sigma g USING (tracer, category, itime, ipos) GROUP BY 1, 2)"""
 SCALED = "scaled AS (SELECT obsid, mix_background - obs AS mismatch, CASE WHEN err_obs <= 0 THEN CAST(2 AS DOUBLE) ELSE err_obs END AS sigma FROM fx_obs WHERE mix_background IS NOT NULL)"
 BRACKETS = """levels AS (SELECT height, value, lead(height) OVER (ORDER BY height) AS h2, lead(value) OVER (ORDER BY height) AS v2, row_number() OVER (ORDER BY height) AS k FROM fx_conc),
 at_ends AS (SELECT e.particle, e.obsid, CASE WHEN e.height < l.height OR l.h2 IS NULL THEN l.value ELSE l.value + (l.v2 - l.value) * (e.height - l.height) / (l.h2 - l.height) END AS background
@@ -114,22 +115,22 @@ ORACLE: dict[str, str] = {
     "obs_missing_footprint": "SELECT o.obsid, f.obsid AS footprint FROM fx_obs o LEFT JOIN (SELECT DISTINCT obsid FROM fx_footprint WHERE itim % 2 = 0) f ON f.obsid = o.obsid",
     "obs_background_merge": "SELECT obsid, CASE WHEN obsid % 4 = 0 THEN obs * 2 ELSE mix_background END AS mix_background FROM fx_obs",
     "obs_rename": "SELECT obsid, err_obs, err_obs AS err, obs, obs AS value FROM fx_obs",
-    "valid_prune_sites": "SELECT site, code, name FROM fx_sites WHERE site IN (SELECT site FROM fx_obs WHERE obsid % 50 = 1 AND mix_background IS NOT NULL)",
+    "valid_prune_sites": "SELECT site, code, name FROM fx_sites WHERE site IN (SELECT site FROM fx_obs WHERE err_obs > 0 AND mix_background IS NOT NULL)",
     "fp_file_counts": f"SELECT {FILE} AS footprint, count(*) AS n FROM fx_obs GROUP BY 1",
-    "flux_resample_sum": f"SELECT tracer, category, {YEARLY} AS year, ilat, ilon, {rd('sum(flux)', 'flux')} FROM fx_flux GROUP BY 1, 2, 3, 4, 5",
-    "flux_resample_mean": f"SELECT tracer, category, {YEARLY} AS year, ilat, ilon, {rd('avg(flux)', 'flux', 8)} FROM fx_flux GROUP BY 1, 2, 3, 4, 5",
-    "flux_upsample_ffill": f"""WITH quarterly AS (SELECT * FROM fx_flux WHERE itim % 3 = 0), axes AS (SELECT s.*, t.itim FROM (SELECT DISTINCT tracer, category, ilat, ilon FROM quarterly) s CROSS JOIN fx_time t),
+    "flux_resample_sum": f"SELECT tracer, category, year, ilat, ilon, {rd('sum(flux)', 'flux')} FROM fx_flux JOIN {YEARS} USING (itim) GROUP BY 1, 2, 3, 4, 5",
+    "flux_resample_mean": f"SELECT tracer, category, year, ilat, ilon, {rd('avg(flux)', 'flux', 8)} FROM fx_flux JOIN {YEARS} USING (itim) GROUP BY 1, 2, 3, 4, 5",
+    "flux_upsample_ffill": f"""WITH quarterly AS (SELECT tracer, category, CAST(floor(itim / CAST(3 AS DOUBLE)) * 3 AS INT) AS itim, ilat, ilon, sum(flux) AS flux FROM fx_flux GROUP BY 1, 2, 3, 4, 5), axes AS (SELECT s.*, t.itim FROM (SELECT DISTINCT tracer, category, ilat, ilon FROM quarterly) s CROSS JOIN fx_time t),
         joined AS (SELECT a.*, q.flux FROM axes a LEFT JOIN quarterly q ON q.tracer = a.tracer AND q.category = a.category AND q.ilat = a.ilat AND q.ilon = a.ilon AND q.itim = a.itim)
         SELECT {KEY}, {rd('coalesce(last_value(flux IGNORE NULLS) OVER (PARTITION BY tracer, category, ilat, ilon ORDER BY itim ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)', 'flux')} FROM joined""",
     "flux_fill_dense": f"WITH {DENSE} SELECT {KEY}, {rd('flux', 'flux')} FROM dense",
-    "flux_budget_rollup": f"SELECT tracer, category, year, month, {rd('sum(flux)', 'total', 5)} FROM (SELECT *, {YEARLY} AS year, CAST(itim % 12 + 1 AS INT) AS month FROM fx_flux) t GROUP BY ROLLUP (tracer, category, year, month)",
+    "flux_budget_rollup": f"SELECT tracer, category, year, month, {rd('sum(flux)', 'total', 5)} FROM fx_flux JOIN {YEARS} USING (itim) GROUP BY ROLLUP (tracer, category, year, month)",
     "flux_metacat": f"SELECT {KEY}, {rd('flux', 'flux', 6)} FROM ({META}) t",
     "flux_resolve_metacats": f"""WITH places AS (SELECT tracer, itim, ilat, ilon, sum(flux) AS everything, sum(CASE category WHEN 'fossil' THEN flux WHEN 'biosphere' THEN -flux / 2 END) AS less FROM fx_flux GROUP BY 1, 2, 3, 4),
         every_ AS (SELECT category, flux FROM fx_flux UNION ALL SELECT '_all', everything FROM places UNION ALL SELECT '_less', less FROM places WHERE less IS NOT NULL)
         SELECT category, count(*) AS n, {rd('sum(flux)', 'total', 2)} FROM every_ GROUP BY 1""",
     "flux_to_extensive": f"SELECT {KEY}, {rd('flux * area * dt / 1e15', 'flux', 3)} FROM fx_flux JOIN fx_cell USING (ilat, ilon) JOIN fx_time USING (itim)",
     "flux_to_intensive": f"SELECT {KEY}, {rd('flux / area / dt * 1e18', 'flux', 4)} FROM fx_flux JOIN fx_cell USING (ilat, ilon) JOIN fx_time USING (itim)",
-    "flux_in_unit": f"SELECT {KEY}, {rd('flux * (1e-6 / (1e15 / CAST(12.011 AS DOUBLE))) * area * dt', 'flux', 7)} FROM fx_flux JOIN fx_cell USING (ilat, ilon) JOIN fx_time USING (itim) WHERE tracer = 'co2'",
+    "flux_in_unit": f"SELECT {KEY}, {rd(CO2_CH4, 'flux', 7)} FROM fx_flux JOIN fx_cell USING (ilat, ilon) JOIN fx_time USING (itim)",
     "flux_half_open": f"SELECT {KEY}, {rd('flux', 'flux')} FROM fx_flux WHERE itim >= 12 AND itim < 24",
     "flux_add_category": f"""SELECT tracer, category, count(*) AS n, {rd('sum(flux)', 'total', 3)} FROM (SELECT tracer, category, flux FROM fx_flux
         UNION ALL SELECT tracer, 'ocean', CAST(3 AS DOUBLE) / 2 FROM (SELECT DISTINCT tracer, itim, ilat, ilon FROM fx_flux) p) t GROUP BY 1, 2""",
@@ -140,13 +141,13 @@ ORACLE: dict[str, str] = {
     "grid_overlap_lat": f"WITH {regrid(10, 4, 12.5, 4)} SELECT i, j, {rd('frac', 'frac', 9)} FROM by_lat",
     "grid_overlap_lon": f"WITH {regrid(10, 4, 12.5, 4)} SELECT i, j, {rd('frac', 'frac', 9)} FROM by_lon",
     "grid_coarsen": f"WITH {regrid(10, 4, 12.5, 4)} SELECT {KEY}, {rd('flux', 'flux', 6)} FROM ({REGRIDDED.format(source='fx_flux')}) t",
-    "grid_refine": f"WITH {regrid(2.5, 16, 2.5, 20)} SELECT {KEY}, {rd('flux', 'flux', 7)} FROM ({REGRIDDED.format(source='(SELECT * FROM fx_flux WHERE itim < 12)')}) t",
+    "grid_refine": f"WITH {regrid(2.5, 16, 2.5, 20)} SELECT {KEY}, {rd('flux', 'flux', 7)} FROM ({REGRIDDED.format(source='fx_flux')}) t",
     "grid_to_quantity": f"SELECT {KEY}, {rd('flux * area / 1e9', 'flux', 3)} FROM fx_flux JOIN fx_cell USING (ilat, ilon)",
     "grid_crop": f"SELECT tracer, category, itim, ilat - 1 AS ilat, ilon - 2 AS ilon, {rd('flux', 'flux')} FROM fx_flux WHERE ilat BETWEEN 1 AND 5 AND ilon BETWEEN 2 AND 7",
     "grid_pad": f"""WITH lat AS (SELECT CAST(k AS INT) AS ilat FROM (SELECT unnest(range(11)) AS k) t), lon AS (SELECT CAST(k AS INT) AS ilon FROM (SELECT unnest(range(13)) AS k) t),
-        month_ AS (SELECT tracer, category, itim, ilat + 1 AS ilat, ilon, flux FROM fx_flux WHERE itim = 5)
-        SELECT c.tracer, c.category, c.itim, y.ilat, x.ilon, {rd('coalesce(m.flux, -1)', 'flux')} FROM (SELECT DISTINCT tracer, category, itim FROM month_) c CROSS JOIN lat y CROSS JOIN lon x
-        LEFT JOIN month_ m ON m.tracer = c.tracer AND m.category = c.category AND m.ilat = y.ilat AND m.ilon = x.ilon""",
+        moved_ AS (SELECT tracer, category, itim, ilat + 1 AS ilat, ilon, flux FROM fx_flux)
+        SELECT c.tracer, c.category, c.itim, y.ilat, x.ilon, {rd('coalesce(m.flux, -1)', 'flux')} FROM (SELECT DISTINCT tracer, category, itim FROM moved_) c CROSS JOIN lat y CROSS JOIN lon x
+        LEFT JOIN moved_ m ON m.tracer = c.tracer AND m.category = c.category AND m.itim = c.itim AND m.ilat = y.ilat AND m.ilon = x.ilon""",
     "grid_land_mask": f"""WITH {regrid(10, 4, 12.5, 4)} SELECT y.j AS ilat, z.j AS ilon, {rd('sum(land_fraction * area * y.frac * z.frac) / sum(area * y.frac * z.frac)', 'land_fraction', 9)}
         FROM fx_cell x JOIN by_lat y ON y.i = x.ilat JOIN by_lon z ON z.i = x.ilon GROUP BY 1, 2""",
     "map_temporal_overlap": f"WITH {TIMES} SELECT itim_opt, itim_mod, {rd('frac', 'frac', 9)} FROM tmap",
@@ -166,8 +167,8 @@ ORACLE: dict[str, str] = {
     **{f"prior_corr_{k}": f"WITH {POINTS} SELECT i, j, {rd('corr', 'corr', 9)} FROM (SELECT i, j, {f} AS corr FROM ({distances('points', 'a.ipos >= 0')}) t) u WHERE corr >= 1e-7" for k, f in CORRELATIONS.items()},
     "prior_temporal_corr": f"WITH {TIMES} SELECT a.i, b.i AS j, {rd('exp(-abs(a.i - b.i) * CAST(91 AS DOUBLE) / 60)', 'corr', 9)} FROM opt_axis a CROSS JOIN opt_axis b",
     "prior_errors": f"SELECT {KEY}, {rd('abs(flux)', 'sigma')} FROM fx_flux",
-    "prior_total_uncertainty": f"WITH {SIGMA} SELECT {rd('total', 'total', 5)} FROM total_",
-    "prior_scale": f"WITH {SIGMA}, years AS (SELECT sum((t1 - t0) * 86400) / (CAST(1461 AS DOUBLE) / 4 * 86400) AS years FROM (SELECT DISTINCT i, t0, t1 FROM opt_axis) t) SELECT itime, ipos, {rd('sigma * (5 / total * years)', 'sigma', 8)} FROM sigma CROSS JOIN total_ CROSS JOIN years",
+    "prior_total_uncertainty": f"WITH {SIGMA} SELECT tracer, category, {rd('total', 'total', 5)} FROM total_",
+    "prior_scale": f"WITH {SIGMA}, years AS (SELECT sum((t1 - t0) * 86400) / (CAST(1461 AS DOUBLE) / 4 * 86400) AS years FROM (SELECT DISTINCT i, t0, t1 FROM opt_axis) t) SELECT tracer, category, itime, ipos, {rd('sigma * (5 / total * years)', 'sigma', 8)} FROM sigma JOIN total_ USING (tracer, category) CROSS JOIN years",
     "cost_function": f"WITH {SCALED} SELECT {rd('sum(mismatch / sigma * (mismatch / sigma)) / 2', 'j_obs', 1)}, count(*) AS n_obs FROM scaled",
     "state_cost": f"WITH {SIGMA} SELECT {rd('sum(sigma * sigma) / 2', 'j_bg', 4)} FROM sigma",
     "gradient_norm": f"WITH {ADJOINT} SELECT {rd('sqrt(sum(adj * adj))', 'norm', 3)} FROM adjoint",
@@ -178,8 +179,8 @@ ORACLE: dict[str, str] = {
     "fp_release_fold": f"""WITH ends AS (SELECT *, max(itim) OVER (PARTITION BY obsid) AS last FROM fx_footprint)
         SELECT obsid, CASE WHEN obsid % 2 = 0 AND itim = last THEN itim - 1 ELSE itim END AS itim, ilat, ilon, {rd('sum(sensi)', 'sensi', 5)} FROM ends GROUP BY 1, 2, 3, 4""",
     "fp_unit_fix": f"SELECT obsid, itim, ilat, ilon, {rd('CASE WHEN obsid % 3 = 0 THEN sensi * CAST(0.0002897 AS DOUBLE) ELSE sensi END', 'sensi', 9)} FROM fx_footprint",
-    "fp_dense_to_coo": f"SELECT obsid, ilat, ilon, {rd('sum(sensi)', 'sensi', 5)} FROM fx_footprint WHERE itim % 2 = 0 GROUP BY 1, 2, 3 HAVING sum(sensi) <> 0",
-    "fp_compressed_to_coo": f"SELECT obsid, CAST(1 - dense_rank() OVER (PARTITION BY obsid ORDER BY itim) AS INT) AS itim, CAST(ilon AS DOUBLE) AS lon, CAST(ilat AS DOUBLE) AS lat, {rd('sensi', 'sensi', 5)} FROM fx_footprint WHERE obsid % 7 = 0",
+    "fp_dense_to_coo": f"SELECT obsid, ilat, ilon, {rd('sum(sensi)', 'sensi', 5)} FROM fx_footprint GROUP BY 1, 2, 3 HAVING sum(sensi) <> 0",
+    "fp_compressed_to_coo": f"SELECT obsid, CAST(1 - dense_rank() OVER (PARTITION BY obsid ORDER BY itim) AS INT) AS itim, CAST(ilon AS DOUBLE) AS lon, CAST(ilat AS DOUBLE) AS lat, {rd('sensi', 'sensi', 5)} FROM fx_footprint",
     "fp_clip": """SELECT obsid, itim, CAST(floor((CAST(71 AS DOUBLE) / 2 + 5 * ilat - 40) / (CAST(5 AS DOUBLE) / 2)) AS INT) AS jlat, CAST(floor((5 * ilon - CAST(25 AS DOUBLE) / 2) / (CAST(5 AS DOUBLE) / 2)) AS INT) AS jlon
         FROM fx_footprint WHERE CAST(71 AS DOUBLE) / 2 + 5 * ilat BETWEEN 40 AND 60 AND 5 * ilon - CAST(25 AS DOUBLE) / 2 BETWEEN 0 AND 30""",
     "fp_misaligned": "SELECT count(*) AS n, sum(CASE WHEN itim BETWEEN 0 AND 59 AND ilat BETWEEN 0 AND 7 AND ilon BETWEEN 0 AND 8 THEN 0 ELSE 1 END)::BIGINT AS n_outside FROM fx_footprint",
@@ -187,9 +188,15 @@ ORACLE: dict[str, str] = {
     "bg_interp_height": f"WITH {BRACKETS} SELECT particle, {rd('background', 'background')} FROM at_ends",
     "bg_mean": f"WITH {BRACKETS} SELECT obsid, {rd('avg(background)', 'mix_background')} FROM at_ends GROUP BY 1",
     "bg_mid_height": "SELECT ilev, (height + lead(height) OVER (ORDER BY ilev)) / 2 AS mid, height - first_value(height) OVER (ORDER BY ilev) AS height_above_ground FROM fx_conc",
-    "bg_multilinear": f"""WITH p AS (SELECT particle AS point, (lat - CAST(71 AS DOUBLE) / 2) / 5 AS y, (lon + CAST(25 AS DOUBLE) / 2) / 5 AS x FROM fx_endpoints WHERE lon BETWEEN -10 AND 25 AND lat BETWEEN 38 AND 65)
+    "bg_multilinear": f"""WITH p AS (SELECT particle AS point, least(greatest((lat - CAST(71 AS DOUBLE) / 2) / 5, 0), 7) AS y, least(greatest((lon + CAST(25 AS DOUBLE) / 2) / 5, 0), 9) AS x FROM fx_endpoints)
         SELECT point, {rd('sum((1 - abs(y - ilat)) * (1 - abs(x - ilon)) * land_fraction)', 'value')} FROM p JOIN fx_cell ON abs(y - ilat) < 1 AND abs(x - ilon) < 1 GROUP BY 1""",
     "union_vectors": f"WITH {STATE} SELECT tracer, category, count(*) AS n FROM state WHERE tracer IN ('co2', 'ch4') GROUP BY 1, 2",
+    "opt_anchor": """WITH p AS (SELECT CAST(min(time) AS DATE) AS a, CAST(max(time) AS DATE) AS b FROM fx_obs), q AS (SELECT a, b, make_date(year(a), 1, 1) AS january FROM p),
+        s AS (SELECT b, january + CAST(7 * ceil((a - january) / CAST(7 AS DOUBLE)) AS INT) AS first FROM q), n AS (SELECT *, unnest(range(CAST(floor((b - first) / CAST(7 AS DOUBLE)) AS BIGINT))) AS k FROM s)
+        SELECT k AS itime, strftime(first + CAST(7 * k AS INT), '%Y-%m-%d') AS t0, strftime(first + CAST(7 * k + 7 AS INT), '%Y-%m-%d') AS t1 FROM n""",
+    "spin_axis": """WITH p AS (SELECT CAST(CAST(min(time) AS DATE) - INTERVAL 1 MONTH AS DATE) AS a, CAST(CAST(max(time) AS DATE) + INTERVAL 1 MONTH AS DATE) AS b FROM fx_obs), n AS (SELECT a, unnest(range(b - a)) AS k FROM p)
+        SELECT k AS itim, strftime(a + CAST(k AS INT), '%Y-%m-%d') AS day FROM n""",
+    "endpoints_time": "SELECT particle, obsid, strftime(TIMESTAMP '1995-01-01 06:00:00' + to_seconds(particle * 60), '%Y-%m-%d %H:%M:%S') AS time FROM fx_endpoints",
     "time_axis": """SELECT CAST(k AS BIGINT) AS itim, strftime(make_date(1995 + CAST(floor(k / CAST(12 AS DOUBLE)) AS INT), CAST(k % 12 + 1 AS INT), 1), '%Y-%m-%d') AS day,
         CASE WHEN k = 12 THEN CAST(19 AS DOUBLE) ELSE CAST(day(last_day(make_date(1995, CAST(k % 12 + 1 AS INT), 1))) AS DOUBLE) END * 86400 AS dt FROM (SELECT unnest(range(13)) AS k) t""",
     "portal_sanitize": r"""SELECT site, regexp_replace(name || ' [x]''"{é} 1.5' || region, '[^\x2D-\x7A]|[\[\]]', '', 'g') AS text FROM fx_sites""",

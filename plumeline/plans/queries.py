@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumeline.functions import text, units
 from plumeline.functions.expressions import terms_table
-from plumeline.functions.timeaxis import axis, step
+from plumeline.functions.timeaxis import anchored, axis, spun, step
 from plumeline.operators import background, clusters, flux, footprints, grid, mapping, observations, prior, solver, transport
 from plumeline.plans import inversion
 from plumeline.sources.fixtures import view
@@ -22,6 +22,7 @@ CELLS = grid.Grid.of(lon0=-15, dlon=5, nlon=10, lat0=33, dlat=5, nlat=8)
 COARSE = grid.Grid.of(lon0=-15, dlon=12.5, nlon=4, lat0=33, dlat=10, nlat=4)
 FINE = grid.Grid.of(lon0=-15, dlon=2.5, nlon=20, lat0=33, dlat=2.5, nlat=16)
 CUBE = ["tracer", "category", "itim"]
+CATEGORY = ("tracer", "category")
 
 
 class Views:
@@ -189,7 +190,7 @@ def obs_rename(v: Views) -> DataFrame:
 
 @query
 def valid_prune_sites(v: Views) -> DataFrame:
-    kept = v.obs.filter("obsid % 50 = 1").dropna(subset=["mix_background"])
+    kept = v.obs.filter("err_obs > 0").dropna(subset=["mix_background"])
     return observations.sites_with_observations(v.sites, kept).select("site", "code", "name")
 
 
@@ -201,23 +202,23 @@ def fp_file_counts(v: Views) -> DataFrame:
 # --- fluxes ---
 
 
-def by_year(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("year", (1995 + F.floor(F.col("itim") / 12)).cast("int"))
+def by_year(v: Views) -> DataFrame:
+    return v.flux.join(v.time.select("itim", F.year("t0").alias("year")), "itim")
 
 
 @query
 def flux_resample_sum(v: Views) -> DataFrame:
-    return flux.resampled(by_year(v.flux), "year").select("tracer", "category", "year", "ilat", "ilon", r("flux", 6))
+    return flux.resampled(by_year(v), "year").select("tracer", "category", "year", "ilat", "ilon", r("flux", 6))
 
 
 @query
 def flux_resample_mean(v: Views) -> DataFrame:
-    return flux.resampled(by_year(v.flux), "year", "avg").select("tracer", "category", "year", "ilat", "ilon", r("flux", 8))
+    return flux.resampled(by_year(v), "year", "avg").select("tracer", "category", "year", "ilat", "ilon", r("flux", 8))
 
 
 @query
 def flux_upsample_ffill(v: Views) -> DataFrame:
-    quarterly = v.flux.filter("itim % 3 = 0")
+    quarterly = flux.resampled(v.flux.withColumn("quarter", (F.floor(F.col("itim") / 3) * 3).cast("int")), "quarter").withColumnRenamed("quarter", "itim")
     return flux.upsampled(quarterly, v.time).select(*flux.KEY, r("flux", 6))
 
 
@@ -228,7 +229,7 @@ def flux_fill_dense(v: Views) -> DataFrame:
 
 @query
 def flux_budget_rollup(v: Views) -> DataFrame:
-    return flux.budget(v.flux).select("tracer", "category", "year", "month", r("total", 5))
+    return flux.budget(v.flux, v.time).select("tracer", "category", "year", "month", r("total", 5))
 
 
 @query
@@ -254,8 +255,8 @@ def flux_to_intensive(v: Views) -> DataFrame:
 
 @query
 def flux_in_unit(v: Views) -> DataFrame:
-    own = units.species("co2")
-    return flux.in_unit(v.flux.filter("tracer = 'co2'"), v.cell, v.time, own["emission"], own["budget"]).select(*flux.KEY, r("flux", 7))
+    each = [flux.in_unit(v.flux.filter(F.col("tracer") == name), v.cell, v.time, units.species(name)["emission"], units.species(name)["budget"]) for name in ("co2", "ch4")]
+    return each[0].unionByName(each[1]).select(*flux.KEY, r("flux", 7))
 
 
 @query
@@ -309,8 +310,7 @@ def grid_coarsen(v: Views) -> DataFrame:
 
 @query
 def grid_refine(v: Views) -> DataFrame:
-    year = v.flux.filter("itim < 12")
-    return grid.regrid(year, CELLS, FINE, CUBE).select(*CUBE, "ilat", "ilon", r("flux", 7))
+    return grid.regrid(v.flux, CELLS, FINE, CUBE).select(*CUBE, "ilat", "ilon", r("flux", 7))
 
 
 @query
@@ -325,8 +325,7 @@ def grid_crop(v: Views) -> DataFrame:
 
 @query
 def grid_pad(v: Views) -> DataFrame:
-    month = v.flux.filter("itim = 5")
-    return grid.padded(month, 1, 2, 0, 3, 8, 10, CUBE, padding=-1.0).select(*CUBE, "ilat", "ilon", r("flux", 6))
+    return grid.padded(v.flux, 1, 2, 0, 3, 8, 10, CUBE, padding=-1.0).select(*CUBE, "ilat", "ilon", r("flux", 6))
 
 
 @query
@@ -440,9 +439,8 @@ def positions(v: Views) -> DataFrame:
 
 
 def sigma_rows(v: Views) -> DataFrame:
-    """Errors of one category at all steps and positions."""
-    rows = coarse_state(v).filter("tracer = 'co2' and category = 'biosphere'")
-    return rows.select("itime", "ipos", (F.abs("state") / 1000).alias("sigma"))
+    """Errors of all categories at all steps and positions."""
+    return coarse_state(v).select(*CATEGORY, "itime", "ipos", (F.abs("state") / 1000).alias("sigma"))
 
 
 def steps(v: Views) -> DataFrame:
@@ -479,19 +477,19 @@ def prior_errors(v: Views) -> DataFrame:
 
 def total_sigma(v: Views) -> DataFrame:
     spatial = prior.mirrored(prior.spatial_correlations(prior.distances(positions(v)), "e", 500.0), "corr")
-    return prior.total_uncertainty(sigma_rows(v), prior.temporal_correlations(steps(v), 91.0, 60.0), spatial)
+    return prior.total_uncertainty(sigma_rows(v), prior.temporal_correlations(steps(v), 91.0, 60.0), spatial, CATEGORY)
 
 
 @query
 def prior_total_uncertainty(v: Views) -> DataFrame:
-    return total_sigma(v).select(r("total", 5))
+    return total_sigma(v).select(*CATEGORY, r("total", 5))
 
 
 @query
 def prior_scale(v: Views) -> DataFrame:
     times = opt_axis(v).select(F.col("i").alias("itime"), ((F.col("t1") - F.col("t0")) * 86400).alias("dt"))
-    rows = prior.scaled_errors(sigma_rows(v), total_sigma(v), 5.0, times)
-    return rows.select("itime", "ipos", r("sigma", 8))
+    rows = prior.scaled_errors(sigma_rows(v), total_sigma(v), 5.0, times, CATEGORY)
+    return rows.select(*CATEGORY, "itime", "ipos", r("sigma", 8))
 
 
 def roots(v: Views) -> tuple[np.ndarray, np.ndarray]:
@@ -508,13 +506,13 @@ def roots(v: Views) -> tuple[np.ndarray, np.ndarray]:
 
 @query
 def precond_apply(v: Views) -> DataFrame:
-    """Of a vector of ones, and of an embedding's numbers as the state."""
+    """Of the state of every category."""
     in_time, in_space = roots(v)
-    vectors = v.spark.read.parquet(f"{v.sf_dir}/embeddings.parquet").orderBy("vec_id").limit(len(in_time)).collect()
-    column = next(c for c in vectors[0].asDict() if c != "vec_id" and isinstance(vectors[0][c], list))
-    w = np.array([[x[column][k % len(x[column])] for k in range(len(in_space))] for x in vectors])
-    state = prior.precondition(w, np.ones(w.shape), in_time, in_space)
-    return v.spark.createDataFrame([(int(t), int(p), float(x)) for (t, p), x in np.ndenumerate(state)], "itime int, ipos int, x double")
+    states: dict[tuple, np.ndarray] = {}
+    for x in coarse_state(v).collect():
+        states.setdefault((x["tracer"], x["category"]), np.zeros((len(in_time), len(in_space))))[x["itime"], x["ipos"]] = x["state"]
+    made = {k: prior.precondition(w, np.ones(w.shape), in_time, in_space) for k, w in states.items()}
+    return v.spark.createDataFrame([(*k, int(t), int(p), float(x)) for k, state in made.items() for (t, p), x in np.ndenumerate(state)], "tracer string, category string, itime int, ipos int, x double")
 
 
 # --- costs and minimisers ---
@@ -548,10 +546,8 @@ def chi2(v: Views) -> DataFrame:
 def lanczos_posterior(v: Views) -> DataFrame:
     """Posterior errors of a state of quarters and clusters, seen by the footprints of all observations."""
     obs = v.obs.filter("mix_background is not null")
-    weights = tmap(v).join(F.broadcast(mapping.clusters_of(members(v))).withColumnRenamed("frac", "part"))
-    weights = weights.select(F.col("itim_mod").alias("itim"), F.floor(F.col("icell") / 10).cast("int").alias("ilat"), (F.col("icell") % 10).alias("ilon"), F.col("itim_opt").alias("itime"), "ipos", (F.col("frac") * F.col("part")).alias("w"))
     in_time, in_space = roots(v)
-    sensitivity = inversion.state_sensitivity(obs, v.footprint, weights).persist()
+    sensitivity = inversion.state_sensitivity(obs, v.footprint, tmap(v), mapping.clusters_of(members(v)), 10).persist()
     rows = observations.floor_errors(obs, observations.ErrorSettings(err_min=2.0)).select("obsid", (F.col("mix_background") - F.col("obs")).alias("mismatch"), F.col("err_obs").alias("sigma")).persist()
     problem = inversion.Inversion(inversion.Control(np.full((len(in_time), len(in_space)), 50.0), in_time, in_space), rows, sensitivity)
     found = problem.solve(iterations=6)
@@ -585,7 +581,7 @@ def fp_unit_fix(v: Views) -> DataFrame:
 
 @query
 def fp_dense_to_coo(v: Views) -> DataFrame:
-    columns = [F.sum(F.when((F.col("ilon") == k) & (F.col("itim") % 2 == 0), F.col("sensi")).otherwise(0.0)) for k in range(10)]
+    columns = [F.sum(F.when(F.col("ilon") == k, F.col("sensi")).otherwise(0.0)) for k in range(10)]
     dense = v.footprint.groupBy("obsid", "ilat").agg(F.array(*columns).alias("values"))
     return footprints.dense_to_rows(dense).select("obsid", "ilat", F.col("ilon").cast("int").alias("ilon"), r("sensi", 5))
 
@@ -593,7 +589,7 @@ def fp_dense_to_coo(v: Views) -> DataFrame:
 @query
 def fp_compressed_to_coo(v: Views) -> DataFrame:
     """Footprints written as arrays of steps and read back."""
-    rows = v.footprint.filter("obsid % 7 = 0").groupBy("obsid").agg(F.array_sort(F.collect_list(F.struct("itim", "ilat", "ilon", "sensi"))).alias("a"))
+    rows = v.footprint.groupBy("obsid").agg(F.array_sort(F.collect_list(F.struct("itim", "ilat", "ilon", "sensi"))).alias("a"))
     first = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda k: (k == 0) | (F.element_at("a", k + 1)["itim"] != F.element_at("a", F.greatest(k, F.lit(1)))["itim"]))
     field = lambda c: F.transform("a", lambda x: x[c].cast("double"))
     packed = rows.select("obsid", F.concat(first, F.array(F.size("a"))).alias("indptr"), field("ilon").alias("lon"), field("ilat").alias("lat"), field("sensi").alias("val"))
@@ -639,9 +635,9 @@ def bg_mid_height(v: Views) -> DataFrame:
 
 @query
 def bg_multilinear(v: Views) -> DataFrame:
-    """The land fraction of cell centres between them, at the end points in the domain's middle."""
+    """The land fraction of cell centres between them, at all end points."""
     cells = v.cell
-    points = v.endpoints.filter("lon between -10 and 25 and lat between 38 and 65").select(F.col("particle").alias("point"), "lat", "lon")
+    points = v.endpoints.select(F.col("particle").alias("point"), "lat", "lon")
     axes = {"ilat": ("lat", cells.select(F.col("ilat").alias("index"), (F.col("lat_s") + 2.5).alias("position")).distinct()), "ilon": ("lon", cells.select(F.col("ilon").alias("index"), (F.col("lon_w") + 2.5).alias("position")).distinct())}
     return background.multilinear(points, cells.select("ilat", "ilon", F.col("land_fraction").alias("value")), axes).select("point", r("value", 6))
 
@@ -655,6 +651,29 @@ def union_vectors(v: Views) -> DataFrame:
     return rows[0].unionByName(rows[1]).groupBy("tracer", "category").agg(F.count("*").alias("n"))
 
 
+def period(v: Views) -> tuple[str, str]:
+    """The days of the first and the last observation."""
+    return tuple(observations.time_bounds(v.obs).select(*[F.date_format(c, "yyyy-MM-dd") for c in ("tmin", "tmax")]).first())
+
+
+@query
+def opt_anchor(v: Views) -> DataFrame:
+    """Weeks of optimisation that don't depend on when the observations begin."""
+    return anchored(v.spark, *period(v), step("7D")).select(F.col("itim").cast("long").alias("itime"), *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("t0", "t1")])
+
+
+@query
+def spin_axis(v: Views) -> DataFrame:
+    """Days of the model with a month before and after the observations."""
+    return axis(v.spark, *spun(*period(v), step("MS"), step("MS")), step("D")).select(F.col("itim").cast("long").alias("itim"), F.date_format("t0", "yyyy-MM-dd").alias("day"))
+
+
+@query
+def endpoints_time(v: Views) -> DataFrame:
+    rows = v.endpoints.select("particle", "obsid", (F.col("particle") * 60).alias("seconds"))
+    return background.endpoint_times(rows, "1995-01-01 06:00:00").select("particle", "obsid", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"))
+
+
 @query
 def time_axis(v: Views) -> DataFrame:
     return axis(v.spark, "1995-01-01", "1996-01-20", step("MS")).select(F.col("itim").cast("long").alias("itim"), F.date_format("t0", "yyyy-MM-dd").alias("day"), "dt")

@@ -9,11 +9,14 @@ from plumeline.operators.transport import CELL
 
 
 def modelled(stream: DataFrame, footprints: DataFrame, flux: DataFrame, late: str = "1 day") -> DataFrame:
-    """Contributions summed for each observation (obsid, time, tracer) of a stream; rows later than `late` are left out.
+    """Contributions summed for each observation (obsid, time, tracer) of a stream, late ones too: the join keeps no state.
 
-    What a footprint gives for each category is static, and is summed before the stream meets it.
+    The watermark of `late` on time is for aggregates that follow; those leave later rows out. Footprints bring their tracer,
+    or meet the fluxes of all tracers, categories added up; what a footprint gives is static, and summed before the stream meets it.
     """
-    static = footprints.join(flux.select("tracer", *CELL, "flux"), CELL).groupBy("obsid", "tracer").agg(F.sum(F.col("flux") * F.col("sensi")).alias("mix"))
+    keys = ["tracer", *CELL] if "tracer" in footprints.columns else CELL
+    cells = flux.groupBy("tracer", *CELL).agg(F.sum("flux").alias("flux"))
+    static = footprints.select("obsid", *keys, "sensi").join(cells, keys).groupBy("obsid", "tracer").agg(F.sum(F.col("flux") * F.col("sensi")).alias("mix"))
     return stream.withWatermark("time", late).select("obsid", "time", "tracer").join(static, ["obsid", "tracer"])
 
 

@@ -48,7 +48,7 @@ def test_inversion_recovers_what_made_the_observations(spark):
     maps = api.Mapping(v.cell, model_axis(v), opt_axis(v))
     maps.hmap = mapping.clusters_of(members(v))
     obs = v.obs.filter("obsid % 3 = 0")
-    h = inversion.state_sensitivity(obs, v.footprint, maps.weights(10)).persist()
+    h = maps.sensitivity(obs, v.footprint, 10).persist()
     n_time, n_space = opt_axis(v).count(), maps.positions().count()
     truth = np.random.default_rng(0).normal(size=(n_time, n_space))
     rows = spark.createDataFrame([(int(t), int(p), float(x)) for (t, p), x in np.ndenumerate(truth)], "itime int, ipos int, x double")
