@@ -114,6 +114,13 @@ def shared_folder(spark: SparkSession) -> str:
     return got
 
 
+def shards_for(df: DataFrame, size: int) -> int:
+    """Parts for data as large as `df`'s files, of `size` bytes each; two for each shuffle partition at least, 64 at most."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    measured = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(2 * partitions, min(64 * partitions, measured // size))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
