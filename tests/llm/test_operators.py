@@ -407,6 +407,50 @@ def test_edited_passages(spark):
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(2, 1)}
 
 
+def edited(words, rng, n):
+    """So many edits at places drawn: words replaced, inserted or left out."""
+    out = list(words)
+    for at in sorted(rng.choice(len(words), n, replace=False).tolist(), reverse=True):
+        kind = rng.integers(3)
+        out[at : at + (kind != 1)] = [f"e{rng.integers(10**9)}"] if kind < 2 else []
+    return out
+
+
+def test_passages_with_insertions_and_deletions(spark):
+    """Passages whose shingle sets have a similarity of 75 % or more are found, whatever the edits."""
+    rng = np.random.default_rng(7)
+    noise = lambda n: [f"n{rng.integers(10**9)}" for _ in range(n)]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    docs, planted = [], {}
+    while len(planted) < 150:
+        i = 2 * len(planted)
+        whole = noise(int(rng.integers(52, 140)))
+        other = edited(whole, rng, int(rng.integers(0, len(whole) // 17 + 1)))
+        s, t = shingles(whole), shingles(other)
+        if len(other) >= 50 and 100 * len(s & t) >= 75 * len(s | t):
+            docs += [(i, " ".join(noise(60) + whole + noise(60))), (i + 1, " ".join(noise(90) + other + noise(20)))]
+            planted[i] = len(s & t) / len(s | t)
+    got = {(r["other_id"], r["doc_id"]) for r in substrings.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got <= {(i, i + 1) for i in planted}
+    assert len(got) >= 0.95 * len(planted) and min(planted.values()) < 0.8
+    # one inserted word in the middle of 90
+    docs = []
+    for i in range(0, 60, 2):
+        w = noise(90)
+        docs += [(i, " ".join(noise(40) + w + noise(40))), (i + 1, " ".join(noise(10) + w[:45] + ["x"] + w[45:] + noise(10)))]
+    assert substrings.find(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id").distinct().count() == 30
+
+
+def test_copies_and_links_of_passages(spark):
+    """Equal texts of a task are copies of one; an edited one's place is found though its leader is unlike it."""
+    rng = np.random.default_rng(8)
+    w = [f"w{rng.integers(10**9)}" for _ in range(60)]
+    rows = [(i, " ".join(w)) for i in range(30)] + [(30, " ".join(w + ["end"])), (31, " ".join(w[:49]))]
+    got = substrings.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {i for r in got for i in (r["doc_id"], r["other_id"])} == set(range(31))
+    assert all((r["start"], r["end"], r["other_start"], r["other_end"]) == (0, 60, 0, 60) for r in got)
+
+
 def test_passages_of_few_after_a_frequent_line(spark):
     """A line of 45 words that all documents have comes before all; each passage it is a part of only two documents share."""
     line = [f"l{k}" for k in range(45)]
