@@ -1,56 +1,75 @@
-"""N-gram language model in an Elias-Fano trie.
+"""N-gram language model in Elias-Fano tries.
 
 Words are counted over all training documents: each task counts its own and sends them
-packed, by ranges of their hashes, to the tasks that add them up. Words with a share of
-CLASS_SHARE of all tokens are the model's vocabulary, the rest is one class, within
-which a word has its smoothed share. Over that vocabulary bigrams, and trigrams after
-the commonest contexts, are counted the same way, and those with a share of GRAM_SHARE
-are kept, with absolutely discounted probabilities and back-off weights. All three are
-shares of the corpus, so the model has at most 1 / CLASS_SHARE words and
-1 / GRAM_SHARE n-grams of each order, whatever the corpus: the bound of what is
-collected and broadcast.
-
-The trie has a level for each order. A node's children are a range between two
-pointers; pointers and child ids are monotone sequences in Elias-Fano form, with the
-probabilities and back-offs as 8-bit codes of even logarithmic steps. A third word is kept
-as its place among the successors of the second, so ids stay small; lookups search a
-range for the successor of an id. Executors map the levels from a file that is
-unlinked at once.
-
-Counts of words too rare for a broadcast are looked up where they were added up: tasks
-send the hashes of their rare words there and get counts back, packed.
+packed, by ranges of their hashes, to the tasks that add them up.
+
+The model has two parts. Its lower orders are one trie that every task has: words with a
+share of CLASS_SHARE of all tokens are its vocabulary, the rest is one class within which
+a word has its smoothed share (words below KNOWN_SHARE have equal ones); bigrams with a
+share of GRAM_SHARE have absolutely discounted probabilities, others back off. Being
+shares, these bound the trie whatever the corpus: 1 / CLASS_SHARE words, 1 / GRAM_SHARE
+bigrams, 1 / KNOWN_SHARE counts.
+
+Its upper part grows with the corpus: all trigrams of all words that occur LEAST times,
+in one trie for each range of their contexts' hashes. Every token goes to its context's
+range once, with its lower-order probability as a code; there trigrams of training
+documents are counted, the range's trie is made, and all tokens are looked up in it, so
+no task ever holds more than a range. A context's probabilities are counts over its total
+and MU more; MU and what is left out are the weight of the lower orders. Contexts with a
+share of HOT_SHARE of all tokens would make a range too large: their totals go to all
+tasks (1 / HOT_SHARE at most), and their tokens are dealt out by context and word.
+
+A trie has a level for each order. A node's children are a range between two pointers;
+pointers and child ids are monotone sequences in Elias-Fano form, with probabilities and
+back-offs as 8-bit codes of even logarithmic steps. Child ids are places among the words
+of the trie, or for a third word of the lower trie among the successors of the second;
+lookups search a range for the successor of an id. The levels are mapped from a file that
+is unlinked at once.
+
+Counts of words too rare for a broadcast are looked up where they were added up, on the
+same way as the trigrams.
 
 Nulls and edge cases: a null or empty text is an end alone; rows without doc_id are
 scored and neither held out nor learned from; repeated rows are counted and scored
 each; without training documents probabilities are those of smoothing alone; an empty
-table gives no rows; texts are read whole.
+table gives no rows; texts are read whole. Ids are whole numbers. Contexts are known by
+32 bits of their hash within a range and words by 24 within a context.
 """
 
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, cut, texts
+from .common import Shared, cut, in_order, shards_for, texts
 from .textarrays import LOWER, NOT_SPACE, hashes, mix, row_of, salt, slices, spans
 
 ALPHA = 0.1
 DISCOUNT = 0.75
-#: Shares of all tokens from which on a word is of the vocabulary, a context has trigrams, a word's count goes to every task, an n-gram is kept.
-CLASS_SHARE, CONTEXT_SHARE, KNOWN_SHARE, GRAM_SHARE = 1e-4, 1e-3, 1e-6, 1e-6
+#: Shares of all tokens from which on a word is of the lower orders' vocabulary, a word's count goes to every task, a bigram is kept, a context is hot.
+CLASS_SHARE, KNOWN_SHARE, GRAM_SHARE, HOT_SHARE = 2e-5, 1e-6, 1e-6, 1e-4
+#: Trigrams are kept from so many occurrences on (all of hot contexts are); what is added to a context's total for the lower orders.
+LEAST, MU = 2, 2.0
+#: Steps of the codes of lower-order logarithms.
+LOW_STEP = 0.05
 
 #: The end's place among word hashes, and ids of the model's own symbols.
 END_KEY = salt(1 << 40)
+#: What stands before the first word.
+START_KEY = salt(1 << 41)
 START, END, RARE, FIRST = 0, 1, 2, 3
-#: Bytes of text scored at once; equal n-grams in them are looked up once.
-SCORED_BYTES = 2 << 20
+#: Tokens (and documents) that are sent at once; equal bigrams in a part of so many bytes are looked up once. Bytes of text for each range.
+BLOCK_TOKENS, BLOCK_ROWS, SCORED_BYTES = 1 << 20, 1 << 15, 2 << 20
+RANGE_BYTES = 4 << 20
 #: Counts that a task holds before equal ones are added up.
 PENDING = 1 << 20
 
@@ -142,8 +161,11 @@ class Vocabulary:
         self.ids[self.keys == END_KEY] = END
         ends = int(self.counts[self.keys == END_KEY].sum())
         self.unigrams = np.array([ends, ends, tokens - ends - int(self.counts[chosen].sum()), *self.counts[chosen]], np.int64)
+        self.of_id = np.array([START_KEY, END_KEY, 0, *self.keys[chosen]], np.uint64)
         self.rare_words = words - len(chosen) - (ends > 0)
-        self.context = self.unigrams >= max(1, CONTEXT_SHARE * tokens)
+        self.unknown_words = words - len(self.keys)
+        self.unknown_tokens = tokens - int(self.counts.sum())
+        self.ends = ends
 
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -163,22 +185,21 @@ class Vocabulary:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.tokens + ALPHA * (self.words + 1)))
 
-    def within_rare(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + ALPHA) / (self.unigrams[RARE] + ALPHA * (self.rare_words + 1)))
+    def within_rare(self, counts: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The shares of words in the rare class; those whose counts aren't known share what is left alike."""
+        unknown = (self.unknown_tokens + ALPHA * (self.unknown_words + 1)) / (self.unknown_words + 1)
+        return np.log10(np.where(known, counts + ALPHA, unknown) / (self.unigrams[RARE] + ALPHA * (self.rare_words + 1)))
 
 
 def gram_key(order: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (np.uint64(order) << np.uint64(60)) | (a.astype(np.uint64) << np.uint64(40)) | (b.astype(np.uint64) << np.uint64(20)) | c.astype(np.uint64)
 
 
-def grams_of(seq: np.ndarray, wide: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Keys of the bigrams, and of the trigrams after two common words."""
+def grams_of(seq: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Keys of the bigrams."""
     row = row_of(wide)
-    zero = np.zeros(0, np.int64)
     two = np.flatnonzero(row[1:] == row[:-1])
-    three = np.flatnonzero(row[2:] == row[:-2]) if len(row) > 2 else zero
-    three = three[context[seq[three]] & context[seq[three + 1]]]
-    return np.concatenate([gram_key(2, np.zeros(len(two)), seq[two], seq[two + 1]), gram_key(3, seq[three], seq[three + 1], seq[three + 2])])
+    return gram_key(2, np.zeros(len(two)), seq[two], seq[two + 1])
 
 
 def gram_counts(docs: DataFrame, vocabulary: Shared, shards: int, least: float) -> DataFrame:
@@ -188,7 +209,7 @@ def gram_counts(docs: DataFrame, vocabulary: Shared, shards: int, least: float)
         words, sums = vocabulary.get(), Sums()
         for batch in batches:
             for _, data, rows in slices(batch, "text"):
-                sums.add(mix(grams_of(*words.sequence(*word_hashes(data, rows)), words.context)))
+                sums.add(mix(grams_of(*words.sequence(*word_hashes(data, rows)))))
         yield packed(sums, shards)
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +321,26 @@ class Level:
         return a, found
 
 
+def mapped(trie, parts: list):
+    """All arrays of the parts mapped from a file, which has no name any more."""
+    owners = [(o, k) for o in parts for k in vars(o) if isinstance(getattr(o, k), np.ndarray) and getattr(o, k).size]
+    handle, path = tempfile.mkstemp()
+    try:
+        with os.fdopen(handle, "wb") as f:
+            places = []
+            for o, k in owners:
+                f.write(b"\0" * (-f.tell() % 16))
+                places.append(f.tell())
+                f.write(np.ascontiguousarray(getattr(o, k)).data)
+        whole = np.memmap(path, np.uint8, "r") if owners else None
+        for (o, k), at in zip(owners, places, strict=True):
+            old = getattr(o, k)
+            setattr(o, k, np.frombuffer(whole, old.dtype, old.size, at).reshape(old.shape))
+    finally:
+        os.unlink(path)
+    return trie
+
+
 class Trie:
     """Levels of unigrams (ids are places), bigrams and trigrams."""
 
@@ -332,22 +373,7 @@ class Trie:
         self.three = Level(relative, first3, np.log10(p3))
 
     def map_to_disk(self) -> Trie:
-        """All arrays of the levels mapped from a file, which has no name any more."""
-        owners = [(o, k) for o in (self.p1, self.back1, self.first2, self.two.ids, self.two.logp, self.two.backoff, self.two.pointers, self.three.ids, self.three.logp) for k in vars(o) if isinstance(getattr(o, k), np.ndarray) and getattr(o, k).size]
-        handle, path = tempfile.mkstemp()
-        try:
-            with os.fdopen(handle, "wb") as f:
-                places = []
-                for o, k in owners:
-                    f.write(b"\0" * (-f.tell() % 16))
-                    places.append(f.tell())
-                    f.write(np.ascontiguousarray(getattr(o, k)).tobytes())
-            for (o, k), at in zip(owners, places, strict=True):
-                old = getattr(o, k)
-                setattr(o, k, np.memmap(path, old.dtype, "r", at, old.shape))
-        finally:
-            os.unlink(path)
-        return self
+        return mapped(self, [self.p1, self.back1, self.first2, self.two.ids, self.two.logp, self.two.backoff, self.two.pointers, self.three.ids, self.three.logp])
 
     def log10(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Of c after b after a; a is -1 where there is none."""
@@ -367,16 +393,35 @@ class Trie:
         out[some[hit]] = self.three.logp[where[hit]]
         return out
 
-    def score(self, seq: np.ndarray, wide: np.ndarray) -> np.ndarray:
-        """The sum of each row."""
-        begin = np.zeros(len(seq), bool)
-        begin[wide[:-1]] = True
-        at = np.flatnonzero(~begin)
-        before = np.where(begin[at - 1], -1, seq[at - 2])
-        key, place = np.unique(((before + 1).astype(np.uint64) << np.uint64(40)) | (seq[at - 1].astype(np.uint64) << np.uint64(20)) | seq[at].astype(np.uint64), return_inverse=True)
-        mask = np.uint64((1 << 20) - 1)
-        values = self.log10((key >> np.uint64(40)).astype(np.int64) - 1, (key >> np.uint64(20) & mask).astype(np.int64), (key & mask).astype(np.int64))[place]
-        return np.bincount(row_of(wide)[at], values, len(wide) - 1)
+    def bigrams(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The logarithm of each id after the one before it."""
+        key, place = np.unique((before << 20) | ids, return_inverse=True)
+        return self.log10(np.full(len(key), -1), key >> 20, key & ((1 << 20) - 1))[place]
+
+
+class Range:
+    """Contexts (their ids are places) and the words that follow them: a trie of two levels; contexts in `total` have more than is counted here."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray, total: np.ndarray, all_of: np.ndarray):
+        """Of each pair, ordered: its context's id, its word's id and its count; of each context: a total from elsewhere or -1, and whether all its words are kept."""
+        n = len(total)
+        own = np.bincount(context, counts, n)
+        kept = (counts >= LEAST) | all_of[context] & (counts > 0)
+        left = np.bincount(context[~kept], counts[~kept], n)
+        total = np.where(total >= 0, total, own)
+        self.first = EliasFano(np.searchsorted(context[kept], np.arange(n + 1)))
+        self.backoff = Codes(np.log10((left + MU) / (total + MU)))
+        self.words = Level(word[kept], np.searchsorted(context[kept], np.arange(n + 1)), np.log10(counts[kept] / (total[context[kept]] + MU)))
+
+    def log10(self, context: np.ndarray, word: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Of words after contexts, with their lower-order logarithms."""
+        at, found = self.words.find(self.first[context], self.first[context + 1], word)
+        out = 10 ** (self.backoff[context] + low)
+        out[found] += 10 ** self.words.logp[at[found]]
+        return np.log10(out)
+
+    def map_to_disk(self) -> Range:
+        return mapped(self, [self.first, self.backoff, self.words.ids, self.words.logp])
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -403,97 +448,185 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     return Vocabulary(rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, v)
 
 
-def rare_counts(docs: DataFrame, counts: DataFrame, vocabulary: Shared, shards: int) -> DataFrame:
-    """Of each row (task and place in it) with words that aren't known everywhere: how many of them were counted, and the sums of both of their logarithms."""
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of two words' hashes in a row."""
+    return mix(a * np.uint64(0xD1342543DE82EF95) + mix(b))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task = vocabulary.get(), TaskContext.get().partitionId()
-        keys, rows_, done = [], [], 0
-        for batch in batches:
-            for part, data, rows in slices(batch, "text"):
-                h, bounds = word_hashes(data, rows)
-                unknown = np.flatnonzero(~words.places(h)[1])
-                keys.append(h[unknown])
-                rows_.append((row_of(bounds)[unknown] + done).astype(np.uint32))
-                done += part.num_rows
-        h, row = (np.concatenate(keys), np.concatenate(rows_)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-        order = np.argsort(h, kind="stable")
-        h, row = h[order], row[order]
-        bounds = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-        some = np.flatnonzero(np.diff(bounds))
-        part = lambda a, kind: [a[bounds[s] : bounds[s + 1]].astype(kind).tobytes() for s in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([task] * len(some), pa.int32()), pa.array(part(h, "<u8"), pa.binary()), pa.array(part(row, "<u4"), pa.binary())], names=["shard", "task", "keys", "rows"])
 
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        keys, n = unpacked(held["keys"].to_pylist(), held["counts"].to_pylist()).total()
-        got = []
-        for wanted in asked["keys"].to_pylist():
-            h = np.frombuffer(wanted, "<u8")
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            got.append((np.where(keys[at] == h, n[at], 0) if len(keys) else np.zeros(len(h), np.int64)).astype("<u4").tobytes())
-        return pa.table({"task": asked["task"], "rows": asked["rows"], "counts": pa.array(got, pa.binary())})
+def planes(x: np.ndarray, n: int) -> np.ndarray:
+    """The n lowest bytes of each number, lowest first, a plane for each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
 
-    def summed(table: pa.Table) -> pa.Table:
-        words = vocabulary.get()
-        row = np.concatenate([np.frombuffer(r, "<u4") for r in table["rows"].to_pylist()]).astype(np.int64)
-        n = np.concatenate([np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()]).astype(np.int64)
-        some, at = np.unique(row, return_inverse=True)
-        task = table["task"][0].as_py()
-        return pa.table({"task": pa.array([task] * len(some), pa.int32()), "row": some, "rare_known": np.bincount(at, n > 0).astype(np.int64), "rare_base": np.bincount(at, words.base(n)), "rare_score": np.bincount(at, words.within_rare(n))})
 
-    asked = docs.mapInArrow(ask, "shard int, task int, keys binary, rows binary")
-    answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "task int, rows binary, counts binary")
-    return answers.groupBy("task").applyInArrow(summed, "task int, row long, rare_known long, rare_base double, rare_score double")
+def numbers(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, : len(x)] = x.T
+    return out.reshape(-1).view("<u8")
 
 
-def scores(docs: DataFrame, vocabulary: Shared, trie: Shared) -> DataFrame:
-    """Of each row (task and place in it): all that can be said without the rarest words."""
+class Hot:
+    """Keys and totals of the contexts that many tokens have."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, task, done = vocabulary.get(), trie.get().map_to_disk(), TaskContext.get().partitionId(), 0
-        end = words.places(np.array([END_KEY]))
-        ends = int(words.counts[end[0][0]]) if end[1][0] else 0
-        for batch in batches:
-            for part, data, rows in slices(batch, "text", SCORED_BYTES):
-                h, bounds = word_hashes(data, rows)
-                at, known = words.places(h)
-                n = words.counts[at[known]] if len(words.keys) else np.zeros(0, np.int64)
-                row = row_of(bounds)[known]
-                m = part.num_rows
-                rare = words.ids[at[known]] == RARE if len(words.keys) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([task] * m, pa.int32()),
-                        pa.array(done + np.arange(m)),
-                        pa.array(np.diff(bounds) + 1),
-                        pa.array(np.bincount(row, minlength=m) + int(ends > 0)),
-                        pa.array(np.bincount(row, words.base(n), m) + words.base(np.array([ends]))[0]),
-                        pa.array(model.score(*words.sequence(h, bounds)) + np.bincount(row[rare], words.within_rare(n[rare]), m)),
-                    ],
-                    names=["doc_id", "task", "row", "n_tokens", "known", "base", "model"],
-                )
-                done += m
-
-    return docs.mapInArrow(run, "doc_id long, task int, row long, n_tokens long, known long, base double, model double")
-
-
-def model_of(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Trie, int]:
-    """Word counts, vocabulary and trie of the training documents, and the number of shards of the counts."""
-    shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, keys: np.ndarray, totals: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.totals = keys[order], totals[order]
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+
+def messages(block: int, docs: list[tuple], words: Vocabulary, trie: Trie, hot: Hot, shards: int) -> pa.RecordBatch:
+    """Of a block of documents (ids, learned from, hashes of words and their bounds): a row for each range with its tokens and rare words, and one with all that is known here."""
+    ids = [i for d in docs for i in d[0]]
+    learn = np.concatenate([d[1] for d in docs])
+    h = np.concatenate([d[2] for d in docs])
+    counts = np.concatenate([np.diff(d[3]) for d in docs])
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    wide = bounds + 2 * np.arange(len(bounds))
+    at, known = words.places(h)
+    n = np.where(known, words.counts[at], 0) if len(words.keys) else np.zeros(len(h), np.int64)
+    row = row_of(bounds)
+    keys = np.full(wide[-1], END_KEY, np.uint64)
+    keys[wide[:-1]] = START_KEY
+    place = np.arange(len(h)) + 1 + 2 * row
+    keys[place] = h
+    seq = np.full(wide[-1], END, np.int64)
+    seq[wide[:-1]] = START
+    seq[place] = np.where(known, words.ids[at], RARE) if len(words.keys) else RARE
+    begin = np.zeros(len(seq), bool)
+    begin[wide[:-1]] = True
+    token = np.flatnonzero(~begin)
+    low = np.zeros(len(seq))
+    low[token] = trie.bigrams(seq[token - 1], seq[token])
+    rare = seq[place] == RARE
+    low[place[rare]] += words.within_rare(n[rare], known[rare])
+    before = keys[token - 1]
+    context = pair_key(np.where(begin[token - 1], START_KEY, keys[token - 2]), before)
+    word = mix(keys[token])
+    of = row_of(wide)[token].astype(np.uint64) | (learn[row_of(wide)[token]].astype(np.uint64) << np.uint64(15))
+    number, is_hot = hot.places(context)
+    shard = shard_of(np.where(is_hot, mix(context ^ word), context), shards)
+    code = np.clip(np.rint(-low[token] / LOW_STEP), 0, 255).astype(np.uint8)
+    part = np.where(is_hot, number.astype(np.uint64) | np.uint64(1 << 32), context & np.uint64(0xFFFFFFFF))
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    columns = [planes(part[order], 5), planes(word[order] >> np.uint64(40), 3), code[order], planes(of[order], 2)]
+    unknown = np.flatnonzero(~known)
+    rare_shard = shard_of(h[unknown], shards)
+    rare_order = np.argsort(rare_shard, kind="stable")
+    rare_ends = np.searchsorted(rare_shard[rare_order], np.arange(shards + 1))
+    rare_h, rare_row = h[unknown][rare_order], row[unknown][rare_order].astype(np.uint16)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    made = [
+        (s, pack(pickle.dumps((block, None, [c[..., ends[s] : ends[s + 1]] for c in columns], rare_h[rare_ends[s] : rare_ends[s + 1]], rare_row[rare_ends[s] : rare_ends[s + 1]]), 5)))
+        for s in np.flatnonzero((np.diff(ends) > 0) | (np.diff(rare_ends) > 0)).tolist()
+    ]
+    m = len(counts)
+    base = np.bincount(row[known], words.base(n[known]), m) + words.base(np.array([words.ends]))[0]
+    made.append((block % shards, pack(pickle.dumps((block, (ids, counts + 1, np.bincount(row[known], minlength=m) + int(words.ends > 0), base), None, None, None), 5))))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.binary())], names=["shard", "packed"])
+
+
+def scored(asked: list[tuple], keys: np.ndarray, held: np.ndarray, words: Vocabulary, hot: Hot) -> list[tuple]:
+    """Of a range's messages, and the counts of its words: (block, rows, sums of logarithms), (block, rows, known, base)."""
+    sizes = [len(c[2]) for _, _, c, _, _ in asked]
+    out: list[tuple] = []
+    if sum(sizes):
+        part, word, code, of = (np.concatenate([c[k] for _, _, c, _, _ in asked], axis=-1) for k in range(4))
+        of = numbers(of)
+        pair, place = np.unique((numbers(part) << np.uint64(24)) | numbers(word), return_inverse=True)
+        counts = np.bincount(place[of >> np.uint64(15) == 1], minlength=len(pair))
+        low = np.zeros(len(pair))
+        low[place] = -LOW_STEP * code
+        contexts, context = np.unique(pair >> np.uint64(24), return_inverse=True)
+        _, third = np.unique(pair & np.uint64(0xFFFFFF), return_inverse=True)
+        is_hot = contexts >> np.uint64(32) == 1
+        totals = np.full(len(contexts), -1.0)
+        totals[is_hot] = hot.totals[(contexts[is_hot] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        values = Range(context, third, counts, totals, is_hot).map_to_disk().log10(context, third, low)[place]
+        row = (of & np.uint64(0x7FFF)).astype(np.int64)
+        end = 0
+        for (block, *_), size in zip(asked, sizes, strict=True):
+            mine = slice(end, end + size)
+            end += size
+            sums = np.bincount(row[mine], values[mine])
+            rows = np.flatnonzero(np.bincount(row[mine]))
+            out.append((block, rows.astype(np.uint16), sums[rows].astype(np.float32)))
+    for block, _, _, wanted, rows in asked:
+        if len(wanted):
+            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+            n = np.where(keys[at] == wanted, held[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
+            some, of = np.unique(rows, return_inverse=True)
+            out.append((block, some, np.bincount(of, n > 0).astype(np.uint16 if len(n) < 1 << 16 else np.int64), np.bincount(of, words.base(n))))
+    return out
+
+
+def model_of(docs: DataFrame, shards: int) -> tuple[DataFrame, Vocabulary, Trie, Hot]:
+    """Word counts, and of the training documents the parts of the model that every task has."""
     learned = training(docs)
     counts = cut(word_counts(learned, shards))
     words = vocabulary_of(counts)
     kept = gram_counts(learned, Shared(docs.sparkSession, words), shards, max(1, GRAM_SHARE * words.tokens)).toArrow()
-    return counts, words, Trie(words.unigrams, kept["gram"].to_numpy(), kept["n"].to_numpy()), shards
+    gram, n = kept["gram"].to_numpy(), kept["n"].to_numpy()
+    a, b = (gram >> 20) & ((1 << 20) - 1), gram & ((1 << 20) - 1)
+    many = (n >= max(1, HOT_SHARE * words.tokens)) & (a != RARE) & (b != RARE) & (b != END)
+    keys = pair_key(np.append(words.of_id[a[many]], START_KEY), np.append(words.of_id[b[many]], START_KEY))
+    return counts, words, Trie(words.unigrams, gram, n), Hot(keys, np.append(n[many], words.ends))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    docs = texts(docs)
-    counts, words, trie, shards = model_of(docs)
-    vocabulary = Shared(docs.sparkSession, words)
-    rare = rare_counts(docs, counts, vocabulary, shards)
-    got = scores(docs, vocabulary, Shared(docs.sparkSession, trie)).join(rare, ["task", "row"], "left")
-    plus = lambda c, d: F.col(c) + F.coalesce(F.col(d), F.lit(0))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    return got.select("doc_id", held.alias("held_out"), "n_tokens", plus("known", "rare_known").alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"), plus("base", "rare_base").alias("base_score"), plus("model", "rare_score").alias("score"))
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
+    docs = in_order(texts(docs))
+    shards = shards_for(docs, RANGE_BYTES)
+    counts, words, trie, hot = model_of(docs, shards)
+    known, counted = Shared(docs.sparkSession, (words, trie, hot)), Shared(docs.sparkSession, (words, hot))
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, trie, hot = known.get()
+        trie.map_to_disk()
+        block, held, tokens, rows_ = TaskContext.get().partitionId() << 32, [], 0, 0
+        for batch in batches:
+            for part, data, rows in slices(batch, "text", SCORED_BYTES):
+                h, bounds = word_hashes(data, rows)
+                if held and (tokens + len(h) > BLOCK_TOKENS or rows_ + part.num_rows >= BLOCK_ROWS):
+                    yield messages(block, held, words, trie, hot, shards)
+                    block, held, tokens, rows_ = block + 1, [], 0, 0
+                held.append((part.column(0).to_pylist(), part.column(2).to_numpy(zero_copy_only=False), h, bounds))
+                tokens, rows_ = tokens + len(h), rows_ + part.num_rows
+        if held:
+            yield messages(block, held, words, trie, hot, shards)
+
+    model: list = []  # each task has its own copy
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not model:
+            model.extend(counted.get())
+        words, hot = model
+        unpack = zstandard.ZstdDecompressor().decompress
+        got = [pickle.loads(unpack(x.as_buffer())) for chunk in asked["packed"].chunks for x in chunk]
+        keys, n = unpacked(held["keys"].to_pylist(), held["counts"].to_pylist()).total()
+        out = [(g[0], g[1]) for g in got if g[1] is not None]
+        out += [(block, x) for block, *x in scored([g for g in got if g[1] is None], keys, n, words, hot)]
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "packed": pa.array([pickle.dumps(x[1], 5) for x in out], pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        got = [pickle.loads(x.as_buffer()) for chunk in table["packed"].chunks for x in chunk]
+        ids, tokens, n_known, base = next(g for g in got if len(g) == 4)
+        score, n_known, base = np.zeros(len(ids)), n_known.copy(), base.copy()
+        for rows, values, *more in (g for g in got if len(g) < 4):
+            if more:
+                n_known[rows] += values
+                base[rows] += more[0]
+            else:
+                score[rows] += values
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "n_known": n_known, "base_score": base, "score": score})
+
+    rows = docs.select("doc_id", "text", F.coalesce(crc != 0, F.lit(False)).alias("learn"))
+    asked = rows.mapInArrow(send, "shard int, packed binary")
+    answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "block long, packed binary")
+    got = answers.groupBy("block").applyInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return got.select("doc_id", F.coalesce(crc == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")

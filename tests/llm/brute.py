@@ -1,5 +1,6 @@
 """Plain Python versions of what the operators give, for small tables."""
 
+import math
 import collections
 import hashlib
 import math
@@ -116,3 +117,35 @@ def unigram_scores(docs):
             counts.update(tokens[doc])
     n, v = sum(counts.values()), len(counts)
     return n, {doc: (len(w), sum(counts[x] > 0 for x in w), sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for doc, w in tokens.items()}
+
+
+def trigram_scores(pairs):
+    """log10 of each text (by id) under the interpolated trigrams of the language model, from dictionaries, for corpora in which every trained word is of the vocabulary."""
+    from plumeline.llm import ngram_lm as lm
+
+    sequences = [(i, ["<s>", "<s>", *words(t), "</s>"]) for i, t in pairs if i is not None]
+    learned = [s for i, s in sequences if zlib.crc32(str(i).encode()) % 10]
+    one, two, three = (collections.Counter(tuple(s[k : k + n]) for s in learned for k in range(2 if n == 1 else 1 if n == 2 else 0, len(s) - n + 1)) for n in (1, 2, 3))
+    total, ids = sum(one.values()), len(one) + 2
+    p1 = lambda w: (one[w,] + lm.ALPHA) / (total + lm.ALPHA * ids)
+    seen = lambda b: len(learned) if b == "<s>" else one[b,]
+    p2 = {k: (n - lm.DISCOUNT) / seen(k[0]) for k, n in two.items()}
+    after = collections.defaultdict(list)
+    for b, c in p2:
+        after[b].append(c)
+    back = {b: max(1 - sum(p2[b, c] for c in cs), 1e-6) / max(1 - sum(map(p1, cs)), 1e-6) for b, cs in after.items()}
+    low = lambda b, c: p2.get((b, c)) or back.get(b, 1.0) * p1(c)
+    contexts, left = collections.Counter(), collections.Counter()
+    for (a, b, _), n in three.items():
+        contexts[a, b] += n
+    hot = {k for k, n in two.items() if n >= max(1, lm.HOT_SHARE * total)} | {("<s>", "<s>")}
+    kept = {k: n for k, n in three.items() if n >= lm.LEAST or k[:2] in hot}
+    for k, n in three.items():
+        if k not in kept:
+            left[k[:2]] += n
+
+    def p3(a, b, c):
+        t = contexts[a, b] + lm.MU
+        return kept.get((a, b, c), 0) / t + (left[a, b] + lm.MU) / t * low(b, c)
+
+    return {i: sum(math.log10(p3(*s[k : k + 3])) for k in range(len(s) - 2)) for i, s in sequences}, hot

@@ -169,6 +169,30 @@ def test_language_model(documents, pairs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_trigrams_against_dictionaries(documents, pairs, monkeypatch):
+    """Scores are those of the formula, but for the steps of the codes; some contexts are hot and some aren't, and all words are of the vocabulary."""
+    monkeypatch.setattr(ngram_lm, "CLASS_SHARE", 1e-9)
+    want, hot = brute.trigram_scores(pairs)
+    assert 1 < len(hot) < 5000
+    worst = mean = n = 0
+    for r in ngram_lm.report(documents).filter("doc_id is not null").collect():
+        off = (r["score"] - want[r["doc_id"]]) / r["n_tokens"]
+        worst, mean, n = max(worst, abs(off)), mean + off * r["n_tokens"], n + r["n_tokens"]
+    assert worst < 0.05 and abs(mean / n) < 0.01
+
+
+def test_probabilities_of_a_range_sum_to_one():
+    rng = np.random.default_rng(3)
+    context, word = (x.astype(np.int64) for x in np.divmod(np.unique(rng.integers(0, 400, 300)), 40))
+    counts = rng.integers(0, 4, len(word))
+    everything = np.bincount(context, counts, 10)
+    hot = np.arange(10) % 3 == 0
+    model = ngram_lm.Range(context, word, counts, np.where(hot, everything, -1.0), hot).map_to_disk()
+    low = np.log10(np.full(40, 1 / 40))
+    for k in range(10):
+        assert (10 ** model.log10(np.full(40, k), np.arange(40), low)).sum() == pytest.approx(1, abs=0.03)
+
+
 def test_language_model_of_nothing(documents, nothing):
     assert ngram_lm.report(nothing).count() == 0
     untrained = documents.filter("doc_id is null")
