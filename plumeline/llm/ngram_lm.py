@@ -68,8 +68,10 @@ END_KEY = salt(1 << 40)
 START_KEY = salt(1 << 41)
 START, END, RARE, FIRST = 0, 1, 2, 3
 #: Tokens (and documents) that are sent at once; equal bigrams in a part of so many bytes are looked up once. Bytes of text for each range.
-BLOCK_TOKENS, BLOCK_ROWS, SCORED_BYTES = 1 << 20, 1 << 15, 2 << 20
+BLOCK_TOKENS, BLOCK_ROWS, SCORED_BYTES = 1 << 20, 1 << 15, 1 << 20
 RANGE_BYTES = 4 << 20
+#: Bytes of a sent token: five of its context, three of its word, a code, two of its row with a bit for learning.
+COLUMNS = 11
 #: Counts that a task holds before equal ones are added up.
 PENDING = 1 << 20
 
@@ -478,84 +480,113 @@ class Hot:
         return at, self.keys[at] == keys
 
 
-def messages(block: int, docs: list[tuple], words: Vocabulary, trie: Trie, hot: Hot, shards: int) -> pa.RecordBatch:
-    """Of a block of documents (ids, learned from, hashes of words and their bounds): a row for each range with its tokens and rare words, and one with all that is known here."""
-    ids = [i for d in docs for i in d[0]]
-    learn = np.concatenate([d[1] for d in docs])
-    h = np.concatenate([d[2] for d in docs])
-    counts = np.concatenate([np.diff(d[3]) for d in docs])
-    bounds = np.concatenate([[0], np.cumsum(counts)])
-    wide = bounds + 2 * np.arange(len(bounds))
-    at, known = words.places(h)
-    n = np.where(known, words.counts[at], 0) if len(words.keys) else np.zeros(len(h), np.int64)
-    row = row_of(bounds)
-    keys = np.full(wide[-1], END_KEY, np.uint64)
-    keys[wide[:-1]] = START_KEY
-    place = np.arange(len(h)) + 1 + 2 * row
-    keys[place] = h
-    seq = np.full(wide[-1], END, np.int64)
-    seq[wide[:-1]] = START
-    seq[place] = np.where(known, words.ids[at], RARE) if len(words.keys) else RARE
-    begin = np.zeros(len(seq), bool)
-    begin[wide[:-1]] = True
-    token = np.flatnonzero(~begin)
-    low = np.zeros(len(seq))
-    low[token] = trie.bigrams(seq[token - 1], seq[token])
-    rare = seq[place] == RARE
-    low[place[rare]] += words.within_rare(n[rare], known[rare])
-    before = keys[token - 1]
-    context = pair_key(np.where(begin[token - 1], START_KEY, keys[token - 2]), before)
-    word = mix(keys[token])
-    of = row_of(wide)[token].astype(np.uint64) | (learn[row_of(wide)[token]].astype(np.uint64) << np.uint64(15))
-    number, is_hot = hot.places(context)
-    shard = shard_of(np.where(is_hot, mix(context ^ word), context), shards)
-    code = np.clip(np.rint(-low[token] / LOW_STEP), 0, 255).astype(np.uint8)
-    part = np.where(is_hot, number.astype(np.uint64) | np.uint64(1 << 32), context & np.uint64(0xFFFFFFFF))
-    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    columns = [planes(part[order], 5), planes(word[order] >> np.uint64(40), 3), code[order], planes(of[order], 2)]
-    unknown = np.flatnonzero(~known)
-    rare_shard = shard_of(h[unknown], shards)
-    rare_order = np.argsort(rare_shard, kind="stable")
-    rare_ends = np.searchsorted(rare_shard[rare_order], np.arange(shards + 1))
-    rare_h, rare_row = h[unknown][rare_order], row[unknown][rare_order].astype(np.uint16)
-    pack = zstandard.ZstdCompressor(level=1).compress
-    made = [
-        (s, pack(pickle.dumps((block, None, [c[..., ends[s] : ends[s + 1]] for c in columns], rare_h[rare_ends[s] : rare_ends[s + 1]], rare_row[rare_ends[s] : rare_ends[s + 1]]), 5)))
-        for s in np.flatnonzero((np.diff(ends) > 0) | (np.diff(rare_ends) > 0)).tolist()
-    ]
-    m = len(counts)
-    base = np.bincount(row[known], words.base(n[known]), m) + words.base(np.array([words.ends]))[0]
-    made.append((block % shards, pack(pickle.dumps((block, (ids, counts + 1, np.bincount(row[known], minlength=m) + int(words.ends > 0), base), None, None, None), 5))))
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.binary())], names=["shard", "packed"])
+class Block:
+    """Documents that are sent at once: their tokens by range in as few bytes as possible, and all that is known where they are."""
+
+    def __init__(self, words: Vocabulary, trie: Trie, hot: Hot, shards: int):
+        self.words, self.trie, self.hot, self.shards = words, trie, hot, shards
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.known, self.tokens, self.rare = [], [], [], []
+        self.size = 0
+
+    def add(self, ids: list, learn: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> None:
+        """Some documents: ids, whether they are learned from, hashes of words and their bounds."""
+        words, m = self.words, len(ids)
+        at, known = words.places(h)
+        n = np.where(known, words.counts[at], 0) if len(words.keys) else np.zeros(len(h), np.int64)
+        row = row_of(bounds)
+        self.known.append((np.diff(bounds) + 1, np.bincount(row[known], minlength=m) + int(words.ends > 0), np.bincount(row[known], words.base(n[known]), m) + words.base(np.array([words.ends]))[0]))
+        seq, wide = words.sequence(h, bounds)
+        place = np.arange(len(h)) + 1 + 2 * row
+        keys = np.full(wide[-1], END_KEY, np.uint64)
+        keys[wide[:-1]] = START_KEY
+        keys[place] = h
+        token = np.ones(len(seq), bool)
+        token[wide[:-1]] = False
+        token = np.flatnonzero(token)
+        low = np.zeros(len(seq))
+        low[token] = self.trie.bigrams(seq[token - 1], seq[token])
+        rare = seq[place] == RARE
+        low[place[rare]] += words.within_rare(n[rare], known[rare])
+        before = keys[token - 1]
+        context = pair_key(np.where(before == START_KEY, START_KEY, keys[token - 2]), before)
+        word = mix(keys[token])
+        number, is_hot = self.hot.places(context)
+        shard = shard_of(np.where(is_hot, mix(context ^ word), context), self.shards)
+        part = np.where(is_hot, number.astype(np.uint64) | np.uint64(1 << 32), context & np.uint64(0xFFFFFFFF))
+        of = row_of(wide)[token]
+        done = len(self.ids)
+        rows = (of + done).astype(np.uint64) | (learn[of].astype(np.uint64) << np.uint64(15))
+        code = np.clip(np.rint(-low[token] / LOW_STEP), 0, 255).astype(np.uint8)
+        self.tokens.append((shard, np.concatenate([planes(part, 5), planes(word >> np.uint64(40), 3), code[None], planes(rows, 2)])))
+        unknown = np.flatnonzero(~known)
+        self.rare.append((shard_of(h[unknown], self.shards), h[unknown], (row[unknown] + done).astype("<u2")))
+        self.ids += ids
+        self.size += len(token)
+
+    def sent(self, number: int) -> pa.RecordBatch:
+        """A row (shard, block, of_range, packed) for each range, and one of what is known here."""
+        pack = zstandard.ZstdCompressor(level=1).compress
+        shard, columns = (np.concatenate([t[k] for t in self.tokens], axis=-1) for k in range(2))
+        order = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")
+        columns, ends = np.ascontiguousarray(columns[:, order]), np.searchsorted(shard[order], np.arange(self.shards + 1))
+        rare_shard, rare, rare_row = (np.concatenate([t[k] for t in self.rare]) for k in range(3))
+        order = np.argsort(rare_shard, kind="stable")
+        rare, rare_row, rare_ends = rare[order], rare_row[order], np.searchsorted(rare_shard[order], np.arange(self.shards + 1))
+        some = np.flatnonzero((np.diff(ends) > 0) | (np.diff(rare_ends) > 0)).tolist()
+        packed_ = []
+        for s in some:
+            own, r = columns[:, ends[s] : ends[s + 1]], slice(rare_ends[s], rare_ends[s + 1])
+            packed_.append(pack(np.array([own.shape[1]], "<u4").tobytes() + own.tobytes() + rare[r].astype("<u8").tobytes() + rare_row[r].tobytes()))
+        known = self.ids, *(np.concatenate([k[i] for k in self.known]) for i in range(3))
+        out = pa.RecordBatch.from_arrays(
+            [
+                pa.array([*some, number % self.shards], pa.int32()),
+                pa.array([number] * (len(some) + 1), pa.int64()),
+                pa.array([True] * len(some) + [False], pa.bool_()),
+                pa.array([*packed_, pack(pickle.dumps(known, 5))], pa.binary()),
+            ],
+            names=["shard", "block", "of_range", "packed"],
+        )
+        self.clear()
+        return out
+
+
+def opened(message: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What sent() made of a range's tokens (a plane for each byte), rare words and their rows."""
+    n = int(np.frombuffer(message, "<u4", 1)[0])
+    rare = (len(message) - 4 - COLUMNS * n) // 10
+    columns = np.frombuffer(message, np.uint8, COLUMNS * n, 4).reshape(COLUMNS, n)
+    return columns, np.frombuffer(message, "<u8", rare, 4 + COLUMNS * n), np.frombuffer(message, "<u2", rare, 4 + COLUMNS * n + 8 * rare)
 
 
 def scored(asked: list[tuple], keys: np.ndarray, held: np.ndarray, words: Vocabulary, hot: Hot) -> list[tuple]:
-    """Of a range's messages, and the counts of its words: (block, rows, sums of logarithms), (block, rows, known, base)."""
-    sizes = [len(c[2]) for _, _, c, _, _ in asked]
+    """Of a range's messages (block, columns, rare words, their rows), and the counts of its words: (block, rows, sums of logarithms) and (block, rows, known, base)."""
     out: list[tuple] = []
-    if sum(sizes):
-        part, word, code, of = (np.concatenate([c[k] for _, _, c, _, _ in asked], axis=-1) for k in range(4))
-        of = numbers(of)
-        pair, place = np.unique((numbers(part) << np.uint64(24)) | numbers(word), return_inverse=True)
-        counts = np.bincount(place[of >> np.uint64(15) == 1], minlength=len(pair))
+    columns = np.concatenate([c for _, c, _, _ in asked], axis=1) if asked else np.zeros((COLUMNS, 0), np.uint8)
+    if columns.shape[1]:
+        pair, place = np.unique(numbers(np.concatenate([columns[5:8], columns[:5]])), return_inverse=True)
+        row = numbers(columns[9:]).astype(np.int64)
+        counts = np.bincount(place[row >> 15 == 1], minlength=len(pair))
+        row &= 0x7FFF
         low = np.zeros(len(pair))
-        low[place] = -LOW_STEP * code
+        low[place] = -LOW_STEP * columns[8]
         contexts, context = np.unique(pair >> np.uint64(24), return_inverse=True)
         _, third = np.unique(pair & np.uint64(0xFFFFFF), return_inverse=True)
         is_hot = contexts >> np.uint64(32) == 1
         totals = np.full(len(contexts), -1.0)
         totals[is_hot] = hot.totals[(contexts[is_hot] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        values = Range(context, third, counts, totals, is_hot).map_to_disk().log10(context, third, low)[place]
-        row = (of & np.uint64(0x7FFF)).astype(np.int64)
+        values = Range(context, third, counts, totals, is_hot).map_to_disk().log10(context, third, low)
         end = 0
-        for (block, *_), size in zip(asked, sizes, strict=True):
-            mine = slice(end, end + size)
-            end += size
-            sums = np.bincount(row[mine], values[mine])
+        for block, c, _, _ in asked:
+            mine = slice(end, end + c.shape[1])
+            end = mine.stop
+            sums = np.bincount(row[mine], values[place[mine]])
             rows = np.flatnonzero(np.bincount(row[mine]))
             out.append((block, rows.astype(np.uint16), sums[rows].astype(np.float32)))
-    for block, _, _, wanted, rows in asked:
+    for block, _, wanted, rows in asked:
         if len(wanted):
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
             n = np.where(keys[at] == wanted, held[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
@@ -587,18 +618,16 @@ def report(docs: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, trie, hot = known.get()
-        trie.map_to_disk()
-        block, held, tokens, rows_ = TaskContext.get().partitionId() << 32, [], 0, 0
+        block, number = Block(words, trie.map_to_disk(), hot, shards), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part, data, rows in slices(batch, "text", SCORED_BYTES):
                 h, bounds = word_hashes(data, rows)
-                if held and (tokens + len(h) > BLOCK_TOKENS or rows_ + part.num_rows >= BLOCK_ROWS):
-                    yield messages(block, held, words, trie, hot, shards)
-                    block, held, tokens, rows_ = block + 1, [], 0, 0
-                held.append((part.column(0).to_pylist(), part.column(2).to_numpy(zero_copy_only=False), h, bounds))
-                tokens, rows_ = tokens + len(h), rows_ + part.num_rows
-        if held:
-            yield messages(block, held, words, trie, hot, shards)
+                if block.size and (block.size + len(h) > BLOCK_TOKENS or len(block.ids) + part.num_rows > BLOCK_ROWS):
+                    yield block.sent(number)
+                    number += 1
+                block.add(part.column(0).to_pylist(), part.column(2).to_numpy(zero_copy_only=False), h, bounds)
+        if block.size:
+            yield block.sent(number)
 
     model: list = []  # each task has its own copy
 
@@ -607,26 +636,30 @@ def report(docs: DataFrame) -> DataFrame:
             model.extend(counted.get())
         words, hot = model
         unpack = zstandard.ZstdDecompressor().decompress
-        got = [pickle.loads(unpack(x.as_buffer())) for chunk in asked["packed"].chunks for x in chunk]
         keys, n = unpacked(held["keys"].to_pylist(), held["counts"].to_pylist()).total()
-        out = [(g[0], g[1]) for g in got if g[1] is not None]
-        out += [(block, x) for block, *x in scored([g for g in got if g[1] is None], keys, n, words, hot)]
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "packed": pa.array([pickle.dumps(x[1], 5) for x in out], pa.binary())})
+        blocks, packed_, of_range = asked["block"].to_pylist(), asked["packed"].to_pylist(), asked["of_range"].to_pylist()
+        out = [(k, x) for k, x, r in zip(blocks, packed_, of_range, strict=True) if not r]
+        n_known = len(out)
+        got = [(k, *opened(unpack(x))) for k, x, r in zip(blocks, packed_, of_range, strict=True) if r]
+        out += [(k, pickle.dumps(x, 5)) for k, *x in scored(got, keys, n, words, hot)]
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "packed": pa.array([x[1] for x in out], pa.binary()), "known": pa.array([k < n_known for k in range(len(out))], pa.bool_())})
 
     def summed(table: pa.Table) -> pa.Table:
-        got = [pickle.loads(x.as_buffer()) for chunk in table["packed"].chunks for x in chunk]
-        ids, tokens, n_known, base = next(g for g in got if len(g) == 4)
-        score, n_known, base = np.zeros(len(ids)), n_known.copy(), base.copy()
-        for rows, values, *more in (g for g in got if len(g) < 4):
-            if more:
-                n_known[rows] += values
-                base[rows] += more[0]
-            else:
-                score[rows] += values
+        packed_, first = table["packed"].to_pylist(), table["known"].to_pylist().index(True)
+        ids, tokens, n_known, base = pickle.loads(zstandard.ZstdDecompressor().decompress(packed_[first]))
+        score = np.zeros(len(ids))
+        for k, x in enumerate(packed_):
+            if k != first:
+                rows, values, *more = pickle.loads(x)
+                if more:
+                    n_known[rows] += values
+                    base[rows] += more[0]
+                else:
+                    score[rows] += values
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "n_known": n_known, "base_score": base, "score": score})
 
     rows = docs.select("doc_id", "text", F.coalesce(crc != 0, F.lit(False)).alias("learn"))
-    asked = rows.mapInArrow(send, "shard int, packed binary")
-    answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "block long, packed binary")
+    asked = rows.mapInArrow(send, "shard int, block long, of_range boolean, packed binary")
+    answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "block long, packed binary, known boolean")
     got = answers.groupBy("block").applyInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return got.select("doc_id", F.coalesce(crc == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
