@@ -68,8 +68,8 @@ END_KEY = salt(1 << 40)
 START_KEY = salt(1 << 41)
 START, END, RARE, FIRST = 0, 1, 2, 3
 #: Tokens (and documents) that are sent at once; equal bigrams in a part of so many bytes are looked up once. Bytes of text for each range.
-BLOCK_TOKENS, BLOCK_ROWS, SCORED_BYTES = 1 << 20, 1 << 15, 1 << 20
-RANGE_BYTES = 4 << 20
+BLOCK_TOKENS, BLOCK_ROWS, SCORED_BYTES = 1 << 19, 1 << 15, 1 << 20
+RANGE_BYTES = 2 << 20
 #: Bytes of a sent token: five of its context, three of its word, a code, two of its row with a bit for learning.
 COLUMNS = 11
 #: Counts that a task holds before equal ones are added up.
