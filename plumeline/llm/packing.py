@@ -47,35 +47,35 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def vocabulary(tokenizer_json: str) -> dict[bytes, int]:
-    """Token bytes to ids of a byte-level BPE file whose ids are in the order of its merges."""
+def vocabulary(tokenizer_json: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes to ids of a byte-level BPE file whose ids are in the order of its merges, and its added tokens."""
     model = json.loads(tokenizer_json)
     if model["model"]["type"] != "BPE" or model["pre_tokenizer"]["type"] != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
         raise ValueError("a byte-level BPE file without prefix space is needed")
-    letter, special = byte_of_letter(), {t["content"] for t in model["added_tokens"]}
-    return {bytes(letter[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    if any(t.get(k) for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens must be found wherever they stand, as they are")
+    letter, added = byte_of_letter(), {t["content"]: t["id"] for t in model["added_tokens"]}
+    return {bytes(letter[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}, added
 
 
 class Encoder:
-    """Ids of whole texts; the strings of special tokens are ordinary text."""
+    """Ids of whole texts, as `tokenizers` gives them: where an added token's string stands in a text, it is that token."""
 
-    def __init__(self, name: str, ranks: dict[bytes, int], tokenizer_json: str):
+    def __init__(self, name: str, ranks: dict[bytes, int], added: dict[str, int], tokenizer_json: str):
         import tiktoken
 
         known = tiktoken.registry.ENCODINGS  # lives as long as the worker process
         if name not in known:
-            known[name] = tiktoken.Encoding(name, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+            known[name] = tiktoken.Encoding(name, pat_str=PIECES, mergeable_ranks=ranks, special_tokens=added)
         self.fast, self.json = known[name], tokenizer_json
 
     def __call__(self, text: str) -> np.ndarray:
         try:
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
         except Exception:  # a text on which the regular expression gives up
             from tokenizers import Tokenizer
 
-            plain = Tokenizer.from_str(self.json)
-            plain.encode_special_tokens = True
-            return np.asarray(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.asarray(Tokenizer.from_str(self.json).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class Block:
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, e
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
-    known = docs.sparkSession.sparkContext.broadcast((tokenizer_path, vocabulary(text), text))
+    known = docs.sparkSession.sparkContext.broadcast((tokenizer_path, *vocabulary(text), text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(*known.value)

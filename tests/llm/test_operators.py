@@ -1,4 +1,5 @@
 import collections
+import pathlib
 import zlib
 
 import duckdb
@@ -34,7 +35,6 @@ def test_packing(documents, pairs):
 
     got = packing.digests(packing.pack(documents, TOKENIZER, block_tokens=50_000)).collect()
     plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
     want = collections.Counter()
     ids = {}
     for doc, text in pairs:
@@ -62,6 +62,20 @@ def test_packing(documents, pairs):
     assert max(steps.values()) <= packing.STEP_TOKENS
 
 
+def test_ids_of_added_tokens():
+    """Strings of added tokens within texts are those tokens, as by default."""
+    from tokenizers import Tokenizer
+
+    plain, text = Tokenizer.from_file(TOKENIZER), pathlib.Path(TOKENIZER).read_text()
+    encode = packing.Encoder(TOKENIZER, *packing.vocabulary(text), text)
+    assert encode("<|endoftext|> hi").tolist() == [50256, 23105]
+    rng = np.random.default_rng(4)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "a", " b", "'s", "9", "é", "<", "\t x", "\u3000", "!!"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts, rng.integers(0, 12)))
+        assert encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_blocks_hold_every_token():
     rng = np.random.default_rng(0)
     for _ in range(50):
