@@ -10,8 +10,12 @@ of fewer than 13 words are one window each; for each such length all document
 windows of that length are looked up (a selection window of one hash).
 
 The test set is the stated query set: it is read to the driver in blocks of bounded
-text size, each goes to the executors as a broadcast, and documents pass through
-one block after the other. Documents are never shuffled.
+text size, each of which goes to the executors as a broadcast. If there is one block,
+documents pass through it. If there are more, the fingerprints of all blocks go out first
+(eight bytes for some thirty of text; in parts of PRINTS), documents pass through these
+once, and only texts that share one, each text once, are written and pass through the
+blocks. What is found comes back to documents by the text's digest. Texts of documents
+are never shuffled, but for those.
 
 Nulls and edge cases: a null or empty document has no words and no hit; a null or
 empty item has no window; rows of one item_id are windows of one item; an item
@@ -21,7 +25,8 @@ are judged alike; an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, cut, texts, with_result
+from .common import Shared, cut, fresh, texts, with_result
 from .textarrays import ALNUM, LOWER, grams, hashes, per_row, row_of, slices, spans, starts_of_grams
 
 WINDOW = 13
 GRAM = 5
 #: Bytes of test texts in one broadcast.
 BLOCK_BYTES = 1 << 20
-#: Blocks that one stage passes through before its result is written.
+#: Blocks that one stage of suspect texts passes through before its result is written.
 BLOCKS_PER_STAGE = 4
+#: Fingerprints in one broadcast.
+PRINTS = 1 << 23
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -130,6 +137,45 @@ class Index:
                     yield first, k, items
 
 
+class Sieve:
+    """Fingerprints of many test items: which texts can have one of their windows."""
+
+    def __init__(self, window: int = WINDOW, gram: int = GRAM):
+        self.window, self.gram = window, gram
+        self.prints: list[np.ndarray] = []
+        self.short: dict[int, list[np.ndarray]] = {}
+        self.size = 0
+
+    def add(self, items: list[tuple[str | None, str]]) -> None:
+        column = pa.array([text for _, text in items], pa.string())
+        for _, data, rows in slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text"):
+            w = Words(data, rows)
+            count = np.diff(w.bounds)
+            for k in np.unique(count[(count > 0) & (count < self.window)]).tolist():
+                g, at = w.windows(k)
+                self.short.setdefault(k, []).append(g[count[w.row[at]] == k])
+                self.size += len(self.short[k][-1])
+            g, whole = grams(w.h, self.gram), starts_of_grams(w.bounds, self.window)
+            self.prints.append(g[winnowed(g, whole, self.window - self.gram + 1)])
+            self.size += len(self.prints[-1])
+
+    def closed(self) -> Sieve:
+        self.prints = [np.unique(np.concatenate(self.prints))]
+        self.short = {k: [np.unique(np.concatenate(v))] for k, v in self.short.items()}
+        return self
+
+    def suspect(self, w: Words) -> np.ndarray:
+        """Whether each text of w has a fingerprint."""
+        out = np.zeros(len(w.bounds) - 1, bool)
+        g, whole = grams(w.h, self.gram), starts_of_grams(w.bounds, self.window)
+        kept = np.flatnonzero(winnowed(g, whole, self.window - self.gram + 1))
+        out[w.row[kept[among(g[kept], self.prints[0])]]] = True
+        for k, (keys,) in self.short.items():
+            g, at = w.windows(k)
+            out[w.row[at[among(g, keys)]]] = True
+        return out
+
+
 def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
@@ -143,21 +189,75 @@ def runs(hit: np.ndarray) -> list[dict]:
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """The test items, so many at once; the driver holds a block at a time."""
-    rows, size = [], 0
+    some, rows, size = False, [], 0
     for row in benchmark.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).toLocalIterator():
         if row[1]:
             rows.append((row[0], row[1]))
             size += len(row[1])
         if size >= block_bytes:
             yield rows
-            rows, size = [], 0
-    yield rows
+            some, rows, size = True, [], 0
+    if rows or not some:
+        yield rows
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """`docs` with one more struct column, and its name: n_words, hits (runs of hit words) and items (ids of the items hit)."""
+    first, *more = itertools.islice(blocks(benchmark, item_col, item_text_col, block_bytes), 2)
+    if not more:
+        return judged(docs, [first], text_col)
+    name = fresh("contamination", docs.columns)
+    digest = fresh("digest", [*docs.columns, name])
+    found = suspects(docs, lambda: blocks(benchmark, item_col, item_text_col, block_bytes), text_col)
+    found = found.select(F.col("digest").alias(digest), F.col("result.hits").alias("hits_"), F.col("result.items").alias("items_"))
+    counted, n_words = with_result(docs, text_col, name, T.StructType([T.StructField("n_words", T.LongType())]), count_words)
+    rows = counted.withColumn(digest, digest_of(text_col)).join(found.withColumnsRenamed({"hits_": f"{digest}hits", "items_": f"{digest}items"}), digest, "left")
+    made = F.struct(F.col(f"`{n_words}`.n_words").alias("n_words"), *[F.coalesce(f"{digest}{c}", F.array().cast(RESULT[c].dataType)).alias(c) for c in ("hits", "items")])
+    return rows.select(*[f"`{c}`" for c in docs.columns], made.alias(name)), name
+
+
+def digest_of(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")))
+
+
+def count_words(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.StructArray]]:
+    for part, data, rows in slices(batch, column):
+        yield part, pa.StructArray.from_arrays([pa.array(np.diff(spans(LOWER[data], rows, ALNUM)[2]))], names=["n_words"])
+
+
+def suspects(docs: DataFrame, parts: Callable[[], Iterator[list]], text_col: str) -> DataFrame:
+    """digest and result of each different text that has a window of the test items; `parts` gives their blocks."""
+    contents = docs.select(digest_of(text_col).alias("digest"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    passed = None
+    sieve = Sieve()
+
+    def through(sieve: Sieve) -> DataFrame:
+        known = Shared(docs.sparkSession, sieve.closed())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sieve = known.get()
+            for batch in batches:
+                for part, data, rows in slices(batch, 1):
+                    yield part.filter(pa.array(sieve.suspect(Words(data, rows))))
+
+        return contents.mapInArrow(run, "digest binary, text string")
+
+    for block in parts():
+        sieve.add(block)
+        if sieve.size >= PRINTS:
+            passed = through(sieve) if passed is None else passed.unionByName(through(sieve))
+            sieve = Sieve()
+    if sieve.size or passed is None:
+        sieve.prints = sieve.prints or [np.zeros(0, np.uint64)]
+        passed = through(sieve) if passed is None else passed.unionByName(through(sieve))
+    out, name = judged(cut(passed.dropDuplicates(["digest"])), parts(), "text")
+    return cut(out.select("digest", F.col(f"`{name}`").alias("result")).filter(F.size("result.hits") > 0))
+
+
+def judged(docs: DataFrame, parts: Iterable[list], text_col: str) -> tuple[DataFrame, str]:
+    """`docs` with the result column, after they have passed through all blocks of test items."""
     out, name, done = docs, "", 0
-    for block in blocks(benchmark, item_col, item_text_col, block_bytes):
+    for block in parts:
         before = name
         known = Shared(docs.sparkSession, Index(block))
 

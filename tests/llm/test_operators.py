@@ -95,6 +95,21 @@ def test_packing_nothing(nothing):
 # --- decontamination ---
 
 
+def test_documents_pass_a_large_benchmark_once(spark, monkeypatch):
+    """20 MB of test items: only texts that share a fingerprint are written, and results are right."""
+    rng = np.random.default_rng(6)
+    item = lambda: " ".join(f"w{k}" for k in rng.integers(0, 10**6, 400))
+    items = [(str(k), item()) for k in range(7400)]
+    docs = [(k, item()) for k in range(300)] + [(1000 + k, items[k * 700][1]) for k in range(10)] + [(2000, None), (1000, items[0][1])]
+    written, whole = [], decontamination.cut
+    monkeypatch.setattr(decontamination, "cut", lambda df: written.append(whole(df)) or written[-1])
+    got = decontamination.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string").repartition(8)).collect()
+    assert sum(len(t) for _, t in items) > 20e6
+    assert all(df.count() <= 10 for df in written)
+    assert {r["doc_id"] for r in got if r["contaminated"]} == {1000 + k for k in range(10)} and len(got) == 312
+    assert all(r["n_items"] == 1 and r["n_hit"] == 400 for r in got if r["contaminated"])
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 500])
 def test_contamination(spark, documents, pairs, block_bytes):
     items = spark.read.parquet(f"{DATA}/benchmark.parquet").unionByName(spark.createDataFrame([(900, "one two three four five"), (901, None), (902, "!!"), (None, "wörd1 wörd2 wörd3"), (0, "ONE"), (903, " ".join(f"wörd{i}" for i in range(5, 17)))], "item_id long, text string"))
