@@ -3,10 +3,12 @@
 Generators of high recall propose spans, overlapping ones too, each from a pattern that
 runs in time linear in the text. A span whose format proves itself (an address, a
 number with the right check digit) is kept. All others are scored by gradient-boosted
-trees on features of their format and of the text before them, and kept beyond a
-threshold calibrated on held-out examples. The trees are trained in numpy from labelled
-examples that SQL functions make by a rule (EXAMPLES rows), and then are a column
-expression.
+trees on features of their format (check digits, forms of numbers that are given out,
+digits that repeat) and of the text on both sides, and kept beyond a threshold that is
+calibrated on held-out examples for each kind. Of overlapping spans base ones stay, then
+the one of the highest score. The trees are trained in numpy from EXAMPLES sentences:
+a form of number, a wording that speaks for it, against it or for nothing, by turns of
+phrase that aren't the features' word lists; and then are a column expression.
 
 Positions come from the gaps between matches: `split` and `regexp_extract_all` see
 the same leftmost matches, so a match starts where the gaps and matches before it end.
@@ -17,17 +19,19 @@ rows are kept as they are; an empty table gives no rows; texts are searched whol
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import texts
 
-#: Labelled examples made for training; a fifth of them is held out to calibrate the threshold.
-EXAMPLES = 4000
-TREES, DEPTH, RATE = 40, 2, 0.3
-#: Of the kept held-out candidates, so many must be right.
-PRECISION = 0.995
+#: Labelled examples made for training; a fifth of them is held out to calibrate the thresholds.
+EXAMPLES = 6000
+TREES, DEPTH, RATE = 60, 3, 0.2
+#: Of the kept held-out candidates of a kind, so many must be right.
+PRECISION = 0.97
 BASE = ("email", "ip", "card", "phone")
 
 _L = "A-Za-z0-9._%+-"
@@ -40,15 +44,21 @@ PATTERNS: dict[str, str] = {
     "card": rf"(?<![0-9{SPACED}{HYPHENED}])[0-9](?:[{SPACED}{HYPHENED}]?[0-9]){{11,18}}(?![0-9{SPACED}{HYPHENED}])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "local_phone": r"(?<![0-9A-Za-z+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+    "local_phone": r"(?<![0-9A-Za-z+-])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
 
-#: Words before a span that speak for and against personal data.
-CUES = {"phone": "phone|call|tel|mobile|fax", "identity": "ssn|social|identity|passport", "bank": "iban|account|bank|transfer", "other": "order|invoice|version|isbn|part|ref|hash|build|serial|ticket"}
-BEFORE = 24
-FEATURES = (*KINDS[4:], "digits", "distinct", "symbols", "ends_in_zeros", *(f"cue_{c}" for c in CUES), "glued")
+#: Words near a span that speak for and against personal data.
+CUES = {
+    "phone": "phone|tel|telephone|call|calls|mobile|cell|fax|dial|ring|text|sms|reach|contact|telefon|handy|anrufen|appeler|portable|teléfono|móvil|llamar",
+    "identity": "ssn|social|security|identity|passport|tax|citizen|ausweis|identité|passeport|pasaporte|dni",
+    "bank": "iban|account|bank|transfer|wire|pay|konto|überweisen|compte|virement|cuenta|banco",
+    "other": "order|invoice|version|isbn|part|ref|reference|hash|build|serial|ticket|model|item|sku|tracking|case|lot|code|bestellung|rechnung|commande|facture|pedido|factura",
+}
+#: Code points before and after a span that count as near it.
+BEFORE, AFTER = 40, 24
+FEATURES = (*KINDS[4:], "digits", "distinct", "symbols", "ends_in_zeros", "given_out", "checked", "brackets", *(f"{c}_before" for c in CUES), *(f"{c}_after" for c in CUES), "own", "glued", "digits_near", "copula")
 
 
 def digits(text: Column) -> Column:
@@ -103,39 +113,87 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.concat(*[found(k, F.col("text"), F.col("marked")) for k in KINDS]).alias("spans"))
 
 
+def mod97(text: Column) -> Column:
+    """What an account number leaves, its first four places last and letters as numbers from 10 on."""
+    turned = F.upper(F.concat(F.substring(text, 5, 64), F.substring(text, 1, 4)))
+    value = lambda c: F.ascii(c) - F.when(c.between("0", "9"), 48).otherwise(55)
+    step = lambda n, v: (n * F.when(v > 9, 100).otherwise(10) + v) % 97
+    return F.aggregate(F.transform(F.split(turned, ""), value), F.lit(0), step)
+
+
 def features(span: Column, text: Column) -> dict[str, Column]:
     before = F.lower(F.substring(text, F.greatest(span["start"] - BEFORE, F.lit(0)) + 1, F.least(span["start"], F.lit(BEFORE))))
+    after = F.lower(F.substring(text, span["end"] + 1, F.lit(AFTER)))
     number = digits(span["text"])
-    out = {k: (span["kind"] == k).cast("int") for k in KINDS[4:]}
+    phone, identity, bank = (span["kind"] == k for k in ("local_phone", "national_id", "iban"))
+    near = lambda where, words: F.regexp_like(where, F.lit(rf"(?<!\pL)(?:{words})(?!\pL)"))
+    is_ = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    out = {k: is_(span["kind"] == k) for k in KINDS[4:]}
     out["digits"] = F.length(number)
     out["distinct"] = F.size(F.array_distinct(F.split(number, "")))
     out["symbols"] = F.length(span["text"]) - F.length(number)
-    out["ends_in_zeros"] = number.rlike("00+$").cast("int")
-    out |= {f"cue_{c}": before.rlike(f"\\b(?:{words})\\b").cast("int") for c, words in CUES.items()}
-    out["glued"] = before.rlike("[^ ]$").cast("int")
+    out["ends_in_zeros"] = is_(number.rlike("00+$"))
+    out["given_out"] = is_(phone & number.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$") | identity & number.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$"))
+    out["checked"] = is_(F.when(bank, mod97(F.replace(span["text"], F.lit(" "), F.lit(""))) == 1))
+    out["brackets"] = is_(span["text"].startswith("("))
+    out |= {f"{c}_before": is_(near(before, words)) for c, words in CUES.items()}
+    out |= {f"{c}_after": is_(near(after, words)) for c, words in CUES.items()}
+    out["own"] = is_(near(before, "my|me|us|our|his|her|your|mein|meine|mich|mon|ma|mi"))
+    out["glued"] = is_(before.rlike("[^ ]$"))
+    out["digits_near"] = F.length(digits(before)) + F.length(digits(after))
+    out["copula"] = is_(before.rlike("(?: at| is| on| to|:|=) ?$"))
     return {k: out[k] for k in FEATURES}
 
 
-def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
-    """Labelled texts by a rule: numbers of the forms above after words that speak for them (label 1), or after others or none (label 0)."""
-    draw = lambda i, k: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(k))
-    pick = lambda i, values: F.element_at(F.array(*map(F.lit, values)), (draw(i, len(values)) + 1).cast("int"))
-    some = lambda i, k: F.lpad((F.pmod(F.xxhash64("id", F.lit(100 + i)), F.lit(10**k))).cast("string"), k, "0")
-    forms = [
-        F.concat_ws("-", some(1, 3), some(2, 2), some(3, 4)),
-        F.concat(F.lit("("), some(4, 3), F.lit(") "), some(5, 3), F.lit("-"), some(6, 4)),
-        F.concat_ws(".", some(7, 3), some(8, 3), some(9, 4)),
-        F.concat(F.lit("DE"), some(10, 2), some(11, 9), some(12, 9)),
-    ]
-    form = F.col("form")
-    number = F.coalesce(*[F.when(form == i, f) for i, f in enumerate(forms)])
-    cue = F.when(form == 0, pick(21, CUES["identity"].split("|"))).when(form == 3, pick(22, CUES["bank"].split("|"))).otherwise(pick(23, CUES["phone"].split("|")))
-    other = F.when(draw(24, 2) == 0, pick(25, CUES["other"].split("|"))).otherwise(pick(26, ["the", "and", "in", "le", "der", "que", "was", "on"]))
-    return (
-        spark.range(n)
-        .select("id", draw(20, 4).alias("form"), (draw(27, 2) == 0).cast("int").alias("label"))
-        .select(F.col("id").alias("doc_id"), F.concat(pick(28, ["of the ", "it is ", "to ", ""]), F.when(F.col("label") == 1, cue).otherwise(other), pick(29, [" ", ": ", " no "]), number, pick(30, [" and so", ".", ""])).alias("text"), "label")
-    )
+#: What examples are made of; {} is the number. Wordings that speak for a kind, wordings against all, and for nothing.
+SPEAKING = {
+    "national_id": ["my social security number is {}", "SSN {}", "ssn: {}", "{} is on her passport", "tax id {} for the return", "identity number {}", "he gave his social as {}", "the applicant's SSN is {}, born in May"],
+    "local_phone": ["call me at {}", "reach the office at {}", "telephone number {}", "Tel. {}", "mobile: {}", "you can ring {} after six", "text us on {}", "{} is my cell", "contact {} to book", "Telefon {}", "fax {} or write", "dial {} for help", "her phone is {}"],
+    "iban": ["please wire it to {}", "{} is our IBAN", "IBAN {}", "Konto {}", "account {} at the bank", "the transfer goes to {}", "and {}"],
+}
+AGAINST = ["order {}", "invoice no. {}", "part number {}", "version {}", "serial {} of the pump", "ticket {} was closed", "see case {}", "tracking code {}", "{} is the model", "ISBN {}", "build {} failed", "lot {} was recalled", "ref. {}", "SKU {}", "item {} is sold out", "Rechnung {}", "call the desk about order {}", "hash {}"]
+NEUTRAL = ["the {} and", "it was {} then", "{}", "in {} they", "with {} of", "a {} on", "le {} de", "der {} und", "1 20 {} 44", "{}, 17, 230, 5"]
+
+
+def examples(spark: SparkSession, n: int = EXAMPLES, seed: int = 1) -> DataFrame:
+    """doc_id, text, kind and label of sentences with one number each: personal (1) if it is of the kind's form, given out, and nothing speaks against it."""
+    rng = np.random.default_rng(seed)
+    draw = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    pick = lambda values: values[rng.integers(len(values))]
+
+    def account(right: bool) -> str:
+        country = pick(["DE", "FR", "ES", "GB", "NL", "IT"])
+        own = draw(pick([12, 14, 18, 20]))
+        rest = int("".join(str(int(c, 36)) for c in own + country + "00")) % 97
+        check = (98 - rest + (0 if right else int(rng.integers(1, 96)))) % 97
+        text = f"{country}{check if check > 1 else check + 97:02d}{own}"
+        return " ".join(text[i : i + 4] for i in range(0, len(text), 4)) if rng.random() < 0.3 else text
+
+    def number(kind: str, right: bool) -> str:
+        if kind == "iban":
+            return account(right)
+        if kind == "national_id":
+            return f"{rng.integers(1, 900):03d}-{rng.integers(1, 100):02d}-{rng.integers(1, 10000):04d}" if right else f"{draw(3)}-{draw(2)}-{draw(4)}"
+        first = f"{rng.integers(200, 1000)}", f"{rng.integers(200, 1000)}", draw(4)
+        a, b, c = first if right else (draw(3), draw(3), draw(4))
+        forms = ["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "({}){}-{}"] if right else ["{}-{}-{}", "{}.{}.{}", "{} {} {}"]
+        return pick(forms).format(a, b, c)
+
+    rows = []
+    for i in range(n):
+        kind, way = pick(KINDS[4:]), rng.random()
+        if way < 0.5:
+            text, right = pick(SPEAKING[kind]), bool(rng.random() < 0.9 or kind != "iban")
+        elif way < 0.8:
+            text, right = pick(AGAINST), kind == "iban" and bool(rng.random() < 0.1)
+        else:
+            text, right = pick(NEUTRAL), kind == "iban" and bool(rng.random() < 0.3)
+        made = number(kind, right)
+        label = int(right if kind == "iban" else way < 0.5)
+        lead, tail = pick(["", "Yes, ", "We met again. ", "As agreed, ", "on the 3rd "]), pick(["", ".", " as before", ", thanks", " and so on"])
+        rows.append({"doc_id": i, "text": lead + text.format(made) + tail, "kind": kind, "label": label})
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<doc_id: long, text: string, kind: string, label: int>>")
+    return spark.range(1).select(F.inline(table))
 
 
 class Trees:
@@ -199,25 +257,29 @@ class Trees:
 
 def threshold(scores: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
     """The lowest score from which on so many of the kept are right; beyond all scores if there is none."""
+    if not len(scores):
+        return float("inf")
     order = np.argsort(-scores, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     good = np.flatnonzero((right >= precision) & np.append(scores[order][1:] != scores[order][:-1], True))
     return float(scores[order][good[-1]]) if len(good) else float("inf")
 
 
-_models: dict[int, tuple[Trees, float]] = {}
+_models: dict[int, tuple[Trees, dict[str, float]]] = {}
 
 
-def model(spark: SparkSession) -> tuple[Trees, float]:
-    """Trees and threshold; the driver gets the features of at most EXAMPLES rows."""
+def model(spark: SparkSession) -> tuple[Trees, dict[str, float]]:
+    """Trees and each kind's threshold; the driver gets the features of at most EXAMPLES sentences."""
     if EXAMPLES not in _models:
         made = examples(spark)
         spans = candidates(made).select("doc_id", "text", F.explode(F.filter("spans", lambda s: ~s["kind"].isin(*BASE))).alias("s"))
-        rows = spans.join(made.select("doc_id", "label"), "doc_id").select("doc_id", "label", *[c.cast("int").alias(k) for k, c in features(F.col("s"), F.col("text")).items()]).orderBy("doc_id", *FEATURES).collect()
-        x, y = np.array([r[2:] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+        labelled = spans.join(made.select("doc_id", "kind", "label"), "doc_id").withColumn("label", F.when(F.col("s.kind") == F.col("kind"), F.col("label")).otherwise(0))
+        rows = labelled.select("doc_id", F.col("s.kind").alias("kind"), "label", *[c.cast("int").alias(k) for k, c in features(F.col("s"), F.col("text")).items()]).orderBy("doc_id", *FEATURES).collect()
+        x, y, kinds = np.array([r[3:] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64), np.array([r[1] for r in rows])
         held = np.array([r[0] % 5 == 0 for r in rows])
         trees = Trees().fit(x[~held], y[~held])
-        _models[EXAMPLES] = trees, threshold(trees.scores(x[held]), y[held])
+        scores = trees.scores(x)
+        _models[EXAMPLES] = trees, {k: threshold(scores[held & (kinds == k)], y[held & (kinds == k)]) for k in KINDS[4:]}
     return _models[EXAMPLES]
 
 
@@ -226,17 +288,33 @@ def annotate(docs: DataFrame) -> DataFrame:
     trees, least = model(docs.sparkSession)
     rows = candidates(docs)
     whole = F.col("text")
+    order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    finite = {k: v for k, v in least.items() if np.isfinite(v)}
+    limits = F.create_map(*[x for k, v in (finite or {"": 0.0}).items() for x in (F.lit(k), F.lit(float(v)))])
 
-    def kept(span: Column) -> Column:
+    def proven(span: Column) -> Column:
         own = F.lit(False)
         for kind in BASE:
             own = F.when(span["kind"] == kind, proves_itself(kind, span["text"])).otherwise(own)
-        scored = trees.column(list(features(span, whole).values())) >= least
-        return F.when(span["kind"].isin(*BASE), own).otherwise(scored)
-
-    order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    ordered = F.array_sort(F.transform(F.filter("spans", kept), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("place"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return rows.select("doc_id", "text", F.when(F.size("spans") > 0, ordered).otherwise(F.array().cast("array<struct<start: int, place: int, kind: string, end: int>>")).alias("spans"))
+        return own
+
+    crosses = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    fields = ("start", "place", "kind", "end")
+    result = f"array<struct<{', '.join(f'{f}: {t}' for f, t in zip(fields, ('int', 'int', 'string', 'int'), strict=True))}>>"
+    base = F.transform(F.filter("spans", lambda s: s["kind"].isin(*BASE) & proven(s)), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("place"), s["kind"].alias("kind"), s["end"].alias("end")))
+    rows = rows.select("doc_id", "text", F.when(F.size("spans") > 0, F.filter("spans", lambda s: ~s["kind"].isin(*BASE))).otherwise(F.filter("spans", lambda s: F.lit(False))).alias("open"), F.when(F.size("spans") > 0, base).otherwise(F.array().cast(result)).alias("base"))
+    free = F.filter("open", lambda s: ~F.exists("base", lambda b: crosses(s, b)))
+    described = F.transform(free, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("place"), s["kind"].alias("kind"), s["end"].alias("end"), F.struct(*[c.alias(k) for k, c in features(s, whole).items()]).alias("f")))
+    rows = rows.withColumn("described", F.when(F.size("open") > 0, described))
+    scored = F.transform("described", lambda s: F.struct(*[s[f].alias(f) for f in fields], trees.column([s["f"][k] for k in FEATURES]).alias("score")))
+    rows = rows.withColumn("scored", F.filter(scored, lambda s: s["score"] >= F.coalesce(limits[s["kind"]], F.lit(float("inf")))))
+    better = lambda a, b: (a["score"] > b["score"]) | (a["score"] == b["score"]) & ((a["start"] < b["start"]) | (a["start"] == b["start"]) & (a["place"] < b["place"]))
+    # a span goes if a better one crosses it; what only crosses spans that go stays
+    ranked = F.array_sort("scored", lambda a, b: F.when(better(a, b), -1).when(better(b, a), 1).otherwise(0))
+    empty = F.array().cast(result)
+    plain = lambda s: F.array(F.struct(*[s[f].alias(f) for f in fields]))
+    chosen = F.aggregate(ranked, empty, lambda kept, s: F.when(F.exists(kept, lambda k: crosses(s, k)), kept).otherwise(F.concat(kept, plain(s))))
+    return rows.select("doc_id", "text", F.array_sort(F.concat("base", F.coalesce(chosen, empty))).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
