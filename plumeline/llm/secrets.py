@@ -2,13 +2,16 @@
 
 Every text is content-addressed (a blob, by SHA-256), whatever document or version
 of it holds it. The ledger is a Parquet table of what each rule version found in
-each blob. A scan brings each blob that the ledger hasn't seen under its rule version
-to one task, scans it once, appends to the ledger, and joins the ledger's findings
-back to all documents. A second scan with the same rules scans new blobs only.
+each blob. A scan reads the blobs that the ledger hasn't seen under its rule version,
+appends what it finds to the ledger, and joins the ledger's findings back to all
+documents. A second scan with the same rules scans new blobs only.
 
-Tasks drop their own repeated blobs before texts are moved, so a blob that a third of
-the documents hold arrives once from each task. A lost task scans its blobs again;
-a blob that is in the ledger twice counts once.
+Without anything in the ledger texts stay where they are: each task scans its own
+different blobs, and only digests and findings are shuffled. Otherwise digests alone meet
+the ledger, and texts are moved (if the new digests are too many for a broadcast) only to
+leave out those that it has. A blob that a third of the documents hold is scanned once by
+each task that has it; a lost task scans its blobs again; a blob that is in the ledger
+twice counts once.
 
 Nulls and edge cases: a null text is the empty blob; a null doc_id keeps its findings;
 repeated documents share a blob and each gets its findings; an empty table gives an
@@ -19,14 +22,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, shared_path, small_batches, texts
+from .common import Scratch, cut, fresh, small_batches, texts
 
 #: Raise it with every change of the rules.
 RULE_VERSION = "1"
@@ -63,21 +66,6 @@ def find(text: str) -> list[dict]:
     return [{"kind": kind, "start": start, "end": end} for start, _, kind, end in sorted(found)]
 
 
-def seen_once(column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Drops a task's rows whose value in a column came before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            new = []
-            for value in batch.column(column).to_pylist():
-                new.append(value not in seen)
-                seen.add(value)
-            yield batch.filter(pa.array(new, pa.bool_()))
-
-    return run
-
-
 def blob(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
@@ -107,26 +95,32 @@ def scan(docs: DataFrame, ledger_path: str, rule_version: str = RULE_VERSION, te
                 seen.add(key)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), texts_], names=["blob", "text"]).filter(pa.array(new, pa.bool_()))
 
-    blobs = contents.mapInArrow(distinct, "blob binary, text string").repartition("blob")
+    blobs = contents.mapInArrow(distinct, "blob binary, text string")
     ledger = read_ledger(docs, ledger_path)
     if ledger is not None:
-        blobs = blobs.join(ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
-    once = seen_once(0)
+        known = ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct()
+        new = contents.select(blob(F.col("text")).alias("blob")).distinct().join(known, "blob", "left_anti")
+        blobs = blobs.join(new, "blob", "left_semi")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in once(batches):
+        for batch in batches:
             found = [find(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rule_version] * len(found), pa.string()), pa.array(found, pa.list_(SPAN))], names=["blob", "rule_version", "findings"])
 
-    blobs.mapInArrow(scanned, f"blob binary, rule_version string, findings {FINDINGS}").write.mode("append").parquet(ledger_path)
+    found = blobs.mapInArrow(scanned, f"blob binary, rule_version string, findings {FINDINGS}")
+    found.dropDuplicates(["blob"]).write.mode("append").parquet(ledger_path)
     return docs.sparkSession.read.parquet(ledger_path).filter(F.col("rule_version") == rule_version)
 
 
 def annotate(docs: DataFrame, ledger_path: str | None = None, rule_version: str = RULE_VERSION, text_col: str = "text", keep_text: bool = True) -> tuple[DataFrame, str]:
-    """`docs` with one more column, and its name: the findings in each document's text. Without a ledger's path, a new one is made in the shared folder."""
-    ledger = scan(docs, ledger_path or shared_path(docs.sparkSession, "secret-ledger"), rule_version, text_col)
+    """`docs` with one more column, and its name: the findings in each document's text. Without a ledger's path, one is made in the shared folder for this scan alone."""
     name, key = fresh("findings", docs.columns), fresh("blob", docs.columns)
-    found = ledger.filter(F.size("findings") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias(key), F.col("findings").alias(name))
+    found_in = lambda ledger: ledger.filter(F.size("findings") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias(key), F.col("findings").alias(name))
+    if ledger_path:
+        found = found_in(scan(docs, ledger_path, rule_version, text_col))
+    else:
+        with Scratch(docs.sparkSession, "secret-ledger") as keep:
+            found = cut(found_in(scan(docs, keep.path, rule_version, text_col)))
     paths = docs.withColumn(key, blob(F.col(f"`{text_col}`").cast("string")))
     if not keep_text:
         paths = paths.drop(text_col)
