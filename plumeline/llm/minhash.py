@@ -211,8 +211,8 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def deduplicated(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component; of repeated rows of one doc_id and text one stays, rows without doc_id all stay."""
     found = cut(annotate(docs))
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = found.filter("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return left
     return left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]))
