@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumeline.llm import decontamination, minhash, packing, quality, secrets
-from plumeline.llm.common import shared_path, table
+from plumeline.llm.common import Scratch, cut, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all documents; what each keeps is written to the shared folder."""
+    """The stages over all documents; what each keeps is in the shared folder until the last one is done."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark, "pipeline") as keep:
+        for _, stage in STAGES[:-1]:
+            docs = keep(stage(spark, docs, sf_dir))
+        return cut(STAGES[-1][1](spark, docs, sf_dir))

@@ -149,3 +149,40 @@ def trigram_scores(pairs):
         return kept.get((a, b, c), 0) / t + (left[a, b] + lm.MU) / t * low(b, c)
 
     return {i: sum(math.log10(p3(*s[k : k + 3])) for k in range(len(s) - 2)) for i, s in sequences}, hot
+
+
+def quality_verdicts(rows):
+    """(char_distance, word_distance, kept) of rows (text, lang, base_failed, n_words, n_symbols, word_chars), from dictionaries."""
+    from plumeline.llm import quality as q
+
+    def classes(text):
+        out = [0] * 5
+        for c in text or "":
+            kind = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else None if c in string.digits or c in " \t\n\v\f\r" else 3 if c in "#*$%&|<>" else 4 if c > "\x7f" else 2
+            if kind is not None:
+                out[kind] += 1
+        return out
+
+    def distance(a, b):
+        a, b = ({k: n / max(sum(x.values()), 1) for k, n in x.items()} for x in (a, b))
+        h = lambda p: -sum(v * math.log2(v) for v in p.values() if v)
+        half = {k: (a.get(k, 0) + b.get(k, 0)) / 2 for k in {*a, *b}}
+        return math.sqrt(max(0.0, h(half) - (h(a) + h(b)) / 2))
+
+    kinds, counted = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for text, lang, failed, n_words, n_symbols, word_chars in rows:
+        c = classes(text)
+        if lang is not None and text is not None and not failed and n_symbols <= q.REFERENCE_SYMBOLS * n_words and c[1] <= q.REFERENCE_CAPITALS * word_chars:
+            kinds[lang].update(dict(enumerate(c)))
+            counted[lang].update(words(text, ALNUM_WORDS))
+    langs = sorted(k for k in counted if sum(counted[k].values()) >= q.LANGUAGE_WORDS)
+    common = {w for k in langs for w, n in counted[k].items() if n >= q.COMMON * sum(counted[k].values())}
+    put = lambda ws: collections.Counter(w if w in common else None for w in ws)
+    references = [(kinds[k], put(counted[k].elements())) for k in langs]
+    out = []
+    for text, lang, failed, *_ in rows:
+        c, w = dict(enumerate(classes(text))), words(text, ALNUM_WORDS)
+        char, word = min(((distance(c, a), distance(put(w), b)) for a, b in references), key=sum, default=(0.0, 0.0))
+        far = (char > q.FAR_CHARS or char > q.ODD_CHARS and word > q.ODD_WORDS and len(w) >= q.MIN_COUNTED) and sum(c.values()) >= q.MIN_CHARS and (lang is None or lang in langs)
+        out.append((char, word, not failed and not far))
+    return out

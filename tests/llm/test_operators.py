@@ -136,6 +136,26 @@ def test_quality(documents, pairs):
     assert not any(r["kept"] and r["base_failed"] for r in rows)
 
 
+def test_verdicts_against_dictionaries(documents):
+    """Both distances and the verdict, with references made from the same documents."""
+    docs = documents.select("doc_id", "text", "lang")
+    texts = collections.defaultdict(list)
+    for r in docs.collect():
+        texts[r["doc_id"], r["lang"]].append(r["text"])
+    got = quality.report(docs).collect()
+    rows = [(t, lang) for (_, lang), ts in texts.items() for t in ts]
+    ids = [i for (i, _), ts in texts.items() for _ in ts]
+    counts = [brute.quality(t) for t, _ in rows]  # n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
+    verdicts = brute.quality_verdicts([(t, lang, c[5], c[0], c[2], c[1]) for (t, lang), c in zip(rows, counts, strict=True)])
+    place = lambda x: (repr(x[0]), *x[1:])
+    want = sorted((place((i, c[0], c[1], v)) for i, c, v in zip(ids, counts, verdicts, strict=True)), key=repr)
+    have = sorted((place((r["doc_id"], r["n_words"], r["word_chars"], (r["char_distance"], r["word_distance"], r["kept"]))) for r in got), key=repr)
+    assert len(want) == len(have)
+    for w, h in zip(want, have, strict=True):
+        assert w[:3] == h[:3] and w[3][2] == h[3][2] and w[3][:2] == pytest.approx(h[3][:2], abs=1e-9)
+    assert 0 < sum(v[2] for v in verdicts) < len(verdicts)
+
+
 def test_quality_follows_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.report(docs).join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
@@ -323,6 +343,20 @@ def test_redaction(spark, documents):
     assert secrets.find("x ghp_" + "a1" * 20)[0]["kind"] == "github"
 
 
+def test_secrets_of_nothing_and_beside_other_columns(spark, nothing):
+    assert secrets.report(nothing).count() == 0 and secrets.redacted(nothing).count() == 0
+    docs = spark.createDataFrame([(1, "token: abcdef12 x", 7, "b", 17), (None, None, None, None, None), (1, "token: abcdef12 x", 7, "b", 17)], "doc_id long, text string, findings int, BLOB string, n_chars long")
+    assert ordered(tuple(r) for r in secrets.redacted(docs).collect()) == ordered([(1, "[secret] x", 7, "b", 10)] * 2 + [(None, None, None, None, None)])
+
+
+def test_texts_without_a_ledger_stay_where_they_are(spark, documents, tmp_path, monkeypatch):
+    plans = []
+    write = type(documents).dropDuplicates
+    monkeypatch.setattr(type(documents), "dropDuplicates", lambda self, *a: plans.append(self) or write(self, *a))
+    secrets.scan(documents, str(tmp_path / "ledger"))
+    assert "Exchange" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+
+
 # --- personal data ---
 
 PERSONAL = [

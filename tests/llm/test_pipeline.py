@@ -1,3 +1,5 @@
+import pathlib
+
 import __spark_entry__
 import corpus_pipeline
 from plumeline.llm import minhash, packing, quality
@@ -35,8 +37,26 @@ def test_stages(spark, tmp_path):
     assert ids(after) == ids(before) and after.agg({"length": "sum"}).first()[0] == packing.pack(before, corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")).agg({"length": "sum"}).first()[0]
 
 
+def test_stages_of_odd_rows(spark):
+    """Nulls, repeated and long rows, other columns named like results, and nothing at all pass through every stage."""
+    long = " ".join(f"word{k % 997}" for k in range(30_000))
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "", 0), (7, long, "en", "a", len(long)), (7, long, "en", "a", len(long)), (8, "x", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = table(spark, DATA, "documents").unionByName(odd).selectExpr("*", "1 as kept", "2 as KEY", "3 as quality", "4 as findings", "'b' as blob", "5 as contamination", "6 as gone", "7 as digest")
+    for frame in (docs, docs.filter("false")):
+        rows = frame
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, DATA)
+            if name != "sequence_packing":
+                assert out.columns == docs.columns
+            rows = spark.createDataFrame(out.collect(), out.schema)
+        assert rows.isEmpty() == frame.isEmpty()
+        assert frame.isEmpty() or rows.filter("doc_id = 7").select("doc_tokens").distinct().count() == 1
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    assert not list(folder.glob("**/pipeline-*")) and not list(folder.glob("**/secret-ledger-*"))
 
 
 def test_registered():
