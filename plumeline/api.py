@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -41,6 +41,11 @@ class Observations:
     def write(self, path: str) -> None:
         self.to_table().write.parquet(path)
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, key: str = "site") -> Observations:
+        """What write() wrote: one flat table, split into observations and sites."""
+        return cls.from_table(spark.read.parquet(path), key)
+
     def select_times(self, tmin: str | None = None, tmax: str | None = None) -> Observations:
         """In the closed range, with the sites that still have observations."""
         kept = observations.select_times(self.obs, tmin, tmax)
@@ -133,8 +138,27 @@ class Fluxes:
     def zeros(self, value: float = 0.0) -> Fluxes:
         return replace(self, flux=flux.filled_like(self.flux, value))
 
-    def write(self, path: str) -> None:
-        tables.write_flux(self.flux, path)
+    def as_vector(self, category: str) -> DataFrame:
+        """k, flux of one category: places in the order of steps, rows and columns of the whole grid; where there is no flux, there is no row."""
+        shape = self.cells.agg((F.max("ilat") + 1).alias("nlat"), (F.max("ilon") + 1).alias("nlon"))
+        k = (F.col("itim").cast("long") * F.col("nlat") + F.col("ilat")) * F.col("nlon") + F.col("ilon")
+        return self.flux.filter(F.col("category") == category).crossJoin(F.broadcast(shape)).select("tracer", k.alias("k"), "flux")
+
+    def write(self, path: str, only_transported: bool = False) -> None:
+        """The cube by tracer and category, and beside it cells (with areas), steps and what is known of categories."""
+        kept = self.transported() if only_transported else self
+        tables.write_flux(kept.flux, f"{path}/flux")
+        self.cells.write.parquet(f"{path}/cells")
+        self.times.write.parquet(f"{path}/times")
+        known = [c for c in self.categories if c.transported or not only_transported]
+        self.spark.createDataFrame([(c.tracer, c.name, tables.attributes_to_text(asdict(c))) for c in known], "tracer string, category string, attributes string").write.parquet(f"{path}/categories")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, tracers: list[str] | None = None) -> Fluxes:
+        """What write() wrote, or some tracers of it."""
+        rows = spark.read.parquet(f"{path}/categories").orderBy("tracer", "category").collect()
+        known = tuple(Category(**tables.attributes_from_text(r["attributes"])) for r in rows if tracers is None or r["tracer"] in tracers)
+        return cls(tables.read_flux(spark, f"{path}/flux", tracers), spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/times"), known)
 
 
 @dataclass

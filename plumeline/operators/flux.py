@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeline.functions.timeaxis import Step
 from plumeline.functions.units import Conversion, conversion
 
 KEY = ["tracer", "category", "itim", "ilat", "ilon"]
@@ -31,6 +32,14 @@ def dense(flux: DataFrame, times: DataFrame, cells: DataFrame) -> DataFrame:
     return without_null(axes.join(flux, KEY, "left"))
 
 
+def steps_within(source: Step, target: Step) -> int:
+    """How many target steps a source step has; it must be a whole number."""
+    n = source.ratio(target)
+    if n != int(n):
+        raise ValueError("the steps aren't whole parts of each other")
+    return int(n)
+
+
 def upsampled(flux: DataFrame, times: DataFrame) -> DataFrame:
     """Fluxes at all times: each from the last one before or at it, 0 before the first."""
     series = ["tracer", "category", "ilat", "ilon"]

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumeline.functions.timeaxis import step
+
 #: Fixed value: kilometres, for distances.
 EARTH_KM = 6371.0
 
@@ -56,6 +58,11 @@ def kernel_and_length(text: str) -> tuple[float, str]:
     return float(got[1]), got[2]
 
 
+def temporal_length(length: str, interval: str) -> float:
+    """A correlation time as a number of optimisation intervals; both fixed durations or both calendar steps."""
+    return step(length).ratio(step(interval))
+
+
 def spatial_correlations(distances: DataFrame, kind: str, length: float, least: float = 1e-7) -> DataFrame:
     """i, j, corr of distances; correlations below the least are dropped."""
     if kind not in KERNELS:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import copy
 import json
+import os
 import re
+from datetime import datetime
 from typing import Any
 
+from plumeline.operators.grid import Grid
+
 
 def lookup(settings: dict, path: str) -> Any:
     out: Any = settings
@@ -37,6 +41,9 @@ def replaced(value: Any, settings: dict, path: tuple[str, ...]) -> Any:
         return [replaced(v, settings, path) for v in value]
     if not isinstance(value, str):
         return value
+    made = re.fullmatch(r"\$\{(ts|Grid|env):([^{}]+)\}", value)
+    if made:
+        return RESOLVERS[made[1]](made[2].strip(), settings)
     whole = re.fullmatch(r"\$\{([\w.]+)\}", value)
     if whole:
         if whole[1] in path:
@@ -45,8 +52,21 @@ def replaced(value: Any, settings: dict, path: tuple[str, ...]) -> Any:
     return re.sub(r"\$\{([\w.]+)\}", lambda m: str(replaced("${" + m[1] + "}", settings, path)), value)
 
 
+#: What `${name:text}` stands for: a time, a grid of a section's keys, a variable of the environment.
+RESOLVERS = {
+    "ts": lambda text, settings: datetime.fromisoformat(text),
+    "Grid": lambda text, settings: Grid.of(**replaced(lookup(settings, text), settings, ())),
+    "env": lambda text, settings: os.environ[text],
+}
+
+
 def read(path: str, machine: str | None = None, **overrides: Any) -> dict:
+    """Settings of a JSON file, or of a YAML file where there is a library for it."""
     with open(path, encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            return resolved(yaml.safe_load(f), machine, **overrides)
         return resolved(json.load(f), machine, **overrides)
 
 
