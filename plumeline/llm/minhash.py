@@ -17,11 +17,14 @@ Documents are linked when the Jaccard similarity of their sets of 5-word shingle
 6. Components by label propagation with pointer jumping, on executors.
 7. Members that are still apart from their bucket's best one are compared again: in
    buckets of up to SMALL members with all others, in larger ones with DRAWS members drawn
-   for each bucket. Their links join the others. So a link between two members of a large
-   bucket is found if a chain of these comparisons joins them in any of their common
-   buckets; pairs that a chain has joined needn't be compared.
-
-Nulls and edge cases: texts without words have an empty set and no links; fewer than
+   for each bucket. Their links join the others.
+8. Members of large buckets that are apart even then are a set of queries against all
+   members of the large buckets whose best ones are of one component: in blocks of about
+   BLOCK shingles on each side, each pair of blocks a group of its own that counts common
+   shingles in place and gives links only. So every pair with a key in common is compared
+   or joined by a chain of links, however large the bucket.
+
+Ids are integers. Nulls and edge cases: texts without words have an empty set and no links; fewer than
 five words are one shingle; rows without doc_id get their set's size, but neither
 links nor a component; repeated rows have equal sets and one component; an empty table
 gives an empty result. Texts of any length are taken whole.
@@ -46,6 +49,7 @@ BLOCKS = 16  # of each collection
 ROWS = 2  # minhashes of a block
 SMALL = 8
 DRAWS = 2
+BLOCK = 1 << 20  # shingles
 
 
 def shingle_sets(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +142,75 @@ def candidates(members: DataFrame) -> DataFrame:
     return distinct_pairs(members.select("id", "n", F.col("best").alias("id2"), F.col("best_n").alias("n2")))
 
 
-def more_candidates(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of members that no link joins to their bucket's best one: all pairs of small buckets, and in large ones those with the drawn one."""
+def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """`rows` with the component of column `node` as column `name`: its own id where it has no links."""
+    of = labels.select(F.col("node").alias(f"{name}_node"), F.col("label").alias(f"{name}_found"))
+    return rows.join(of, F.col(node) == F.col(f"{name}_node"), "left").withColumn(name, F.coalesce(f"{name}_found", node)).drop(f"{name}_node", f"{name}_found")
 
-    def label(rows: DataFrame, node: str, name: str) -> DataFrame:
-        of = labels.select(F.col("node").alias(f"{name}_node"), F.col("label").alias(f"{name}_found"))
-        return rows.join(of, F.col(node) == F.col(f"{name}_node"), "left").withColumn(name, F.coalesce(f"{name}_found", node)).drop(f"{name}_node", f"{name}_found")
 
-    apart = label(label(members, "id", "own"), "best", "lead").filter("own <> lead")
+def more_candidates(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of members that no link joins to their bucket's best one: all pairs of small buckets, and in large ones those with the drawn one."""
+    apart = labelled(labelled(members, labels, "id", "own"), labels, "best", "lead").filter("own <> lead")
     large = [apart.filter(F.col("members") > SMALL).select("id", "n", "own", F.col(f"drawn{k}.id").alias("id2"), F.col(f"drawn{k}.n").alias("n2")).distinct() for k in range(DRAWS)]
-    large = label(reduce(DataFrame.unionByName, large).distinct(), "id2", "other").filter("own <> other").select("id", "n", "id2", "n2")
+    large = labelled(reduce(DataFrame.unionByName, large).distinct(), labels, "id2", "other").filter("own <> other").select("id", "n", "id2", "n2")
     some = apart.filter(F.col("members").between(3, SMALL)).select("key", "best", F.col("id").alias("id2"), F.col("n").alias("n2"))
     small = members.select("key", "id", "n").join(some, "key").filter("id <> best").select("id", "n", "id2", "n2")
     return distinct_pairs(large.unionByName(small))
 
 
+def still_apart(members: DataFrame, labels: DataFrame, held: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members of large buckets by their best ones' component (lead), where some are of others (own): with their texts, and into how many blocks the queries (`rows`) and all of them (`cols`) go."""
+    large = members.filter(F.col("members") > SMALL).select("id", "n", "best").distinct()
+    within = labelled(labelled(large, labels, "id", "own"), labels, "best", "lead").select("lead", "id", "own", "n").distinct()
+    blocks = lambda n: F.ceil(F.sum(n) / block).cast("int")
+    parts = within.groupBy(F.col("lead").alias("of")).agg(blocks(F.when(F.col("own") != F.col("lead"), F.col("n"))).alias("rows"), blocks(F.col("n")).alias("cols")).filter("rows is not null")
+    placed = within.join(parts, F.col("lead") == F.col("of")).drop("of", "n")
+    return placed.join(held.select(F.col("doc_id").alias("id"), "packed"), "id").select("lead", "id", "own", "rows", "cols", "packed")
+
+
+def links_apart(placed: DataFrame) -> DataFrame:
+    """Links (a, b) between the members that are apart and all others of their lead that are of another component, on full sets."""
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = placed.filter("own <> lead").select("lead", place("rows").alias("row"), every("cols").alias("col"), "id", "own", "packed")
+    among = placed.select("lead", every("rows").alias("row"), place("cols").alias("col"), "id", "own", "packed")
+
+    def sets_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at = rows.schema.get_field_index("packed")
+        sets, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for batch in rows.to_batches():
+            for _, (text,) in unpacked_rows(batch, (at,), SLICE_BYTES):
+                found, bounds = shingle_sets(*text)
+                sets.append(found)
+                sizes.append(np.diff(bounds))
+        return rows["id"].to_numpy(), rows["own"].to_numpy(), np.concatenate(sets), np.cumsum(np.concatenate(sizes))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            (ids, own, x, bx), (others, others_own, y, by) = sets_of(left), sets_of(right)
+            n = np.diff(by)
+            values, at_value = np.unique(y, return_inverse=True)
+            marked = np.zeros(len(values) + 1, np.int64)
+            for i in range(len(ids)):
+                s = x[bx[i] : bx[i + 1]]
+                fit = (others_own != own[i]) & (np.minimum(n, len(s)) * 100 >= np.maximum(n, len(s)) * PERCENT)
+                if not fit.any():
+                    continue
+                at = np.searchsorted(values, s)
+                at = at[values[np.minimum(at, len(values) - 1)] == s]
+                marked[at] = 1
+                common = np.add.reduceat(marked[at_value], by[:-1])
+                marked[at] = 0
+                linked = others[fit & (100 * common >= PERCENT * (len(s) + n - common))]
+                a.append(np.minimum(linked, ids[i]))
+                b.append(np.maximum(linked, ids[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    met = queries.groupBy("lead", "row", "col").cogroup(among.groupBy("lead", "row", "col"))
+    return met.applyInArrow(compare, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The pairs that are links, on the full shingle sets of their texts; `held` has the texts, packed."""
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b")
@@ -186,7 +244,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of `docs`."""
     docs = texts(docs, id_col, text_col)
     known = cut(signatures(docs))
@@ -201,7 +259,12 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         labels = components(links)
         more = keep(confirmed(keep(more_candidates(members, labels)), held))
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            links = links.unionByName(more)
+            labels = components(links)
+        placed = keep(still_apart(members, labels, held, block))
+        rest = keep(links_apart(placed))
+        if not rest.isEmpty():
+            labels = components(links.unionByName(rest))
     of_class = classes.join(labels, classes["id"] == labels["node"], "left").select("digest", F.coalesce("label", "id").alias("component"))
     rows = known.select("doc_id", "n", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component", "doc_id")

@@ -460,6 +460,29 @@ def test_near_duplicates_of_edited_texts(spark):
     assert got == brute.components(docs)
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 20_000])
+def test_near_duplicates_far_from_the_best_of_their_bucket(spark, monkeypatch, block):
+    """Texts whose only link is to one of many copies, in large buckets of their common original, with few drawn members: 5 are lost without the queries; blocks of one and of several to a group."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "DRAWS", 1)
+    rng = np.random.default_rng(11)
+
+    def edited(text, edits):
+        text = list(text)
+        for at in rng.choice(len(text), edits, replace=False):
+            text[at] = f"e{rng.integers(10**12)}"
+        return text
+
+    base = [f"w{k}" for k in range(400)]
+    docs = [edited(base, rng.integers(1, 4)) for _ in range(300)]
+    for _ in range(30):
+        some = edited(base, 1)
+        docs += [some, edited(some, 11)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.annotate(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect()}
+    assert got == brute.components(docs)
+
+
 def test_deduplicated(documents, nothing):
     docs = documents.select(*COLUMNS)
     out = minhash.deduplicated(docs)
