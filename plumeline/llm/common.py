@@ -38,9 +38,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns most operators need, under fixed names; other columns don't matter, whatever their names."""
+    """The two columns most operators need, under fixed names; other columns don't matter, whatever their names. Ids are integers of any width, long from here on; others raise a TypeError."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    got = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kind = got.schema["doc_id"].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} must hold integers, not {kind.simpleString()}")
+    return got if isinstance(kind, T.LongType) else got.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def with_result(docs: DataFrame, text_col: str, name: str, result: T.StructType, fn: Callable[[pa.RecordBatch, str], Iterator[tuple[pa.RecordBatch, pa.StructArray]]]) -> tuple[DataFrame, str]:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumeline.llm import chat, decontamination, langid, minhash, ngram_lm, packing, pii, quality, secrets, substrings, textarrays
+from plumeline.llm.common import texts
 from tests.llm import brute
 from tests.llm.conftest import DATA
 
@@ -27,6 +28,13 @@ def test_hashes_are_of_content():
     assert b.tolist() == [0, 3, 4] and h[1] == h[3] and len(set(h.tolist())) == 3
 
 
+def test_ids(spark):
+    short = texts(spark.createDataFrame([(7, "a b c"), (None, "d")], "key int, text string"), "key")
+    assert ordered((r["doc_id"], r["n"]) for r in minhash.signatures(short).collect()) == [(7, 1), (None, 1)]
+    with pytest.raises(TypeError, match="integers"):
+        texts(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
 # --- packing ---
 
 
