@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, langid, minhash, ngram_lm, packing, pii, quality, secrets, substrings
+from . import alignment, chat, decontamination, langid, minhash, ngram_lm, packing, pii, quality, secrets, substrings
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality, op4_ngram_lm, op5_chat, op6_secrets, op7_pii, op8_minhash, op9_substrings, op10_langid)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality, op4_ngram_lm, op5_chat, op6_secrets, op7_pii, op8_minhash, op9_substrings, op10_langid, op11_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
