@@ -136,7 +136,7 @@ class Alignment:
         self.rows = np.concatenate([[0], a_ends])[self.a_rows]
         self.cuts = Bits(in_a.words & in_b.words).select()
         self.group_rows = np.searchsorted(self.cuts, self.rows, "right")
-        self.a_to, self.b_to = in_a.rank(self.cuts + 1) if len(self.cuts) else self.cuts, in_b.rank(self.cuts + 1) if len(self.cuts) else self.cuts
+        self.a_to, self.b_to = in_a.rank(self.cuts) + 1, in_b.rank(self.cuts) + 1
         ends = Bits(in_a.words | in_b.words).select()
         self.link_rows = np.searchsorted(ends, self.rows, "right")
         self.link_a, self.link_b = in_a.rank(ends), in_b.rank(ends)

@@ -114,6 +114,14 @@ def test_any_texts(plain, bodies):
         assert collections.Counter(dict(zip(pairs[i][0].tolist(), pairs[i][1].tolist(), strict=True))) == collections.Counter(a * t.n_b + b for a, b in links)
 
 
+def test_texts_that_fill_words_of_bits(plain):
+    """Bytes of all texts together at and around multiples of 64."""
+    t = alignment.Vocabularies(A, B).open()
+    for n in range(60, 132):
+        got = alignment.Alignment(t, [t.encode("x" * (n - 1))])
+        assert got.a_to[-1] == len(plain("x" * (n - 1))[0]) and got.rows[-1] == n
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 300)), st.lists(st.integers(0, 300), min_size=1))
 def test_bits(offsets, asked):
