@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, decontamination, langid, minhash, ngram_lm, packing, pii, quality, secrets, substrings
+from . import alignment, chat, decontamination, langid, minhash, ngram_lm, packing, pii, quality, secrets, substrings, toxicity
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,8 +58,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality, op4_ngram_lm, op5_chat, op6_secrets, op7_pii, op8_minhash, op9_substrings, op10_langid, op11_alignment)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_quality, op4_ngram_lm, op5_chat, op6_secrets, op7_pii, op8_minhash, op9_substrings, op10_langid, op11_alignment, op12_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
