@@ -23,3 +23,11 @@ def test_imports_without_the_corpus_operators(tmp_path):
         "assert not [m for m in sys.modules if m.startswith('plumeline.llm') or m == 'corpus_pipeline']\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=root + "/..", check=True)
+
+
+def test_names_of_the_benchmark():
+    import bench
+
+    names = bench.headlines(entry_points.queries())
+    assert set(names) <= set(entry_points.queries()) and names[: len(bench.HEADLINES)] == bench.HEADLINES and "opt_anchor" not in names
+    assert bench.headlines(["op10_b", "op2_a", "opt_anchor"])[len(bench.HEADLINES) :] == ["op2_a", "op10_b"]
