@@ -124,7 +124,8 @@ def test_no_harvest(portal, spark):
 
 
 def cube(spark, output):
-    return sorted(tuple(r) for r in archive.rows(spark, f"{output}/fluxes").collect())
+    """Rows of an archive; sums may differ in their last bit."""
+    return sorted((*r[:3], f"{r[3]:.12g}", *r[4:]) for r in archive.rows(spark, f"{output}/fluxes").collect())
 
 
 def test_archive_a_year_at_a_time(spark, tmp_path):
@@ -135,7 +136,7 @@ def test_archive_a_year_at_a_time(spark, tmp_path):
     for start, end in ((None, "1994-01"), ("1994-01", "1996-07"), ("1996-07", None), ("1994-01", "1996-07")):
         flux_archive.run(spark, DATA, parts, start, end, registered.COMBINED)
     assert cube(spark, whole) == cube(spark, parts)
-    amounts = lambda out: sorted(map(tuple, flux_archive.archived(spark, out).select("tracer", "category", "year", "month", "amount").distinct().collect()))
+    amounts = lambda out: sorted(map(tuple, flux_archive.archived(spark, out).selectExpr("tracer", "category", "year", "month", "round(amount, 6)").distinct().collect()))
     assert amounts(whole) == amounts(parts)
 
 
