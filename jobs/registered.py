@@ -28,7 +28,7 @@ def job2_flux_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         flux_archive.run(spark, sf_dir, output, combined=COMBINED)
     got = flux_archive.archived(spark, output)
     rounded = {c: F.round(F.col(c) * scale, 7) + F.lit(0.0) for c, scale in (("flux", 1e12), ("amount", 1.0))}
-    return got.select("tracer", "category", "year", "month", F.to_date("t0").alias("day"), "ilat", "ilon", *(v.alias(k) for k, v in rounded.items()))
+    return got.select("tracer", "category", "year", "month", "ilat", "ilon", *(v.alias(k) for k, v in rounded.items()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (job1_portal_catalog, job2_flux_archive)}
@@ -47,9 +47,9 @@ SELECT object, version, title, regexp_replace(title, '[^\x2D-\x7A]|[\[\]]', '',
   UNION ALL SELECT '_net', 'fossil', CAST(1 AS DOUBLE) UNION ALL SELECT '_net', 'biosphere', CAST(-1 AS DOUBLE)),
 amounts AS (SELECT tracer, category, itim, ilat, ilon, flux FROM fx_flux
   UNION ALL SELECT x.tracer, t.meta, x.itim, x.ilat, x.ilon, sum(t.coeff * x.flux) FROM fx_flux x JOIN terms t ON t.category = x.category GROUP BY 1, 2, 3, 4, 5),
-named AS (SELECT a.*, year(t.t0) AS year, month(t.t0) AS month, t.t0 AS day, t.dt, c.area FROM amounts a JOIN fx_time t ON t.itim = a.itim JOIN fx_cell c ON c.ilat = a.ilat AND c.ilon = a.ilon),
+named AS (SELECT a.*, year(t.t0) AS year, month(t.t0) AS month, t.dt, c.area FROM amounts a JOIN fx_time t ON t.itim = a.itim JOIN fx_cell c ON c.ilat = a.ilat AND c.ilon = a.ilon),
 budgets AS (SELECT tracer, category, year, month, sum(flux) AS amount FROM named GROUP BY 1, 2, 3, 4)
-SELECT n.tracer, n.category, CAST(n.year AS INT) AS year, CAST(n.month AS INT) AS month, n.day, n.ilat, n.ilon,
+SELECT n.tracer, n.category, CAST(n.year AS INT) AS year, CAST(n.month AS INT) AS month, n.ilat, n.ilon,
   round(n.flux / n.area / n.dt * CAST(1000000000000 AS DOUBLE), 7) + CAST(0 AS DOUBLE) AS flux, round(b.amount, 7) + CAST(0 AS DOUBLE) AS amount
 FROM named n JOIN budgets b ON b.tracer = n.tracer AND b.category = n.category AND b.year = n.year AND b.month = n.month""")
     return {"job1_portal_catalog": catalog, "job2_flux_archive": archive}
