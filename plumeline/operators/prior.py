@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -70,6 +71,50 @@ def spatial_correlations(distances: DataFrame, kind: str, length: float, least:
     return distances.select("i", "j", KERNELS[kind](F.col("distance"), length).alias("corr")).filter(F.abs("corr") >= least)
 
 
+def reach(kind: str, length: float, least: float) -> float:
+    """Kilometres beyond which a correlation is below the least."""
+    return {"g": length * math.sqrt(-math.log(least)), "e": -length * math.log(least), "h": length * (1 / least - 1)}[kind]
+
+
+def neighbours(points: DataFrame, far: float, stretch: float = 1.0) -> DataFrame:
+    """i, j, distance of the pairs i <= j of positions (ipos, lat, lon) that are at most `far` kilometres apart.
+
+    The sphere is cut into bands of latitude and these into cells, neither narrower than `far`.
+    Each position is in one cell and looks into those around it, at most three in each of three
+    bands: an equi-join on cells, so only neighbours meet. Where longitudes are stretched,
+    far apart ones may be near again, and only bands are looked at.
+    """
+    angle = far / EARTH_KM
+    n = max(1, int(math.pi / angle)) if angle < math.pi else 1
+    height = 180.0 / n
+    band = lambda lat: F.least(F.floor((lat + 90) / height), F.lit(n - 1)).cast("int")
+
+    def width(b: Column) -> Column:
+        """Degrees of longitude that two positions in a band or the next ones may be apart; 360 near the poles."""
+        edge = F.greatest(F.abs((b - 1) * height - 90), F.abs((b + 2) * height - 90))
+        sine = F.lit(math.sin(min(angle, math.pi) / 2)) / F.cos(F.radians(edge))
+        return F.when((edge >= 90) | (sine >= 1) | F.lit(stretch != 1.0 or n == 1), F.lit(360.0)).otherwise(F.degrees(F.lit(2.0) * F.asin(sine)) * (1 + 1e-9))
+
+    cells = lambda b: F.greatest(F.floor(F.lit(360.0) / width(b)), F.lit(1))
+    turned = F.pmod(F.col("lon"), F.lit(360.0))
+    own = points.select(F.col("ipos").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band(F.col("lat")).alias("band"), turned.alias("x"))
+    own = own.withColumn("cell", F.least(F.floor(F.col("x") * cells(F.col("band")) / 360), cells(F.col("band")) - 1)).drop("x")
+    bands = F.array_distinct(F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: F.least(F.greatest(band(F.col("lat")) + k, F.lit(0)), F.lit(n - 1))))
+    looks = points.select(F.col("ipos").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), turned.alias("x"), F.explode(bands).alias("band"))
+    of, wide = cells(F.col("band")), width(F.col("band"))
+    around = F.sequence(F.floor((F.col("x") - wide) * of / 360), F.floor((F.col("x") + wide) * of / 360))
+    near = F.when(of <= 3, F.sequence(F.lit(0).cast("long"), of - 1)).otherwise(F.array_distinct(F.transform(around, lambda c: F.pmod(c, of))))
+    looks = looks.select("i", "lat1", "lon1", "band", F.explode(near).alias("cell"))
+    met = looks.join(own, ["band", "cell"]).filter(F.col("i") <= F.col("j"))
+    return met.select("i", "j", great_circle(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), stretch).alias("distance")).filter(F.col("distance") <= far)
+
+
+def near_correlations(points: DataFrame, kind: str, length: float, least: float = 1e-7, stretch: float = 1.0) -> DataFrame:
+    """i, j, corr of all positions, from neighbours alone; correlations below the least are dropped."""
+    far = reach(kind, length, least)
+    return spatial_correlations(neighbours(points, far * (1 + 1e-9), stretch), kind, length, least)
+
+
 def temporal_correlations(steps: DataFrame, dt: float, length: float) -> DataFrame:
     """i, j, corr of steps (itime) dt long; each with itself only if the length is nothing."""
     a, b = steps.select(F.col("itime").alias("i")), F.broadcast(steps.select(F.col("itime").alias("j")))

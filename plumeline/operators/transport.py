@@ -44,7 +44,12 @@ def departures(modelled: DataFrame, error: str = "err_obs") -> DataFrame:
 
 def adjoint(departures: DataFrame, footprints: DataFrame) -> DataFrame:
     """tracer, itim, ilat, ilon, adj: departures (obsid, tracer, dy) spread over their footprints; partial sums come before the shuffle."""
-    return footprints.join(departures.select("obsid", "tracer", "dy").filter("dy is not null"), "obsid").groupBy("tracer", *CELL).agg(F.sum(F.col("dy") * F.col("sensi")).alias("adj"))
+    return adjoint_of(departures.select("obsid", "tracer", "dy"), footprints)
+
+
+def adjoint_of(departures: DataFrame, footprints: DataFrame) -> DataFrame:
+    """The adjoint where either table has the tracer."""
+    return footprints.join(departures.filter("dy is not null"), "obsid").groupBy("tracer", *CELL).agg(F.sum(F.col("dy") * F.col("sensi")).alias("adj"))
 
 
 def adjoint_by_category(departures: DataFrame, footprints: DataFrame, categories: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ err_obs and mix_background.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
@@ -198,10 +199,19 @@ def solve(spark: SparkSession, settings: dict, land: DataFrame | None = None) ->
     """Runs the inversion; under the output folder and tag are apri, apos (departures), states, history and eigenvectors. Gives the states.
 
     The history has every point with its gradient: a run that was broken off goes through them again without transport.
+    With `buckets` among the settings of the run, H is written once by so many buckets of observations.
     """
     run = settings["run"]
     folder = f"{run['paths']['output']}/{run.get('tag', 'inversion')}"
     problem, blocks, apri = setup(spark, settings, land)
+    with tables.Bucketed(spark, f"{folder}/sensitivity", "obsid", run["buckets"]) if run.get("buckets") else nullcontext() as keep:
+        if keep is not None:
+            problem = inversion.Inversion.bucketed(problem.control, problem.departures, problem.sensitivity, keep)
+        return solved(spark, run, folder, problem, blocks, apri)
+
+
+def solved(spark: SparkSession, run: dict, folder: str, problem: inversion.Inversion, blocks: list[Block], apri: DataFrame) -> DataFrame:
+    """Minimises a problem and writes what solve() gives into a folder."""
     apri.write.mode("overwrite").parquet(f"{folder}/apri")
     known = history(spark, f"{folder}/history")
     whole = problem.gradient

@@ -23,6 +23,20 @@ modelled AS (SELECT o.*, t.fg AS mix_foreground, coalesce(o.mix_background, 0) +
 ADJOINT = "adjoint AS (SELECT o.tracer, f.itim, f.ilat, f.ilon, sum(o.obs * f.sensi) AS adj FROM fx_footprint f JOIN fx_obs o ON o.obsid = f.obsid GROUP BY 1, 2, 3, 4)"
 
 
+#: The background at end points, between the columns of air around them.
+FOUR_AXES = """p AS (SELECT particle, obsid, height, epoch_us(time) / CAST(1000000 AS DOUBLE) AS s, (lat - CAST(71 AS DOUBLE) / 2) / 5 AS y, (lon + CAST(25 AS DOUBLE) / 2) / 5 AS x FROM fx_endpoints),
+c AS (SELECT *, height - first_value(height) OVER (PARTITION BY itime, ilat, ilon ORDER BY ilev) AS above FROM fx_conc4),
+t AS (SELECT DISTINCT itime, epoch_us(time) / CAST(1000000 AS DOUBLE) AS s FROM fx_conc4),
+e AS (SELECT p.*, a.itime AS ta, b.itime AS tb, (p.s - a.s) / (b.s - a.s) AS tw FROM p JOIN t a ON a.s <= p.s JOIN t b ON b.itime = a.itime + 1 AND (p.s < b.s OR p.s = b.s AND b.itime = (SELECT max(itime) FROM t))
+  WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 9),
+w AS (SELECT e.particle, e.height AS wanted, c.ilev, c.above, c.value, CASE WHEN c.itime = ta THEN 1 - tw ELSE tw END * (1 - abs(y - c.ilat)) * (1 - abs(x - c.ilon)) AS weight
+  FROM e JOIN c ON c.itime IN (ta, tb) AND abs(y - c.ilat) < 1 AND abs(x - c.ilon) < 1),
+k AS (SELECT particle, wanted, ilev, sum(weight * above) AS h, sum(weight * value) AS v FROM w GROUP BY 1, 2, 3),
+m AS (SELECT particle, wanted, (h + lead(h) OVER (PARTITION BY particle ORDER BY ilev)) / 2 AS mid, v FROM k),
+n AS (SELECT particle, any_value(wanted) AS wanted, max(mid) FILTER (mid <= wanted) AS ma, arg_max(v, mid) FILTER (mid <= wanted) AS va, min(mid) FILTER (mid > wanted) AS mb, arg_min(v, mid) FILTER (mid > wanted) AS vb FROM m WHERE mid IS NOT NULL GROUP BY 1),
+at_ends AS (SELECT p.particle, p.obsid, coalesce(va + (vb - va) * (wanted - ma) / (mb - ma), va, vb) AS background FROM p LEFT JOIN n ON n.particle = p.particle)"""
+
+
 def rolling(err_min: str) -> str:
     week = "RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW"
     return f"""floored AS (SELECT *, CASE WHEN err_obs <= 0 THEN {err_min} ELSE err_obs END AS err0, epoch_us(time) AS us FROM fx_obs_ts),
@@ -165,6 +179,8 @@ ORACLE: dict[str, str] = {
     "map_control_axes": f"WITH {TIMES}, {MEMBERS} SELECT ipos, i AS itime, t1 - t0 AS dt FROM (SELECT DISTINCT ipos FROM members) m CROSS JOIN opt_axis",
     "prior_distance": f"WITH centres AS (SELECT icell AS ipos, lat_s + CAST(5 AS DOUBLE) / 2 AS lat, lon_w + CAST(5 AS DOUBLE) / 2 AS lon FROM fx_cell) SELECT i, j, {rd('distance', 'distance', 4)} FROM ({distances('centres')}) t",
     **{f"prior_corr_{k}": f"WITH {POINTS} SELECT i, j, {rd('corr', 'corr', 9)} FROM (SELECT i, j, {f} AS corr FROM ({distances('points', 'a.ipos >= 0')}) t) u WHERE corr >= 1e-7" for k, f in CORRELATIONS.items()},
+    "prior_neighbours": f"SELECT i, j, {rd('distance', 'distance', 4)} FROM ({distances('fx_positions')}) t WHERE distance <= 500",
+    "prior_corr_near": f"SELECT i, j, {rd('corr', 'corr', 9)} FROM (SELECT i, j, exp(-distance / 60) AS corr FROM ({distances('fx_positions')}) t) u WHERE corr >= 1e-7",
     "prior_temporal_corr": f"WITH {TIMES} SELECT a.i, b.i AS j, {rd('exp(-abs(a.i - b.i) * CAST(91 AS DOUBLE) / 60)', 'corr', 9)} FROM opt_axis a CROSS JOIN opt_axis b",
     "prior_errors": f"SELECT {KEY}, {rd('abs(flux)', 'sigma')} FROM fx_flux",
     "prior_total_uncertainty": f"WITH {SIGMA} SELECT tracer, category, {rd('total', 'total', 5)} FROM total_",
@@ -190,6 +206,14 @@ ORACLE: dict[str, str] = {
     "bg_mid_height": "SELECT ilev, (height + lead(height) OVER (ORDER BY ilev)) / 2 AS mid, height - first_value(height) OVER (ORDER BY ilev) AS height_above_ground FROM fx_conc",
     "bg_multilinear": f"""WITH p AS (SELECT particle AS point, least(greatest((lat - CAST(71 AS DOUBLE) / 2) / 5, 0), 7) AS y, least(greatest((lon + CAST(25 AS DOUBLE) / 2) / 5, 0), 9) AS x FROM fx_endpoints)
         SELECT point, {rd('sum((1 - abs(y - ilat)) * (1 - abs(x - ilon)) * land_fraction)', 'value')} FROM p JOIN fx_cell ON abs(y - ilat) < 1 AND abs(x - ilon) < 1 GROUP BY 1""",
+    "bg_four_axes": f"WITH {FOUR_AXES} SELECT particle, {rd('background', 'background')} FROM at_ends",
+    "bg_four_axes_mean": f"WITH {FOUR_AXES} SELECT obsid, {rd('avg(background)', 'mix_background')} FROM at_ends GROUP BY 1",
+    "h_bucketed_forward": f"SELECT f.obsid, {rd('sum(x.flux * f.sensi)', 'hx', 3)} FROM fx_footprint f JOIN fx_obs o ON o.obsid = f.obsid JOIN fx_flux x ON x.tracer = o.tracer AND x.itim = f.itim AND x.ilat = f.ilat AND x.ilon = f.ilon GROUP BY 1",
+    "h_bucketed_adjoint": f"WITH {ADJOINT} SELECT tracer, itim, ilat, ilon, {rd('adj', 'adj', 3)} FROM adjoint",
+    "archive_fallback": f"""WITH field AS (SELECT tracer, category, ilat, ilon, sum(flux) AS flux FROM fx_flux WHERE category <> 'fires' GROUP BY 1, 2, 3, 4),
+        months AS (SELECT DISTINCT tracer, category, itim FROM fx_flux WHERE category = 'fossil' AND itim % 2 = 0), got AS (SELECT {KEY}, flux FROM fx_flux WHERE category = 'fires' OR category = 'fossil' AND itim % 2 = 0
+        UNION ALL SELECT f.tracer, f.category, t.itim, f.ilat, f.ilon, f.flux FROM field f CROSS JOIN fx_time t ANTI JOIN months m ON m.tracer = f.tracer AND m.category = f.category AND m.itim = t.itim)
+        SELECT {KEY}, {rd('flux', 'flux', 5)} FROM got""",
     "union_vectors": f"WITH {STATE} SELECT tracer, category, count(*) AS n FROM state WHERE tracer IN ('co2', 'ch4') GROUP BY 1, 2",
     "opt_anchor": """WITH p AS (SELECT CAST(min(time) AS DATE) AS a, CAST(max(time) AS DATE) AS b FROM fx_obs), q AS (SELECT a, b, make_date(year(a), 1, 1) AS january FROM p),
         s AS (SELECT b, january + CAST(7 * ceil((a - january) / CAST(7 AS DOUBLE)) AS INT) AS first FROM q), n AS (SELECT *, unnest(range(CAST(floor((b - first) / CAST(7 AS DOUBLE)) AS BIGINT))) AS k FROM s)

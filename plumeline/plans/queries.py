@@ -13,7 +13,9 @@ from plumeline.functions.expressions import terms_table
 from plumeline.functions.timeaxis import anchored, axis, spun, step
 from plumeline.operators import background, clusters, flux, footprints, grid, mapping, observations, prior, solver, transport
 from plumeline.plans import inversion
+from plumeline.sources import archive, tables
 from plumeline.sources.fixtures import view
+from plumeline.sources.shared import kept, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -465,6 +467,16 @@ for _kind in prior.KERNELS:
     corr_query(_kind)
 
 
+@query
+def prior_neighbours(v: Views) -> DataFrame:
+    return prior.neighbours(v.positions, 500.0).select("i", "j", r("distance", 4))
+
+
+@query
+def prior_corr_near(v: Views) -> DataFrame:
+    return prior.near_correlations(v.positions, "e", 60.0).select("i", "j", r("corr", 9))
+
+
 @query
 def prior_temporal_corr(v: Views) -> DataFrame:
     return prior.temporal_correlations(steps(v), 91.0, 60.0).select("i", "j", r("corr", 9))
@@ -642,6 +654,54 @@ def bg_multilinear(v: Views) -> DataFrame:
     return background.multilinear(points, cells.select("ilat", "ilon", F.col("land_fraction").alias("value")), axes).select("point", r("value", 6))
 
 
+@query
+def bg_four_axes(v: Views) -> DataFrame:
+    """The background at all end points, from columns of air whose heights differ by place and time."""
+    points = v.endpoints.withColumnRenamed("particle", "point")
+    return background.at_trajectory_ends(points, v.conc4).select(F.col("point").alias("particle"), r("background", 6))
+
+
+@query
+def bg_four_axes_mean(v: Views) -> DataFrame:
+    points = v.endpoints.withColumnRenamed("particle", "point")
+    return background.mean_background(background.at_trajectory_ends(points, v.conc4)).select("obsid", r("mix_background", 6))
+
+
+def with_tracer(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Departures and H by observation, as an inversion keeps them."""
+    seen = v.footprint.join(v.obs.select("obsid", "tracer"), "obsid")
+    return v.obs.select("obsid", F.col("obs").alias("dy")), seen
+
+
+@query
+def h_bucketed_forward(v: Views) -> DataFrame:
+    """Hx of all fluxes, from H written by buckets of observations."""
+    with tables.Bucketed(v.spark, new_path(v.spark, "sensitivity"), "obsid", 8) as keep:
+        h = keep(with_tracer(v)[1])
+        x = v.flux.groupBy("tracer", *transport.CELL).agg(F.sum("flux").alias("x"))
+        hx = h.join(F.broadcast(x), ["tracer", *transport.CELL]).groupBy("obsid").agg(F.sum(F.col("sensi") * F.col("x")).alias("hx"))
+        return kept(v.spark, hx.select("obsid", r("hx", 3)))
+
+
+@query
+def h_bucketed_adjoint(v: Views) -> DataFrame:
+    """H'y of all observations, both written by the same buckets."""
+    with tables.Bucketed(v.spark, new_path(v.spark, "sensitivity"), "obsid", 8) as keep:
+        y, h = map(keep, with_tracer(v))
+        return kept(v.spark, transport.adjoint_of(y, h).select("tracer", *transport.CELL, r("adj", 3)))
+
+
+@query
+def archive_fallback(v: Views) -> DataFrame:
+    """Fluxes of all steps from an archive in which one category has every other month and a static field, one has years, and one is static."""
+    path, cube, times = new_path(v.spark, "archive"), v.flux, v.time
+    archive.write(cube.filter("category = 'fossil' and itim % 2 = 0"), times, path)
+    archive.write(cube.filter("category = 'fires'"), times, path, "year")
+    field = cube.filter("category <> 'fires'").groupBy("tracer", "category", "ilat", "ilon").agg(F.sum("flux").alias("flux"))
+    archive.write(field.crossJoin(F.broadcast(times.agg(F.min("itim").alias("itim")))), times, path, "static")
+    return archive.read(v.spark, path, times).select(*flux.KEY, r("flux", 5))
+
+
 # --- the rest ---
 
 

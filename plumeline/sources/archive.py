@@ -36,15 +36,28 @@ def rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def choice(available: DataFrame, times: DataFrame) -> DataFrame:
-    """For each step (itim, t0) and each category the partition to read: of the month, else of the year, else the static one."""
+def candidates(times: DataFrame) -> DataFrame:
+    """For each step (itim, t0) the partitions that may have its fluxes, best first by rank."""
     steps = times.select("itim", F.col("t0").cast("timestamp").alias("t0"))
-    candidates = steps.select("itim", "t0", F.explode(F.array(
+    ranked = steps.select("itim", "t0", F.explode(F.array(
         F.struct(F.year("t0").alias("year"), F.month("t0").alias("month"), F.lit(1).alias("rank")),
         F.struct(F.year("t0").alias("year"), F.lit(0).alias("month"), F.lit(2).alias("rank")),
         F.struct(F.lit(0).alias("year"), F.lit(0).alias("month"), F.lit(3).alias("rank")),
     )).alias("c")).select("itim", "t0", "c.*")
-    found = candidates.join(available.select(*KEYS), ["year", "month"])
+    # true of all: scans are only pruned by joins with tables that have a condition
+    return ranked.filter(F.col("rank") <= 3)
+
+
+def pruned(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The partitions (year, month) that are wanted; of the others nothing is read."""
+    months = F.broadcast(wanted.select("year", "month").distinct())  # at most two rows for each month of the axis, and one
+    return table.join(months, ["year", "month"], "left_semi")
+
+
+def choice(table: DataFrame, times: DataFrame) -> DataFrame:
+    """For each step (itim, t0) and each category the partition to read: of the month, else of the year, else the static one."""
+    wanted = candidates(times)
+    found = wanted.join(pruned(table, wanted).select(*KEYS).distinct(), ["year", "month"])
     best = found.groupBy("tracer", "category", "itim").agg(F.min_by(F.struct("t0", "year", "month"), "rank").alias("c"))
     return best.select("tracer", "category", "itim", F.col("c.t0").alias("at"), "c.year", "c.month")
 
@@ -52,13 +65,13 @@ def choice(available: DataFrame, times: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str, times: DataFrame) -> DataFrame:
     """Fluxes (tracer, category, itim, ilat, ilon, flux) of the steps of an axis (itim, t0)."""
     table = rows(spark, path)
-    chosen = choice(table.select(*KEYS).distinct(), times)
-    met = table.join(chosen, KEYS).filter(F.col("t0").isNull() | (F.col("t0") == F.col("at")))
+    chosen = choice(table, times)
+    met = pruned(table, candidates(times)).join(chosen, KEYS).filter(F.col("t0").isNull() | (F.col("t0") == F.col("at")))
     return met.select("tracer", "category", "itim", "ilat", "ilon", "flux")
 
 
 def missing(spark: SparkSession, path: str, times: DataFrame) -> DataFrame:
     """Steps and categories (tracer, category, itim) for which the archive has neither month, year nor static fluxes."""
-    table = rows(spark, path).select(*KEYS).distinct()
+    table = rows(spark, path)
     every = table.select("tracer", "category").distinct().crossJoin(times.select("itim"))
     return every.join(choice(table, times), ["tracer", "category", "itim"], "left_anti")

@@ -68,6 +68,18 @@ from {events}""",
     "fx_conc": """
 select cast(p_size % 6 as int) as ilev, cast(500 * (p_size % 6) as double) as height, 400 + avg(p_retailprice) / 100 as value
 from {part} group by 1, 2""",
+    "fx_conc4": """
+select t.itime, t.time, a.ilat, cast(71 as double) / 2 + 5 * a.ilat as lat, b.ilon, -cast(25 as double) / 2 + 5 * b.ilon as lon, l.ilev,
+       l.height * cast(100 + (a.ilat * 3 + b.ilon + t.itime) % 7 as double) / 100 + cast(50 * ((a.ilat + b.ilon) % 4) as double) as height,
+       l.value + cast((a.ilat * 5 + b.ilon * 3 + t.itime) % 11 as double) / 10 as value
+from (select time, cast(row_number() over (order by time) - 1 as int) as itime from (select distinct cast(date_trunc('day', ts) as timestamp) as time from {events}) d) t
+cross join (select distinct cast(p_partkey % 8 as int) as ilat from {part}) a
+cross join (select distinct cast(p_partkey % 10 as int) as ilon from {part}) b
+cross join (select cast(p_size % 6 as int) as ilev, cast(500 * (p_size % 6) as double) as height, 400 + avg(p_retailprice) / 100 as value from {part} group by 1, 2) l""",
+    "fx_positions": """
+select c_custkey as ipos, cast(-85 as double) + cast((c_custkey * 37) % 1701 as double) / 10 as lat,
+       cast(-180 as double) + cast((c_custkey * 101) % 3600 as double) / 10 as lon
+from {customer}""",
 }
 
 

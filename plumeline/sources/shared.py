@@ -23,6 +23,13 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def kept(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again: what it was made from may go."""
+    path = new_path(spark, "kept")
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or no rows where nothing has been written yet."""
     try:

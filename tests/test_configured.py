@@ -97,6 +97,18 @@ def test_inversion_from_settings(spark, settings, tmp_path, monkeypatch):
     assert read("history").count() == points
 
 
+def test_inversion_by_buckets(spark, settings):
+    """Written by buckets, H gives the same states, and is gone afterwards."""
+    states = {}
+    for tag, buckets in (("plain", None), ("buckets", 3)):
+        own = {**settings, "run": {**settings["run"], "tag": tag, "buckets": buckets}}
+        states[tag] = {(r["itime"], r["ipos"]): (r["state"], r["sigma_apos"]) for r in configured.solve(spark, config.resolved(own, "here")).collect()}
+    assert states["plain"].keys() == states["buckets"].keys() and len(states["plain"]) == 12
+    for k, v in states["plain"].items():
+        assert v == pytest.approx(states["buckets"][k], rel=1e-5, abs=1e-8)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
 def test_controls_of_several_categories():
     rng = np.random.default_rng(1)
     blocks = [inversion.Control(rng.random((t, p)), rng.random((t, t)), rng.random((p, p))) for t, p in ((2, 3), (4, 2))]

@@ -168,7 +168,7 @@ def test_command_line(tmp_path):
         [sys.executable, "-m", "jobs.portal_catalog", "--source", f"{DATA}/pages.parquet", "--output", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/checkpoint"],
         cwd=root, capture_output=True, text=True, timeout=300, check=True,
     )
-    n = duckdb.sql(f"select count(*) from '{DATA}/pages.parquet'").fetchone()[0]
+    n = duckdb.sql(f"select count(*) from '{DATA}/pages.parquet'").fetchall()[0][0]
     assert f"read {n} new pages" in told.stderr and glob.glob(f"{tmp_path}/out/catalog/part=*/*.parquet")
 
 

@@ -264,3 +264,126 @@ def test_command_line(spark, tmp_path):
     cli.main(["-f", "-a", "-t", "--obs", str(tmp_path / "o"), "--footprints", str(tmp_path / "f"), "--emis", str(tmp_path / "e"), "--out", str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out/observations")).first()["mix"] == 406.0
     assert spark.read.parquet(str(tmp_path / "out/adjoint")).first()["adj"] == 4.0
+
+
+# --- neighbours, backgrounds in four axes, buckets ---
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def sphere(spark, n=150, seed=3):
+    rng = np.random.default_rng(seed)
+    lat = np.degrees(np.arcsin(rng.uniform(-1, 1, n)))
+    spots = [(90.0, 0.0), (-90.0, 10.0), (89.9, 180.0), (0.0, 179.99), (0.0, -179.99), (0.0, 180.0), (10.0, 359.0), (10.0, -1.0), (10.0, -1.0)]
+    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate([*zip(lat, rng.uniform(-180, 180, n)), *spots])], "ipos int, lat double, lon double").persist()
+
+
+@pytest.mark.parametrize("far", [1.0, 300.0, 2500.0, 9000.0, 30000.0])
+@pytest.mark.parametrize("stretch", [1.0, 2.0])
+def test_neighbours_are_all_near_pairs(spark, far, stretch):
+    points = sphere(spark)
+    found = sorted((r["i"], r["j"], r["distance"]) for r in prior.neighbours(points, far, stretch).collect())
+    every = sorted((r["i"], r["j"], r["distance"]) for r in prior.distances(points, stretch).filter(F.col("distance") <= far).collect())
+    assert found == every
+
+
+@pytest.mark.parametrize("kind", sorted(prior.KERNELS))
+def test_near_correlations(spark, kind):
+    points = sphere(spark, 60)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(prior.near_correlations(points, kind, 100.0, 1e-3)) == rows(prior.spatial_correlations(prior.distances(points), kind, 100.0, 1e-3))
+
+
+def test_neighbours_meet_by_cells(spark):
+    plan = plan_of(prior.near_correlations(sphere(spark), "e", 30.0))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and ("HashJoin" in plan or "SortMergeJoin" in plan)
+
+
+def test_stretches_of_an_uneven_axis(spark):
+    places = [0.0, 1.0, 1.5, 40.0, 41.0]
+    axis = spark.createDataFrame(list(enumerate(places, 5)), "index int, position double")
+    asked = [-0.1, 0.0, 0.5, 1.0, 1.2, 1.5, 20.0, 40.0, 40.5, 41.0, 41.1, None]
+    points = spark.createDataFrame(list(enumerate(asked)), "point int, v double")
+    got = {r["point"]: (r["x_a"], r["x_b"], r["x_w"]) for r in background.between(points, axis, "v", "x").collect()}
+    assert {asked[k] for k in got} == {v for v in asked if v is not None and 0 <= v <= 41}
+    for k, (a, b, w) in got.items():
+        assert b == a + 1 and places[a - 5] + w * (places[b - 5] - places[a - 5]) == pytest.approx(asked[k]) and 0 <= w <= 1
+    single = background.between(points, axis.filter("index = 6"), "v", "x").collect()
+    assert [(asked[r["point"]], r["x_a"], r["x_b"], r["x_w"]) for r in single] == [(1.0, 6, 6, 0.0)]
+
+
+def test_background_in_four_axes(spark):
+    """A field that is linear in all axes is met exactly, with columns of different heights and numbers of levels."""
+    day = datetime.datetime(2020, 1, 1)
+    field = lambda t, y, x, h: 400 + 2 * t + 3 * y - x + h / 100
+    days, rows = [0, 1, 5], []
+    for i, t in enumerate(days):
+        for j, y in enumerate((10.0, 20.0)):
+            for k, x in enumerate((0.0, 5.0, 10.0)):
+                edges = [100.0 + 7 * j + n * (200 + 10 * k + 5 * i) for n in range(4)]
+                for n, low in enumerate(edges):
+                    middle = (low + edges[n + 1]) / 2 - edges[0] if n < 3 else 1e6
+                    rows.append((i, day + datetime.timedelta(days=t), j, y, k, x, n, low, field(t, y, x, middle)))
+    conc = spark.createDataFrame(rows, "itime int, time timestamp, ilat int, lat double, ilon int, lon double, ilev int, height double, value double")
+    asked = [(1, 5.0, 10.0, 260.0, 0.0), (2, 2.5, 15.0, 300.0, 3.0), (3, 10.0, 20.0, 320.0, 5.0), (4, 11.0, 15.0, 300.0, 3.0), (5, 5.0, 15.0, 300.0, 5.1), (6, 0.0, 10.0, -5.0, 0.0), (7, 0.0, 10.0, 1e9, 0.0)]
+    ends = spark.createDataFrame([(n, x, y, h, day + datetime.timedelta(days=t)) for n, x, y, h, t in asked], "point int, lon double, lat double, height double, time timestamp")
+    got = {r["point"]: r["background"] for r in background.at_trajectory_ends(ends, conc).collect()}
+    for n, x, y, h, t in asked[:3]:
+        assert got[n] == pytest.approx(field(t, y, x, h), abs=1e-6)
+    assert got[4] is None and got[5] is None
+    assert got[6] == pytest.approx(field(0, 10, 0, 100)) and got[7] == pytest.approx(field(0, 10, 0, 500))
+
+
+def test_buckets_keep_h_in_place(spark, tmp_path):
+    """Neither a point's departures nor its gradient move H, and both are what they are without buckets."""
+    from plumeline.plans import inversion
+
+    rng = np.random.default_rng(5)
+    n_obs, shape = 400, (3, 8)
+    h = spark.createDataFrame([(o, int(t), int(p), float(rng.normal())) for o in range(n_obs) for t, p in zip(rng.integers(0, 3, 4), rng.integers(0, 8, 4))], "obsid int, itime int, ipos int, h double")
+    rows = spark.createDataFrame([(o, float(rng.normal()), 0.5) for o in range(n_obs)], "obsid int, mismatch double, sigma double")
+    control = inversion.Control(np.ones(shape), np.eye(3), np.eye(8))
+    plain = inversion.Inversion(control, rows, h)
+    w = rng.normal(size=24)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with tables.Bucketed(spark, f"{tmp_path}/h", "obsid", 4) as keep:
+            kept = inversion.Inversion.bucketed(control, rows, h, keep)
+            assert "Exchange hashpartitioning(obsid" not in plan_of(kept.run(w, "x"))
+            pulled = plan_of(kept.pulled(w))
+            assert "Exchange hashpartitioning(itime" in pulled and "Exchange hashpartitioning(obsid" not in pulled
+            assert kept.gradient(w) == pytest.approx(plain.gradient(w)) and kept.cost(w) == pytest.approx(plain.cost(w))
+            names = list(keep.names)
+        assert not [n for n in names if spark.catalog.tableExists(n)] and not (tmp_path / "h").exists()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_months_not_asked_for_are_not_read(spark, tmp_path):
+    """Unread months can't even be read; the year and the static field stand in where a month is missing."""
+    from plumeline.sources import archive
+
+    path = f"{tmp_path}/archive"
+    times = timeaxis.axis(spark, "2018-01-01", "2020-01-01", timeaxis.step("MS"))
+    cube = lambda c, value: times.selectExpr("'co2' as tracer", f"'{c}' as category", "cast(itim as int) as itim", "0 as ilat", "1 as ilon", f"cast({value} as double) as flux")
+    archive.write(cube("a", "itim").filter("itim <> 3"), times, path)
+    archive.write(cube("a", "100 + itim").unionByName(cube("b", "200 + itim")), times, path, "year")
+    archive.write(cube("c", "7").filter("itim = 0"), times, path, "static")
+    for f in (tmp_path / "archive" / "tracer=co2" / "year=2019").glob("*/*.parquet"):
+        f.write_bytes(b"not to be read")
+    asked = timeaxis.axis(spark, "2018-03-01", "2018-06-01", timeaxis.step("MS")).withColumn("itim", F.col("itim") + 2)
+    got = archive.read(spark, path, asked)
+    assert "dynamicpruning" in plan_of(got)
+    assert sorted((r["category"], r["itim"], r["flux"]) for r in got.collect()) == [*(("a", k, v) for k, v in ((2, 2.0), (3, 103.0), (4, 4.0))), *(("b", k, 200.0 + k) for k in (2, 3, 4)), *(("c", k, 7.0) for k in (2, 3, 4))]
+
+
+def test_steps_without_fluxes(spark, tmp_path):
+    from plumeline.sources import archive
+
+    path = f"{tmp_path}/archive"
+    times = timeaxis.axis(spark, "2018-01-01", "2018-04-01", timeaxis.step("MS"))
+    archive.write(times.filter("itim < 2").selectExpr("'co2' as tracer", "'a' as category", "itim", "0 as ilat", "0 as ilon", "1D as flux"), times, path)
+    assert [(r["category"], r["itim"]) for r in archive.missing(spark, path, times).collect()] == [("a", 2)]
