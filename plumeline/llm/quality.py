@@ -9,8 +9,10 @@ that make up COMMON of its words; to find them, each task reports the words that
 up a tenth of that among its own, and a second pass counts exactly those that can
 reach COMMON over all tasks (at most 1 / (0.9 * COMMON) a language).
 
-A document is compared with the language nearest to it, so a wrong or missing lang
-rejects nothing. If its own lang has too few words for a reference, the base rules
+A document is compared with the language nearest to it, whatever its own lang. Characters
+beyond ASCII are of one class with small letters: how many a text has tells its language
+and script, not its quality, so clean text without or with a wrong lang, of a script or language
+that has no reference, isn't far from those there are. If a document's own lang has too few words for a reference, the base rules
 decide alone, however much text of other languages there is. Texts too short for a histogram to mean anything aren't judged by it.
 
 Nulls and edge cases: a null or empty text has no words and fails the base rules; a
@@ -45,12 +47,12 @@ MIN_CHARS, MIN_COUNTED = 150, 40
 #: A document is rejected beyond the first distance of characters, or beyond the second of characters and that of words at once.
 FAR_CHARS, ODD_CHARS, ODD_WORDS = 0.30, 0.17, 0.26
 
-#: Class of each byte: 0 a-z, 1 A-Z, 2 other ASCII, 3 symbols, 4 a character beyond ASCII, -1 none. Digits have none: numbers in clean text vary too much.
-CLASSES = 5
+#: Class of each byte: 0 a-z and characters beyond ASCII, 1 A-Z, 2 other ASCII, 3 symbols, -1 none. Digits have none: numbers in clean text vary too much.
+CLASSES = 4
 CLASS = np.full(256, 2, np.int64)
 CLASS[0x61:0x7B], CLASS[0x41:0x5B], CLASS[0x30:0x3A] = 0, 1, -1
 CLASS[[*b"#*$%&|<>"]] = 3
-CLASS[0xC0:] = 4
+CLASS[0xC0:] = 0
 CLASS[0x80:0xC0] = -1
 CLASS[~NOT_SPACE] = -1
 

@@ -156,9 +156,9 @@ def quality_verdicts(rows):
     from plumeline.llm import quality as q
 
     def classes(text):
-        out = [0] * 5
+        out = [0] * 4
         for c in text or "":
-            kind = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else None if c in string.digits or c in " \t\n\v\f\r" else 3 if c in "#*$%&|<>" else 4 if c > "\x7f" else 2
+            kind = 0 if "a" <= c <= "z" or c > "\x7f" else 1 if "A" <= c <= "Z" else None if c in string.digits or c in " \t\n\v\f\r" else 3 if c in "#*$%&|<>" else 2
             if kind is not None:
                 out[kind] += 1
         return out

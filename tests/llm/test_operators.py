@@ -201,6 +201,21 @@ def test_quality_of_a_rare_language(spark):
     assert len(got) == 5 and all(r["kept"] for r in got)
 
 
+def test_quality_without_or_with_a_wrong_lang(spark):
+    """Clean documents of scripts that have no reference are kept whatever lang they are said to have; junk in them isn't."""
+    rng = np.random.default_rng(8)
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    words = lambda letters, n: ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(n)]
+    said = lambda ws: ". ".join(" ".join(ws[k : k + 12]).capitalize() for k in range(0, len(ws), 12)) + "."
+    clean, junk = [], []
+    for letters in ("абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "aáăâbcdđeêghiklmnoôơpqrstuưvxy"):
+        clean += [said(words(letters, 60)) for _ in range(10)]
+        junk += [" ".join(w + str(rng.choice(["***", "%%%", "$$$"])) for w in words(letters, 60)) for _ in range(10)]
+    rows = [(1_000_000 + k, t, lang) for k, t in enumerate(clean) for lang in (None, "en", "zz")] + [(2_000_000 + k, t, lang) for k, t in enumerate(junk) for lang in (None, "en")]
+    got = quality.report(known.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).filter("doc_id >= 1000000").collect()
+    assert all(r["kept"] for r in got if r["doc_id"] < 2_000_000) and not any(r["kept"] for r in got if r["doc_id"] >= 2_000_000)
+
+
 def test_quality_of_nothing(documents, nothing):
     assert quality.report(nothing).count() == 0
     kept = quality.accepted(documents)
