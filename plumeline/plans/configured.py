@@ -20,7 +20,7 @@ from plumeline import api
 from plumeline.functions import units
 from plumeline.functions.timeaxis import Step, anchored, axis, spun, step
 from plumeline.functions.timing import timed
-from plumeline.operators import flux, observations, transport
+from plumeline.operators import flux, mapping, observations, transport
 from plumeline.operators.grid import Grid
 from plumeline.plans import inversion
 from plumeline.sources import footprints, tables
@@ -125,6 +125,8 @@ class Block:
     category: api.Category
     maps: api.Mapping
     control: inversion.Control
+    amounts: DataFrame
+    times: DataFrame
 
 
 def block(settings: dict, cube: api.Fluxes, own: api.Category, start: str, end: str, cache: str | None = None) -> Block:
@@ -149,7 +151,8 @@ def block(settings: dict, cube: api.Fluxes, own: api.Category, start: str, end:
     for r in maps.control(errors).collect():
         sigma[r["itime"], r["ipos"]] = r["state"]
     length = steps.agg(F.avg(F.col("t1") - F.col("t0"))).first()[0]
-    return Block(own, maps, api.Prior(own, maps.positions(), n_time, length).control(sigma, cache))
+    amounts = extensive.select("tracer", "category", "itim", (F.col("ilat") * region.nlon + F.col("ilon")).alias("icell"), "flux")
+    return Block(own, maps, api.Prior(own, maps.positions(), n_time, length).control(sigma, cache), amounts, cube.times)
 
 
 @timed
@@ -241,9 +244,32 @@ def solved(spark: SparkSession, run: dict, folder: str, problem: inversion.Inver
     save_prior(blocks, f"{folder}/prior")
     states = spark.createDataFrame(rows, "tracer string, category string, itime int, ipos int, sigma_apri double, state double, sigma_apos double")
     states.write.mode("overwrite").partitionBy("tracer", "category").parquet(f"{folder}/states")
+    save_fluxes(blocks, spark.read.parquet(f"{folder}/states"), folder)
     return states
 
 
+def prior_and_posterior(b: Block, states: DataFrame) -> DataFrame:
+    """Amounts of a category before and after (tracer, category, itim, icell, apri, apos): the state's increments by cell and step."""
+    keys = ["tracer", "category", "itim", "icell"]
+    own = states.filter((F.col("tracer") == b.category.tracer) & (F.col("category") == b.category.name))
+    after = mapping.state_to_flux(b.amounts, own.select("tracer", "category", "itime", "ipos", "state"), b.maps.tmap, b.maps.hmap)
+    nothing = F.lit(0.0)
+    return b.amounts.withColumnRenamed("flux", "apri").join(after.withColumnRenamed("flux", "apos"), keys, "full").select(*keys, F.coalesce("apri", nothing).alias("apri"), F.coalesce("apos", nothing).alias("apos"))
+
+
+def save_fluxes(blocks: list[Block], states: DataFrame, folder: str) -> None:
+    """Amounts before and after, by tracer and category in `fluxes`, and their sums by month in `budgets`."""
+    for k, b in enumerate(blocks):
+        mode = "overwrite" if k == 0 else "append"
+        tables.write_by(prior_and_posterior(b, states), f"{folder}/fluxes", "tracer", "category", mode=mode)
+    spark = states.sparkSession
+    for k, (tracer, times) in enumerate({b.category.tracer: b.times for b in blocks}.items()):
+        months = times.select("itim", F.year("t0").alias("year"), F.month("t0").alias("month"))
+        rows = spark.read.parquet(f"{folder}/fluxes").filter(F.col("tracer") == tracer).join(months, "itim")
+        sums = rows.groupBy("tracer", "category", "year", "month").agg(F.sum("apri").alias("apri"), F.sum("apos").alias("apos"))
+        tables.write_by(sums, f"{folder}/budgets", "tracer", mode="overwrite" if k == 0 else "append")
+
+
 def save_prior(blocks: list[Block], path: str) -> None:
     """Errors of every element with its position and step, by tracer and category; correlations are in the categories' attributes."""
     for k, b in enumerate(blocks):

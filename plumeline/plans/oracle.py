@@ -164,6 +164,13 @@ ORACLE: dict[str, str] = {
         LEFT JOIN moved_ m ON m.tracer = c.tracer AND m.category = c.category AND m.itim = c.itim AND m.ilat = y.ilat AND m.ilon = x.ilon""",
     "grid_land_mask": f"""WITH {regrid(10, 4, 12.5, 4)} SELECT y.j AS ilat, z.j AS ilon, {rd('sum(land_fraction * area * y.frac * z.frac) / sum(area * y.frac * z.frac)', 'land_fraction', 9)}
         FROM fx_cell x JOIN by_lat y ON y.i = x.ilat JOIN by_lon z ON z.i = x.ilon GROUP BY 1, 2""",
+    "grid_land_polygons": f"""WITH parts AS (SELECT icell, j, i, lat_s + (lat_n - lat_s) * j / CAST(4 AS DOUBLE) AS s, lat_s + (lat_n - lat_s) * (j + 1) / CAST(4 AS DOUBLE) AS n, lon_w + (lon_e - lon_w) * (i + CAST(1 AS DOUBLE) / 2) / 4 AS x
+          FROM fx_cell, (SELECT unnest(range(4)) AS j) a, (SELECT unnest(range(4)) AS i) b),
+        points AS (SELECT *, (s + n) / 2 AS y, sin(radians(n)) - sin(radians(s)) AS area FROM parts),
+        edges AS (SELECT a.polygon, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2 FROM fx_polygons a JOIN fx_polygons b ON b.polygon = a.polygon AND b.seq = (a.seq + 1) % 4),
+        crossed AS (SELECT p.icell, p.j, p.i, e.polygon, count(*) AS n FROM points p JOIN edges e ON (y1 <= y AND y < y2 OR y2 <= y AND y < y1) AND x < x1 + (y - y1) / (y2 - y1) * (x2 - x1) GROUP BY 1, 2, 3, 4),
+        land AS (SELECT DISTINCT icell, j, i, CAST(1 AS DOUBLE) AS land FROM crossed WHERE n % 2 = 1)
+        SELECT p.icell, {rd('sum(area * coalesce(land, 0)) / sum(area)', 'land_fraction', 9)} FROM points p LEFT JOIN land l ON l.icell = p.icell AND l.j = p.j AND l.i = p.i GROUP BY 1""",
     "map_temporal_overlap": f"WITH {TIMES} SELECT itim_opt, itim_mod, {rd('frac', 'frac', 9)} FROM tmap",
     "map_clusters": f"WITH {MEMBERS} SELECT icell, ipos, frac FROM hmap",
     "map_native_cells": "SELECT icell, row_number() OVER (ORDER BY icell) - 1 AS ipos, CAST(1 AS DOUBLE) AS frac FROM fx_cell WHERE land_fraction > 0",

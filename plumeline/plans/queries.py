@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumeline.functions import text, units
 from plumeline.functions.expressions import terms_table
 from plumeline.functions.timeaxis import anchored, axis, spun, step
-from plumeline.operators import background, clusters, flux, footprints, grid, mapping, observations, prior, solver, transport
+from plumeline.operators import background, clusters, flux, footprints, grid, mapping, observations, polygons, prior, solver, transport
 from plumeline.plans import inversion
 from plumeline.sources import archive, tables
 from plumeline.sources.fixtures import view
@@ -338,6 +338,12 @@ def grid_land_mask(v: Views) -> DataFrame:
     return grid.land_share(fine, by_lat, by_lon).select("ilat", "ilon", r("land_fraction", 9))
 
 
+@query
+def grid_land_polygons(v: Views) -> DataFrame:
+    """The share of land of all cells, whose land are polygons around the sites."""
+    return polygons.land_fractions(v.cell, v.polygons, 4).select("icell", r("land_fraction", 9))
+
+
 # --- mapping ---
 
 

@@ -76,6 +76,11 @@ from (select time, cast(row_number() over (order by time) - 1 as int) as itime f
 cross join (select distinct cast(p_partkey % 8 as int) as ilat from {part}) a
 cross join (select distinct cast(p_partkey % 10 as int) as ilon from {part}) b
 cross join (select cast(p_size % 6 as int) as ilev, cast(500 * (p_size % 6) as double) as height, 400 + avg(p_retailprice) / 100 as value from {part} group by 1, 2) l""",
+    "fx_polygons": """
+select n_nationkey as polygon, 0 as ring, 0 as seq, cast(-14 + (n_nationkey * 11) % 48 as double) + -1 * (2 + n_nationkey % 5) as lon, cast(34 + (n_nationkey * 7) % 38 as double) + cast(0 * (2 + n_nationkey % 5) as double) / 2 as lat from {nation}
+union all select n_nationkey as polygon, 0 as ring, 1 as seq, cast(-14 + (n_nationkey * 11) % 48 as double) + 0 * (2 + n_nationkey % 5) as lon, cast(34 + (n_nationkey * 7) % 38 as double) + cast(2 * (2 + n_nationkey % 5) as double) / 2 as lat from {nation}
+union all select n_nationkey as polygon, 0 as ring, 2 as seq, cast(-14 + (n_nationkey * 11) % 48 as double) + 1 * (2 + n_nationkey % 5) as lon, cast(34 + (n_nationkey * 7) % 38 as double) + cast(0 * (2 + n_nationkey % 5) as double) / 2 as lat from {nation}
+union all select n_nationkey as polygon, 0 as ring, 3 as seq, cast(-14 + (n_nationkey * 11) % 48 as double) + 0 * (2 + n_nationkey % 5) as lon, cast(34 + (n_nationkey * 7) % 38 as double) + cast(-1 * (2 + n_nationkey % 5) as double) / 2 as lat from {nation}""",
     "fx_positions": """
 select c_custkey as ipos, cast(-85 as double) + cast((c_custkey * 37) % 1701 as double) / 10 as lat,
        cast(-180 as double) + cast((c_custkey * 101) % 3600 as double) / 10 as lon

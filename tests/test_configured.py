@@ -87,6 +87,11 @@ def test_inversion_from_settings(spark, settings, tmp_path, monkeypatch):
     seen = [r for r in states if r["itime"] < 2]
     assert sum(r["state"] for r in seen) > 0 and all(r["sigma_apos"] < r["sigma_apri"] for r in seen)
     assert 0 < read("eigenvectors").count() <= 12
+    fluxes = read("fluxes").agg(F.sum("apri").alias("apri"), F.sum("apos").alias("apos"), F.count("*").alias("n")).first()
+    assert fluxes["apos"] - fluxes["apri"] == pytest.approx(sum(r["state"] for r in states)) and fluxes["apos"] > 1.2 * fluxes["apri"] > 0
+    budgets = read("budgets").groupBy("year", "month").agg(F.sum("apri").alias("apri"), F.sum("apos").alias("apos")).orderBy("year").collect()
+    assert [(r["year"], r["month"]) for r in budgets] == [(2017, 12), (2018, 1)]
+    assert sum(r["apos"] for r in budgets) == pytest.approx(fluxes["apos"]) and sum(r["apri"] for r in budgets) == pytest.approx(fluxes["apri"])
     points = read("history").count()
 
     def transported(self, w):

@@ -387,3 +387,50 @@ def test_steps_without_fluxes(spark, tmp_path):
     times = timeaxis.axis(spark, "2018-01-01", "2018-04-01", timeaxis.step("MS"))
     archive.write(times.filter("itim < 2").selectExpr("'co2' as tracer", "'a' as category", "itim", "0 as ilat", "0 as ilon", "1D as flux"), times, path)
     assert [(r["category"], r["itim"]) for r in archive.missing(spark, path, times).collect()] == [("a", 2)]
+
+
+# --- points in polygons ---
+
+
+def in_rings(x, y, rings):
+    """The even-odd rule over all edges."""
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            if (y1 <= y < y2 or y2 <= y < y1) and x < x1 + (y - y1) / (y2 - y1) * (x2 - x1):
+                odd = not odd
+    return odd
+
+
+def vertices_of(spark, shapes):
+    rows = [(p, k, n, float(x), float(y)) for p, rings in shapes.items() for k, ring in enumerate(rings) for n, (x, y) in enumerate(ring)]
+    return spark.createDataFrame(rows, "polygon int, ring int, seq int, lon double, lat double")
+
+
+@pytest.mark.parametrize("height", [0.3, 1.0, 50.0])
+def test_points_in_polygons(spark, height):
+    """Concave rings, holes, level edges, vertices at points' latitudes, and points on edges and far away."""
+    from plumeline.operators import polygons
+
+    rng = np.random.default_rng(11)
+    star = [(10 + (3 if k % 2 else 8) * math.cos(k * math.pi / 7), 5 + (3 if k % 2 else 8) * math.sin(k * math.pi / 7)) for k in range(14)]
+    shapes = {1: [star], 2: [[(-20, -10), (-5, -10), (-5, 0), (-20, 0)], [(-15, -7), (-10, -7), (-10, -3), (-15, -3)]], 3: [[(-30, 2), (0, 2), (0, 3.5), (-30, 3.5)], [(0, 0), (1, 1), (2, 0)]]}
+    spots = [*rng.uniform([-32, -12], [20, 15], (400, 2)).tolist(), [-20, -5], [-5, -5], [-12, -10], [-12, 0], [-12, -5], [0, 1], [1, 1], [500, 0], [0, 80]]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(spots)], "point int, lon double, lat double")
+    got = {(r["point"], r["polygon"]) for r in polygons.inside(points, vertices_of(spark, shapes), height).collect()}
+    assert got == {(k, p) for k, (x, y) in enumerate(spots) for p, rings in shapes.items() if in_rings(x, y, rings)} and got
+
+
+def test_land_of_cells(spark):
+    from plumeline.operators import polygons
+
+    cells = spark.createDataFrame([(0, 0.0, 10.0, 0.0, 10.0), (1, 0.0, 10.0, 10.0, 20.0), (2, 50.0, 60.0, 0.0, 10.0)], "icell int, lat_s double, lat_n double, lon_w double, lon_e double")
+    shapes = vertices_of(spark, {1: [[(0, 0), (10, 0), (10, 5), (0, 5)]], 2: [[(-1, -1), (11, -1), (11, 5), (-1, 5)]], 3: [[(0, 50), (5, 50), (5, 60), (0, 60)]]})
+    got = {n: {r["icell"]: r["land_fraction"] for r in polygons.land_fractions(cells, shapes, n).collect()} for n in (1, 2, 8)}
+    lower = math.sin(math.radians(5)) / math.sin(math.radians(10))
+    assert got[1] == {0: 0.0, 1: 0.0, 2: 0.0}
+    for n in (2, 8):
+        assert got[n] == {0: pytest.approx(lower), 1: pytest.approx(0.0 if n == 2 else lower / 8), 2: pytest.approx(0.5)}
+    with pytest.raises(ValueError):
+        polygons.land_fractions(cells, shapes, 0)
+    assert "NestedLoop" not in plan_of(polygons.inside(spark.createDataFrame([(1, 1.0, 1.0)], "point int, lon double, lat double"), shapes))
