@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeline.functions.checks import checked
 from plumeline.functions.timeaxis import step
 
 
@@ -143,11 +144,13 @@ def observation_ids(obs: DataFrame) -> DataFrame:
 
 
 def only_existing(obs: DataFrame, catalog: DataFrame, column: str, key: str, required: bool = False) -> DataFrame:
-    """`column` is null where the catalog has no such key; with `required`, it is an error if no row has one."""
+    """`column` is null where the catalog has no such key; with `required`, computing the rows is an error if none has one."""
     there = catalog.select(F.col(key).alias("_there")).distinct()
-    if required and obs.join(there, F.col(column) == F.col("_there"), "left_semi").isEmpty():
-        raise ValueError("no footprint file found")
-    return obs.join(there, F.col(column) == F.col("_there"), "left").withColumn(column, F.col("_there")).drop("_there")
+    found = obs.join(there, F.col(column) == F.col("_there"), "left").withColumn(column, F.col("_there")).drop("_there")
+    if not required:
+        return found
+    some = checked(found.agg(F.count(column).alias("_n")), F.col("_n") > 0, "no footprint file found")
+    return found.crossJoin(F.broadcast(some)).drop("_n")
 
 
 def file_counts(obs: DataFrame, column: str = "footprint") -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from plumeline import api
 from plumeline.functions import units
-from plumeline.functions.timeaxis import Step, anchored, axis, spun, step
+from plumeline.functions.checks import checked
+from plumeline.functions.timeaxis import Step, anchored, axis, later, spun, step
 from plumeline.functions.timing import timed
 from plumeline.operators import flux, mapping, observations, transport
 from plumeline.operators.grid import Grid
@@ -58,21 +59,32 @@ def files_in(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
 
 
-def preprocessed(spark: SparkSession, folder: str, prefix: str, times: DataFrame, by: Step, field: str = "flux", source: Step | None = None) -> DataFrame:
+def preprocessed(spark: SparkSession, folder: str, prefix: str, times: DataFrame, by: Step, field: str = "flux", source: Step | None = None, months: list[str] | None = None) -> DataFrame:
     """Fluxes (time, ilat, ilon, a field) of the monthly, yearly or static files of a prefix, on the model's axis (itim, t0, t1).
 
     Files have steps of `source`, the model's own by default; longer ones count for all steps that begin in them. Times that are
-    no step's are an error: the files have another frequency.
+    no step's are an error when the rows are computed: the files have another frequency. `months` are those of the axis, if they are known.
     """
-    months = [r[0] for r in times.select(F.date_format("t0", "yyyy-MM").alias("m")).distinct().orderBy("m").collect()]
+    if months is None:
+        months = [r[0] for r in times.select(F.date_format("t0", "yyyy-MM").alias("m")).distinct().orderBy("m").collect()]
     rows = spark.read.parquet(*[f"{folder}/{name}" for name in tables.files_for_months(files_in(spark, folder), prefix, months)])
     rows = rows.select(F.col("time").cast("timestamp").alias("time"), "ilat", "ilon", F.col(field).alias("flux"))
-    start, end = (F.lit(x).cast("timestamp") for x in times.agg(F.min("t0").cast("string"), F.max("t1").cast("string")).first())
+    period = F.broadcast(times.agg(F.min("t0").alias("start"), F.max("t1").alias("end")))
     begins = times.select("itim", F.col("t0").alias("time")) if source in (None, by) else times.select("itim", stepped(source).alias("time"))
-    known = begins.select("time").distinct()
-    if not rows.filter((F.col("time") >= start) & (F.col("time") < end)).join(known, "time", "left_anti").isEmpty():
-        raise ValueError(f"{folder}/{prefix} has another frequency")
-    return rows.join(begins, "time").select("itim", "ilat", "ilon", "flux")
+    met = rows.crossJoin(period).filter(F.col("time") < F.col("end")).join(begins, "time", "left")
+    there = F.col("itim").isNotNull()
+    right = checked(met, there | (F.col("time") < F.col("start")), f"{folder}/{prefix} has another frequency", there)
+    return right.select("itim", "ilat", "ilon", "flux")
+
+
+def months_of(start: str, end: str) -> list[str]:
+    """The months (2018-01) that a half-open period has a part of."""
+    at, last = datetime.fromisoformat(start), datetime.fromisoformat(end)
+    out, month = [], datetime(at.year, at.month, 1)
+    while month < last:
+        out.append(f"{month:%Y-%m}")
+        month = later(month, Step(months=1))
+    return out
 
 
 def stepped(by: Step) -> Column:
@@ -97,7 +109,7 @@ def fluxes(spark: SparkSession, settings: dict, start: str, end: str, land: Data
         for name, how in own["categories"].items():
             how = {"origin": how} if isinstance(how, str) else how
             source = how.get("resample_from", own["interval"])
-            rows = preprocessed(spark, f"{own['path']}/{source}", f"{own.get('prefix', '')}{how['origin']}.", times, by, how.get("field", "flux"), step(source))
+            rows = preprocessed(spark, f"{own['path']}/{source}", f"{own.get('prefix', '')}{how['origin']}.", times, by, how.get("field", "flux"), step(source), months_of(start, end))
             rows = rows.select(F.lit(tracer).alias("tracer"), F.lit(name).alias("category"), "itim", "ilat", "ilon", "flux")
             made = rows if made is None else made.unionByName(rows)
             categories.append(category(settings, tracer, name, tagged=bool(how.get("transported"))))

@@ -151,9 +151,9 @@ ORACLE: dict[str, str] = {
     "flux_transported": f"SELECT {KEY}, {rd('flux', 'flux')} FROM fx_flux WHERE category <> 'fires'",
     "flux_bounds": "SELECT tracer, min(itim) AS first, max(itim) AS last, min(lat_s) AS lat_s, max(lat_n) AS lat_n, min(lon_w) AS lon_w, max(lon_e) AS lon_e FROM fx_flux JOIN fx_cell USING (ilat, ilon) GROUP BY 1",
     "flux_nonzero": "SELECT tracer, count(*) AS n FROM fx_flux WHERE flux <> 0 GROUP BY 1",
-    "grid_cell_area": f"SELECT ilat, ilon, ilat * 10 + ilon AS icell, lat_s, lon_w, {rd('area', 'area', 0)} FROM fx_cell",
-    "grid_overlap_lat": f"WITH {regrid(10, 4, 12.5, 4)} SELECT i, j, {rd('frac', 'frac', 9)} FROM by_lat",
-    "grid_overlap_lon": f"WITH {regrid(10, 4, 12.5, 4)} SELECT i, j, {rd('frac', 'frac', 9)} FROM by_lon",
+    "grid_cell_area": f"SELECT ilat, ilon, icell, lat_s, lon_w, {rd('area', 'area', 0)}, {rd('flux / area * 1000000', 'density')} FROM fx_cell JOIN (SELECT ilat, ilon, sum(flux) AS flux FROM fx_flux GROUP BY 1, 2) s USING (ilat, ilon)",
+    "grid_overlap_lat": f"WITH {regrid(10, 4, 12.5, 4)} SELECT i, j, {rd('frac', 'frac', 9)}, {rd('flux * frac', 'part', 3)} FROM by_lat JOIN (SELECT ilat AS i, sum(flux) AS flux FROM fx_flux GROUP BY 1) s USING (i)",
+    "grid_overlap_lon": f"WITH {regrid(10, 4, 12.5, 4)} SELECT i, j, {rd('frac', 'frac', 9)}, {rd('flux * frac', 'part', 3)} FROM by_lon JOIN (SELECT ilon AS i, sum(flux) AS flux FROM fx_flux GROUP BY 1) s USING (i)",
     "grid_coarsen": f"WITH {regrid(10, 4, 12.5, 4)} SELECT {KEY}, {rd('flux', 'flux', 6)} FROM ({REGRIDDED.format(source='fx_flux')}) t",
     "grid_refine": f"WITH {regrid(2.5, 16, 2.5, 20)} SELECT {KEY}, {rd('flux', 'flux', 7)} FROM ({REGRIDDED.format(source='fx_flux')}) t",
     "grid_to_quantity": f"SELECT {KEY}, {rd('flux * area / 1e9', 'flux', 3)} FROM fx_flux JOIN fx_cell USING (ilat, ilon)",
@@ -228,8 +228,10 @@ ORACLE: dict[str, str] = {
     "spin_axis": """WITH p AS (SELECT CAST(CAST(min(time) AS DATE) - INTERVAL 1 MONTH AS DATE) AS a, CAST(CAST(max(time) AS DATE) + INTERVAL 1 MONTH AS DATE) AS b FROM fx_obs), n AS (SELECT a, unnest(range(b - a)) AS k FROM p)
         SELECT k AS itim, strftime(a + CAST(k AS INT), '%Y-%m-%d') AS day FROM n""",
     "endpoints_time": "SELECT particle, obsid, strftime(TIMESTAMP '1995-01-01 06:00:00' + to_seconds(particle * 60), '%Y-%m-%d %H:%M:%S') AS time FROM fx_endpoints",
-    "time_axis": """SELECT CAST(k AS BIGINT) AS itim, strftime(make_date(1995 + CAST(floor(k / CAST(12 AS DOUBLE)) AS INT), CAST(k % 12 + 1 AS INT), 1), '%Y-%m-%d') AS day,
-        CASE WHEN k = 12 THEN CAST(19 AS DOUBLE) ELSE CAST(day(last_day(make_date(1995, CAST(k % 12 + 1 AS INT), 1))) AS DOUBLE) END * 86400 AS dt FROM (SELECT unnest(range(13)) AS k) t""",
+    "time_axis": """WITH t AS (SELECT CAST(k AS BIGINT) AS itim, make_date(1995 + CAST(floor(k / CAST(12 AS DOUBLE)) AS INT), CAST(k % 12 + 1 AS INT), 1) AS t0,
+          CASE WHEN k = 12 THEN CAST(19 AS DOUBLE) ELSE CAST(day(last_day(make_date(1995, CAST(k % 12 + 1 AS INT), 1))) AS DOUBLE) END * 86400 AS dt FROM (SELECT unnest(range(13)) AS k) u),
+        n AS (SELECT (year(time) - 1995) * 12 + month(time) - 1 AS itim, count(*) AS n_obs FROM fx_obs WHERE time >= TIMESTAMP '1995-01-01' AND time < TIMESTAMP '1996-01-20' GROUP BY 1)
+        SELECT itim, strftime(t0, '%Y-%m-%d') AS day, dt, coalesce(n_obs, 0) AS n_obs FROM t LEFT JOIN n USING (itim)""",
     "portal_sanitize": r"""SELECT site, regexp_replace(name || ' [x]''"{é} 1.5' || region, '[^\x2D-\x7A]|[\[\]]', '', 'g') AS text FROM fx_sites""",
 }
 

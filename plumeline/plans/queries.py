@@ -292,17 +292,23 @@ def flux_nonzero(v: Views) -> DataFrame:
 
 @query
 def grid_cell_area(v: Views) -> DataFrame:
-    return CELLS.cells(v.spark).select("ilat", "ilon", "icell", "lat_s", "lon_w", r("area", 0))
+    """Areas of the cells that have fluxes, and the fluxes' sums by area."""
+    sums = v.flux.groupBy("ilat", "ilon").agg(F.sum("flux").alias("flux"))
+    return CELLS.cells(v.spark).join(sums, ["ilat", "ilon"]).select("ilat", "ilon", "icell", "lat_s", "lon_w", r("area", 0), r("density", 6, F.col("flux") / F.col("area") * 1e6))
 
 
 @query
 def grid_overlap_lat(v: Views) -> DataFrame:
-    return grid.overlaps(CELLS.axis(v.spark, "lat"), COARSE.axis(v.spark, "lat"), "sine").select("i", "j", r("frac", 9))
+    """Overlaps of latitudes, and what of each row's fluxes lies in them."""
+    rows = v.flux.groupBy(F.col("ilat").alias("i")).agg(F.sum("flux").alias("flux"))
+    return grid.overlaps(CELLS.axis(v.spark, "lat"), COARSE.axis(v.spark, "lat"), "sine").join(rows, "i").select("i", "j", r("frac", 9), r("part", 3, F.col("flux") * F.col("frac")))
 
 
 @query
 def grid_overlap_lon(v: Views) -> DataFrame:
-    return grid.overlaps(CELLS.axis(v.spark, "lon"), COARSE.axis(v.spark, "lon")).select("i", "j", r("frac", 9))
+    """Overlaps of longitudes, and what of each column's fluxes lies in them."""
+    rows = v.flux.groupBy(F.col("ilon").alias("i")).agg(F.sum("flux").alias("flux"))
+    return grid.overlaps(CELLS.axis(v.spark, "lon"), COARSE.axis(v.spark, "lon")).join(rows, "i").select("i", "j", r("frac", 9), r("part", 3, F.col("flux") * F.col("frac")))
 
 
 @query
@@ -742,7 +748,10 @@ def endpoints_time(v: Views) -> DataFrame:
 
 @query
 def time_axis(v: Views) -> DataFrame:
-    return axis(v.spark, "1995-01-01", "1996-01-20", step("MS")).select(F.col("itim").cast("long").alias("itim"), F.date_format("t0", "yyyy-MM-dd").alias("day"), "dt")
+    """Months of a period that ends within one, and the observations in each."""
+    steps = axis(v.spark, "1995-01-01", "1996-01-20", step("MS"))
+    seen = v.obs.select(F.date_trunc("month", "time").alias("t0"), F.col("time").cast("timestamp").alias("time")).join(steps, "t0").filter("time < t1").groupBy("itim").agg(F.count(F.lit(1)).alias("n_obs"))
+    return steps.join(seen, "itim", "left").select(F.col("itim").cast("long").alias("itim"), F.date_format("t0", "yyyy-MM-dd").alias("day"), "dt", F.coalesce("n_obs", F.lit(0).cast("long")).alias("n_obs"))
 
 
 @query

@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumeline.functions.checks import checked
 from plumeline.operators import footprints
 from plumeline.operators.grid import Grid
 
@@ -57,9 +58,8 @@ class CompressedFootprints(Footprints):
     def rows(self) -> DataFrame:
         g = self.model
         steps = (F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.lit(str(self.start)).cast("timestamp"))) / (self.step * 1_000_000)
-        if not self.table.filter(steps != F.floor(steps)).isEmpty():
-            raise ValueError("observations aren't whole steps after the model's start")
-        cells = footprints.compressed_to_rows(self.table).withColumns({"lon": F.col("lon") + self.grid.dlon / 2, "lat": F.col("lat") + self.grid.dlat / 2})
+        table = checked(self.table, steps == F.floor(steps), "observations aren't whole steps after the model's start")
+        cells = footprints.compressed_to_rows(table).withColumns({"lon": F.col("lon") + self.grid.dlon / 2, "lat": F.col("lat") + self.grid.dlat / 2})
         inside = footprints.clipped(cells, g.lat0, g.lat1, g.lon0, g.lon1)
         moved = inside.join(self.table.select("obsid", F.floor(steps).cast("int").alias("shift")), "obsid")
         return moved.select("obsid", (F.col("itim") + F.col("shift")).alias("itim"), footprints.index_of(F.col("lat"), g.lat0, g.dlat).alias("ilat"), footprints.index_of(F.col("lon"), g.lon0, g.dlon).alias("ilon"), "sensi")
@@ -96,8 +96,7 @@ def reader(name: str) -> Callable[[SparkSession, str, Grid, int, datetime | None
 
 def finished(files: DataFrame) -> DataFrame:
     """Of each folder the file that its run finished: rows (folder, file, modified, header, done) with the times of the run's start and end; one file alone is taken as it is."""
-    counted = files.join(files.groupBy("folder").agg(F.count("*").alias("_n")), "folder")
-    kept = counted.filter((F.col("_n") == 1) | (F.col("modified") > F.col("header")) & (F.col("modified") <= F.col("done"))).drop("_n")
-    if not kept.groupBy("folder").count().filter("count > 1").isEmpty() or kept.select("folder").distinct().count() < files.select("folder").distinct().count():
-        raise ValueError("a folder has not exactly one file between its run's start and end")
-    return kept
+    good = (F.col("modified") > F.col("header")) & (F.col("modified") <= F.col("done"))
+    counts = files.groupBy("folder").agg(F.count(F.lit(1)).alias("_n"), F.count_if(good).alias("_good"))
+    known = checked(counts, (F.col("_n") == 1) | (F.col("_good") == 1), F.concat(F.col("folder"), F.lit(" has not exactly one file between its run's start and end")))
+    return files.join(known, "folder").filter((F.col("_n") == 1) | good).drop("_n", "_good")

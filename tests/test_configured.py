@@ -66,8 +66,40 @@ def test_fluxes_from_settings(spark, settings):
 def test_files_of_another_frequency(spark, settings):
     times = axis(spark, "2018-01-01", "2018-01-05", step("2D"))
     folder = config.resolved(settings, "here")["emissions"]["co2"]["path"]
-    with pytest.raises(ValueError):
-        configured.preprocessed(spark, f"{folder}/D", "co2.bio.", times, step("2D"))
+    rows = configured.preprocessed(spark, f"{folder}/D", "co2.bio.", times, step("2D"))
+    with pytest.raises(Exception, match="has another frequency"):
+        rows.collect()
+
+
+def test_months_of_a_period():
+    assert configured.months_of("2017-12-30", "2018-03-01") == ["2017-12", "2018-01", "2018-02"]
+    assert configured.months_of("2018-01-01", "2018-01-01") == []
+
+
+def test_checks_run_with_the_rows(spark):
+    """Plans with checks are made without a job; the first bad row breaks their computation, whatever is asked of them."""
+    from plumeline.functions.checks import checked
+    from plumeline.operators import observations
+
+    files = spark.createDataFrame([("f", "a", 1, 2, 9), ("f", "b", 1, 2, 9)], "folder string, file string, modified int, header int, done int")
+    packed = spark.createDataFrame([("x", DAY + datetime.timedelta(minutes=5), [1.0], [41.0], [7.0], [0, 1])], "obsid string, time timestamp, lon array<double>, lat array<double>, val array<double>, indptr array<int>")
+    grid = Grid.of(**GRID)
+    some = spark.createDataFrame([("here",)], "name string")
+    obs = spark.createDataFrame([("there", 1)], "footprint string, n int")
+    spark.sparkContext.setJobGroup("plans", "plans")
+    plans = {
+        "exactly one file": footprints.finished(files),
+        "whole steps": footprints.CompressedFootprints(packed, grid, 3600).align(grid, 3600, DAY).rows(),
+        "no footprint file": observations.only_existing(obs, some, "footprint", "name", required=True).select("n"),
+        "odd": checked(spark.range(3).select("id"), F.col("id") < 2, "odd"),
+    }
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    for message, rows in plans.items():
+        with pytest.raises(Exception, match=message):
+            rows.collect()
+    spark.sparkContext.setJobGroup("rest", "rest")
+    nulls = spark.createDataFrame([(None,), (1,)], "x int")
+    assert checked(nulls, F.col("x") > 0, "never").count() == 2
 
 
 def test_inversion_from_settings(spark, settings, tmp_path, monkeypatch):
@@ -150,8 +182,8 @@ def test_the_file_that_a_run_finished(spark):
     rows = [("f", "old", 1, 2, 9), ("f", "new", 5, 2, 9), ("g", "only", 0, 2, 1)]
     schema = "folder string, file string, modified int, header int, done int"
     assert sorted(r["file"] for r in footprints.finished(spark.createDataFrame(rows, schema)).collect()) == ["new", "only"]
-    with pytest.raises(ValueError):
-        footprints.finished(spark.createDataFrame([*rows, ("f", "newer", 6, 2, 9)], schema))
+    with pytest.raises(Exception, match="f has not exactly one file"):
+        footprints.finished(spark.createDataFrame([*rows, ("f", "newer", 6, 2, 9)], schema)).collect()
 
 
 def test_settings_of_times_grids_and_the_environment(monkeypatch):

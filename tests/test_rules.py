@@ -98,8 +98,8 @@ def test_parts_of_a_combination_are_not_transported(spark):
 def test_no_footprint_at_all(spark):
     obs = spark.createDataFrame([(1, "a"), (2, "b")], "obsid long, footprint string")
     catalog = spark.createDataFrame([("c",)], "name string")
-    with pytest.raises(ValueError):
-        observations.only_existing(obs, catalog, "footprint", "name", required=True)
+    with pytest.raises(Exception, match="no footprint file"):
+        observations.only_existing(obs, catalog, "footprint", "name", required=True).collect()
     assert observations.only_existing(obs, catalog, "footprint", "name").filter("footprint is not null").isEmpty()
 
 
