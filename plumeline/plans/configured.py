@@ -65,6 +65,8 @@ def preprocessed(spark: SparkSession, folder: str, prefix: str, times: DataFrame
     Files have steps of `source`, the model's own by default; longer ones count for all steps that begin in them. Times that are
     no step's are an error when the rows are computed: the files have another frequency. `months` are those of the axis, if they are known.
     """
+    if source is not None and bool(source.months) == bool(by.months):
+        flux.steps_within(source, by)  # raises where steps of files aren't whole ones of the model
     if months is None:
         months = [r[0] for r in times.select(F.date_format("t0", "yyyy-MM").alias("m")).distinct().orderBy("m").collect()]
     rows = spark.read.parquet(*[f"{folder}/{name}" for name in tables.files_for_months(files_in(spark, folder), prefix, months)])

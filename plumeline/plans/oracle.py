@@ -202,6 +202,12 @@ ORACLE: dict[str, str] = {
     "fp_release_fold": f"""WITH ends AS (SELECT *, max(itim) OVER (PARTITION BY obsid) AS last FROM fx_footprint)
         SELECT obsid, CASE WHEN obsid % 2 = 0 AND itim = last THEN itim - 1 ELSE itim END AS itim, ilat, ilon, {rd('sum(sensi)', 'sensi', 5)} FROM ends GROUP BY 1, 2, 3, 4""",
     "fp_unit_fix": f"SELECT obsid, itim, ilat, ilon, {rd('CASE WHEN obsid % 3 = 0 THEN sensi * CAST(0.0002897 AS DOUBLE) ELSE sensi END', 'sensi', 9)} FROM fx_footprint",
+    "src_footprint_reader": f"""WITH ends AS (SELECT obsid, itim, ilat, ilon, CASE WHEN obsid % 3 = 0 THEN sensi * CAST(0.0002897 AS DOUBLE) ELSE sensi END AS sensi, max(itim) OVER (PARTITION BY obsid) AS last FROM fx_footprint),
+        folded AS (SELECT obsid, CASE WHEN obsid % 2 = 0 AND itim = last THEN itim + 1 ELSE itim + 2 END AS itim, ilat, ilon, sum(sensi) AS sensi FROM ends GROUP BY 1, 2, 3, 4),
+        near AS (SELECT * FROM (SELECT *, max(itim) OVER (PARTITION BY obsid) AS last FROM folded) t WHERE last - itim <= 2),
+        whole AS (SELECT *, min(itim) OVER (PARTITION BY obsid) AS first FROM near) SELECT obsid, itim, ilat, ilon, {rd('sensi', 'sensi', 9)} FROM whole WHERE first >= 0""",
+    "flux_as_vector": f"SELECT tracer, (CAST(itim AS BIGINT) * 8 + ilat) * 10 + ilon AS k, {rd('flux', 'flux', 5)} FROM fx_flux WHERE category = 'fires'",
+    "src_cube_of_a_tracer": f"SELECT {KEY}, {rd('flux', 'flux', 5)} FROM fx_flux WHERE tracer = 'co2'",
     "fp_dense_to_coo": f"SELECT obsid, ilat, ilon, {rd('sum(sensi)', 'sensi', 5)} FROM fx_footprint GROUP BY 1, 2, 3 HAVING sum(sensi) <> 0",
     "fp_compressed_to_coo": f"SELECT obsid, CAST(1 - dense_rank() OVER (PARTITION BY obsid ORDER BY itim) AS INT) AS itim, CAST(ilon AS DOUBLE) AS lon, CAST(ilat AS DOUBLE) AS lat, {rd('sensi', 'sensi', 5)} FROM fx_footprint",
     "fp_clip": """SELECT obsid, itim, CAST(floor((CAST(71 AS DOUBLE) / 2 + 5 * ilat - 40) / (CAST(5 AS DOUBLE) / 2)) AS INT) AS jlat, CAST(floor((5 * ilon - CAST(25 AS DOUBLE) / 2) / (CAST(5 AS DOUBLE) / 2)) AS INT) AS jlon

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +14,10 @@ from plumeline.functions import text, units
 from plumeline.functions.expressions import terms_table
 from plumeline.functions.timeaxis import anchored, axis, spun, step
 from plumeline.operators import background, clusters, flux, footprints, grid, mapping, observations, polygons, prior, solver, transport
+from plumeline import api
 from plumeline.plans import inversion
 from plumeline.sources import archive, tables
+from plumeline.sources import footprints as layouts
 from plumeline.sources.fixtures import view
 from plumeline.sources.shared import kept, new_path
 
@@ -603,6 +607,34 @@ def fp_unit_fix(v: Views) -> DataFrame:
     return footprints.unit_fixed(rows).select("obsid", "itim", "ilat", "ilon", r("sensi", 9))
 
 
+@query
+def src_footprint_reader(v: Views) -> DataFrame:
+    """Footprints as a file has them (units, ends of releases), read onto a model's axis that begins two steps earlier, of two steps at most before the last."""
+    day = timedelta(days=1)
+    origin = datetime(1995, 1, 1)
+    last = F.timestamp_micros(F.unix_micros(F.lit(str(origin)).cast("timestamp")) + F.max("itim").cast("long") * 86_400_000_000)
+    ends = v.footprint.groupBy("obsid").agg(last.alias("last"))
+    kept = v.footprint.join(ends, "obsid").select("obsid", "itim", "ilat", "ilon", "sensi", F.when(F.col("obsid") % 3 == 0, "s m3 kg-1").otherwise("mol").alias("units"), F.when(F.col("obsid") % 2 == 0, F.col("last")).alias("release_end"))
+    path = new_path(v.spark, "footprints")
+    kept.write.parquet(path)
+    read = replace(layouts.reader("parquet")(v.spark, path, CELLS, 86400, origin), longest=2)
+    return read.align(CELLS, 86400, origin - 2 * day).rows().select("obsid", "itim", "ilat", "ilon", r("sensi", 9))
+
+
+@query
+def flux_as_vector(v: Views) -> DataFrame:
+    return api.Fluxes(v.flux, v.cell, v.time, ()).as_vector("fires").select("tracer", "k", r("flux", 5))
+
+
+@query
+def src_cube_of_a_tracer(v: Views) -> DataFrame:
+    """What is read of one tracer of a cube that was written."""
+    path = new_path(v.spark, "cube")
+    known = tuple(api.Category(c, t) for t in ("co2", "ch4") for c in ("fossil", "fires", "biosphere"))
+    api.Fluxes(v.flux, v.cell, v.time, known).write(path)
+    return api.Fluxes.read(v.spark, path, ["co2"]).flux.select(*flux.KEY, r("flux", 5))
+
+
 @query
 def fp_dense_to_coo(v: Views) -> DataFrame:
     columns = [F.sum(F.when(F.col("ilon") == k, F.col("sensi")).otherwise(0.0)) for k in range(10)]
