@@ -32,7 +32,7 @@ gives an empty result. Texts of any length are taken whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -229,16 +229,16 @@ def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Of each node of the links (a, b): the smallest node reachable (label)."""
-    links = cut(links)
-    ways = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(ways.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
+def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """Of each node of the links (a, b): the smallest node reachable (label). Nodes are of any type that has an order; `keep` writes what a round needs."""
+    links = keep(links)
+    ways = keep(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = keep(ways.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
     while True:
         seen = ways.join(labels, ways["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(seen, labels["node"] == seen["a"]).select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        after = cut(lower.join(jump, "low", "left").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved")))
+        after = keep(lower.join(jump, "low", "left").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved")))
         labels = after.select("node", "label")
         if after.filter("moved").isEmpty():
             return labels

@@ -538,6 +538,27 @@ def test_compact_windows():
         assert set(zip(*[x.tolist() for x in substrings.compact_windows(v, bounds, least)], strict=True)) == want
 
 
+def test_keys_of_passages():
+    """Each overlap of the intervals of both trees of a band has a key, of the least shingles of all windows of the least length in it."""
+    rng = np.random.default_rng(3)
+    bounds = np.array([0, 150, 160, 420])
+    g = rng.integers(0, 2**63, 420).astype(np.uint64)
+    g[200:260] = g[200:210].repeat(6)
+    keys, at = substrings.joined_windows(g, bounds)
+    want = []
+    for band in range(substrings.BANDS):
+        values = [(g ^ textarrays.salt(1 << 21 | f)) * (textarrays.salt(1 << 22 | f) | np.uint64(1)) for f in (2 * band, 2 * band + 1)]
+        before = None
+        for s in [*range(150 - substrings.LENGTH + 1), *range(160, 420 - substrings.LENGTH + 1)]:
+            least = (s >= 160, *[s + int(np.argmin(v[s : s + substrings.LENGTH])) for v in values])
+            if least != before:
+                want.append(least[1:])
+            before = least
+    assert at.tolist() == [m for m, _ in want]
+    of = dict(zip(keys.tolist(), [(g[m], g[n]) for m, n in want], strict=True))
+    assert len(of) == len(set(keys.tolist())) and all(of[k] == (g[m], g[n]) for k, (m, n) in zip(keys.tolist(), want, strict=True))
+
+
 def test_passages(documents, pairs, nothing):
     got = substrings.find(documents).collect()
     text = {i: brute.words(t) for i, t in pairs if i is not None}
@@ -621,6 +642,20 @@ def test_passages_of_few_after_a_frequent_line(spark):
     assert {(2 * i + 1, 2 * i, 60, 111) for i in range(40)} <= {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in got}
 
 
+def test_classes_of_passages(spark):
+    """A group's rows name some pairs, its class all documents; passages of one text that don't meet are apart."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: [f"n{rng.integers(10**9)}" for _ in range(n)]
+    one, two = noise(60), noise(70)
+    docs = [(i, " ".join(noise(40) + one + noise(30))) for i in range(12)] + [(i, " ".join(noise(20) + two + noise(30))) for i in range(20, 23)]
+    docs += [(30, " ".join(noise(25) + two + noise(30) + one + noise(5)))]
+    got = substrings.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    of = collections.defaultdict(set)
+    for r in got:
+        of[r["class_doc"], r["class_start"], r["class_docs"]] |= {r["doc_id"], r["other_id"]}
+    assert of == {(0, 40, 13): {*range(12), 30}, (20, 20, 4): {20, 21, 22, 30}}
+
+
 def test_leaders_leave_no_pair_out():
     """Each place that has a passage with others of its group is paired with one of them, whatever leads."""
     rng = np.random.default_rng(5)
