@@ -7,8 +7,9 @@ trees on features of their format (check digits, forms of numbers that are given
 digits that repeat) and of the text on both sides, and kept beyond a threshold that is
 calibrated on held-out examples for each kind. Of overlapping spans base ones stay, then
 the one of the highest score. The trees are trained in numpy from EXAMPLES sentences:
-a form of number, a wording that speaks for it, against it or for nothing, by turns of
-phrase that aren't the features' word lists; and then are a column expression.
+a form of number, and a wording that speaks for it, against it or for nothing. Most
+wordings have no word of the features' lists, so the trees learn from persons, names,
+codes, punctuation and the number's own form too; and then are a column expression.
 
 Positions come from the gaps between matches: `split` and `regexp_extract_all` see
 the same leftmost matches, so a match starts where the gaps and matches before it end.
@@ -56,9 +57,10 @@ CUES = {
     "bank": "iban|account|bank|transfer|wire|pay|konto|überweisen|compte|virement|cuenta|banco",
     "other": "order|invoice|version|isbn|part|ref|reference|hash|build|serial|ticket|model|item|sku|tracking|case|lot|code|bestellung|rechnung|commande|facture|pedido|factura",
 }
+PERSONS = "i|he|she|we|you|they|him|them|who|me|us|mr|mrs|ms|dr|his|her|your|our|my|their|ich|er|sie|wir|il|elle|nous|vous|él|ella|usted"
 #: Code points before and after a span that count as near it.
 BEFORE, AFTER = 40, 24
-FEATURES = (*KINDS[4:], "digits", "distinct", "symbols", "ends_in_zeros", "given_out", "checked", "brackets", *(f"{c}_before" for c in CUES), *(f"{c}_after" for c in CUES), "own", "glued", "digits_near", "copula")
+FEATURES = (*KINDS[4:], "digits", "distinct", "symbols", "ends_in_zeros", "given_out", "checked", "brackets", *(f"{c}_before" for c in CUES), *(f"{c}_after" for c in CUES), "own", "glued", "digits_near", "copula", "dashes", "dots", "person_before", "person_after", "name_before", "code_before", "colon", "words_before", "longest_before", "money", "letter_joined")
 
 
 def digits(text: Column) -> Column:
@@ -122,7 +124,8 @@ def mod97(text: Column) -> Column:
 
 
 def features(span: Column, text: Column) -> dict[str, Column]:
-    before = F.lower(F.substring(text, F.greatest(span["start"] - BEFORE, F.lit(0)) + 1, F.least(span["start"], F.lit(BEFORE))))
+    cased = F.substring(text, F.greatest(span["start"] - BEFORE, F.lit(0)) + 1, F.least(span["start"], F.lit(BEFORE)))
+    before = F.lower(cased)
     after = F.lower(F.substring(text, span["end"] + 1, F.lit(AFTER)))
     number = digits(span["text"])
     phone, identity, bank = (span["kind"] == k for k in ("local_phone", "national_id", "iban"))
@@ -142,16 +145,43 @@ def features(span: Column, text: Column) -> dict[str, Column]:
     out["glued"] = is_(before.rlike("[^ ]$"))
     out["digits_near"] = F.length(digits(before)) + F.length(digits(after))
     out["copula"] = is_(before.rlike("(?: at| is| on| to|:|=) ?$"))
+    out["dashes"] = F.length(F.regexp_replace(span["text"], "[^-]", ""))
+    out["dots"] = F.length(F.regexp_replace(span["text"], "[^.]", ""))
+    out["person_before"], out["person_after"] = is_(near(before, PERSONS)), is_(near(after, PERSONS))
+    # a word with a capital that doesn't begin its sentence, and a sign of a code: two capitals or more, a number sign, "no."
+    out["name_before"] = is_(cased.rlike(r"(?:\p{Ll},? |\p{Lu}\p{Ll}+ |\. )\p{Lu}\p{Ll}+[^.!?]{0,12}$"))
+    out["code_before"] = is_(cased.rlike(r"(?:(?<!\pL)\p{Lu}{2,}|#|(?<!\pL)[Nn](?:o|r|um)\.)[^\pL]{0,3}$"))
+    out["colon"] = is_(before.rlike("[:=] ?$"))
+    words = F.filter(F.split(before, r"[^\pL]+"), lambda w: F.length(w) > 0)
+    out["words_before"] = F.size(words)
+    out["longest_before"] = F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0))
+    out["money"] = is_(before.rlike("[$€£¥] ?$") | after.rlike("^ ?(?:[$€£¥%]|usd|eur)"))
+    out["letter_joined"] = is_(before.rlike(r"[\pL_/-]$"))
     return {k: out[k] for k in FEATURES}
 
 
-#: What examples are made of; {} is the number. Wordings that speak for a kind, wordings against all, and for nothing.
+#: What examples are made of; {} is the number. Wordings that speak for a kind, wordings against all, and for
+#: nothing. A third of them at most has a word of CUES: what decides is who does what, the form of the number, and its neighbours.
 SPEAKING = {
-    "national_id": ["my social security number is {}", "SSN {}", "ssn: {}", "{} is on her passport", "tax id {} for the return", "identity number {}", "he gave his social as {}", "the applicant's SSN is {}, born in May"],
-    "local_phone": ["call me at {}", "reach the office at {}", "telephone number {}", "Tel. {}", "mobile: {}", "you can ring {} after six", "text us on {}", "{} is my cell", "contact {} to book", "Telefon {}", "fax {} or write", "dial {} for help", "her phone is {}"],
-    "iban": ["please wire it to {}", "{} is our IBAN", "IBAN {}", "Konto {}", "account {} at the bank", "the transfer goes to {}", "and {}"],
+    "national_id": [
+        "my social security number is {}", "SSN {}", "{} is on her passport", "tax id {} for the return", "the applicant has {}, born in May", "she was issued {} in Ohio", "his card shows {}",
+        "the file of Maria Lopez gives {}", "John Reed, {}", "born 1970, {}", "we have {} for the patient", "he wrote {} on the form", "the widow filed under {}", "{} belongs to the tenant",
+        "their records have {} for him", "the nurse typed {} for Mr. Hall", "a person with {}", "the new hire gave {}", "for Anna Smith the clerk found {}", "enrolled as {}", "the claimant, {}, died",
+    ],
+    "local_phone": [
+        "call me at {}", "telephone number {}", "Tel. {}", "mobile: {}", "text us on {}", "contact {} to book", "Telefon {}", "fax {} or write", "you can get her on {}", "try {} after six",
+        "Dr. Brown, {}", "ask for Tom, {}", "John Miller {}", "leave word for him at {}", "she answers {} in the morning", "we are open, {}", "Emma ({})", "his new one is {}", "signal {}", "the desk: {}",
+        "write to us or try {}", "speak with Mr. Hall, {}", "they live on Main Street, {}", "for questions {}", "{} (ask for Peter)", "{} after lunch, please", "my sister picks up {}", "hotline {}", "evenings: {}",
+        "they gave me {}", "her husband has {}", "viber {}", "the plumber, {}, came", "she moved, now {}", "Lucy Gray at {}", "home {}", "work {}", "the clinic says {}", "use {} for emergencies", "mein Bruder hat {}",
+    ],
+    "iban": ["please wire it to {}", "{} is our IBAN", "Konto {}", "the rent goes to {}", "and {}", "send it here: {}", "mine is {}", "she uses {}", "{} for the deposit", "payable to Anna Smith, {}"],
 }
-AGAINST = ["order {}", "invoice no. {}", "part number {}", "version {}", "serial {} of the pump", "ticket {} was closed", "see case {}", "tracking code {}", "{} is the model", "ISBN {}", "build {} failed", "lot {} was recalled", "ref. {}", "SKU {}", "item {} is sold out", "Rechnung {}", "call the desk about order {}", "hash {}"]
+AGAINST = [
+    "order {}", "invoice no. {}", "part number {}", "version {}", "ticket {} was closed", "{} is the model", "call the desk about order {}", "ref. {}", "Rechnung {}", "lot {} was recalled",
+    "PO {}", "RMA {}", "the pump, {}, is out of stock", "catalogue {}", "parcel {} left the depot", "standard {} applies", "record {} of the database", "MAC {} of the card", "PN {}", "row {} of the sheet",
+    "firmware {}", "chip {}", "they shipped {} on Monday", "we returned {} to the shop", "the bolt {} fits", "batch {} expired", "under patent {}", "docket {}", "#{}", "no. {}", "ID {}", "your parcel {} is late", "he bought {} cheaply",
+    "the router {} rebooted", "schema {}", "receipt {}", "bill {} is due", "policy {}", "grid {}", "pages {}", "he broke {} in two", "{} pieces", "{} units were sold", "{} EUR", "$ {}", "coordinates {}", "scores {}", "ratio {}",
+]
 NEUTRAL = ["the {} and", "it was {} then", "{}", "in {} they", "with {} of", "a {} on", "le {} de", "der {} und", "1 20 {} 44", "{}, 17, 230, 5"]
 
 
