@@ -436,15 +436,20 @@ def test_wordings_of_training_are_not_the_cues():
 
 
 def test_personal_data_without_cues(spark):
-    """Sentences that no wording makes and that have no word of the lists for personal data: most are found, numbers of things aren't."""
+    """Sentences that no wording makes, those that are personal without a word of the lists: most are found, of numbers of things one at most."""
     yes = [
-        "her number: 415-555-1234", "he is at (212) 867-5309", "You will find me under (415) 555-1234", "Send a note to (646) 736-5000", "Mr. Jones wants a reply, 212-736-5000", "I can be found at 212.736.5001",
-        "Sarah Connor's is 321-54-9876", "Her son was given 509-21-7777 at birth", "The driver showed 457-55-5462 at the gate",
+        "whatsapp 415-555-1234", "her number: 415-555-1234", "he is at (212) 867-5309", "You will find me under (415) 555-1234", "the employee record lists 219-09-9999",
+        "Send a note to (646) 736-5000", "Grandma picks up at 303-555-0199", "Mr. Jones wants a reply, 212-736-5000", "The driver showed 457-55-5462 at the gate", "Sarah Connor's is 321-54-9876",
+        "Her son was given 509-21-7777 at birth", "Mary, 718-555-0123, will pick you up", "I can be found at 212.736.5001",
+    ]
+    no = [
+        "order 415-555-1234 has left", "catalogue item 303.555.0111", "The build 646-555-0199 broke", "invoice 219-09-9999 of June", "lot 457-55-5462, 12 boxes", "On 2024-05-17 at 10.30 it cost 1,299.00",
+        "version 10.20.3000", "tracking 212 736 5000 shipped", "serial 509-21-7777", "The valve 415-555-1234 leaks", "QC 303-555-0111 failed", "300 400 5000 people came", "we sold 212 736 5000 of them",
+        "the price rose to 219.736.5000 yen", "SKU#457-55-5462", "file 219-09-9999.pdf", "consignment 321-54-9876", "WO 646-555-0199",
     ]
-    no = ["The valve 415-555-1234 leaks", "QC 303-555-0111 failed", "300 400 5000 people came", "we sold 212 736 5000 of them", "SKU#457-55-5462", "file 219-09-9999.pdf", "consignment 321-54-9876", "WO 646-555-0199"]
     rows = [(i, t) for i, t in enumerate(yes + no)]
     got = {r["doc_id"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).filter("spans <> ''").collect()}
-    assert len([i for i in got if i < len(yes)]) >= 6 and not [i for i in got if i >= len(yes)]
+    assert len([i for i in got if i < len(yes)]) >= 8 and len([i for i in got if i >= len(yes)]) <= 1
 
 
 def test_overlaps_of_personal_data(spark):
