@@ -11,20 +11,27 @@ shares, these bound the trie whatever the corpus: 1 / CLASS_SHARE words, 1 / GRA
 bigrams, 1 / KNOWN_SHARE counts.
 
 Its upper part grows with the corpus: all trigrams of all words that occur LEAST times,
-in one trie for each range of their contexts' hashes. Every token goes to its context's
+in one trie for each range of the hashes of contexts' last words. Every token goes to its
 range once, with its lower-order probability as a code; there trigrams of training
-documents are counted, the range's trie is made, and all tokens are looked up in it, so
-no task ever holds more than a range. A context's probabilities are counts over its total
-and MU more; MU and what is left out are the weight of the lower orders. Contexts with a
-share of HOT_SHARE of all tokens would make a range too large: their totals go to all
-tasks (1 / HOT_SHARE at most), and their tokens are dealt out by context and word.
-
-A trie has a level for each order. A node's children are a range between two pointers;
-pointers and child ids are monotone sequences in Elias-Fano form, with probabilities and
-back-offs as 8-bit codes of even logarithmic steps. Child ids are places among the words
-of the trie, or for a third word of the lower trie among the successors of the second;
-lookups search a range for the successor of an id. The levels are mapped from a file that
-is unlinked at once.
+documents are counted and the range's trie is made. A context's probabilities are counts
+over its total and MU more; MU and what is left out are the weight of the lower orders.
+Words with a share of HOT_SHARE of all tokens would make a range too large: the contexts
+that end with them are dealt out by both words. Contexts with such a share are dealt out
+by all three; their totals go to all tasks (1 / HOT_SHARE at most). So no task ever holds
+more than a range.
+
+The trie of a range has three levels: last words of contexts; below each, the words that
+follow it and the contexts that end with it; below each context, its third words, whose
+ids are their places among those that follow its last word. A node's children are a range
+between two pointers; pointers and child ids are monotone sequences in Elias-Fano form,
+with probabilities and back-offs as 8-bit codes of even logarithmic steps, and lookups
+search a range for the successor of an id. The lower orders' trie has the same levels,
+with places among its vocabulary for ids.
+
+fit() writes a model to a folder: a row for each range, whose trie is one piece of bytes
+that is searched where Arrow has it, without being parsed or copied; score() applies it
+to any table. report() does both in one pass: a range answers from its trie when it has
+made it, as a second shuffle of all tokens would double what is written.
 
 Counts of words too rare for a broadcast are looked up where they were added up, on the
 same way as the trigrams.
@@ -32,22 +39,20 @@ same way as the trigrams.
 Nulls and edge cases: a null or empty text is an end alone; rows without doc_id are
 scored and neither held out nor learned from; repeated rows are counted and scored
 each; without training documents probabilities are those of smoothing alone; an empty
-table gives no rows; texts are read whole. Ids are whole numbers. Contexts are known by
-32 bits of their hash within a range and words by 24 within a context.
+table gives no rows; texts are read whole. Ids are whole numbers. Last words and contexts
+are known by 32 bits of their hash within a range, third words by 24 after a last word.
 """
 
 from __future__ import annotations
 
-import os
 import pickle
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shared, cut, in_order, shards_for, texts
@@ -70,8 +75,8 @@ START, END, RARE, FIRST = 0, 1, 2, 3
 #: Tokens (and documents) that are sent at once; equal bigrams in a part of so many bytes are looked up once. Bytes of text for each range.
 BLOCK_TOKENS, BLOCK_ROWS, SCORED_BYTES = 1 << 19, 1 << 15, 1 << 20
 RANGE_BYTES = 2 << 20
-#: Bytes of a sent token: five of its context, three of its word, a code, two of its row with a bit for learning.
-COLUMNS = 11
+#: Bytes of a sent token: five of its context, three of its word, a code, two of its row with a bit for learning, three of its last word's place.
+COLUMNS = 14
 #: Counts that a task holds before equal ones are added up.
 PENDING = 1 << 20
 
@@ -168,6 +173,7 @@ class Vocabulary:
         self.unknown_words = words - len(self.keys)
         self.unknown_tokens = tokens - int(self.counts.sum())
         self.ends = ends
+        self.hot = self.counts >= max(1, HOT_SHARE * tokens)
 
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -294,15 +300,15 @@ class Codes:
 
 
 class Level:
-    """Nodes in ranges by parent: ids that count on from range to range, probabilities, and if there is a level below back-offs and pointers."""
+    """Nodes in ranges by parent: ids that count on from range to range, and where there are such, probabilities, and back-offs and pointers to a level below."""
 
-    def __init__(self, ids: np.ndarray, first: np.ndarray, logp: np.ndarray, backoff: np.ndarray | None = None, children: np.ndarray | None = None):
+    def __init__(self, ids: np.ndarray, first: np.ndarray, logp: np.ndarray | None = None, backoff: np.ndarray | None = None, children: np.ndarray | None = None):
         sizes = np.diff(first)
         last = np.zeros(len(sizes), np.int64)
         last[sizes > 0] = ids[first[1:][sizes > 0] - 1]
         before = np.concatenate([[0], np.cumsum(last)[:-1]]) if len(sizes) else last
         self.ids = EliasFano(ids + np.repeat(before, sizes))
-        self.logp = Codes(logp)
+        self.logp = Codes(logp) if logp is not None else None
         self.backoff = Codes(backoff) if backoff is not None else None
         self.pointers = EliasFano(children) if children is not None else None
 
@@ -323,26 +329,6 @@ class Level:
         return a, found
 
 
-def mapped(trie, parts: list):
-    """All arrays of the parts mapped from a file, which has no name any more."""
-    owners = [(o, k) for o in parts for k in vars(o) if isinstance(getattr(o, k), np.ndarray) and getattr(o, k).size]
-    handle, path = tempfile.mkstemp()
-    try:
-        with os.fdopen(handle, "wb") as f:
-            places = []
-            for o, k in owners:
-                f.write(b"\0" * (-f.tell() % 16))
-                places.append(f.tell())
-                f.write(np.ascontiguousarray(getattr(o, k)).data)
-        whole = np.memmap(path, np.uint8, "r") if owners else None
-        for (o, k), at in zip(owners, places, strict=True):
-            old = getattr(o, k)
-            setattr(o, k, np.frombuffer(whole, old.dtype, old.size, at).reshape(old.shape))
-    finally:
-        os.unlink(path)
-    return trie
-
-
 class Trie:
     """Levels of unigrams (ids are places), bigrams and trigrams."""
 
@@ -374,9 +360,6 @@ class Trie:
         self.two = Level(v, first2, np.log10(p2), back2, first3)
         self.three = Level(relative, first3, np.log10(p3))
 
-    def map_to_disk(self) -> Trie:
-        return mapped(self, [self.p1, self.back1, self.first2, self.two.ids, self.two.logp, self.two.backoff, self.two.pointers, self.three.ids, self.three.logp])
-
     def log10(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Of c after b after a; a is -1 where there is none."""
         low, high = self.first2[b], self.first2[b + 1]
@@ -402,32 +385,58 @@ class Trie:
 
 
 class Range:
-    """Contexts (their ids are places) and the words that follow them: a trie of two levels; contexts in `total` have more than is counted here."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray, total: np.ndarray, all_of: np.ndarray):
-        """Of each pair, ordered: its context's id, its word's id and its count; of each context: a total from elsewhere or -1, and whether all its words are kept."""
-        n = len(total)
-        own = np.bincount(context, counts, n)
-        kept = (counts >= LEAST) | all_of[context] & (counts > 0)
-        left = np.bincount(context[~kept], counts[~kept], n)
-        total = np.where(total >= 0, total, own)
-        self.first = EliasFano(np.searchsorted(context[kept], np.arange(n + 1)))
-        self.backoff = Codes(np.log10((left + MU) / (total + MU)))
-        self.words = Level(word[kept], np.searchsorted(context[kept], np.arange(n + 1)), np.log10(counts[kept] / (total[context[kept]] + MU)))
-
-    def log10(self, context: np.ndarray, word: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Of words after contexts, with their lower-order logarithms."""
-        at, found = self.words.find(self.first[context], self.first[context + 1], word)
-        out = 10 ** (self.backoff[context] + low)
-        out[found] += 10 ** self.words.logp[at[found]]
+    """Trigrams in three levels: last words of contexts; the words after each (`after`) and the contexts that end with it; each context's words by their places in `after`."""
+
+    def __init__(self, last: np.ndarray, context: np.ndarray, word: np.ndarray, counts: np.ndarray, total: np.ndarray):
+        """Of each trigram, ordered by last word, context and word: their ids, its count, and its context's total from elsewhere (all of its words are kept) or -1."""
+        new = np.ones(len(context), bool)
+        new[1:] = (context[1:] != context[:-1]) | (last[1:] != last[:-1])
+        of = np.cumsum(new) - 1
+        kept = (counts >= LEAST) | (total >= 0)
+        n = int(new.sum())
+        own, left = np.bincount(of, counts, n), np.bincount(of[~kept], counts[~kept], n)
+        whole = np.where(total[new] >= 0, total[new], own)
+        node = np.flatnonzero(np.bincount(of[kept], minlength=n))
+        children = np.searchsorted(of[kept], np.append(node, n))
+        lasts, above = np.unique(last[new][node], return_inverse=True)
+        contexts = np.searchsorted(above, np.arange(len(lasts) + 1))
+        key = (np.searchsorted(lasts, last[kept]) << 24) | word[kept]
+        after, rank = np.unique(key, return_inverse=True)
+        first = np.searchsorted(after >> 24, np.arange(len(lasts) + 1))
+        self.lasts = Level(lasts, np.array([0, len(lasts)]), children=contexts)
+        self.first_after = EliasFano(first)
+        self.after = Level(after & 0xFFFFFF, first)
+        self.contexts = Level(context[new][node], contexts, backoff=np.log10((left[node] + MU) / (whole[node] + MU)), children=children)
+        self.words = Level(rank - first[key >> 24], children, np.log10(counts[kept] / (whole[of[kept]] + MU)))
+
+    def log10(self, last: np.ndarray, context: np.ndarray, total: np.ndarray, of: np.ndarray, word: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Of words after contexts, with their lower-order logarithms; `of` is each word's place among contexts, whose last words and totals are given as above."""
+        start = np.zeros(len(last), np.int64)
+        above, known = self.lasts.find(start, start + self.lasts.ids.n, last)
+        some = np.flatnonzero(known)
+        at, found = self.contexts.find(self.lasts.pointers[above[some]], self.lasts.pointers[above[some] + 1], context[some])
+        node, backoff = np.full(len(last), -1), np.zeros(len(last))
+        node[some[found]] = at[found]
+        backoff[some[found]] = self.contexts.backoff[at[found]]
+        backoff[total >= 0] = np.log10(MU / (total[total >= 0] + MU))
+        out = 10 ** (backoff[of] + low)
+        asked = np.flatnonzero(node[of] >= 0)
+        first = self.first_after[above[of[asked]]]
+        at, found = self.after.find(first, self.first_after[above[of[asked]] + 1], word[asked])
+        asked, rank = asked[found], (at - first)[found]
+        parent = node[of[asked]]
+        at, found = self.words.find(self.contexts.pointers[parent], self.contexts.pointers[parent + 1], rank)
+        out[asked[found]] += 10 ** self.words.logp[at[found]]
         return np.log10(out)
 
-    def map_to_disk(self) -> Range:
-        return mapped(self, [self.first, self.backoff, self.words.ids, self.words.logp])
+
+def remainder() -> Column:
+    """What says whether a document is held out (0) or learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
 
 
 def training(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+    return docs.filter(remainder() != 0)
 
 
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
@@ -480,11 +489,54 @@ class Hot:
         return at, self.keys[at] == keys
 
 
-class Block:
-    """Documents that are sent at once: their tokens by range in as few bytes as possible, and all that is known where they are."""
+class Common:
+    """What every task has of a model, and the number of its ranges."""
 
     def __init__(self, words: Vocabulary, trie: Trie, hot: Hot, shards: int):
         self.words, self.trie, self.hot, self.shards = words, trie, hot, shards
+
+
+#: Parts of a model, by the name that they are stored under.
+KINDS = {c.__name__: c for c in (EliasFano, Codes, Level, Trie, Range, Vocabulary, Hot, Common)}
+
+
+def state(part):
+    name = type(part).__name__
+    return {"kind": name, **{k: state(v) for k, v in vars(part).items()}} if name in KINDS else part
+
+
+def of_state(part):
+    if not isinstance(part, dict):
+        return part
+    out = object.__new__(KINDS[part.pop("kind")])
+    vars(out).update({k: of_state(v) for k, v in part.items()})
+    return out
+
+
+def stored(part) -> bytes:
+    """A part of a model as bytes: sizes, its structure, and its arrays at multiples of 16."""
+    arrays: list[pickle.PickleBuffer] = []
+    pieces = [pickle.dumps(state(part), 5, buffer_callback=arrays.append), *(a.raw() for a in arrays)]
+    sizes = np.array([len(pieces), *map(len, pieces)], "<u8").tobytes()
+    return b"".join(x for p in (sizes, *pieces) for x in (p, b"\0" * (-len(p) % 16)))
+
+
+def restored(data):
+    """The part of a model that stored() gave; its arrays are where the bytes are."""
+    view = memoryview(data)
+    n = int(np.frombuffer(view, "<u8", 1)[0])
+    at, pieces = -(-8 * (n + 1) // 16) * 16, []
+    for size in np.frombuffer(view, "<u8", n, 8).tolist():
+        pieces.append(view[at : at + size])
+        at += -(-size // 16) * 16
+    return of_state(pickle.loads(pieces[0], buffers=pieces[1:]))
+
+
+class Block:
+    """Documents that are sent at once: their tokens by range in as few bytes as possible, and all that is known where they are."""
+
+    def __init__(self, common: Common):
+        self.words, self.trie, self.hot, self.shards = common.words, common.trie, common.hot, common.shards
         self.clear()
 
     def clear(self) -> None:
@@ -514,13 +566,16 @@ class Block:
         context = pair_key(np.where(before == START_KEY, START_KEY, keys[token - 2]), before)
         word = mix(keys[token])
         number, is_hot = self.hot.places(context)
-        shard = shard_of(np.where(is_hot, mix(context ^ word), context), self.shards)
+        hot_word = np.zeros(len(seq), bool)
+        if len(words.keys):
+            hot_word[place] = known & words.hot[at]
+        shard = shard_of(np.where(is_hot, mix(context ^ word), np.where(hot_word[token - 1], context, before)), self.shards)
         part = np.where(is_hot, number.astype(np.uint64) | np.uint64(1 << 32), context & np.uint64(0xFFFFFFFF))
         of = row_of(wide)[token]
         done = len(self.ids)
         rows = (of + done).astype(np.uint64) | (learn[of].astype(np.uint64) << np.uint64(15))
         code = np.clip(np.rint(-low[token] / LOW_STEP), 0, 255).astype(np.uint8)
-        self.tokens.append((shard, np.concatenate([planes(part, 5), planes(word >> np.uint64(40), 3), code[None], planes(rows, 2)])))
+        self.tokens.append((shard, np.concatenate([planes(part, 5), planes(word >> np.uint64(40), 3), code[None], planes(rows, 2)]), (before & np.uint64(0xFFFFFFFF)).astype("<u4")))
         unknown = np.flatnonzero(~known)
         self.rare.append((shard_of(h[unknown], self.shards), h[unknown], (row[unknown] + done).astype("<u2")))
         self.ids += ids
@@ -529,9 +584,9 @@ class Block:
     def sent(self, number: int) -> pa.RecordBatch:
         """A row (shard, block, of_range, packed) for each range, and one of what is known here."""
         pack = zstandard.ZstdCompressor(level=1).compress
-        shard, columns = (np.concatenate([t[k] for t in self.tokens], axis=-1) for k in range(2))
+        shard, columns, last = (np.concatenate([t[k] for t in self.tokens], axis=-1) for k in range(3))
         order = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")
-        columns, ends = np.ascontiguousarray(columns[:, order]), np.searchsorted(shard[order], np.arange(self.shards + 1))
+        columns, last, ends = np.ascontiguousarray(columns[:, order]), last[order], np.searchsorted(shard[order], np.arange(self.shards + 1))
         rare_shard, rare, rare_row = (np.concatenate([t[k] for t in self.rare]) for k in range(3))
         order = np.argsort(rare_shard, kind="stable")
         rare, rare_row, rare_ends = rare[order], rare_row[order], np.searchsorted(rare_shard[order], np.arange(self.shards + 1))
@@ -539,7 +594,8 @@ class Block:
         packed_ = []
         for s in some:
             own, r = columns[:, ends[s] : ends[s + 1]], slice(rare_ends[s], rare_ends[s + 1])
-            packed_.append(pack(np.array([own.shape[1]], "<u4").tobytes() + own.tobytes() + rare[r].astype("<u8").tobytes() + rare_row[r].tobytes()))
+            lasts, at = np.unique(last[ends[s] : ends[s + 1]], return_inverse=True)
+            packed_.append(pack(np.array([own.shape[1], len(lasts)], "<u4").tobytes() + own.tobytes() + planes(at, 3).tobytes() + lasts.tobytes() + rare[r].astype("<u8").tobytes() + rare_row[r].tobytes()))
         known = self.ids, *(np.concatenate([k[i] for k in self.known]) for i in range(3))
         out = pa.RecordBatch.from_arrays(
             [
@@ -554,39 +610,56 @@ class Block:
         return out
 
 
-def opened(message: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What sent() made of a range's tokens (a plane for each byte), rare words and their rows."""
-    n = int(np.frombuffer(message, "<u4", 1)[0])
-    rare = (len(message) - 4 - COLUMNS * n) // 10
-    columns = np.frombuffer(message, np.uint8, COLUMNS * n, 4).reshape(COLUMNS, n)
-    return columns, np.frombuffer(message, "<u8", rare, 4 + COLUMNS * n), np.frombuffer(message, "<u2", rare, 4 + COLUMNS * n + 8 * rare)
-
-
-def scored(asked: list[tuple], keys: np.ndarray, held: np.ndarray, words: Vocabulary, hot: Hot) -> list[tuple]:
-    """Of a range's messages (block, columns, rare words, their rows), and the counts of its words: (block, rows, sums of logarithms) and (block, rows, known, base)."""
+def opened(message: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What sent() made of a range's tokens: a plane for each byte, last words, rare words and their rows."""
+    n, m = np.frombuffer(message, "<u4", 2).tolist()
+    end = 8 + COLUMNS * n + 4 * m
+    rare = (len(message) - end) // 10
+    columns = np.frombuffer(message, np.uint8, COLUMNS * n, 8).reshape(COLUMNS, n)
+    last = np.frombuffer(message, "<u4", m, end - 4 * m)[numbers(columns[11:]).astype(np.int64)]
+    return columns[:11], last, np.frombuffer(message, "<u8", rare, end), np.frombuffer(message, "<u2", rare, end + 8 * rare)
+
+
+class Tokens:
+    """A range's tokens as pairs of context and word, how often each is learned from, and what is known of each context."""
+
+    def __init__(self, columns: list[np.ndarray], last: list[np.ndarray], hot: Hot):
+        joined = np.concatenate([np.zeros((11, 0), np.uint8), *columns], axis=1)
+        pair, self.place = np.unique(numbers(np.concatenate([joined[5:8], joined[:5]])), return_inverse=True)
+        row = numbers(joined[9:]).astype(np.int64)
+        self.counts = np.bincount(self.place[row >> 15 == 1], minlength=len(pair))
+        self.row = row & 0x7FFF
+        self.low = np.zeros(len(pair))
+        self.low[self.place] = -LOW_STEP * joined[8]
+        contexts, self.of = np.unique(pair >> np.uint64(24), return_inverse=True)
+        self.context, self.word = contexts.astype(np.int64), (pair & np.uint64(0xFFFFFF)).astype(np.int64)
+        self.last = np.zeros(len(contexts), np.int64)
+        self.last[self.of[self.place]] = np.concatenate([np.zeros(0, "<u4"), *last])
+        self.total = np.full(len(contexts), -1.0)
+        known = self.context >> 32 == 1
+        self.total[known] = hot.totals[self.context[known] & 0xFFFFFFFF]
+
+    def learned(self) -> Range:
+        """The trie of what is learned from."""
+        some = np.flatnonzero(self.counts)
+        some = some[np.argsort(self.last[self.of[some]], kind="stable")]
+        of = self.of[some]
+        return Range(self.last[of], self.context[of], self.word[some], self.counts[some], self.total[of])
+
+
+def scored(asked: list[tuple], tokens: Tokens, trie: Range, keys: np.ndarray, held: np.ndarray, words: Vocabulary) -> list[tuple]:
+    """Of a range's messages (block, columns, last words, rare words, their rows), their tokens, its trie, and the counts of its words: (block, rows, sums of logarithms) and (block, rows, known, base)."""
     out: list[tuple] = []
-    columns = np.concatenate([c for _, c, _, _ in asked], axis=1) if asked else np.zeros((COLUMNS, 0), np.uint8)
-    if columns.shape[1]:
-        pair, place = np.unique(numbers(np.concatenate([columns[5:8], columns[:5]])), return_inverse=True)
-        row = numbers(columns[9:]).astype(np.int64)
-        counts = np.bincount(place[row >> 15 == 1], minlength=len(pair))
-        row &= 0x7FFF
-        low = np.zeros(len(pair))
-        low[place] = -LOW_STEP * columns[8]
-        contexts, context = np.unique(pair >> np.uint64(24), return_inverse=True)
-        _, third = np.unique(pair & np.uint64(0xFFFFFF), return_inverse=True)
-        is_hot = contexts >> np.uint64(32) == 1
-        totals = np.full(len(contexts), -1.0)
-        totals[is_hot] = hot.totals[(contexts[is_hot] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        values = Range(context, third, counts, totals, is_hot).map_to_disk().log10(context, third, low)
-        end = 0
-        for block, c, _, _ in asked:
-            mine = slice(end, end + c.shape[1])
-            end = mine.stop
-            sums = np.bincount(row[mine], values[place[mine]])
-            rows = np.flatnonzero(np.bincount(row[mine]))
+    values = trie.log10(tokens.last, tokens.context, tokens.total, tokens.of, tokens.word, tokens.low)
+    end = 0
+    for block, c, *_ in asked:
+        mine = slice(end, end + c.shape[1])
+        end = mine.stop
+        sums = np.bincount(tokens.row[mine], values[tokens.place[mine]])
+        rows = np.flatnonzero(np.bincount(tokens.row[mine]))
+        if len(rows):
             out.append((block, rows.astype(np.uint16), sums[rows].astype(np.float32)))
-    for block, _, wanted, rows in asked:
+    for block, _, _, wanted, rows in asked:
         if len(wanted):
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
             n = np.where(keys[at] == wanted, held[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
@@ -595,7 +668,7 @@ def scored(asked: list[tuple], keys: np.ndarray, held: np.ndarray, words: Vocabu
     return out
 
 
-def model_of(docs: DataFrame, shards: int) -> tuple[DataFrame, Vocabulary, Trie, Hot]:
+def model_of(docs: DataFrame, shards: int) -> tuple[DataFrame, Common]:
     """Word counts, and of the training documents the parts of the model that every task has."""
     learned = training(docs)
     counts = cut(word_counts(learned, shards))
@@ -605,20 +678,15 @@ def model_of(docs: DataFrame, shards: int) -> tuple[DataFrame, Vocabulary, Trie,
     a, b = (gram >> 20) & ((1 << 20) - 1), gram & ((1 << 20) - 1)
     many = (n >= max(1, HOT_SHARE * words.tokens)) & (a != RARE) & (b != RARE) & (b != END)
     keys = pair_key(np.append(words.of_id[a[many]], START_KEY), np.append(words.of_id[b[many]], START_KEY))
-    return counts, words, Trie(words.unigrams, gram, n), Hot(keys, np.append(n[many], words.ends))
+    return counts, Common(words, Trie(words.unigrams, gram, n), Hot(keys, np.append(n[many], words.ends)), shards)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
-    docs = in_order(texts(docs))
-    shards = shards_for(docs, RANGE_BYTES)
-    counts, words, trie, hot = model_of(docs, shards)
-    known, counted = Shared(docs.sparkSession, (words, trie, hot)), Shared(docs.sparkSession, (words, hot))
-    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+def sent_tokens(docs: DataFrame, common: Common) -> DataFrame:
+    """Tokens by range, in blocks of documents."""
+    known = Shared(docs.sparkSession, common)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, trie, hot = known.get()
-        block, number = Block(words, trie.map_to_disk(), hot, shards), TaskContext.get().partitionId() << 32
+        block, number = Block(known.get()), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part, data, rows in slices(batch, "text", SCORED_BYTES):
                 h, bounds = word_hashes(data, rows)
@@ -629,20 +697,56 @@ def report(docs: DataFrame) -> DataFrame:
         if block.size:
             yield block.sent(number)
 
+    rows = docs.select("doc_id", "text", F.coalesce(remainder() != 0, F.lit(False)).alias("learn"))
+    return rows.mapInArrow(send, "shard int, block long, of_range boolean, packed binary")
+
+
+def messages(asked: pa.Table) -> tuple[list[tuple], list[tuple]]:
+    """A range's messages, opened, and those of what is known where the documents are: (block, packed)."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows = list(zip(asked["block"].to_pylist(), asked["packed"].to_pylist(), asked["of_range"].to_pylist(), strict=True))
+    return [(k, *opened(unpack(x))) for k, x, r in rows if r], [(k, x) for k, x, r in rows if not r]
+
+
+def fit(docs: DataFrame, path: str) -> None:
+    """Learns from the training documents and writes the model to a new folder: `ranges`, with the counts of words and the trie of each, and `common`, of a size that shares of the tokens bound."""
+    docs = in_order(texts(docs))
+    counts, common = model_of(docs, shards_for(docs, RANGE_BYTES))
+    hot = Shared(docs.sparkSession, common.hot)
+
+    def learned(asked: pa.Table, held: pa.Table) -> pa.Table:
+        got, _ = messages(asked)
+        keys, n = unpacked(held["keys"].to_pylist(), held["counts"].to_pylist()).total()
+        levels = stored(Tokens([m[1] for m in got], [m[2] for m in got], hot.get()).learned())
+        shard = (asked if asked.num_rows else held)["shard"][:1].combine_chunks()
+        return pa.table({"shard": shard, "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.astype("<u8").tobytes()], pa.binary()), "levels": pa.array([levels], pa.binary())})
+
+    tokens = sent_tokens(training(docs), common)
+    tokens.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(learned, f"{PACKED}, levels binary").write.parquet(f"{path}/ranges")
+    docs.sparkSession.createDataFrame([(bytearray(stored(common)),)], "common binary").write.parquet(f"{path}/common")
+
+
+def scores(docs: DataFrame, common: Common, ranges: DataFrame) -> DataFrame:
+    """Scores of documents by ranges that have `levels`, or that make them of the training documents among these."""
+    known = Shared(docs.sparkSession, (common.words, common.hot))
+    made = "levels" not in ranges.columns
     model: list = []  # each task has its own copy
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not model:
-            model.extend(counted.get())
+            model.extend(known.get())
         words, hot = model
-        unpack = zstandard.ZstdDecompressor().decompress
         keys, n = unpacked(held["keys"].to_pylist(), held["counts"].to_pylist()).total()
-        blocks, packed_, of_range = asked["block"].to_pylist(), asked["packed"].to_pylist(), asked["of_range"].to_pylist()
-        out = [(k, x) for k, x, r in zip(blocks, packed_, of_range, strict=True) if not r]
-        n_known = len(out)
-        got = [(k, *opened(unpack(x))) for k, x, r in zip(blocks, packed_, of_range, strict=True) if r]
-        out += [(k, pickle.dumps(x, 5)) for k, *x in scored(got, keys, n, words, hot)]
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "packed": pa.array([x[1] for x in out], pa.binary()), "known": pa.array([k < n_known for k in range(len(out))], pa.bool_())})
+        got, others = messages(asked)
+        tokens = Tokens([m[1] for m in got], [m[2] for m in got], hot)
+        if made:
+            trie = tokens.learned()
+        elif held.num_rows:
+            trie = restored(held["levels"][0].as_buffer())
+        else:
+            trie = Tokens([], [], hot).learned()
+        out = others + [(k, pickle.dumps(x, 5)) for k, *x in scored(got, tokens, trie, keys, n, words)]
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "packed": pa.array([x[1] for x in out], pa.binary()), "known": pa.array([k < len(others) for k in range(len(out))], pa.bool_())})
 
     def summed(table: pa.Table) -> pa.Table:
         packed_, first = table["packed"].to_pylist(), table["known"].to_pylist().index(True)
@@ -658,8 +762,19 @@ def report(docs: DataFrame) -> DataFrame:
                     score[rows] += values
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "n_known": n_known, "base_score": base, "score": score})
 
-    rows = docs.select("doc_id", "text", F.coalesce(crc != 0, F.lit(False)).alias("learn"))
-    asked = rows.mapInArrow(send, "shard int, block long, of_range boolean, packed binary")
-    answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "block long, packed binary, known boolean")
+    answers = sent_tokens(docs, common).groupBy("shard").cogroup(ranges.groupBy("shard")).applyInArrow(answer, "block long, packed binary, known boolean")
     got = answers.groupBy("block").applyInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return got.select("doc_id", F.coalesce(crc == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return got.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(common.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, path: str) -> DataFrame:
+    """The rows of report() for any documents, by a model that fit() wrote."""
+    read = docs.sparkSession.read
+    return scores(in_order(texts(docs)), restored(read.parquet(f"{path}/common").first()[0]), read.parquet(f"{path}/ranges"))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document, by what is learned from the training documents among them."""
+    docs = in_order(texts(docs))
+    counts, common = model_of(docs, shards_for(docs, RANGE_BYTES))
+    return scores(docs, common, counts)

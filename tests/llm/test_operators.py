@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from plumeline.llm import chat, decontamination, langid, minhash, ngram_lm, packing, pii, quality, secrets, substrings, textarrays
@@ -254,16 +255,78 @@ def test_trigrams_against_dictionaries(documents, pairs, monkeypatch):
     assert worst < 0.05 and abs(mean / n) < 0.01
 
 
+def range_of(trigrams, hot=()):
+    """A stored range of a dictionary of trigrams, read back, with the last words, ids and totals of its contexts."""
+    rows = sorted((b, a, c, n) for (a, b, c), n in trigrams.items())
+    sums = collections.Counter()
+    for b, a, _, n in rows:
+        sums[b, a] += n
+    total = lambda b, a: float(sums[b, a]) if (b, a) in hot else -1.0
+    b, a, c, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    model = ngram_lm.Range(b, a, c, n, np.array([total(*k) for k in zip(b, a, strict=True)]))
+    return ngram_lm.restored(ngram_lm.stored(model)), sums, total
+
+
 def test_probabilities_of_a_range_sum_to_one():
     rng = np.random.default_rng(3)
-    context, word = (x.astype(np.int64) for x in np.divmod(np.unique(rng.integers(0, 400, 300)), 40))
-    counts = rng.integers(0, 4, len(word))
-    everything = np.bincount(context, counts, 10)
-    hot = np.arange(10) % 3 == 0
-    model = ngram_lm.Range(context, word, counts, np.where(hot, everything, -1.0), hot).map_to_disk()
+    trigrams = collections.Counter(map(tuple, rng.integers(0, [5, 4, 40], (900, 3)).tolist()))
+    hot = {(b, a) for b in range(4) for a in range(5) if (a + b) % 3 == 0}
+    model, _, total = range_of(trigrams, hot)
     low = np.log10(np.full(40, 1 / 40))
-    for k in range(10):
-        assert (10 ** model.log10(np.full(40, k), np.arange(40), low)).sum() == pytest.approx(1, abs=0.03)
+    for b in range(5):  # one more than there are
+        for a in range(6):
+            got = model.log10(np.array([b]), np.array([a]), np.array([total(b, a)]), np.zeros(40, np.int64), np.arange(40), low)
+            assert (10**got).sum() == pytest.approx(1, abs=0.03)
+
+
+def test_trigrams_of_a_range_by_their_places():
+    """Third words are found by their places among those that follow the second, in a range that was stored; what wasn't learned gets the lower order."""
+    rng = np.random.default_rng(4)
+    trigrams = collections.Counter(map(tuple, (rng.zipf(1.3, (5000, 3)) % [300, 50, 1000] + 7).tolist()))
+    hot = {(8, 8), (9, 8)}
+    model, sums, total = range_of(trigrams, hot)
+    after = collections.defaultdict(set)
+    for (a, b, c), n in trigrams.items():
+        if n >= ngram_lm.LEAST or (b, a) in hot:
+            after[b].add(c)
+    kept = {k: n for k, n in trigrams.items() if n >= ngram_lm.LEAST or (k[1], k[0]) in hot}
+    assert model.words.ids.n == len(kept) > 300 and model.after.ids.n == sum(map(len, after.values()))
+    places = np.diff(model.words.ids[np.arange(model.words.ids.n)], prepend=0)
+    assert places.max() < max(map(len, after.values()))
+    left = collections.Counter()
+    for (a, b, _), n in trigrams.items():
+        left[b, a] += n
+    for (a, b, _), n in kept.items():
+        left[b, a] -= n
+    asked = [*trigrams, *((a, b, c + 1) for a, b, c in trigrams), (10**6, 8, 8), (8, 10**6, 8)]
+    a, b, c = (np.array(x, np.int64) for x in zip(*asked, strict=True))
+    got = model.log10(b, a, np.array([total(*k) for k in zip(b, a, strict=True)]), np.arange(len(a)), c, np.full(len(a), -3.0))
+    for k, g in zip(asked, got, strict=True):
+        t = sums[k[1], k[0]] + ngram_lm.MU
+        assert g == pytest.approx(np.log10(kept.get(k, 0) / t + (left[k[1], k[0]] + ngram_lm.MU) / t * 1e-3), abs=0.02)
+
+
+def test_stored_language_model(spark, documents, nothing, tmp_path):
+    """A model that was written scores the documents it was learned from as report() does, and others that it has never seen."""
+    documents.count()  # its size, and so the number of ranges, is known from here on
+    ngram_lm.fit(documents, str(tmp_path / "model"))
+    with pytest.raises(AnalysisException):
+        ngram_lm.fit(documents, str(tmp_path / "model"))
+    levels = [ngram_lm.restored(r[0]) for r in spark.read.parquet(str(tmp_path / "model/ranges")).select("levels").collect()]
+    assert sum(t.words.ids.n for t in levels) > 1000 and sum(t.after.ids.n for t in levels) > 1000
+    by_id = lambda rows: sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0] is None, *map(float, r[1:5]), r[0]))
+    got, want = by_id(ngram_lm.score(documents, str(tmp_path / "model"))), by_id(ngram_lm.report(documents))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5:] for r in got] == [pytest.approx(r[5:], rel=1e-6) for r in want]
+    text = next(r["text"] for r in documents.filter("length(text) between 300 and 2000").orderBy("doc_id").collect())
+    shuffled = " ".join(sorted(text.split()))
+    second = spark.createDataFrame([(1, text, "x"), (2, shuffled, "x"), (3, None, "x"), (4, "nieseen", "x")], "doc_id int, text string, score string")
+    rows = {r["doc_id"]: r for r in ngram_lm.score(second, str(tmp_path / "model")).collect()}
+    assert rows[1]["base_score"] == pytest.approx(rows[2]["base_score"]) and rows[1]["score"] > rows[2]["score"] + 10
+    assert (rows[3]["n_tokens"], rows[4]["n_tokens"], rows[4]["n_known"]) == (1, 2, 1)
+    ngram_lm.fit(nothing, str(tmp_path / "empty"))
+    assert ngram_lm.score(nothing, str(tmp_path / "empty")).count() == 0
+    assert {r["train_tokens"] for r in ngram_lm.score(second, str(tmp_path / "empty")).collect()} == {0}
 
 
 def test_language_model_of_nothing(documents, nothing):
@@ -293,7 +356,8 @@ def test_trie_against_dictionaries():
     three = {k: c for k, c in three.items() if c >= 2}
     key = lambda order, a, b, c: (order << 60) | (a << 40) | (b << 20) | c
     grams = np.array([key(2, 0, *k) for k in two] + [key(3, *k) for k in three], np.int64)
-    trie = ngram_lm.Trie(uni, grams, np.array([*two.values(), *three.values()], np.int64)).map_to_disk()
+    trie = ngram_lm.Trie(uni, grams, np.array([*two.values(), *three.values()], np.int64))
+    trie = ngram_lm.restored(ngram_lm.stored(trie))
     for (b, c), count in list(two.items())[:50]:
         want = np.log10((count - ngram_lm.DISCOUNT) / uni[b])
         assert trie.log10(np.array([-1]), np.array([b]), np.array([c]))[0] == pytest.approx(want, abs=0.02)
