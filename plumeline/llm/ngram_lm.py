@@ -40,7 +40,7 @@ Nulls and edge cases: a null or empty text is an end alone; rows without doc_id
 scored and neither held out nor learned from; repeated rows are counted and scored
 each; without training documents probabilities are those of smoothing alone; an empty
 table gives no rows; texts are read whole. Ids are whole numbers. Last words and contexts
-are known by 32 bits of their hash within a range, third words by 24 after a last word.
+are known by 32 and 31 bits of their hash within a range, third words by 24 after a last word.
 """
 
 from __future__ import annotations
@@ -75,8 +75,10 @@ START, END, RARE, FIRST = 0, 1, 2, 3
 #: Tokens (and documents) that are sent at once; equal bigrams in a part of so many bytes are looked up once. Bytes of text for each range.
 BLOCK_TOKENS, BLOCK_ROWS, SCORED_BYTES = 1 << 19, 1 << 15, 1 << 20
 RANGE_BYTES = 2 << 20
-#: Bytes of a sent token: five of its context, three of its word, a code, two of its row with a bit for learning, three of its last word's place.
-COLUMNS = 14
+#: Bytes of a sent token: three of its word, a code, two of its row with a bit for learning. Of a context: its hash, and how many tokens it has; of a last word: the same of its contexts.
+TOKEN_BYTES, NODE_BYTES = 6, 8
+#: What stands before a hot context's number, and the bits of the others' hashes.
+HOT_BIT = 1 << 31
 #: Counts that a task holds before equal ones are added up.
 PENDING = 1 << 20
 
@@ -475,6 +477,12 @@ def numbers(x: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that are equal in a row, and how many."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 class Hot:
     """Keys and totals of the contexts that many tokens have."""
 
@@ -570,12 +578,12 @@ class Block:
         if len(words.keys):
             hot_word[place] = known & words.hot[at]
         shard = shard_of(np.where(is_hot, mix(context ^ word), np.where(hot_word[token - 1], context, before)), self.shards)
-        part = np.where(is_hot, number.astype(np.uint64) | np.uint64(1 << 32), context & np.uint64(0xFFFFFFFF))
+        key = (before << np.uint64(32)) | np.where(is_hot, number.astype(np.uint64) | np.uint64(HOT_BIT), context & np.uint64(HOT_BIT - 1))
         of = row_of(wide)[token]
         done = len(self.ids)
         rows = (of + done).astype(np.uint64) | (learn[of].astype(np.uint64) << np.uint64(15))
         code = np.clip(np.rint(-low[token] / LOW_STEP), 0, 255).astype(np.uint8)
-        self.tokens.append((shard, np.concatenate([planes(part, 5), planes(word >> np.uint64(40), 3), code[None], planes(rows, 2)]), (before & np.uint64(0xFFFFFFFF)).astype("<u4")))
+        self.tokens.append((shard, key, (word >> np.uint64(40)).astype(np.uint32), code, rows.astype(np.uint16)))
         unknown = np.flatnonzero(~known)
         self.rare.append((shard_of(h[unknown], self.shards), h[unknown], (row[unknown] + done).astype("<u2")))
         self.ids += ids
@@ -584,18 +592,21 @@ class Block:
     def sent(self, number: int) -> pa.RecordBatch:
         """A row (shard, block, of_range, packed) for each range, and one of what is known here."""
         pack = zstandard.ZstdCompressor(level=1).compress
-        shard, columns, last = (np.concatenate([t[k] for t in self.tokens], axis=-1) for k in range(3))
-        order = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")
-        columns, last, ends = np.ascontiguousarray(columns[:, order]), last[order], np.searchsorted(shard[order], np.arange(self.shards + 1))
+        shard, key, word, code, rows = (np.concatenate([t[k] for t in self.tokens]) for k in range(5))
+        order = np.argsort(key)
+        order = order[np.argsort(shard[order].astype(np.uint16 if self.shards < 1 << 16 else np.int32), kind="stable")]
+        key, word, code, rows, ends = key[order], word[order], code[order], rows[order], np.searchsorted(shard[order], np.arange(self.shards + 1))
         rare_shard, rare, rare_row = (np.concatenate([t[k] for t in self.rare]) for k in range(3))
         order = np.argsort(rare_shard, kind="stable")
         rare, rare_row, rare_ends = rare[order], rare_row[order], np.searchsorted(rare_shard[order], np.arange(self.shards + 1))
         some = np.flatnonzero((np.diff(ends) > 0) | (np.diff(rare_ends) > 0)).tolist()
         packed_ = []
         for s in some:
-            own, r = columns[:, ends[s] : ends[s + 1]], slice(rare_ends[s], rare_ends[s + 1])
-            lasts, at = np.unique(last[ends[s] : ends[s + 1]], return_inverse=True)
-            packed_.append(pack(np.array([own.shape[1], len(lasts)], "<u4").tobytes() + own.tobytes() + planes(at, 3).tobytes() + lasts.tobytes() + rare[r].astype("<u8").tobytes() + rare_row[r].tobytes()))
+            own, r = slice(ends[s], ends[s + 1]), slice(rare_ends[s], rare_ends[s + 1])
+            context, of_context = runs(key[own])
+            last, of_last = runs(context >> np.uint64(32))
+            parts = np.array([own.stop - own.start, len(context), len(last)], "<u4"), planes(np.diff(last, prepend=last[:1]), 4), planes(of_last, 4), planes(context, 4), planes(of_context, 4), planes(word[own], 3), code[own], planes(rows[own], 2)
+            packed_.append(pack(b"".join([*(x.tobytes() for x in parts), (last[:1].astype("<u8")).tobytes(), rare[r].astype("<u8").tobytes(), rare_row[r].tobytes()])))
         known = self.ids, *(np.concatenate([k[i] for k in self.known]) for i in range(3))
         out = pa.RecordBatch.from_arrays(
             [
@@ -610,56 +621,62 @@ class Block:
         return out
 
 
-def opened(message: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What sent() made of a range's tokens: a plane for each byte, last words, rare words and their rows."""
-    n, m = np.frombuffer(message, "<u4", 2).tolist()
-    end = 8 + COLUMNS * n + 4 * m
-    rare = (len(message) - end) // 10
-    columns = np.frombuffer(message, np.uint8, COLUMNS * n, 8).reshape(COLUMNS, n)
-    last = np.frombuffer(message, "<u4", m, end - 4 * m)[numbers(columns[11:]).astype(np.int64)]
-    return columns[:11], last, np.frombuffer(message, "<u8", rare, end), np.frombuffer(message, "<u2", rare, end + 8 * rare)
+def opened(message: bytes) -> tuple[np.ndarray, ...]:
+    """What sent() made of a range's tokens: contexts with their last words, tokens of each, words, codes, rows; rare words and their rows."""
+    n, c, m = np.frombuffer(message, "<u4", 3).tolist()
+    at = 12
+
+    def take(planes: int, size: int) -> np.ndarray:
+        nonlocal at
+        at += planes * size
+        return np.frombuffer(message, np.uint8, planes * size, at - planes * size).reshape(planes, size)
+
+    last, of_last, context, of_context, word, code, row = (numbers(take(*shape)) for shape in ((4, m), (4, m), (4, c), (4, c), (3, n), (1, n), (2, n)))
+    if m:
+        last = np.cumsum(last) + np.frombuffer(message, "<u8", 1, at)[0]
+        at += 8
+    rare = (len(message) - at) // 10
+    keys = (np.repeat(last, of_last.astype(np.int64)) << np.uint64(32)) | context
+    return keys, of_context.astype(np.int64), word.astype(np.int64), code.astype(np.uint8), row.astype(np.int64), np.frombuffer(message, "<u8", rare, at), np.frombuffer(message, "<u2", rare, at + 8 * rare)
 
 
 class Tokens:
-    """A range's tokens as pairs of context and word, how often each is learned from, and what is known of each context."""
+    """A range's tokens as pairs of context and word, ordered by last word, context and word; how often each is learned from; and what is known of each context."""
 
-    def __init__(self, columns: list[np.ndarray], last: list[np.ndarray], hot: Hot):
-        joined = np.concatenate([np.zeros((11, 0), np.uint8), *columns], axis=1)
-        pair, self.place = np.unique(numbers(np.concatenate([joined[5:8], joined[:5]])), return_inverse=True)
-        row = numbers(joined[9:]).astype(np.int64)
+    def __init__(self, asked: list[tuple], hot: Hot):
+        keys, sizes, word, code, row = (np.concatenate([np.zeros(0, kind), *(m[k] for m in asked)]) for k, kind in enumerate((np.uint64, np.int64, np.int64, np.uint8, np.int64), 1))
+        contexts, at = np.unique(keys, return_inverse=True)
+        pair, self.place = np.unique((np.repeat(at, sizes) << 24) | word, return_inverse=True)
+        self.of, self.word = pair >> 24, pair & 0xFFFFFF
         self.counts = np.bincount(self.place[row >> 15 == 1], minlength=len(pair))
         self.row = row & 0x7FFF
         self.low = np.zeros(len(pair))
-        self.low[self.place] = -LOW_STEP * joined[8]
-        contexts, self.of = np.unique(pair >> np.uint64(24), return_inverse=True)
-        self.context, self.word = contexts.astype(np.int64), (pair & np.uint64(0xFFFFFF)).astype(np.int64)
-        self.last = np.zeros(len(contexts), np.int64)
-        self.last[self.of[self.place]] = np.concatenate([np.zeros(0, "<u4"), *last])
+        self.low[self.place] = -LOW_STEP * code
+        self.last, self.context = (contexts >> np.uint64(32)).astype(np.int64), (contexts & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.total = np.full(len(contexts), -1.0)
-        known = self.context >> 32 == 1
-        self.total[known] = hot.totals[self.context[known] & 0xFFFFFFFF]
+        known = self.context >= HOT_BIT
+        self.total[known] = hot.totals[self.context[known] - HOT_BIT]
 
     def learned(self) -> Range:
         """The trie of what is learned from."""
         some = np.flatnonzero(self.counts)
-        some = some[np.argsort(self.last[self.of[some]], kind="stable")]
         of = self.of[some]
         return Range(self.last[of], self.context[of], self.word[some], self.counts[some], self.total[of])
 
 
 def scored(asked: list[tuple], tokens: Tokens, trie: Range, keys: np.ndarray, held: np.ndarray, words: Vocabulary) -> list[tuple]:
-    """Of a range's messages (block, columns, last words, rare words, their rows), their tokens, its trie, and the counts of its words: (block, rows, sums of logarithms) and (block, rows, known, base)."""
+    """Of a range's messages (block, what opened() gave), their tokens, its trie, and the counts of its words: (block, rows, sums of logarithms) and (block, rows, known, base)."""
     out: list[tuple] = []
     values = trie.log10(tokens.last, tokens.context, tokens.total, tokens.of, tokens.word, tokens.low)
     end = 0
-    for block, c, *_ in asked:
-        mine = slice(end, end + c.shape[1])
+    for block, _, _, word, *_ in asked:
+        mine = slice(end, end + len(word))
         end = mine.stop
         sums = np.bincount(tokens.row[mine], values[tokens.place[mine]])
         rows = np.flatnonzero(np.bincount(tokens.row[mine]))
         if len(rows):
             out.append((block, rows.astype(np.uint16), sums[rows].astype(np.float32)))
-    for block, _, _, wanted, rows in asked:
+    for block, *_, wanted, rows in asked:
         if len(wanted):
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
             n = np.where(keys[at] == wanted, held[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
@@ -717,7 +734,7 @@ def fit(docs: DataFrame, path: str) -> None:
     def learned(asked: pa.Table, held: pa.Table) -> pa.Table:
         got, _ = messages(asked)
         keys, n = unpacked(held["keys"].to_pylist(), held["counts"].to_pylist()).total()
-        levels = stored(Tokens([m[1] for m in got], [m[2] for m in got], hot.get()).learned())
+        levels = stored(Tokens(got, hot.get()).learned())
         shard = (asked if asked.num_rows else held)["shard"][:1].combine_chunks()
         return pa.table({"shard": shard, "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.astype("<u8").tobytes()], pa.binary()), "levels": pa.array([levels], pa.binary())})
 
@@ -738,13 +755,13 @@ def scores(docs: DataFrame, common: Common, ranges: DataFrame) -> DataFrame:
         words, hot = model
         keys, n = unpacked(held["keys"].to_pylist(), held["counts"].to_pylist()).total()
         got, others = messages(asked)
-        tokens = Tokens([m[1] for m in got], [m[2] for m in got], hot)
+        tokens = Tokens(got, hot)
         if made:
             trie = tokens.learned()
         elif held.num_rows:
             trie = restored(held["levels"][0].as_buffer())
         else:
-            trie = Tokens([], [], hot).learned()
+            trie = Tokens([], hot).learned()
         out = others + [(k, pickle.dumps(x, 5)) for k, *x in scored(got, tokens, trie, keys, n, words)]
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "packed": pa.array([x[1] for x in out], pa.binary()), "known": pa.array([k < len(others) for k in range(len(out))], pa.bool_())})
 
