@@ -73,8 +73,8 @@ END_KEY = salt(1 << 40)
 START_KEY = salt(1 << 41)
 START, END, RARE, FIRST = 0, 1, 2, 3
 #: Tokens (and documents) that are sent at once; equal bigrams in a part of so many bytes are looked up once. Bytes of text for each range.
-BLOCK_TOKENS, BLOCK_ROWS, SCORED_BYTES = 1 << 19, 1 << 15, 1 << 20
-RANGE_BYTES = 2 << 20
+BLOCK_TOKENS, BLOCK_ROWS, SCORED_BYTES = 3 << 17, 1 << 15, 1 << 19
+RANGE_BYTES = 3 << 19
 #: Bytes of a sent token: three of its word, a code, two of its row with a bit for learning. Of a context: its hash, and how many tokens it has; of a last word: the same of its contexts.
 TOKEN_BYTES, NODE_BYTES = 6, 8
 #: What stands before a hot context's number, and the bits of the others' hashes.
@@ -637,16 +637,17 @@ def opened(message: bytes) -> tuple[np.ndarray, ...]:
         at += 8
     rare = (len(message) - at) // 10
     keys = (np.repeat(last, of_last.astype(np.int64)) << np.uint64(32)) | context
-    return keys, of_context.astype(np.int64), word.astype(np.int64), code.astype(np.uint8), row.astype(np.int64), np.frombuffer(message, "<u8", rare, at), np.frombuffer(message, "<u2", rare, at + 8 * rare)
+    return keys, of_context.astype(np.int64), word.astype(np.uint32), code.astype(np.uint8), row.astype(np.uint16), np.frombuffer(message, "<u8", rare, at), np.frombuffer(message, "<u2", rare, at + 8 * rare)
 
 
 class Tokens:
     """A range's tokens as pairs of context and word, ordered by last word, context and word; how often each is learned from; and what is known of each context."""
 
     def __init__(self, asked: list[tuple], hot: Hot):
-        keys, sizes, word, code, row = (np.concatenate([np.zeros(0, kind), *(m[k] for m in asked)]) for k, kind in enumerate((np.uint64, np.int64, np.int64, np.uint8, np.int64), 1))
+        keys, sizes, word, code, row = (np.concatenate([np.zeros(0, kind), *(m[k] for m in asked)]) for k, kind in enumerate((np.uint64, np.int64, np.uint32, np.uint8, np.uint16), 1))
         contexts, at = np.unique(keys, return_inverse=True)
-        pair, self.place = np.unique((np.repeat(at, sizes) << 24) | word, return_inverse=True)
+        pair, self.place = np.unique((np.repeat(at, sizes) << 24) | word.astype(np.int64), return_inverse=True)
+        del keys, sizes, at, word
         self.of, self.word = pair >> 24, pair & 0xFFFFFF
         self.counts = np.bincount(self.place[row >> 15 == 1], minlength=len(pair))
         self.row = row & 0x7FFF
