@@ -61,6 +61,23 @@ def test_rolling_means_against_plain_loops(spark):
         assert got[i] == pytest.approx(want)
 
 
+def test_rolling_means_cost_a_row_the_same_however_many_a_window_has(spark):
+    """No frame slides (Spark sums each sliding frame anew); ties, missing values, edges of windows and rows without a time count as in a plain loop."""
+    day = datetime.datetime(2020, 1, 1)
+    times = [day + datetime.timedelta(hours=12 * (i // 3)) for i in range(180)] + [None] * 3
+    rows = [(i, "a", t, None if i % 7 == 0 else float(i * i % 17), float(i % 5), [1.0, 0.0, 2.0][i % 3]) for i, t in enumerate(times)]
+    obs = spark.createDataFrame(rows, "obsid int, code string, time timestamp, obs double, mix_apri double, err_obs double")
+    means = observations.rolling_means(obs)
+    plan = plan_of(means)
+    assert plan.count("RangeFrame, unboundedpreceding") == plan.count("RangeFrame,") > 0
+    got = {r["obsid"]: r["obs_rolling"] for r in means.collect()}
+    assert len(got) == len(rows)
+    for i, _, time, *_ in rows:
+        inside = [r for r in rows if (r[2] is None if time is None else r[2] is not None and time - datetime.timedelta(days=7) < r[2] <= time)]
+        w = [(e, x) for *_, x, _, e in inside if e and x is not None]
+        assert got[i] == (pytest.approx(sum(x / e**2 for e, x in w) / sum(1 / e**2 for e, _ in w)) if w else None)
+
+
 def test_settings_and_empty_tables(spark):
     assert observations.ErrorSettings().update(err_fac=2.0, other=1).err_fac == 2.0
     empty = spark.createDataFrame([], "obsid long, code string, time timestamp, obs double, mix_apri double, err_obs double")
