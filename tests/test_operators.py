@@ -318,6 +318,14 @@ def test_neighbours_meet_by_cells(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and ("HashJoin" in plan or "SortMergeJoin" in plan)
 
 
+def test_pairs_of_neighbours_are_dealt_out(spark):
+    """A small table whose positions are all in one cell near a pole has many pairs: more than one task makes them."""
+    points = spark.range(400).select(F.col("id").cast("int").alias("ipos"), (F.lit(89.0) + F.col("id") / 1000).alias("lat"), (F.col("id") * 7 % 360).cast("double").alias("lon")).coalesce(1)
+    near = prior.neighbours(points, 50.0)
+    assert near.groupBy(F.spark_partition_id()).count().count() > 4
+    assert near.count() == prior.distances(points).filter("distance <= 50").count()
+
+
 def test_stretches_of_an_uneven_axis(spark):
     places = [0.0, 1.0, 1.5, 40.0, 41.0]
     axis = spark.createDataFrame(list(enumerate(places, 5)), "index int, position double")
