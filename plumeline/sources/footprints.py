@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumeline.functions.checks import checked
 from plumeline.operators import footprints
 from plumeline.operators.grid import Grid
+from plumeline.sources.shared import dealt
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,8 @@ class Footprints:
 
     def rows(self) -> DataFrame:
         """Sensitivities per mol, a last step at the release's end folded into the one before, steps moved to the model's, and at most `longest` before the last."""
-        rows = footprints.unit_fixed(self.table) if "units" in self.table.columns else self.table
+        rows = dealt(self.table, "obsid")
+        rows = footprints.unit_fixed(rows) if "units" in rows.columns else rows
         if "release_end" in rows.columns:
             at = F.unix_micros(F.lit(str(self.origin)).cast("timestamp")) + F.col("itim").cast("long") * (self.step * 1_000_000)
             rows = footprints.release_folded(rows.withColumn("at_release_end", at == F.unix_micros(F.col("release_end").cast("timestamp"))))

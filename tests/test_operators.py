@@ -1,5 +1,6 @@
 import datetime
 import math
+import os
 
 import numpy as np
 import pytest
@@ -459,3 +460,16 @@ def test_land_of_cells(spark):
     with pytest.raises(ValueError):
         polygons.land_fractions(cells, shapes, 0)
     assert "NestedLoop" not in plan_of(polygons.inside(spark.createDataFrame([(1, 1.0, 1.0)], "point int, lon double, lat double"), shapes))
+
+
+def test_parts_of_footprints_follow_the_files(spark, tmp_path, monkeypatch):
+    """Footprint rows are dealt by observation into parts as many as their files are large, and nothing after that deals them anew."""
+    from plumeline.sources import fixtures, shared
+
+    root = "/root/testdata/sf0.001"
+    monkeypatch.setattr(shared.dealt, "__defaults__", (4096,))
+    rows = fixtures.view(spark, root, "fx_footprint")
+    folded = footprints.release_folded(rows.withColumn("at_release_end", F.col("obsid") % 2 == 0))
+    assert plan_of(folded).count("Exchange hashpartitioning") == 1
+    size = os.path.getsize(f"{root}/lineitem.parquet")
+    assert size > 5 * 4096 and folded.rdd.getNumPartitions() == size // 4096 + 1
