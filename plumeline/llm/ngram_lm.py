@@ -114,12 +114,22 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def packed(sums: Sums, shards: int) -> pa.RecordBatch:
-    """A row for each shard that has keys."""
+    """A row for each shard that has keys, these as gaps, both in planes of bytes and compressed."""
     keys, counts = sums.total()
     bounds = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
     some = np.flatnonzero(np.diff(bounds))
-    part = lambda a, kind: [a[bounds[s] : bounds[s + 1]].astype(kind).tobytes() for s in some]
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(part(keys, "<u8"), pa.binary()), pa.array(part(counts, "<u4" if counts.max(initial=0) < 1 << 32 else "<u8"), pa.binary())], names=["shard", "keys", "counts"])
+    pack = zstandard.ZstdCompressor(level=1).compress
+    part = lambda a, n: [pack(planes(a[bounds[s] : bounds[s + 1]], n).tobytes()) for s in some]
+    gaps = np.diff(keys, prepend=keys[:1])
+    gaps[bounds[some]] = keys[bounds[some]]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(part(gaps, 8), pa.binary()), pa.array(part(counts, 8), pa.binary())], names=["shard", "keys", "counts"])
+
+
+def unsent(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of a row of packed()."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    gaps, n = (numbers(np.frombuffer(unpack(x), np.uint8).reshape(8, -1)) for x in (keys, counts))
+    return np.cumsum(gaps, dtype=np.uint64), n
 
 
 def unpacked(keys: list[bytes], counts: list[bytes]) -> Sums:
@@ -133,7 +143,10 @@ def add_up(rows: DataFrame) -> DataFrame:
     """One row for each shard."""
 
     def merged(table: pa.Table) -> pa.Table:
-        keys, counts = unpacked(table["keys"].to_pylist(), table["counts"].to_pylist()).total()
+        sums = Sums()
+        for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            sums.add(*unsent(k, c))
+        keys, counts = sums.total()
         return pa.table({"shard": table["shard"][:1].combine_chunks(), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.astype("<u8").tobytes()], pa.binary())})
 
     return rows.groupBy("shard").applyInArrow(merged, PACKED)
@@ -666,7 +679,7 @@ class Tokens:
 
 
 def scored(asked: list[tuple], tokens: Tokens, trie: Range, keys: np.ndarray, held: np.ndarray, words: Vocabulary) -> list[tuple]:
-    """Of a range's messages (block, what opened() gave), their tokens, its trie, and the counts of its words: (block, rows, sums of logarithms) and (block, rows, known, base)."""
+    """Of a range's messages (block, what opened() gave), their tokens, its trie, and the counts of its words: (block, a bit for each row that has some, sums of logarithms) and (block, rows, known, base)."""
     out: list[tuple] = []
     values = trie.log10(tokens.last, tokens.context, tokens.total, tokens.of, tokens.word, tokens.low)
     end = 0
@@ -674,9 +687,10 @@ def scored(asked: list[tuple], tokens: Tokens, trie: Range, keys: np.ndarray, he
         mine = slice(end, end + len(word))
         end = mine.stop
         sums = np.bincount(tokens.row[mine], values[tokens.place[mine]])
-        rows = np.flatnonzero(np.bincount(tokens.row[mine]))
+        has = np.bincount(tokens.row[mine]) > 0
+        rows = np.flatnonzero(has)
         if len(rows):
-            out.append((block, rows.astype(np.uint16), sums[rows].astype(np.float32)))
+            out.append((block, np.packbits(has).tobytes(), sums[rows].astype(np.float32).tobytes()))
     for block, *_, wanted, rows in asked:
         if len(wanted):
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
@@ -777,7 +791,7 @@ def scores(docs: DataFrame, common: Common, ranges: DataFrame) -> DataFrame:
                     n_known[rows] += values
                     base[rows] += more[0]
                 else:
-                    score[rows] += values
+                    score[np.flatnonzero(np.unpackbits(np.frombuffer(rows, np.uint8)))] += np.frombuffer(values, np.float32)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "n_known": n_known, "base_score": base, "score": score})
 
     answers = sent_tokens(docs, common).groupBy("shard").cogroup(ranges.groupBy("shard")).applyInArrow(answer, "block long, packed binary, known boolean")

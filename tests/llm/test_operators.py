@@ -243,6 +243,21 @@ def test_language_model(documents, pairs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_counts_are_sent_in_few_bytes():
+    """Keys and counts of any size come back from their gaps and planes of bytes, in fewer bytes than keys of 8 and counts of 4."""
+    rng = np.random.default_rng(12)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**64, 50_000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    counts = rng.integers(1, 3, len(keys))
+    counts[::1000] = 1 << 40
+    sums = ngram_lm.Sums()
+    sums.add(keys, counts)
+    sent = ngram_lm.packed(sums, 7)
+    assert sent.nbytes < 8 * len(keys)
+    got = [ngram_lm.unsent(k, c) for k, c in zip(sent["keys"].to_pylist(), sent["counts"].to_pylist(), strict=True)]
+    assert np.array_equal(np.concatenate([k for k, _ in got]), keys) and np.array_equal(np.concatenate([c for _, c in got]), counts)
+    assert ngram_lm.packed(ngram_lm.Sums(), 7).num_rows == 0
+
+
 def test_trigrams_against_dictionaries(documents, pairs, monkeypatch):
     """Scores are those of the formula, but for the steps of the codes; some contexts are hot and some aren't, and all words are of the vocabulary."""
     monkeypatch.setattr(ngram_lm, "CLASS_SHARE", 1e-9)
