@@ -14,20 +14,24 @@ min(m, r-n+1)], and these intervals tile a text.
    joined by equal keys. A passage at 75 % has a key in common with its copy unless all bands
    fail: (1 - 0.75**2)**BANDS, 0.016 for one window of the least length; longer ones
    have more windows. Equal passages have all keys in common.
-2. Keys meet where their hash falls. In groups of up to SMALL places all are paired with
-   all. In larger ones each is paired with a leader, the smallest document.
+2. Keys meet where their hash falls. Of the places of a group, those with equal shingles
+   around them are paired with the first of them, which stands for them; these first ones
+   are paired with a leader, that of the smallest document. Groups of all sizes are paired
+   in this way.
 3. Pairs of documents are aligned on their texts, along each distance between their
    places, give or take SLACK words: a passage is a run from one shingle in common to
    another with 75 % of those of either side in common, insertions and deletions
    counted. It is confirmed on its shingle sets.
-4. Places of large groups that lie in no passage yet are compared with all of their
-   group, by the shingles around them and an index of the rarest of these, until each
-   has a passage with one of them or was compared with all. What is found is aligned and
-   confirmed in the same way.
+4. In groups whose places aren't all of one class of passages then, they are compared by
+   the shingles around them and an index of the rarest of these, until all that are alike
+   are connected: what is apart from the largest part is compared with all that it isn't
+   connected with. Places in no passage are also aligned with BESIDE others before and
+   after them, as a long passage may be less alike around a place.
+   What is found is aligned and confirmed in the same way.
 
 So every place that has a passage with another text by a key in common is in a row of the
-result, but not with every text: in large groups one partner stands for the rest. Rows
-carry the class of passages that they join, which has all documents of the group.
+result, but not with every text: one partner stands for those that are connected with it.
+Rows carry the class of passages that they join, which has all documents of the group.
 
 Nulls and edge cases: texts that are null, empty or shorter than a passage have none;
 rows without doc_id are left out; rows of one doc_id are one document, with any of its
@@ -57,8 +61,6 @@ WORDS = 50
 SHINGLE = 5
 LENGTH = WORDS - SHINGLE + 1
 BANDS = 5
-#: Groups of so many windows are paired all with all.
-SMALL = 6
 PERCENT = 75
 #: How far a passage may drift from the distance of a place that agrees, by insertions and deletions.
 SLACK = 12
@@ -67,20 +69,23 @@ AROUND = 2 * LENGTH - 1
 COMMON = -(-LENGTH * 6 // 7) - 1
 #: A place is compared with all others of its group while so large a share of them is alike, then with those that share a rare shingle.
 WORTHWHILE = 1 / 8
-#: So many of the windows that have passages already stand for all of them that are alike.
+#: A place is paired with so many of those that are alike and connected with each other already.
 STANDING = 2
+#: A place that is in no passage with its group's leader is aligned with so many that come before and after it there.
+BESIDE = 5
 #: Pairs of places compared at once.
 CHUNK = 1 << 14
 #: Windows that a task holds before it sends them, and bytes of windows in a shard.
-HELD, SHARD_BYTES = 1 << 20, 8 << 20
+HELD, SHARD_BYTES = 3 << 18, 6 << 20
 
-#: A window: hash within the shard, document, place. A pair: documents and places. A copy of a text, with its words.
-WINDOW = np.dtype([("key", "<u4"), ("doc", "<i8"), ("m", "<u4")])
+#: A window: hash within the shard, document, place, hash of the shingles around it. A pair: documents and places. A copy of a text, with its words.
+WINDOW = np.dtype([("key", "<u4"), ("doc", "<i8"), ("m", "<u4"), ("content", "<u8")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("ma", "<u4"), ("mb", "<u4")])
 COPY = np.dtype([("doc", "<i8"), ("of", "<i8"), ("words", "<u4")])
-#: A window of a large group, whether it has a passage yet, and the shingles around it (0: none).
-PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("m", "<u4"), ("done", "?"), ("around", "<u2", (AROUND,))])
-#: Kinds of rows of places(): a pair; a window of a large group with another to be compared with; a copy and what it is of.
+#: A window, another with equal shingles around it (of another document if there is one); with that, the class of passages that it lies in (0: none), and the shingles around it (0: none).
+STANDS = np.dtype([("key", "<u8"), ("doc", "<i8"), ("m", "<u4"), ("other", "<i8"), ("mo", "<u4")])
+PLACE = np.dtype([*STANDS.descr, ("part", "<i8"), ("around", "<u2", (AROUND,))])
+#: Kinds of rows of places(): a pair; a window that stands for its equals in a group of three or more such, with the leader; a copy and what it is of.
 PAIRED, MEMBER, COPIED = range(3)
 
 
@@ -163,12 +168,17 @@ def joined_windows(g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(places_)
 
 
+def bounds_of(keys: np.ndarray) -> np.ndarray:
+    """Where equal keys in a row begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+
+
 def grouped(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows whose key more than one document has, in order of key, document and place, and the bounds of keys."""
     windows = windows[np.lexsort((windows["m"], windows["doc"], windows["key"]))]
     if not len(windows):
         return windows, np.zeros(1, np.int64)
-    bounds = np.flatnonzero(np.concatenate([[True], windows["key"][1:] != windows["key"][:-1], [True]]))
+    bounds = bounds_of(windows["key"])
     many = windows["doc"][bounds[:-1]] != windows["doc"][bounds[1:] - 1]
     size = np.diff(bounds)
     return windows[np.repeat(many, size)], np.concatenate([[0], np.cumsum(size[many])])
@@ -185,24 +195,33 @@ def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def all_pairs(windows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """All pairs of each group."""
-    last = np.repeat(bounds[1:], np.diff(bounds))
-    place = np.arange(len(windows))
-    out = [np.zeros(0, PAIR)]
-    for step in range(1, int(np.diff(bounds).max(initial=1))):
-        x = np.flatnonzero(place + step < last)
-        out.append(paired(windows[x], windows[x + step]))
-    return np.concatenate(out)
+def contents(g: np.ndarray, bounds: np.ndarray, m: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """A hash of the shingles around each place, and of how far the text goes on either side."""
+    low, high = np.maximum(bounds[of], m - LENGTH + 1), np.minimum(bounds[of + 1], m + LENGTH)
+    return mix(hashes(g, low, high) + (m - low).astype(np.uint64))
+
+
+def equals(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the list of the first and the last window with each one's key and content."""
+    order = np.lexsort((windows["content"], windows["key"]))
+    key, content = windows["key"][order], windows["content"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(order)))
+    first, last = np.zeros((2, len(order)), np.int64)
+    first[order], last[order] = np.repeat(order[at], size), np.repeat(order[at + size - 1], size)
+    return first, last
 
 
 def leaders(windows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The place in the list of each window's leader: the first of its group, or for others of the first one's document the first of another."""
+    """The place in the list of each window's leader: the first of its group, or for others of the first one's document the first of another, if there is one."""
     lead = np.repeat(bounds[:-1], np.diff(bounds))
     own = windows["doc"] == windows["doc"][lead]
     place = np.arange(len(windows))
     other = np.minimum.reduceat(np.where(own, len(windows), place), bounds[:-1]) if len(windows) else place
-    return np.where(own & (place != lead), np.repeat(other, np.diff(bounds)), lead)
+    other = np.repeat(other, np.diff(bounds))
+    return np.where(own & (place != lead) & (other < len(windows)), other, lead)
 
 
 def around(x: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -245,50 +264,89 @@ def rare(shingles_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(keys), dtype=np.int32), some), ranks[np.arange(AROUND) < some[:, None]]
 
 
+def worthwhile(places_: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which places of groups have COMMON shingles around them that others have which they aren't connected with; shingles are told apart by a hash, so more may seem to be such."""
+    group = row_of(bounds).astype(np.uint32)
+    part = np.arange(len(places_), dtype=np.uint32)
+    some = np.flatnonzero(places_["part"])
+    part[some] = len(places_) + np.unique(places_["part"][some], return_inverse=True)[1]
+    bits = min(max(12, (AROUND * len(places_)).bit_length() + 1), 22)
+
+    def slots(k: int) -> np.ndarray:
+        x = (group * np.uint32(0x9E3779B1) + places_["around"][:, k]) * np.uint32(0x85EBCA6B)
+        return ((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
+
+    seen, mixed = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, bool)
+    for k in range(AROUND):
+        seen[slots(k)] = part
+    for k in range(AROUND):
+        h = slots(k)
+        mixed[h[seen[h] != part]] = True
+    common = np.zeros(len(places_), np.uint8)
+    for k in range(AROUND):
+        common += mixed[slots(k)] & (places_["around"][:, k] > 0)
+    return common >= COMMON
+
+
 def elected(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (places in the group) of each window that isn't done and one or more others that are alike, if there are any."""
-    c, doc = group["around"], group["doc"]
+    """Pairs (places in the group) of windows that are alike, which connect all that are; those of one part are connected already."""
+    c, doc, second = group["around"], group["doc"], group["other"]
     out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    _, same, number = np.unique(np.ascontiguousarray(c).view(f"V{2 * AROUND}").ravel(), return_index=True, return_inverse=True)
-    first = same[number]
-    copy = np.flatnonzero(doc != doc[first])
-    new = ~(group["done"][copy] & group["done"][first[copy]])
-    out.append((first[copy][new], copy[new]))
-    another = np.full(len(same), -1)
-    another[number[copy]] = copy
-    done = np.zeros(len(same), bool)
-    done[number[copy]] = True
-    done[number[group["done"]]] = True  # as far as a window is done, its equals are
-    contents = c[same]
+    every = np.arange(len(group))
+    up = every.copy()
+    met = group["part"] != 0
+    some = np.flatnonzero(met)
+    _, one, of = np.unique(group["part"][some], return_index=True, return_inverse=True)
+    up[some] = some[one[of]]
+    compared = np.zeros(len(group), bool)
+
+    def parts(x: np.ndarray) -> np.ndarray:
+        """What stands for all windows that each is connected with."""
+        top = up[x]
+        while (up[top] != top).any():
+            top = up[top]
+        up[x] = top
+        return top
 
     def compare(i: int, near: np.ndarray) -> int:
-        """Content i with others; how many are alike."""
-        near = near[near != i]
-        near = near[alike(contents[i], contents[near])]
-        partner = np.where(doc[same[near]] != doc[same[i]], same[near], another[near])
-        near, partner = near[partner >= 0], partner[partner >= 0]
+        """Window i with those of others that it isn't connected with; how many are alike."""
+        near = near[parts(near) != parts(every[i : i + 1])]
+        if second[i] == doc[i]:
+            near = near[(doc[near] != doc[i]) | (second[near] != doc[i])]
+        near = near[alike(c[i], c[near])]
+        met[i] = True
         if n := len(near):
-            old = done[near]
-            partner = np.concatenate([partner[~old], partner[old][:STANDING]])
-            out.append((np.full(len(partner), same[i]), partner))
-            done[near] = True
-        done[i] = True
+            met[near] = True
+            top = parts(near)
+            order = np.argsort(top, kind="stable")
+            top = top[order]
+            first = np.searchsorted(top, top)
+            partner = near[order][np.arange(n) - first < STANDING]
+            out.append((np.full(len(partner), i), partner))
+            up[top] = parts(every[i : i + 1])
         return n
 
-    every = np.arange(len(same))
-    while len(open_ := np.flatnonzero(~done)):
-        if compare(open_[0], every) < WORTHWHILE * len(same):
+    while len(open_ := np.flatnonzero(~met)):
+        compared[open_[0]] = True
+        if compare(open_[0], every) < WORTHWHILE * len(group):
             break
-    if len(open_ := np.flatnonzero(~done)):
-        row, shingle = rare(contents)
+    # what is connected with most needn't be asked: all that are apart from it are
+    top = parts(every)
+    most = np.bincount(top).argmax()
+    if len(open_ := np.flatnonzero((top != most) & ~compared)):
+        row, shingle = rare(c)
         order = np.argsort(shingle, kind="stable")
         row, shingle = row[order], shingle[order]
         at = np.concatenate([[0], np.cumsum(np.bincount(shingle, minlength=1 << 16))])
-        shared = np.diff(at)[shingle] > 1
+        # only shingles of windows of more than one part connect parts
+        some = np.flatnonzero(np.diff(at))
+        mixed = np.zeros(1 << 16, bool)
+        mixed[some] = np.minimum.reduceat(top[row], at[some]) != np.maximum.reduceat(top[row], at[some])
+        shared = mixed[shingle]
         mine = np.flatnonzero(shared)[np.argsort(row[shared], kind="stable")]
-        own = np.searchsorted(row[mine], np.arange(len(same) + 1))
+        own = np.searchsorted(row[mine], np.arange(len(group) + 1))
         for i in open_.tolist():
-            if not done[i] and own[i] < own[i + 1]:
+            if own[i] < own[i + 1] and parts(every[i : i + 1]) != parts(every[most : most + 1]):
                 near = np.unique(np.concatenate([row[at[k] : at[k + 1]] for k in shingle[mine[own[i] : own[i + 1]]].tolist()]))
                 for k in range(0, len(near), CHUNK):
                     compare(i, near[k : k + CHUNK])
@@ -296,6 +354,18 @@ def elected(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+def apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of windows (doc, m, and other and mo, their equals) as pairs of two documents, where one or its equal is of another than the other."""
+    ends = []
+    same = x["doc"] == y["doc"]
+    instead = same & (y["other"] != x["doc"])
+    for w, turn in ((x, same & ~instead), (y, instead)):
+        end = np.zeros(len(w), WINDOW)
+        end["doc"], end["m"] = np.where(turn, w["other"], w["doc"]), np.where(turn, w["mo"], w["m"])
+        ends.append(end)
+    return ends[0], ends[1]
+
+
 def sent(shard: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     """A row (shard, windows) for each shard that has values."""
     order = np.argsort(shard, kind="stable")
@@ -306,7 +376,7 @@ def sent(shard: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
 
 
 def places(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows (kind, a, b, ma, mb, group) of places that agree; see the kinds."""
+    """Rows (kind, a, b, ma, mb, group, other, mo) of places that agree; see the kinds."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -315,9 +385,9 @@ def places(docs: DataFrame, shards: int) -> DataFrame:
         size = 0
 
         def flushed() -> pa.RecordBatch:
-            key, doc, m = (np.concatenate(x) for x in zip(*found, strict=True))
+            key, doc, m, content = (np.concatenate(x) for x in zip(*found, strict=True))
             windows = np.zeros(len(key), WINDOW)
-            windows["key"], windows["doc"], windows["m"] = key & np.uint64(0xFFFFFFFF), doc, m
+            windows["key"], windows["doc"], windows["m"], windows["content"] = key & np.uint64(0xFFFFFFFF), doc, m, content
             found.clear()
             return sent(((key >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64), windows)
 
@@ -339,7 +409,7 @@ def places(docs: DataFrame, shards: int) -> DataFrame:
                     bounds = np.concatenate([[0], np.cumsum(np.where(new, size_of, 0))])
                 key, m = joined_windows(g, bounds)
                 of = np.searchsorted(bounds, m, "right") - 1
-                found.append((key, ids[of].astype(np.int64), m - bounds[of]))
+                found.append((key, ids[of].astype(np.int64), m - bounds[of], contents(g, bounds, m, of)))
                 size += len(key)
                 if size >= HELD:
                     yield flushed()
@@ -347,77 +417,80 @@ def places(docs: DataFrame, shards: int) -> DataFrame:
         if size:
             yield flushed()
 
-    def row(kind: int, a: np.ndarray, b: np.ndarray, ma: np.ndarray, mb: np.ndarray, group: np.ndarray) -> pa.Table:
-        return pa.table({"kind": pa.array(np.full(len(a), kind, np.int32))} | {n: pa.array(x.astype(np.int64)) for n, x in (("a", a), ("b", b), ("ma", ma), ("mb", mb), ("group", group))})
+    def row(kind: int, a: np.ndarray, b: np.ndarray, ma: np.ndarray, mb: np.ndarray, *more: np.ndarray) -> pa.Table:
+        group, other, mo = more or np.zeros((3, len(a)))
+        columns = (("a", a), ("b", b), ("ma", ma), ("mb", mb), ("group", group), ("other", other), ("mo", mo))
+        return pa.table({"kind": pa.array(np.full(len(a), kind, np.int32))} | {n: pa.array(x.astype(np.int64)) for n, x in columns})
 
     def meet(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         buffers = [w.as_buffer() for chunk in table["windows"].chunks for w in chunk]
         if shard < 0:
             copies = np.concatenate([np.frombuffer(b, COPY) for b in buffers])
-            return row(COPIED, copies["doc"], copies["of"], copies["words"], copies["words"], np.zeros(len(copies)))
-        windows, bounds = grouped(np.concatenate([np.frombuffer(b, WINDOW) for b in buffers]))
+            return row(COPIED, copies["doc"], copies["of"], copies["words"], copies["words"])
+        windows, _ = grouped(np.concatenate([np.frombuffer(b, WINDOW) for b in buffers]))
+        first, last = equals(windows)
+        one = np.flatnonzero(first == np.arange(len(windows)))
+        rest = np.flatnonzero(first != np.arange(len(windows)))
+        partner = np.where(windows["doc"][rest] == windows["doc"][first[rest]], last[rest], first[rest])
+        pairs = [paired(windows[partner], windows[rest])]
+        # a window for each content, in order of key and document, with another of its equals
+        places_ = np.zeros(len(one), STANDS)
+        for name, x in (("doc", windows["doc"][one]), ("m", windows["m"][one]), ("other", windows["doc"][last[one]]), ("mo", windows["m"][last[one]]), ("key", windows["key"][one])):
+            places_[name] = x
+        places_["key"] |= np.uint64(shard) << np.uint64(32)
+        bounds = bounds_of(places_["key"])
         size = np.diff(bounds)
-        few = np.repeat(size <= SMALL, size)
-        pairs = all_pairs(windows[few], np.concatenate([[0], np.cumsum(size[size <= SMALL])]))
-        large = windows[~few]
-        lead = large[leaders(large, np.concatenate([[0], np.cumsum(size[size > SMALL])]).astype(np.int64))]
-        group = np.uint64(shard) << np.uint64(32) | large["key"].astype(np.uint64)
-        return pa.concat_tables([row(PAIRED, pairs["a"], pairs["b"], pairs["ma"], pairs["mb"], np.zeros(len(pairs))), row(MEMBER, large["doc"], lead["doc"], large["m"], lead["m"], group)])
-
-    return docs.mapInArrow(send, "shard int, windows binary").groupBy("shard").applyInArrow(meet, "kind int, a long, b long, ma long, mb long, group long")
-
-
-def wanted(windows: np.ndarray, sent_by: dict[int, int]) -> np.ndarray:
-    """Which windows aren't done, or have something around them that fewer than two documents of this task had; `sent_by`: the document of what went before, -1 for two."""
-    weights = mix(np.arange(1, AROUND + 1, dtype=np.uint64)) | np.uint64(1)
-    content = mix(windows["key"] ^ mix((windows["around"].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)))
-    out = np.ones(len(windows), bool)
-    docs = windows["doc"].tolist()
-    for k, is_done in enumerate(windows["done"].tolist()):
-        if is_done:
-            h, doc = int(content[k]), docs[k]
-            before = sent_by.get(h)
-            out[k] = before is None or before not in (-1, doc)
-            sent_by[h] = doc if before is None else before if before == doc else -1
-    return out
+        two = bounds[:-1][size == 2]
+        pairs.append(paired(*apart(places_[two], places_[two + 1])))
+        large = places_[np.repeat(size > 2, size)]
+        bounds = np.concatenate([[0], np.cumsum(size[size > 2])]).astype(np.int64)
+        lead = large[leaders(large, bounds)]
+        pairs = np.concatenate(pairs)
+        return pa.concat_tables([row(PAIRED, pairs["a"], pairs["b"], pairs["ma"], pairs["mb"]), row(MEMBER, large["doc"], lead["doc"], large["m"], lead["m"], large["key"], large["other"], large["mo"])])
+
+    return docs.mapInArrow(send, "shard int, windows binary").groupBy("shard").applyInArrow(meet, "kind int, a long, b long, ma long, mb long, group long, other long, mo long")
 
 
 def led(windows: DataFrame, held: DataFrame, shards: int) -> DataFrame:
-    """Pairs (a, b, ma, mb) of windows (a, ma, group, done) that aren't done and others of their groups; `held` has the texts, packed."""
-    of_doc = windows.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("group", "ma", "done")).alias("windows")).join(held, "doc_id").select("doc_id", "windows", "packed")
+    """Pairs (a, b, ma, mb) of windows (a, ma, group, part, other, mo) of groups of more than one part; `held` has the texts, packed."""
+    of_doc = windows.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list(F.struct("group", "ma", "part", "other", "mo")).alias("windows")).join(held, "doc_id").select("doc_id", "windows", "packed")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent_by: dict[int, int] = {}
         for batch in batches:
             for first, texts_ in unpacked_rows(batch, (2,), SLICE_BYTES):
                 x, bounds = shingles(*texts_[0])
                 own = batch.slice(first, len(bounds) - 1)
                 of = np.repeat(np.arange(own.num_rows), own.column(1).value_lengths().to_numpy())
-                key, m, done = (k.to_numpy(zero_copy_only=False) for k in own.column(1).flatten().flatten())
+                key, m, part, other, mo = (k.to_numpy(zero_copy_only=False) for k in own.column(1).flatten().flatten())
                 ids = own.column(0).to_numpy()
                 some = m < np.diff(bounds)[of]
-                key, m, done, of = key[some], m[some], done[some], of[some]
+                key, m, part, other, mo, of = (x[some] for x in (key, m, part, other, mo, of))
                 got = np.zeros(len(key), PLACE)
-                got["key"], got["doc"], got["m"], got["done"] = key, ids[of], m, done
+                got["key"], got["doc"], got["m"], got["part"], got["other"], got["mo"] = key, ids[of], m, part, other, mo
                 ends = np.searchsorted(of, np.arange(own.num_rows + 1))
                 for i in range(own.num_rows):
                     if ends[i] < ends[i + 1]:
                         got["around"][ends[i] : ends[i + 1]] = around(x[bounds[i] : bounds[i + 1]], m[ends[i] : ends[i + 1]])
-                got = got[wanted(got, sent_by)]
                 if len(got):
                     yield sent((mix(got["key"]) % np.uint64(shards)).astype(np.int64), got)
 
     def meet(table: pa.Table) -> pa.Table:
         places_ = np.concatenate([np.frombuffer(p.as_buffer(), PLACE) for chunk in table["windows"].chunks for p in chunk])
-        order = np.lexsort((places_["m"], places_["doc"], places_["done"], places_["key"]))
-        key = places_["key"][order]
-        bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        places_ = places_[np.lexsort((places_["m"], places_["doc"], places_["key"]))]
+        some = np.arange(len(places_))
+        for _ in range(2):
+            some = some[worthwhile(places_[some], bounds_of(places_["key"][some]))]
+        bounds = bounds_of(places_["key"][some])
+        alone = places_["part"] == 0
         out = [np.zeros(0, PAIR)]
-        for k in range(len(bounds) - 1):
-            group = places_[order[bounds[k] : bounds[k + 1]]]
-            first, other = elected(group)
-            out.append(paired(group[first], group[other]))
+        for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            at = some[bounds[k] : bounds[k + 1]]
+            first, other = (at[x] for x in elected(places_[at]))
+            out.append(paired(*apart(places_[first], places_[other])))
+        for step in range(1, BESIDE + 1):
+            x = np.flatnonzero((alone[:-step] | alone[step:]) & (places_["key"][:-step] == places_["key"][step:]))
+            out.append(paired(*apart(places_[x], places_[x + step])))
         pairs = np.concatenate(out)
         return pa.table({c: pa.array(pairs[c].astype(np.int64)) for c in PAIR.names})
 
@@ -511,11 +584,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         held = keep(packed_texts(docs).join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
         first = keep(confirmed(pairs, held))
-        ends = first.select(F.explode(F.array(F.struct("doc_id", "start", "end"), F.struct(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))).alias("s"))
-        covered = ends.groupBy(F.col("s.doc_id").alias("a")).agg(F.collect_set(F.struct("s.start", "s.end")).alias("spans"))
-        done = F.coalesce(F.exists("spans", lambda s: (s["start"] <= F.col("ma")) & (F.col("ma") + SHINGLE <= s["end"])), F.lit(False))
-        windows = keep(members.join(covered, "a", "left").select("a", "ma", "group", done.alias("done")))
-        left = windows.filter("not done").select("group").distinct()
+        known = classes(first, keep)
+        ends = known.select(F.explode(F.array(F.struct("doc_id", "start", "end"), F.struct(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))).alias("s"), F.xxhash64("class_doc", "class_start").alias("part"))
+        covered = ends.groupBy(F.col("s.doc_id").alias("a")).agg(F.collect_set(F.struct("s.start", "s.end", "part")).alias("spans"))
+        part = F.get(F.filter("spans", lambda s: (s["start"] <= F.col("ma")) & (F.col("ma") + SHINGLE <= s["end"])), F.lit(0))["part"]
+        windows = keep(members.join(covered, "a", "left").select("a", "ma", "group", "other", "mo", F.coalesce(part, F.lit(0)).alias("part")))
+        left = windows.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low = 0 or high = 0 or low <> high").select("group")
         others = keep(with_seeds(led(windows.join(left, "group", "left_semi"), held, 4 * shards)))
         tried = pairs.select("a", "b", F.col("seeds.shift").alias("tried"))
         new = F.filter("seeds", lambda s: ~F.coalesce(F.array_contains("tried", s["shift"]), F.lit(False))).alias("seeds")

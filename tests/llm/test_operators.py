@@ -760,6 +760,34 @@ def test_classes_of_passages(spark):
     assert of == {(0, 40, 13): {*range(12), 30}, (20, 20, 4): {20, 21, 22, 30}}
 
 
+def test_passages_of_groups_of_all_sizes(spark):
+    """What documents share is said alike, whether a few or many more have it too."""
+    rng = np.random.default_rng(10)
+    noise = lambda n: [f"n{rng.integers(10**9)}" for _ in range(n)]
+    passage = noise(60)
+    docs = [(i, " ".join(noise(40) + passage + noise(30))) for i in range(12)]
+    few, many = (substrings.find(spark.createDataFrame(docs[:n], "doc_id long, text string")).drop("class_docs").collect() for n in (5, 12))
+    assert set(few) == {r for r in many if r["doc_id"] < 5}
+    assert {r["doc_id"] for r in many} == set(range(1, 12)) and {(r["class_doc"], r["class_start"]) for r in many} == {(0, 40)}
+
+
+def test_places_are_connected_across_their_parts():
+    """Windows that have passages already are connected with others that only they are alike."""
+    rng = np.random.default_rng(11)
+    half = substrings.LENGTH - 1
+    x, y, z = rng.integers(1, 2**16, (3, half), dtype=np.uint16)
+    group = np.zeros(4, substrings.PLACE)
+    group["doc"] = group["other"] = np.arange(4)
+    around = lambda a, b: np.concatenate([a, [7], b])
+    noise = lambda: rng.integers(1, 2**16, half, dtype=np.uint16)
+    # 0 and 1 have a passage; 3 has one with 2, which has another one with 1
+    for i, (a, b) in enumerate(((noise(), x), (y, x), (y, z), (noise(), z))):
+        group["around"][i] = around(a, b)
+    group["part"][:2] = 5
+    got = {tuple(sorted(p)) for p in zip(*[p.tolist() for p in substrings.elected(group)], strict=True)}
+    assert {(1, 2), (2, 3)} <= got <= {(0, 1), (1, 2), (2, 3)}
+
+
 def test_leaders_leave_no_pair_out():
     """Each place that has a passage with others of its group is paired with one of them, whatever leads."""
     rng = np.random.default_rng(5)
