@@ -48,7 +48,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +74,8 @@ STANDING = 2
 BESIDE = 5
 #: Pairs of places compared at once.
 CHUNK = 1 << 14
+#: So many pairs of places of a group are compared without an index.
+FEW = 1 << 12
 #: Windows that a task holds before it sends them, and bytes of windows in a shard.
 HELD, SHARD_BYTES = 3 << 18, 6 << 20
 
@@ -117,8 +118,11 @@ def windows_of(bounds: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np
     return row, whole, np.repeat(np.diff(bounds) < length, np.diff(bounds))
 
 
-def compact_windows(v: np.ndarray, bounds: np.ndarray, length: int = LENGTH, windows: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, m, r) of all compact windows of at least `length` of each row's hashes, r inclusive: the nodes of the rows' Cartesian trees that are long enough. The first of equal hashes is the least."""
+def compact_windows(v: np.ndarray, bounds: np.ndarray, length: int = LENGTH, windows: tuple | None = None, far: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, m, r) of all compact windows of at least `length` of each row's hashes, r inclusive: the nodes of the rows' Cartesian trees that are long enough. The first of equal hashes is the least.
+
+    With `far`, of at least `length`, what is so far from m or farther may be left out of the windows: the trees are climbed no higher.
+    """
     if len(v) < length:
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -132,12 +136,21 @@ def compact_windows(v: np.ndarray, bounds: np.ndarray, length: int = LENGTH, win
     h, of = v[m], row[m]
     # the nearest lower hash of the row on either side, before it an equal one too; only what still moves is looked at
     before, after = np.arange(-1, k - 1), np.arange(1, k + 1)
-    at = np.arange(k)
-    while len(at := at[(before[at] >= 0) & (of[before[at]] == of[at]) & (h[before[at]] > h[at])]):
-        before[at] = before[before[at]]
-    at = np.arange(k)
-    while len(at := at[after[at] < k]) and len(at := at[(of[after[at]] == of[at]) & (h[after[at]] >= h[at])]):
-        after[at] = after[after[at]]
+    far = far or len(v)
+    at = np.arange(1, k)
+    while len(at):
+        to = before[at]
+        goes = (of[to] == of[at]) & (h[to] > h[at]) & (m[at] - m[to] < far)
+        at = at[goes]
+        before[at] = before[to[goes]]
+        at = at[before[at] >= 0]
+    at = np.arange(k - 1)
+    while len(at):
+        to = after[at]
+        goes = (of[to] == of[at]) & (h[to] >= h[at]) & (m[to] - m[at] < far)
+        at = at[goes]
+        after[at] = after[to[goes]]
+        at = at[after[at] < k]
     inside = (before >= 0) & (of[np.maximum(before, 0)] == of)
     left = np.where(inside, m[np.maximum(before, 0)] + 1, bounds[of])
     inside = (after < k) & (of[np.minimum(after, k - 1)] == of)
@@ -154,7 +167,7 @@ def joined_windows(g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     windows = windows_of(bounds)
 
     def intervals(function: int) -> tuple[np.ndarray, np.ndarray]:
-        l, m, _ = compact_windows((g ^ salt(1 << 21 | function)) * (salt(1 << 22 | function) | np.uint64(1)), bounds, LENGTH, windows)
+        l, m, _ = compact_windows((g ^ salt(1 << 21 | function)) * (salt(1 << 22 | function) | np.uint64(1)), bounds, LENGTH, windows, LENGTH)
         return np.maximum(l, m - LENGTH + 1), m
 
     for band in range(BANDS):
@@ -173,8 +186,23 @@ def bounds_of(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
 
 
+def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which 32-bit values may be among some: all that are, and few others."""
+    bits = min(max(12, len(some).bit_length() + 4), 24)
+    slot = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    held = np.zeros(1 << bits, bool)
+    held[slot(some)] = True
+    return held[slot(values)]
+
+
 def grouped(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows whose key more than one document has, in order of key, document and place, and the bounds of keys."""
+    # most are alone with their key
+    keys = np.sort(windows["key"])
+    once = np.ones(len(keys) + 1, bool)
+    np.not_equal(keys[1:], keys[:-1], out=once[1:-1])
+    many = keys[:-1][once[:-2] & ~once[1:-1]] if len(keys) else keys
+    windows = windows[among(windows["key"], many)]
     windows = windows[np.lexsort((windows["m"], windows["doc"], windows["key"]))]
     if not len(windows):
         return windows, np.zeros(1, np.int64)
@@ -242,7 +270,7 @@ def alike(lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
     if len(at):
         equal = equal[at]
         sums = np.zeros((len(at), AROUND + 1), np.int16)
-        np.cumsum(np.where(equal, 1, -6).astype(np.int16), axis=1, dtype=np.int16, out=sums[:, 1:])
+        np.cumsum(equal * np.int16(7) - np.int16(6), axis=1, dtype=np.int16, out=sums[:, 1:])
         least = np.minimum.accumulate(np.where(equal[:, :LENGTH], sums[:, :LENGTH], np.int16(1 << 14)), axis=1)
         have[at] = (equal[:, LENGTH - 1 :] & (sums[:, LENGTH:] >= least - np.int16(6))).any(axis=1)
     return have
@@ -333,7 +361,12 @@ def elected(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # what is connected with most needn't be asked: all that are apart from it are
     top = parts(every)
     most = np.bincount(top).argmax()
-    if len(open_ := np.flatnonzero((top != most) & ~compared)):
+    open_ = np.flatnonzero((top != most) & ~compared)
+    if len(open_) * len(group) <= FEW:
+        for i in open_.tolist():
+            if parts(every[i : i + 1]) != parts(every[most : most + 1]):
+                compare(i, every)
+    else:
         row, shingle = rare(c)
         order = np.argsort(shingle, kind="stable")
         row, shingle = row[order], shingle[order]
@@ -368,11 +401,13 @@ def apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sent(shard: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     """A row (shard, windows) for each shard that has values."""
-    order = np.argsort(shard, kind="stable")
-    some, first = np.unique(shard[order], return_index=True)
-    ends = [*first[1:].tolist(), len(shard)]
-    values = values[order]
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([values[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())], names=["shard", "windows"])
+    low = int(shard.min())
+    # of 16-bit numbers, the sort is by digits
+    order = np.argsort((shard - low).astype(np.uint16) if int(shard.max()) - low < 1 << 16 else shard, kind="stable")
+    shard, values = shard[order], values[order]
+    bounds = bounds_of(shard)
+    ends = bounds.tolist()
+    return pa.RecordBatch.from_arrays([pa.array(shard[bounds[:-1]].astype(np.int32)), pa.array([values[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["shard", "windows"])  # noqa: B905
 
 
 def places(docs: DataFrame, shards: int) -> DataFrame:
@@ -502,44 +537,51 @@ class Indexed:
 
     def __init__(self, y: np.ndarray):
         self.y, self.wide = y, len(y) + 1
-        order = np.argsort(y, kind="stable")
-        self.values, first = np.unique(y[order], return_index=True)
-        number = np.zeros(len(y), np.int64)
-        number[first] = 1
-        self.ranked = (np.cumsum(number) - 1) * self.wide + order
-
-    def ranks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places of x that have a shingle in common with this text, and where its places begin among the ranked."""
-        at = np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)
-        i = np.flatnonzero(self.values[at] == x)
-        return i, at[i] * self.wide
-
-    def matches(self, x: np.ndarray, i: np.ndarray, rank: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places (i, j) of shingles in common with j - i near the shift, both rising; i and rank as ranks() gives them."""
-        straight = i + shift
-        j = np.clip(straight, 0, len(self.y) - 1)
-        equal = (j == straight) & (self.y[j] == x[i])
-        if not equal.all():
-            at = np.searchsorted(self.ranked, rank + np.clip(straight - SLACK, 0, len(self.y)))
-            near = self.ranked[np.minimum(at, len(self.ranked) - 1)] - rank
-            good = (at < len(self.ranked)) & (near >= 0) & (near < self.wide) & (near <= straight + SLACK)
-            some = good | equal
-            i, j = i[some], np.where(equal, j, near)[some]
-        rising = np.ones(len(j), bool)
-        rising[1:] = j[1:] > np.maximum.accumulate(j)[:-1]
-        return i[rising], j[rising]
+        order = y.argsort(kind="stable")
+        ordered = y[order]
+        new = np.ones(len(y), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        self.values = ordered[new]
+        # a last one that is near nothing
+        self.ranked = np.full(len(y) + 1, 1 << 62)
+        self.ranked[:-1] = (new.cumsum() - 1) * self.wide + order
+
+    def ranks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of x that have a shingle in common with this text, that shingle, and where its places begin among the ranked."""
+        at = np.minimum(self.values.searchsorted(x), len(self.values) - 1)
+        i = (self.values[at] == x).nonzero()[0]
+        return i, x[i], at[i] * self.wide
+
+    def matches(self, i: np.ndarray, shingle: np.ndarray, rank: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (i, j) of shingles in common with j - i near the shift, both rising; the rest as ranks() gives it."""
+        j = i + shift
+        inside = np.minimum(np.maximum(j, 0), len(self.y) - 1)
+        unlike = ((inside != j) | (self.y[inside] != shingle)).nonzero()[0]
+        if len(unlike):
+            straight, first = j[unlike], rank[unlike]
+            near = self.ranked[self.ranked.searchsorted(first + np.maximum(straight - SLACK, 0))] - first
+            good = near <= np.minimum(straight + SLACK, self.wide - 1)
+            j[unlike] = near
+            some = np.ones(len(j), bool)
+            some[unlike] = good
+            i, j = i[some], j[some]
+            if len(j):
+                rising = np.ones(len(j), bool)
+                np.greater(j[1:], np.maximum.accumulate(j)[:-1], out=rising[1:])
+                i, j = i[rising], j[rising]
+        return i, j
 
 
 def runs(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """Passages (start, end, start, end; shingles) of places in common: the leftmost first, each as long as 75 % are in common."""
+    if len(i) <= COMMON:
+        return
     value = 7 * np.arange(len(i)) - 3 * (i + j)
-    most = np.maximum.accumulate(value[::-1])[::-1]
-    # the last place up to which enough is in common: `most` falls, so it is where it gets too small
-    last = len(i) - 1 - np.searchsorted(most[::-1], value - 1, "left")
-    long = np.minimum(i[last] - i, j[last] - j) + 1 >= LENGTH
+    # the last place up to which enough is in common: the greatest from a place on falls, so it is where it gets too small
+    last = len(i) - 1 - np.maximum.accumulate(value[::-1]).searchsorted(value - 1)
+    starts = (np.minimum(i[last] - i, j[last] - j) + 1 >= LENGTH).nonzero()[0]
     p = 0
-    starts = np.flatnonzero(long)
-    while (at := np.searchsorted(starts, p)) < len(starts):
+    while (at := starts.searchsorted(p)) < len(starts):
         p = starts[at]
         q = last[p]
         yield int(i[p]), int(i[q]) + 1, int(j[p]), int(j[q]) + 1
@@ -556,13 +598,15 @@ def passages(x: np.ndarray, other: Indexed, seeds: np.ndarray) -> list[tuple[int
         return []
     if len(x) == len(y) and (x == y).all():
         return [(0, len(x) + SHINGLE - 1, 0, len(y) + SHINGLE - 1)]
-    i, rank = other.ranks(x)
+    places_ = other.ranks(x)
     out: list[tuple[int, int, int, int]] = []
+    if len(places_[0]) <= COMMON:
+        return out
     for shift, low, high in sorted(seeds.tolist(), key=lambda s: (s[1] - s[2], s)):
         ahead, behind = low + shift, high + shift + SHINGLE
         if any(a <= low and high + SHINGLE <= b for a, b, _, _ in out) and any(c <= ahead and behind <= d for _, _, c, d in out):
             continue
-        for s, e, t, u in runs(*other.matches(x, i, rank, shift)):
+        for s, e, t, u in runs(*other.matches(*places_, shift)):
             if any(a <= s and e + SHINGLE - 1 <= b and c <= t and u + SHINGLE - 1 <= d for a, b, c, d in out):
                 continue
             own, theirs = set(x[s:e].tolist()), set(y[t:u].tolist())
@@ -625,21 +669,28 @@ def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """The passages of pairs of documents (a, b, seeds), from the distances of places that agree; `held` has the texts, packed. Rows come by their smaller document, whose index serves for all that follow."""
     both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a")
 
+    def indexes(batch: pa.RecordBatch, ids: list[int], held_id: int | None) -> Iterator[Indexed]:
+        """The indexes of the smaller documents of a batch's rows, one whenever another follows."""
+        new = [k for k, (before, now) in enumerate(zip([held_id, *ids], ids)) if now != before]  # noqa: B905
+        for _, texts_ in unpacked_rows(batch.take(pa.array(new, pa.int64())), (4,), SLICE_BYTES):
+            y, bounds = shingles(*texts_[0])
+            for k in range(len(bounds) - 1):
+                yield Indexed(y[bounds[k] : bounds[k + 1]])
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         held_id, index = None, None
         for batch in batches:
             got: list[tuple] = []
             ids = [batch.column(k).to_pylist() for k in range(2)]
             seeds = np.stack([k.to_numpy() for k in batch.column(2).flatten().flatten()], axis=1)
             of = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+            others = indexes(batch, ids[0], held_id)
             for first, texts_ in unpacked_rows(batch, (3,), SLICE_BYTES):
                 x, bounds = shingles(*texts_[0])
                 for k in range(len(bounds) - 1):
                     row = first + k
                     if ids[0][row] != held_id:
-                        data = np.frombuffer(unpack(batch.column(4)[row].as_buffer()), np.uint8)
-                        held_id, index = ids[0][row], Indexed(shingles(data, np.array([0, len(data)]))[0])
+                        held_id, index = ids[0][row], next(others)
                     got += [(ids[1][row], s, e, held_id, t, u) for s, e, t, u in passages(x[bounds[k] : bounds[k + 1]], index, seeds[of[row] : of[row + 1]])]
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(6)], names=["doc_id", "start", "end", "other_id", "other_start", "other_end"])
 

@@ -642,6 +642,56 @@ def test_compact_windows():
         assert set(zip(*[x.tolist() for x in substrings.compact_windows(v, bounds, least)], strict=True)) == want
 
 
+def test_compact_windows_climbed_no_higher_than_needed():
+    """Where windows of the least length start is known from what is near, of long texts with equal hashes too."""
+    rng = np.random.default_rng(12)
+    least = 9
+    bounds = np.array([0, 700, 705, 2000])
+    for v in (rng.integers(0, 60, 2000), np.arange(2000), np.arange(2000)[::-1], np.zeros(2000, int)):
+        l, m, r = substrings.compact_windows(v.astype(np.uint64), bounds, least)
+        near = substrings.compact_windows(v.astype(np.uint64), bounds, least, far=least)
+        assert near[1].tolist() == m.tolist() and (near[0] >= l).all() and (near[2] <= r).all()
+        assert np.maximum(near[0], m - least + 1).tolist() == np.maximum(l, m - least + 1).tolist()
+        assert np.minimum(m, near[2] - least + 1).tolist() == np.minimum(m, r - least + 1).tolist()
+
+
+def test_windows_alone_with_their_key_go_first():
+    """Of keys that several documents have, all windows stay, in order."""
+    rng = np.random.default_rng(13)
+    for n, keys in ((0, 1), (1, 1), (400, 50), (400, 10**6), (5000, 2**32)):
+        windows = np.zeros(n, substrings.WINDOW)
+        windows["key"], windows["doc"], windows["m"] = rng.integers(0, keys, n), rng.integers(0, 9, n), rng.permutation(n)
+        docs_of = collections.defaultdict(set)
+        for k, d in zip(windows["key"].tolist(), windows["doc"].tolist(), strict=True):
+            docs_of[k].add(d)
+        want = sorted(w[:3] for w in windows.tolist() if len(docs_of[w[0]]) > 1)
+        got, bounds = substrings.grouped(windows)
+        assert [w[:3] for w in got.tolist()] == want
+        assert [got["key"][a] for a in bounds[:-1]] == sorted({w[0] for w in want}) and bounds[-1] == len(got)
+    # most windows go before the rest are sorted
+    few = substrings.among(np.arange(10**5, dtype=np.uint32), np.arange(0, 10**5, 1000, dtype=np.uint32))
+    assert few[::1000].all() and few.sum() < 10**4
+
+
+def test_few_places_are_compared_without_an_index(monkeypatch):
+    """Groups of few places, which are most, need no table of all shingles, and give what the index gives."""
+    rng = np.random.default_rng(14)
+    groups = []
+    for n in (2, 3, 8, 40):
+        group = np.zeros(n, substrings.PLACE)
+        group["doc"] = group["other"] = np.arange(n)
+        kinds = rng.integers(1, 2**16, (n // 2 + 1, substrings.AROUND), dtype=np.uint16)
+        group["around"] = kinds[rng.integers(0, len(kinds), n)]
+        group["around"][:, :20] = rng.integers(1, 2**16, (n, 20), dtype=np.uint16)
+        groups.append(group)
+    pairs = lambda: [sorted(zip(*[x.tolist() for x in substrings.elected(g)], strict=True)) for g in groups]
+    monkeypatch.setattr(substrings, "FEW", -1, raising=False)
+    want = pairs()
+    monkeypatch.undo()
+    monkeypatch.setattr(substrings, "rare", lambda shingles: pytest.fail("an index of few places"))
+    assert pairs() == want and any(want)
+
+
 def test_keys_of_passages():
     """Each overlap of the intervals of both trees of a band has a key, of the least shingles of all windows of the least length in it."""
     rng = np.random.default_rng(3)
