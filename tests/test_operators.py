@@ -327,6 +327,36 @@ def test_pairs_of_neighbours_are_dealt_out(spark):
     assert near.count() == prior.distances(points).filter("distance <= 50").count()
 
 
+def test_positions_that_look_around_are_few_rows(spark):
+    """A position goes to its own cube once, and looks into those on the sphere that are near enough, once for each pair of cubes."""
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(np.degrees(np.arcsin(rng.uniform(-1, 1, 3000))), rng.uniform(-180, 180, 3000)))], "ipos int, lat double, lon double")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        gateway = spark.sparkContext._gateway
+        none = gateway.jvm.java.util.ArrayList
+        stages = store.stageList(none(), False, False, gateway.new_array(gateway.jvm.double, 0), none())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    assert prior.neighbours(points, 500.0).count() > 3000
+    assert written() - before < 15 * 3000
+
+
+def test_a_dense_cube_goes_into_slices_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(prior, "BLOCK", 16)
+    points = sphere(spark, 50).unionByName(spark.range(1000, 1120).select(F.col("id").cast("int").alias("ipos"), (F.lit(20.0) + F.col("id") / 10000).alias("lat"), (F.col("id") / 10000).alias("lon")))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(prior.neighbours(points, 900.0)) == rows(prior.distances(points).filter("distance <= 900"))
+
+
+def test_positions_that_are_nowhere_have_no_neighbours(spark):
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, float("nan"), 1.0), (3, None, 1.0), (4, 1.0, float("inf")), (None, 1.0, 1.0), (5, 1.0, 1.0)], "ipos int, lat double, lon double")
+    assert sorted(tuple(r) for r in prior.neighbours(points, 500.0).collect()) == [(1, 1, 0.0), (1, 5, 0.0), (5, 5, 0.0)]
+
+
 def test_stretches_of_an_uneven_axis(spark):
     places = [0.0, 1.0, 1.5, 40.0, 41.0]
     axis = spark.createDataFrame(list(enumerate(places, 5)), "index int, position double")
