@@ -503,3 +503,30 @@ def test_parts_of_footprints_follow_the_files(spark, tmp_path, monkeypatch):
     assert plan_of(folded).count("Exchange hashpartitioning") == 1
     size = os.path.getsize(f"{root}/lineitem.parquet")
     assert size > 5 * 4096 and folded.rdd.getNumPartitions() == size // 4096 + 1
+
+
+def test_footprints_stay_by_observation_as_sensitivity_to_the_state(spark):
+    """The maps go to the footprints, and cached departures that are dealt alike meet them in every iteration without a shuffle of either."""
+    from plumeline.plans import inversion
+    from plumeline.sources import fixtures, shared
+
+    root = "/root/testdata/sf0.001"
+    rows, obs = fixtures.view(spark, root, "fx_footprint"), fixtures.view(spark, root, "fx_obs")
+    hmap = spark.range(80).select(F.col("id").cast("int").alias("icell"), (F.col("id") % 4).cast("int").alias("ipos"), F.lit(0.05).alias("frac"))
+    tmap = spark.range(120).select((F.col("id") / 3).cast("int").alias("itim_opt"), F.col("id").cast("int").alias("itim_mod"), F.lit(1 / 3).alias("frac"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(key)
+    spark.conf.set(key, -1)  # as with large tables
+    try:
+        h = inversion.state_sensitivity(obs, rows, tmap, hmap, 10)
+        assert plan_of(h).count("Exchange hashpartitioning") == 2  # the rows of the footprints, and ids of observations
+        departures = obs.select("obsid", F.lit(1.0).alias("mismatch"), F.lit(2.0).alias("sigma")).repartition(shared.parts_of(rows), "obsid")
+        problem = inversion.Inversion(inversion.Control(np.ones((40, 4)), np.eye(40), np.eye(4)), departures.persist(), h.persist())
+        for table in (problem.departures, problem.sensitivity):
+            table.count()
+        made = problem.pulled(np.zeros(160))
+        made.collect()
+        above = plan_of(made).split("InMemoryTableScan")[0]  # the first table is one that is cached, and what follows is its own plan
+        assert above.count("Exchange hashpartitioning(itime") == above.count("Exchange hashpartitioning") > 0
+    finally:
+        spark.conf.set(key, held)
