@@ -68,6 +68,8 @@ AROUND = 2 * LENGTH - 1
 COMMON = -(-LENGTH * 6 // 7) - 1
 #: A place is compared with all others of its group while so large a share of them is alike, then with those that share a rare shingle.
 WORTHWHILE = 1 / 8
+#: So many others a place is compared with at first, then with twice as many each time.
+FIRST = 128
 #: A place is paired with so many of those that are alike and connected with each other already.
 STANDING = 2
 #: A place that is in no passage with its group's leader is aligned with so many that come before and after it there.
@@ -336,27 +338,43 @@ def elected(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         up[x] = top
         return top
 
-    def compare(i: int, near: np.ndarray) -> int:
-        """Window i with those of others that it isn't connected with; how many are alike."""
-        near = near[parts(near) != parts(every[i : i + 1])]
+    def compare(i: int, near: np.ndarray) -> bool:
+        """Window i with those of others that it isn't connected with, of each part until STANDING are alike; whether many of them were."""
+        top = parts(near)
+        other = top != parts(every[i : i + 1])
         if second[i] == doc[i]:
-            near = near[(doc[near] != doc[i]) | (second[near] != doc[i])]
-        near = near[alike(c[i], c[near])]
+            other &= (doc[near] != doc[i]) | (second[near] != doc[i])
+        near, top = near[other], top[other]
         met[i] = True
-        if n := len(near):
-            met[near] = True
-            top = parts(near)
-            order = np.argsort(top, kind="stable")
-            top = top[order]
-            first = np.searchsorted(top, top)
-            partner = near[order][np.arange(n) - first < STANDING]
-            out.append((np.full(len(partner), i), partner))
-            up[top] = parts(every[i : i + 1])
-        return n
+        got, tops, asked, size = [], [], 0, FIRST
+        stand = np.zeros(len(group), np.int64)
+        while len(near):
+            head, its = near[:size], top[:size]
+            near, top = near[size:], top[size:]
+            asked += len(head)
+            size *= 2
+            good = alike(c[i], c[head])
+            if good.any():
+                got.append(head[good])
+                tops.append(its[good])
+                np.add.at(stand, tops[-1], 1)
+                open_part = stand[top] < STANDING
+                near, top = near[open_part], top[open_part]
+        if not got:
+            return asked == 0
+        near, top = np.concatenate(got), np.concatenate(tops)
+        met[near] = True
+        order = np.argsort(top, kind="stable")
+        top = top[order]
+        first = np.searchsorted(top, top)
+        partner = near[order][np.arange(len(top)) - first < STANDING]
+        out.append((np.full(len(partner), i), partner))
+        up[top] = parts(every[i : i + 1])
+        return len(near) >= WORTHWHILE * asked
 
     while len(open_ := np.flatnonzero(~met)):
         compared[open_[0]] = True
-        if compare(open_[0], every) < WORTHWHILE * len(group):
+        if not compare(open_[0], every):
             break
     # what is connected with most needn't be asked: all that are apart from it are
     top = parts(every)

@@ -879,3 +879,25 @@ def test_letters():
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     rows = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
     assert langid.has_letter(data, rows).tolist() == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_a_place_is_compared_with_a_large_class_no_further_than_needed(monkeypatch):
+    """Places in no passage yet, alike with a large class but not with each other, meet two places of it and aren't compared with all."""
+    from plumeline.llm import substrings
+
+    rng = np.random.default_rng(4)
+    group = np.zeros(1200, substrings.PLACE)
+    group["doc"] = group["other"] = np.arange(1200)
+    group["part"] = 1
+    group["around"] = rng.integers(1, 1 << 16, substrings.AROUND)
+    alone = np.arange(5, 1200, 200)
+    for k, i in enumerate(alone):  # each has another stretch of a passage's length in common with the class
+        own = rng.integers(1, 1 << 16, substrings.AROUND)
+        own[8 * k : 8 * k + substrings.LENGTH] = group["around"][0, 8 * k : 8 * k + substrings.LENGTH]
+        group["around"][i], group["part"][i] = own, 0
+    asked, whole = [], substrings.alike
+    monkeypatch.setattr(substrings, "alike", lambda lead, rest: asked.append(len(rest)) or whole(lead, rest))
+    a, b = substrings.elected(group)
+    assert sum(asked) < 2 * len(group)
+    pairs = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert {(i, j) for i in alone[:1].tolist() for j in (0, 1)} <= pairs and {i for i, _ in pairs} | {j for _, j in pairs} >= set(alone.tolist())
